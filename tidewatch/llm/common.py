@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -79,36 +80,40 @@ def flat(lists: list[np.ndarray], dtype) -> pa.ListArray:
 class Memo:
     """Integer lists of recurring strings, by string: each distinct one is computed once while it is held.
 
-    ``compute`` maps a list of strings to a list of integer sequences. At ``limit`` strings the memo starts afresh,
-    so a task's memory is bounded whatever the vocabulary; results don't depend on what is held.
+    ``compute`` maps a list of strings to a list of integer sequences. At ``limit`` strings, or ``chars`` characters, the memo
+    starts afresh, so a task's memory is bounded whatever the vocabulary; results don't depend on what is held.
     """
 
-    def __init__(self, compute: Callable[[list[str]], list], limit: int = 300_000, dtype=np.int32):
-        self.compute, self.limit, self.dtype = compute, limit, dtype
+    def __init__(self, compute: Callable[[list[str]], list], limit: int = 800_000, chars: int = 16 << 20, dtype=np.int32):
+        self.compute, self.limit, self.chars, self.dtype = compute, limit, chars, dtype
         self.clear()
 
     def clear(self) -> None:
+        self.held = 0
         self.rows: dict[str, int] = {}
         self.starts = np.zeros(1, dtype=np.int64)
         self.values = np.zeros(0, dtype=self.dtype)
 
     def lookup(self, words: list[str]) -> np.ndarray:
         """Row numbers of ``words``; valid until the next call."""
-        known = self.rows
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        if len(known) + len(new) > self.limit and known:
-            self.clear()
-            known = self.rows
-            new = list(dict.fromkeys(words))
-        if new:
-            found = self.compute(new)
-            base = len(known)
-            known.update(zip(new, range(base, base + len(new))))
+        rows = self._known(words)
+        if (missing := np.flatnonzero(rows < 0)).size:
+            new = list(dict.fromkeys([words[i] for i in missing.tolist()]))
+            if self.rows and (len(self.rows) + len(new) > self.limit or self.held > self.chars):
+                self.clear()
+                new = list(dict.fromkeys(words))
+            found, base = self.compute(new), len(self.rows)
+            self.held += sum(map(len, new))
+            self.rows.update(zip(new, range(base, base + len(new))))
             sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
             self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
-            flat_new = np.fromiter((i for x in found for i in x), dtype=self.dtype, count=int(sizes.sum()))
-            self.values = np.concatenate([self.values, flat_new])
-        return np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
+            self.values = np.concatenate([self.values, np.fromiter(chain.from_iterable(found), dtype=self.dtype, count=int(sizes.sum()))])
+            rows = self._known(words)
+        return rows
+
+    def _known(self, words: list[str]) -> np.ndarray:
+        get = self.rows.get
+        return np.array([get(w, -1) for w in words], dtype=np.int64)
 
     def joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The lists of ``words`` one after the other, and each list's length."""
