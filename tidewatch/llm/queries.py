@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, lines, pieces, simhash, tokens
+from . import decontaminate, jpeg, langid, licenses, lines, lm, pieces, pii, simhash, tokens
 
 #: Folder of the public tokenizers' vocabulary files; a parameter of the operators.
 TOKENIZERS = os.environ.get("TIDEWATCH_TOKENIZERS", "/opt/tokenizers")
@@ -31,6 +31,18 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "text", F.col("__lines").alias("n_lines"), F.col("__dropped").alias("n_dropped"))
 
 
+def op4_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jpeg.digest(jpeg.encode_column(table(spark, sf_dir, "documents")))
+
+
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(table(spark, sf_dir, "documents")))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -43,13 +55,21 @@ def op9_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.write_and_lay_out(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
 
 
+def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_corpus(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op2_pieces": op2_pieces,
     "op3_line_dedup": op3_line_dedup,
+    "op4_jpeg": op4_jpeg,
+    "op5_licenses": op5_licenses,
+    "op6_pii": op6_pii,
     "op7_decontaminate": op7_decontaminate,
     "op8_simhash": op8_simhash,
     "op9_token_orc": op9_token_orc,
+    "op10_lm_scores": op10_lm_scores,
 }
 
 _OP3 = f"""
@@ -98,4 +118,4 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
 #: DuckDB SQL for the operators that SQL can express; the others are tested against brute force in tests/llm.
-ORACLE_SQL: dict[str, str] = {"op3_line_dedup": _OP3, "op7_decontaminate": _OP7}
+ORACLE_SQL: dict[str, str] = {"op3_line_dedup": _OP3, "op5_licenses": licenses.oracle_sql(), "op7_decontaminate": _OP7}
