@@ -15,6 +15,7 @@ HARD = [
     " \n\t",
     "It's John's, they'll éte. a b c d \x1cx\x85y.z",
     "<|endoftext|> a<|startoftext|>b <|endoftext|>",
+    "WORD!!! Word### ((a)) A<|ENDOFTEXT|> <|EndOfText|> ÀÉÎ ǅ Å",
     "İstanbul ΣΑΣ ß ﬁ 你好 한국 한 12,345.67 a.b,c. .» «x».",
     "x" * 5000,
     "word, word. word; WORD " * 300,

@@ -80,47 +80,64 @@ def flat(lists: list[np.ndarray], dtype) -> pa.ListArray:
 class Memo:
     """Integer lists of recurring strings, by string: each distinct one is computed once while it is held.
 
-    ``compute`` maps a list of strings to a list of integer sequences. At ``limit`` strings, or ``chars`` characters, the memo
-    starts afresh, so a task's memory is bounded whatever the vocabulary; results don't depend on what is held.
+    ``compute`` maps a list of strings to a list of integer sequences. Past ``limit`` strings, or ``chars`` characters, those met only
+    once are let go, then all but the most used half, so a task's memory is bounded whatever the vocabulary; results don't depend
+    on what is held. ``kept`` hears which rows stay.
     """
 
-    def __init__(self, compute: Callable[[list[str]], list], limit: int = 800_000, chars: int = 16 << 20, dtype=np.int32):
-        self.compute, self.limit, self.chars, self.dtype = compute, limit, chars, dtype
-        self.clear()
-
-    def clear(self) -> None:
-        self.held = 0
+    def __init__(self, compute: Callable[[list[str]], list], limit: int = 600_000, chars: int = 16 << 20, dtype=np.int32, kept: Callable[[np.ndarray], None] | None = None):
+        self.compute, self.limit, self.chars, self.dtype, self.kept = compute, limit, chars, dtype, kept
         self.rows: dict[str, int] = {}
+        self.uses = np.zeros(0, dtype=np.int64)
         self.starts = np.zeros(1, dtype=np.int64)
-        self.values = np.zeros(0, dtype=self.dtype)
+        self.values = np.zeros(0, dtype=dtype)
+        self.held = 0
+
+    def _shrink(self) -> None:
+        stay = np.flatnonzero(self.uses > 1)
+        if len(stay) > self.limit // 2:
+            stay = np.sort(stay[np.argsort(-self.uses[stay], kind="stable")[: self.limit // 2]])
+        names = list(self.rows)
+        names = [names[i] for i in stay.tolist()]
+        if sum(map(len, names)) > self.chars // 2:
+            names, stay = [], stay[:0]
+        self.values, sizes = self._gather(stay)
+        self.starts = np.concatenate([[0], np.cumsum(sizes)])
+        self.rows = dict(zip(names, range(len(names))))
+        self.uses = self.uses[stay] // 2
+        self.held = sum(map(len, names))
+        if self.kept:
+            self.kept(stay)
 
     def lookup(self, words: list[str]) -> np.ndarray:
         """Row numbers of ``words``; valid until the next call."""
         rows = self._known(words)
         if (missing := np.flatnonzero(rows < 0)).size:
+            if len(self.rows) + missing.size > self.limit or self.held > self.chars:
+                self._shrink()
+                missing = np.flatnonzero(self._known(words) < 0)
             new = list(dict.fromkeys([words[i] for i in missing.tolist()]))
-            if self.rows and (len(self.rows) + len(new) > self.limit or self.held > self.chars):
-                self.clear()
-                new = list(dict.fromkeys(words))
             found, base = self.compute(new), len(self.rows)
             self.held += sum(map(len, new))
             self.rows.update(zip(new, range(base, base + len(new))))
             sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
             self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
             self.values = np.concatenate([self.values, np.fromiter(chain.from_iterable(found), dtype=self.dtype, count=int(sizes.sum()))])
+            self.uses = np.concatenate([self.uses, np.zeros(len(new), dtype=np.int64)])
             rows = self._known(words)
+        self.uses += np.bincount(rows, minlength=len(self.uses))
         return rows
 
     def _known(self, words: list[str]) -> np.ndarray:
         get = self.rows.get
         return np.array([get(w, -1) for w in words], dtype=np.int64)
 
-    def joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The lists of ``words`` one after the other, and each list's length."""
-        rows = self.lookup(words)
+    def _gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         begin = self.starts[rows]
         sizes = self.starts[rows + 1] - begin
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        at = np.arange(total, dtype=np.int64) + np.repeat(begin - (ends - sizes), sizes)
+        at = np.arange(int(sizes.sum()), dtype=np.int64) + np.repeat(begin - (np.cumsum(sizes) - sizes), sizes)
         return self.values[at], sizes
+
+    def joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The lists of ``words`` one after the other, and each list's length."""
+        return self._gather(self.lookup(words))

@@ -216,11 +216,14 @@ class _Reader:
 
     def __init__(self, model: Model | None):
         self.model = model
-        self.memo = Memo(self._new, limit=400_000)
+        self.memo = Memo(self._new, limit=400_000, kept=self._keep)
         self.table = np.zeros((0, len(model.languages) if model else 1))
 
+    def _keep(self, rows: np.ndarray) -> None:
+        self.table = self.table[rows]
+
     def _new(self, found: list[str]) -> list:
-        self.table = np.concatenate([self.table[: len(self.memo.rows)], self.model.emissions(found)])
+        self.table = np.concatenate([self.table, self.model.emissions(found)])
         return [()] * len(found)
 
     def read(self, batch_texts: list[str | None]) -> tuple[list[str], list[float]]:
