@@ -641,13 +641,14 @@ def encode_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def decode_column(media: DataFrame, media_col: str = "media") -> DataFrame:
     """``media`` with ``height``, ``width`` and ``rgb``, the full-resolution tensor's bytes in row order."""
-    names = [*media.columns, "height", "width", "rgb"]
+    kept = media.columns
+    names = [*kept, "height", "width", "rgb"]
 
     def run(batch):
         images, coefficients = read(batch[media_col].to_pylist())
         size = [pa.array([getattr(i, k) for i in images], type=pa.int32()) for k in ("height", "width")]
         rgb = pa.array([tensor(i, coefficients).tobytes() for i in images], type=pa.binary())
-        return pa.RecordBatch.from_arrays([*(batch[c] for c in media.columns), *size, rgb], names=names)
+        return pa.RecordBatch.from_arrays([*(batch[c] for c in kept), *size, rgb], names=names)
 
     schema = media.select("*", F.lit(0).alias("height"), F.lit(0).alias("width"), F.lit(None).cast("binary").alias("rgb")).schema
     return map_slices(media.where(F.col(media_col).isNotNull()), run, schema, media_col, limit=SLICE)
