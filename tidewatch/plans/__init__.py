@@ -5,6 +5,6 @@ from __future__ import annotations
 
 def load():
     """All queries of the library and their SQL, by name."""
-    from . import catalog, stream_queries  # noqa: F401
+    from . import catalog, detector_queries, stream_queries  # noqa: F401
 
     return catalog.QUERIES, catalog.ORACLES
