@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import statistics as st
+from .components import components
 
 
 def _cells(matrix: DataFrame, scope: list[str]) -> DataFrame:
@@ -45,26 +46,11 @@ def cutoff(kind: str, distance: float = 0.1, confidence: float = 0.95) -> float:
     return distance if kind == "distance" else st.quantile(confidence)
 
 
-def connected(edges: DataFrame, nodes: DataFrame, cut: float, score: str = "distance", rounds: int = 40) -> DataFrame:
-    """``id`` and ``component`` (smallest id) over edges with a score of at most ``cut``.
-
-    Labels sink along edges and jump to their label's label; rounds grow with the logarithm of the longest chain, up to ``rounds``.
-    """
-    linked = edges.where(F.col(score) <= cut).select(F.col("i").alias("a"), F.col("j").alias("b"))
-    both = linked.unionByName(linked.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().persist()
-    labels = nodes.select("id", F.col("id").alias("component"))
-    state = None
-    for _ in range(rounds):
-        offered = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("component").alias("offer"))
-        sunk = labels.join(offered, labels["id"] == offered["a"], "left").select("id", F.least("component", F.coalesce("offer", "component")).alias("component"))
-        jump = sunk.select(F.col("id").alias("at"), F.col("component").alias("then"))
-        labels = sunk.join(jump, sunk["component"] == jump["at"]).select("id", F.col("then").alias("component")).persist()
-        now = labels.agg(F.sum(F.xxhash64("id", "component").cast("decimal(38,0)")), F.count("*")).first()
-        if now == state:
-            break
-        state = now
-    both.unpersist()
-    return labels
+def connected(edges: DataFrame, nodes: DataFrame, cut: float, score: str = "distance") -> DataFrame:
+    """``id`` and ``component`` (smallest id) over edges with a score of at most ``cut``; missing edges link nothing."""
+    linked = edges.where(F.col(score) <= cut).select(F.greatest("i", "j").alias("a"), F.least("i", "j").alias("b"))
+    found = components(linked.where("a > b").distinct())
+    return nodes.join(found, nodes["id"] == found["node"], "left").select("id", F.coalesce("root", "id").alias("component"))
 
 
 def complete_linkage(edges: DataFrame, nodes: DataFrame, scope: list[str], cut: float) -> DataFrame:
