@@ -20,7 +20,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, map_slices, texts, written
+from ..operators.components import components
+from .common import map_slices, texts, written
 
 SEED = 42
 RADIUS = 2
@@ -96,34 +97,6 @@ def links(distinct: DataFrame, radius: int = RADIUS, pairs_up_to: int = PAIRS_UP
     return paired.unionByName(hub).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """``(node, root)`` for each node of ``edges`` (a, b): the smallest node that it reaches.
-
-    Alternating large-star and small-star steps; each round is a written table, so lineage stays short and a lost executor
-    costs one round. Rounds grow with the logarithm of the longest chain.
-    """
-    now = written(edges.select("a", "b"), "edges")
-    state = _state(now)
-    while state[0]:
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.unionByName(low.where("m < a").select("a", F.col("m").alias("b"))).where("a > b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        moved = large.join(low, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        after = written(moved.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
-        forget(now)
-        now, (before, state) = after, (state, _state(after))
-        if before == state:
-            break
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-
-
-def _state(edges: DataFrame) -> tuple:
-    """Count and an order-free digest of the edges, to see that a round changed nothing."""
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """One row for each row of ``docs``: ``doc_id``, ``fingerprint`` (16 hex digits), ``component_id``."""
     prints = written(fingerprints(docs, id_col, text_col, width), "simhash")
