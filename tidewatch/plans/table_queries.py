@@ -104,12 +104,12 @@ def clu_5(spark, sf):
 
 @query("clu_6_complete_linkage")
 def clu_6(spark, sf):
-    """Models of each round (here: suppliers of a nation) by complete linkage of account balance gaps."""
-    s = table(spark, sf, "supplier").select("s_nationkey", F.col("s_suppkey").alias("id"), "s_acctbal")
-    a = s.select("s_nationkey", F.col("id").alias("i"), F.col("s_acctbal").alias("x"))
-    b = s.select("s_nationkey", F.col("id").alias("j"), F.col("s_acctbal").alias("y"))
-    edges = a.join(b, "s_nationkey").where("i < j").select("s_nationkey", "i", "j", F.abs(F.col("x") - F.col("y")).alias("distance"))
-    return clustering.complete_linkage(edges, s, ["s_nationkey"], 800.0)
+    """Models of each round (here: twelve suppliers) by complete linkage of account balance gaps."""
+    s = table(spark, sf, "supplier").select(F.floor(F.col("s_suppkey") / 12).alias("round"), F.col("s_suppkey").alias("id"), "s_acctbal")
+    a = s.select("round", F.col("id").alias("i"), F.col("s_acctbal").alias("x"))
+    b = s.select("round", F.col("id").alias("j"), F.col("s_acctbal").alias("y"))
+    edges = a.join(b, "round").where("i < j").select("round", "i", "j", F.abs(F.col("x") - F.col("y")).alias("distance"))
+    return clustering.complete_linkage(edges, s, ["round"], 800.0)
 
 
 @query("clu_8_merge_representatives", """WITH m AS (SELECT l_suppkey % 9 AS id, (l_suppkey % 9) % 4 AS cluster, count(*) AS n, avg(l_discount) AS mean FROM lineitem GROUP BY ALL)
@@ -259,10 +259,12 @@ def agg_11(spark, sf):
 @query("jn_9_overlaps", """WITH a AS (SELECT o_custkey AS k, o_orderstatus AS cfg, o_orderpriority AS exe, o_orderkey AS id FROM orders WHERE o_orderkey % 2 = 0), b AS (SELECT o_custkey AS k, o_orderstatus AS cfg, o_orderpriority AS exe FROM orders WHERE o_orderkey % 2 = 1)
 SELECT a.k, count(*) AS overlaps, CAST(sum(CAST(a.exe = b.exe AS INT)) AS BIGINT) AS same_execution FROM a JOIN b ON a.k = b.k AND a.cfg = b.cfg GROUP BY a.k""")
 def jn_9(spark, sf):
-    """Runs with equal configurations; equal executions among them."""
+    """Runs with equal configurations, and equal executions among them: counted by group on either side, so that no pairs are made."""
     o = table(spark, sf, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderstatus").alias("cfg"), F.col("o_orderpriority").alias("exe"), "o_orderkey")
-    a, b = o.where("o_orderkey % 2 = 0").drop("o_orderkey"), o.where("o_orderkey % 2 = 1").drop("o_orderkey").withColumnRenamed("exe", "other")
-    return a.join(b, ["k", "cfg"]).groupBy("k").agg(F.count("*").alias("overlaps"), F.sum((F.col("exe") == F.col("other")).cast("long")).alias("same_execution"))
+    sides = [o.where(f"o_orderkey % 2 = {i}").groupBy("k", "cfg", "exe").agg(F.count("*").alias(n)) for i, n in ((0, "a"), (1, "b"))]
+    both = sides[0].join(sides[1], ["k", "cfg", "exe"], "full_outer").na.fill(0, ["a", "b"])
+    by = both.groupBy("k", "cfg").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum(F.col("a") * F.col("b")).alias("same"))
+    return by.where("a * b > 0").groupBy("k").agg(F.sum(F.col("a") * F.col("b")).alias("overlaps"), F.sum("same").alias("same_execution"))
 
 
 @query("jn_10_upsert", """WITH a AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 3 > 0 THEN c_acctbal END AS v FROM customer WHERE c_custkey % 5 < 4), b AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 4 > 0 THEN c_acctbal + CASE WHEN c_custkey % 11 = 0 THEN 1 ELSE 0 END END AS v FROM customer WHERE c_custkey % 5 > 0)
