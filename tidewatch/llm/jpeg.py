@@ -22,7 +22,7 @@ import re
 import struct
 import zlib
 from dataclasses import dataclass, field
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -74,6 +74,10 @@ SCRIPT = (
 # --- Huffman codes ---
 
 
+#: A run beyond any band.
+PAST = 64
+
+
 class Code:
     """A canonical code from the lengths of its symbols."""
 
@@ -82,26 +86,33 @@ class Code:
         self.symbols = sorted(lengths, key=lambda s: (lengths[s], s))
         self.code, self.length = np.zeros(256, np.int64), np.zeros(256, np.int64)
         self.table = np.zeros(1 << 16, np.int64)  # by the next 16 bits: length * 256 + symbol
+        self._assign([(s, lengths[s]) for s in self.symbols])
+
+    def _assign(self, ordered: list[tuple[int, int]]) -> None:
         code, before = 0, 0
-        for s in self.symbols:
-            n = lengths[s]
+        for s, n in ordered:
             code <<= n - before
             self.code[s], self.length[s], before = code, n, n
             self.table[code << (16 - n) : (code + 1) << (16 - n)] = n << 8 | s
             code += 1
 
+    @cached_property
+    def whole(self) -> np.ndarray:
+        """By the next 16 bits, where they hold a coefficient's code and its bits: value << 16 | run << 8 | bits; a lone end of
+        band has run ``PAST``. Below ``1`` bits: to be read in two steps."""
+        length, run, size = self.table >> 8, (self.table >> 4) & 15, self.table & 15
+        extra = (np.arange(1 << 16) >> np.maximum(16 - length - size, 0)) & ((1 << size) - 1)
+        fits = (length > 0) & (length + size <= 16) & ((size > 0) | (run == 15))
+        out = np.where(fits, _extend(extra, size) << 16 | run << 8 | length + size, 0)
+        return np.where((length > 0) & (size == 0) & (run == 0), PAST << 8 | length, out)
+
     @classmethod
     def read(cls, counts: bytes, symbols: bytes) -> Code:
         lengths = [n for n, count in enumerate(counts, 1) for _ in range(count)]
         out = cls.__new__(cls)
         cls.__init__(out, dict(zip(symbols, lengths)))
         if out.symbols != list(symbols):  # same lengths in another order of symbols
-            code, before = 0, 0
-            for s, n in zip(symbols, lengths):
-                code <<= n - before
-                out.code[s], before = code, n
-                out.table[code << (16 - n) : (code + 1) << (16 - n)] = n << 8 | s
-                code += 1
+            out._assign(list(zip(symbols, lengths)))
         return out
 
 
@@ -144,7 +155,8 @@ def _ac_first(c: np.ndarray, low: int, code: Code) -> tuple[np.ndarray, np.ndarr
     n, width = c.shape
     v = np.abs(c) >> low
     at = np.flatnonzero(v.ravel())
-    block, k = np.divmod(at, width)
+    block = at // width
+    k = at - block * width
     value = v.ravel()[at].astype(np.int64)
     before = np.concatenate([[-1], k[:-1]])
     before[np.concatenate([[True], block[1:] != block[:-1]])[: len(at)]] = -1
@@ -387,18 +399,26 @@ def parse(data: bytes) -> Image:
 
 def _scan_order(image: Image, spec: Spec) -> tuple[np.ndarray, np.ndarray, int]:
     """Blocks in the scan's order, their components, and blocks to a macroblock."""
-    grids = [image.base[i] + np.arange(image.shape[i][0] * image.shape[i][1]).reshape(image.shape[i]) for i in spec.components]
-    if len(spec.components) == 1:
-        (i,) = spec.components
-        h_max, v_max = (max(s[j] for s in image.sampling) for j in (0, 1))
-        h, v = image.sampling[i]
-        down, across = -(-(-(-image.height * v // v_max)) // 8), -(-(-(-image.width * h // h_max)) // 8)
+    order, component, unit = _order_of(image.height, image.width, tuple(image.sampling), tuple(image.shape), spec.components)
+    return order + image.base[0], component, unit
+
+
+@lru_cache(maxsize=512)
+def _order_of(height: int, width: int, sampling: tuple, shape: tuple, components: tuple) -> tuple[np.ndarray, np.ndarray, int]:
+    """:func:`_scan_order` from an image's first block on."""
+    base = np.cumsum([0, *(down * across for down, across in shape)])
+    grids = [base[i] + np.arange(shape[i][0] * shape[i][1]).reshape(shape[i]) for i in components]
+    if len(components) == 1:
+        (i,) = components
+        h_max, v_max = (max(s[j] for s in sampling) for j in (0, 1))
+        h, v = sampling[i]
+        down, across = -(-(-(-height * v // v_max)) // 8), -(-(-(-width * h // h_max)) // 8)
         order = grids[0][:down, :across].ravel()
         return order, np.full(len(order), i, np.int8), 1
     parts, component = [], []
-    for i, g in zip(spec.components, grids):
-        h, v = image.sampling[i]
-        down, across = image.shape[i][0] // v, image.shape[i][1] // h
+    for i, g in zip(components, grids):
+        h, v = sampling[i]
+        down, across = shape[i][0] // v, shape[i][1] // h
         parts.append(g.reshape(down, v, across, h).transpose(0, 2, 1, 3).reshape(down * across, v * h))
         component += [i] * (h * v)
     order = np.concatenate(parts, axis=1)
@@ -411,11 +431,10 @@ class _Bits:
     def __init__(self, data: np.ndarray):
         b = np.concatenate([data, np.full(8, 255, np.uint8)]).astype(np.int64)
         self.window = (b[:-4] << 32) | (b[1:-3] << 24) | (b[2:-2] << 16) | (b[3:-1] << 8) | b[4:]
-        self.end = len(self.window) - 1
 
     def at(self, p: np.ndarray) -> np.ndarray:
         """40 bits from each position's byte on, moved so that the position comes first."""
-        return (self.window[np.minimum(p >> 3, self.end)] << (p & 7)) & 0xFFFFFFFFFF
+        return (np.take(self.window, p >> 3, mode="clip") << (p & 7)) & 0xFFFFFFFFFF
 
 
 def _extend(bits: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -469,33 +488,45 @@ def _decode_ac_first(bits: _Bits, p, at, n, order, spec: Spec, code: Code, flat)
     on = np.flatnonzero(n > 0)
     p, at, end = p[on], at[on], end[on]
     k, base = np.full(len(p), spec.first), order[at] * 64
+    whole = code.whole
     while len(p):
         x = bits.at(p)
-        found = code.table[x >> 24]
-        length, run, size = found >> 8, (found >> 4) & 15, found & 15
-        finish = (size == 0) & (run < 15)
-        more = np.where(finish, run, size)
-        extra = (x >> (40 - length - more)) & ((1 << more) - 1)
-        p = p + length + more
-        k = k + run
-        put = size > 0
-        if put.all():
-            flat[base + k] = _extend(extra, size) << spec.low
-        elif put.any():
-            flat[(base + k)[put]] = _extend(extra, size)[put] << spec.low
+        found = whole[x >> 24]
+        size = found & 255
+        p += size
+        k += (found >> 8) & 255
+        ends = 1  # blocks that an end of band ends
+        if not size.all():
+            w = np.flatnonzero(size == 0)
+            short = code.table[x[w] >> 24]
+            length, run, more = short >> 8, (short >> 4) & 15, short & 15
+            finish = more == 0
+            more = np.where(finish, run, more)
+            extra = (x[w] >> (40 - length - more)) & ((1 << more) - 1)
+            p[w] += length + more
+            k[w] += np.where(finish, PAST, run)
+            found[w] = np.where(finish, 0, _extend(extra, more)) << 16
+            ends = np.ones(len(p), np.int64)
+            ends[w] = np.where(finish, (1 << run) + extra, 1)
+        inside = k <= spec.last
+        value = (found >> 16) << spec.low
+        if inside.all():
+            flat[base + k] = value  # a run of 16 zeros puts one more zero
+        else:
+            w = np.flatnonzero(inside)
+            flat[base[w] + k[w]] = value[w]
         k += 1
-        over = finish | (k > spec.last)
+        over = k > spec.last
         if over.any():
-            which = np.flatnonzero(over)
-            at[which] += np.where(finish[which], (1 << run[which]) + extra[which], 1)
-            k[which] = spec.first
-            done = at >= end
-            if done.any():
-                stay = ~done
-                p, at, end, k, base, which = p[stay], at[stay], end[stay], k[stay], base[stay], None
-                base = order[at] * 64
+            w = np.flatnonzero(over)
+            at[w] += ends if np.isscalar(ends) else ends[w]
+            k[w] = spec.first
+            stay = at < end
+            if stay.all():
+                base[w] = order[at[w]] * 64
             else:
-                base[which] = order[at[which]] * 64
+                p, at, end, k = p[stay], at[stay], end[stay], k[stay]
+                base = order[at] * 64
 
 
 def _decode_ac_refine(bits: _Bits, p, at, n, order, spec: Spec, code: Code, flat) -> None:
