@@ -124,8 +124,12 @@ def win_9(spark, sf):
     return out.select("client", "pos", "released_pos", F.round("released_loss", 6).alias("released_loss"), "concept")
 
 
-_MATCHED = ALARMS + f""", matched AS (SELECT t.client, t.pos AS true_pos, min(a.pos) AS pos FROM truth t JOIN alarms a
-ON a.client = t.client AND a.pos BETWEEN t.pos AND t.pos + {TOLERANCE} GROUP BY ALL)"""  # true gaps are wider than the tolerance
+# Truths in order, each taking the first alarm behind the last one taken.
+_MATCHED = ALARMS + f""", ordered AS (SELECT client, pos, row_number() OVER (PARTITION BY client ORDER BY pos) AS i FROM truth),
+greedy AS (SELECT client, CAST(0 AS BIGINT) AS i, CAST(-1 AS BIGINT) AS true_pos, CAST(-1 AS BIGINT) AS taken, CAST(NULL AS BIGINT) AS pos FROM (SELECT DISTINCT client FROM truth)
+  UNION ALL SELECT g.client, o.i, o.pos, coalesce(min(a.pos), g.taken), min(a.pos) FROM greedy g JOIN ordered o ON o.client = g.client AND o.i = g.i + 1
+  LEFT JOIN alarms a ON a.client = o.client AND a.pos BETWEEN o.pos AND o.pos + {TOLERANCE} AND a.pos > g.taken GROUP BY g.client, o.i, o.pos, g.taken),
+matched AS (SELECT client, true_pos, pos FROM greedy WHERE pos IS NOT NULL)"""
 
 
 @query("jn_1_match_events", _MATCHED + "SELECT client, true_pos, pos, pos - true_pos AS delay FROM matched")

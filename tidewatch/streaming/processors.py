@@ -28,19 +28,24 @@ def detect(stream: DataFrame, make: Callable, key: str = "client", order: str =
     return chosen.groupBy(key).applyInPandasWithState(step, f"{key} long, {order} long, width long", "state binary", "append", GroupStateTimeout.NoTimeout)
 
 
+def _timed(stream: DataFrame, time: str, late: str) -> DataFrame:
+    """With a watermark; wall-clock times count as the session's zone."""
+    return stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
+
+
 def tumbling(stream: DataFrame, time: str, length: str, late: str, key: str, value: str) -> DataFrame:
     """Counts and sums of event-time windows, closed when the watermark (``late`` behind) has passed them."""
-    return stream.withWatermark(time, late).groupBy(F.window(time, length), key).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
+    return _timed(stream, time, late).groupBy(F.window(time, length), key).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
 
 
 def unique(stream: DataFrame, time: str, late: str, ids: list[str]) -> DataFrame:
     """Rows without repeats of ``ids`` within the watermark."""
-    return stream.withWatermark(time, late).dropDuplicatesWithinWatermark(ids)
+    return _timed(stream, time, late).dropDuplicatesWithinWatermark(ids)
 
 
 def sessions(stream: DataFrame, time: str, gap: str, late: str, key: str) -> DataFrame:
     """Sessions of a key: rows less than ``gap`` apart."""
-    return stream.withWatermark(time, late).groupBy(F.session_window(time, gap), key).agg(F.count("*").alias("n"))
+    return _timed(stream, time, late).groupBy(F.session_window(time, gap), key).agg(F.count("*").alias("n"))
 
 
 def finished(query_of: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
