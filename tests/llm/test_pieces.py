@@ -52,7 +52,7 @@ def listed(vocab, node=None, prefix=""):
 
 @pytest.fixture(scope="module")
 def vocab():
-    return pieces._loaded(PATH)[0]
+    return pieces._vocabulary(PATH)
 
 
 def test_random_vocabularies_against_brute_force():

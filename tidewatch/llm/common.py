@@ -51,6 +51,18 @@ def flat(lists: list[np.ndarray], dtype) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(dtype)))
 
 
+_live: dict = {}
+
+
+def only(key, make: Callable):
+    """The worker's object for ``key``, kept from task to task; making another one lets it go, so that a worker which runs several
+    operators in turn holds one memo at a time."""
+    if key not in _live:
+        _live.clear()
+        _live[key] = make()
+    return _live[key]
+
+
 class Memo:
     """Integer lists of recurring strings, by string: each distinct one is computed once while it is held.
 

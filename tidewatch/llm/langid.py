@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, map_slices, texts
+from .common import Memo, map_slices, only, texts
 
 UNDETERMINED = "und"
 SAMPLE_ROWS = 4_000
@@ -216,7 +216,7 @@ class _Reader:
 
     def __init__(self, model: Model | None):
         self.model = model
-        self.memo = Memo(self._new, limit=400_000, kept=self._keep)
+        self.memo = Memo(self._new, limit=300_000, kept=self._keep)
         self.table = np.zeros((0, len(model.languages) if model else 1))
 
     def _keep(self, rows: np.ndarray) -> None:
@@ -243,30 +243,13 @@ class _Reader:
         return langs, np.clip(share, 0, 1).tolist()
 
 
-_readers: dict = {}
-
-
-def _reader(shared) -> _Reader:
-    """One for each broadcast model and worker."""
-    if shared.id not in _readers:
-        _readers.clear()
-        _readers[shared.id] = _Reader(shared.value[0])
-    return _readers[shared.id]
-
-
-@dataclass
-class _Handle:
-    id: int
-    value: list
-
-
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``lang_pred`` and ``score`` of each row."""
     shared = docs.sparkSession.sparkContext.broadcast([model])
     key = uuid.uuid4().hex
 
     def run(batch):
-        langs, scores = _reader(_Handle(key, shared.value)).read(texts(batch))
+        langs, scores = only(key, lambda: _Reader(shared.value[0])).read(texts(batch))
         return pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(langs, type=pa.string()), pa.array(scores, type=pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -279,7 +262,7 @@ def accept(docs: DataFrame, model: Model | None, text_col: str = "text", least:
     key = uuid.uuid4().hex
 
     def run(batch):
-        langs, scores = _reader(_Handle(key, shared.value)).read(texts(batch, text_col))
+        langs, scores = only(key, lambda: _Reader(shared.value[0])).read(texts(batch, text_col))
         return batch.filter(pa.array([x != UNDETERMINED and s >= least for x, s in zip(langs, scores)], type=pa.bool_()))
 
     return map_slices(docs, run, docs.schema, text_col)

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, flat, map_slices, texts
+from .common import Memo, flat, map_slices, only, texts
 
 MARK = "▁"
 #: What a character without a piece scores below the least scored piece.
@@ -150,14 +150,18 @@ _STRETCH = re.compile("\n| *[^ \n]+| +")
 
 
 @lru_cache(maxsize=2)
-def _loaded(path: str) -> tuple[Vocabulary, Memo]:
-    vocab = Vocabulary(path)
-    return vocab, Memo(lambda found: [viterbi(vocab, s) for s in found])
+def _vocabulary(path: str) -> Vocabulary:
+    return Vocabulary(path)
+
+
+def _memo(path: str) -> Memo:
+    """The worker's memo for a model file."""
+    return only(("pieces", path), lambda: Memo(lambda found: [viterbi(_vocabulary(path), s) for s in found], limit=400_000))
 
 
 def encode(batch_texts: list[str | None], path: str) -> list[np.ndarray | None]:
     """The ids of each text."""
-    _, memo = _loaded(path)
+    memo = _memo(path)
     found, counts = [], []
     for t in batch_texts:
         parts = _STRETCH.findall(f" {t}") if t is not None else []
@@ -172,7 +176,7 @@ def decode(ids, path: str) -> str | None:
     """The text of ids from :func:`encode`."""
     if ids is None:
         return None
-    table = _loaded(path)[0].bytes_of
+    table = _vocabulary(path).bytes_of
     return b"".join([table[i] for i in ids]).decode()[1:]
 
 

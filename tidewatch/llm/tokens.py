@@ -18,14 +18,13 @@ import os
 import re
 import uuid
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Memo, flat, map_slices, scratch_dir, texts, written
+from .common import Memo, flat, map_slices, only, scratch_dir, texts, written
 
 END_ID = 1
 STRIPE_BYTES = 16 << 20
@@ -67,10 +66,9 @@ class _Encoder:
         return [e.ids for e in self.tokenizer.encode_batch_fast(found, add_special_tokens=False)]
 
 
-@lru_cache(maxsize=2)
 def _memo(path: str) -> Memo:
-    """The worker's memo for a tokenizer file; kept from task to task."""
-    return Memo(_Encoder(path))
+    """The worker's memo for a tokenizer file."""
+    return only(("tokens", path), lambda: Memo(_Encoder(path)))
 
 
 def encode(batch_texts: list[str | None], path: str, end_id: int = END_ID) -> list[np.ndarray]:
