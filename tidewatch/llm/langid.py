@@ -5,7 +5,8 @@ its entry in the lexicon; a learned matrix scores the change from one word's lan
 word's posterior; a document's language is the one with the greatest mean posterior over its words, and that mean is its score.
 
 Training: the weights are fitted by gradient ascent on the conditional log-likelihood of at most ``SAMPLE_ROWS`` labelled documents,
-chosen by a hash of their ids, each giving at most ``ROW_WORDS`` consecutive words from a hashed place. Their stretches are joined
+chosen by a hash of their ids, each giving ``ROW_WORDS`` words in a row from a stretch of ``ROW_CHARS`` characters at a hashed place, so
+that what reaches the driver is bounded whatever the texts' lengths. Their stretches are joined
 across languages into code-switched sequences with known labels, from which the transitions are learned.
 
 Inference covers whole texts: words are read in blocks, each block's product of transition and word scores is formed, blocks are
@@ -31,6 +32,7 @@ from .common import Memo, map_slices, only, texts
 
 UNDETERMINED = "und"
 SAMPLE_ROWS = 4_000
+ROW_CHARS = 2_000
 ROW_WORDS = 60
 SEQUENCES = 3_000
 STEPS = 40
@@ -156,6 +158,8 @@ def fit(rows: list[tuple[str, str]], seed: int = 7) -> Model | None:
     rng = np.random.default_rng(seed)
     for text, lang in sorted(rows):
         ws = [w for w in words(text) if any(map(str.isalpha, w))]
+        if len(text) >= ROW_CHARS:
+            ws = ws[1:-1]  # the ends may be cut
         if ws:
             at = int(rng.integers(max(1, len(ws) - ROW_WORDS + 1)))
             samples.append((ws[at : at + ROW_WORDS], languages.index(lang)))
@@ -208,7 +212,9 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
     total = labelled.select(lang_col).count()
     chosen = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1_000_000)) < int(1_000_000 * min(1.0, 0.9 * rows / max(total, 1)))
     sample = labelled.where(chosen) if total > rows else labelled
-    return fit([(r[0], r[1]) for r in sample.select(text_col, lang_col).limit(rows).collect()])
+    place = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("place")), F.greatest(F.char_length(text_col) - ROW_CHARS + 1, F.lit(1)).cast("long"))
+    stretch = F.substring(F.col(text_col), place.cast("int") + 1, F.lit(ROW_CHARS))
+    return fit([(r[0], r[1]) for r in sample.select(stretch, lang_col).limit(rows).collect()])
 
 
 class _Reader:
