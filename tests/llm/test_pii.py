@@ -2,6 +2,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -130,6 +131,17 @@ def test_regions_lose_nothing():
     assert [s for a, b in pii.regions(text) for s in model.decode(text, pii.tokenize(text, a, b))] == whole
 
 
+def test_time_is_linear_in_the_text():
+    model = pii.trained()
+    for piece in ("12 ", "1", "a@", "+1 ", "1.", "x1 y "):
+        began = time.process_time()
+        pii.spans_of(piece * 2_000, model)
+        once = time.process_time() - began
+        began = time.process_time()
+        pii.spans_of(piece * 8_000, model)
+        assert time.process_time() - began < 10 * once + 1
+
+
 def test_edge_rows(spark):
     docs = spark.createDataFrame([(i, t, "z") for i, t in enumerate(HARD)] + [(None, "a@b.c", "z"), (1, "a@b.c", None), (1, "a@b.c", None)], "doc_id long, text string, found string")
     rows = pii.digest(pii.find(docs)).collect()

@@ -1,7 +1,7 @@
 """Personal data by fixed patterns and a semi-Markov conditional random field.
 
 The base patterns (email, ip, card, phone) always hold. The model adds spans of these kinds and of secrets: a candidate segment is a run of
-at most ``LONGEST`` tokens and ``LONGEST_CHARS`` characters, scored as a whole by its shape, digit groups, checks (Luhn, octets),
+at most ``LONGEST`` tokens, ``LONGEST_CHARS`` characters and (several tokens) ``MOST_DIGITS`` digits, with a digit or ``@`` before its first blank, scored as a whole by its shape, digit groups, checks (Luhn, octets),
 neighbours and the word before it; dynamic programming over segments (outside tokens have length one) chooses boundaries and kinds
 jointly, with learned scores for the change of kinds. Its spans that overlap no base span are added. Weights are fitted once, on sentences made
 from a fixed seed, by gradient ascent on the conditional log-likelihood (forward-backward over segments).
@@ -30,6 +30,8 @@ BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "secret")
 LONGEST = 16
 LONGEST_CHARS = 96
+#: Digits of a segment of several tokens.
+MOST_DIGITS = 19
 #: Characters of the gap within which two triggers share one program.
 NEAR = 40
 
@@ -39,6 +41,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TRIGGER = re.compile("[0-9@]")
+_BLANK = re.compile("[ \n\t]")
 _TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_")
 
 
@@ -104,14 +107,18 @@ def tokenize(text: str, at: int, to: int) -> list[tuple[int, int]]:
 def candidates(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int, tuple]]:
     """(first token, end token, key) of segments that could be an entity; the key holds all that features see."""
     out, word, n = [], "", len(tokens)
+    digits = [len(_digits(text[a:b])) for a, b in tokens]
     for i, (a, b) in enumerate(tokens):
         first = text[a]
         glued = i > 0 and tokens[i - 1][1] == a
         before = text[a - 1] if glued else " "
         if (first.isalnum() or first in "+(") and not (glued and before in "._%@"):
-            seen = False
+            seen, many = False, 0
             for j in range(i, min(n, i + LONGEST)):
                 c, d = tokens[j]
+                many += digits[j]
+                if j > i and (many > MOST_DIGITS or not (seen or c == tokens[j - 1][1])):
+                    break
                 if d - a > LONGEST_CHARS or (j > i and (c - tokens[j - 1][1] > 1 or "\n" in text[tokens[j - 1][1] : c])):
                     break
                 last = text[c:d]
@@ -203,20 +210,26 @@ class Model:
 def regions(text: str):
     """Stretches around digits and ``@``: whole blank-parted pieces with the words before; what lies between has no candidate."""
     begin = end = -1
-    at = 0
+    at = 0  # behind the last piece; all searches stop there or at the next blank, so their work adds up to the text's length
     while (m := _TRIGGER.search(text, at)) is not None:
         p = m.start()
-        start = max(text.rfind(" ", 0, p), text.rfind("\n", 0, p), text.rfind("\t", 0, p)) + 1 if p - at > 0 or not at else p
-        stop = min([x for x in (text.find(" ", p), text.find("\n", p), text.find("\t", p)) if x >= 0], default=len(text))
-        start = max(start, at)
+        start = max(at, *(text.rfind(c, at, p) + 1 for c in " \n\t"))
+        blank = _BLANK.search(text, p)
         if end < 0:
             begin = start
         elif start - end > NEAR:
-            yield max(0, begin - NEAR), end
+            yield _context(text, begin), end
             begin = start
-        end = at = stop
+        end = at = blank.start() if blank else len(text)
     if end >= 0:
-        yield max(0, begin - NEAR), end
+        yield _context(text, begin), end
+
+
+def _context(text: str, begin: int) -> int:
+    """Where the first whole word of the ``NEAR`` characters before a place begins."""
+    at = max(0, begin - NEAR)
+    blank = _BLANK.search(text, at, begin) if at else None
+    return at if not at else blank.end() if blank else begin
 
 
 def added_spans(text: str, base: list[tuple[str, int, int]], model: Model) -> list[tuple[str, int, int]]:
