@@ -36,7 +36,7 @@ def moving_average(df: DataFrame, key: str, order: str, value: str, width: int =
     return joined.where(short | (F.col("__seen") >= width)).withColumn("average", F.when(short, F.col(value)).otherwise(F.col("average"))).drop("__seen", "__n")
 
 
-def since_last(df: DataFrame, key: str, order: str, event: Column) -> Column:
+def since_last(key: str, order: str, event: Column) -> Column:
     """The order value of the last row at or before each where ``event`` holds (a backward as-of join)."""
     return F.last(F.when(event, F.col(order)), ignorenulls=True).over(Window.partitionBy(key).orderBy(order))
 

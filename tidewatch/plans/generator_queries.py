@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import learning, matching
+from ..operators.windows import latest
 from ..sources import generators as gen
 from ..sources import schedules
 from ..sources.streams import STREAM_SQL, stream
@@ -60,9 +61,7 @@ def src_7(spark, sf):
 @query("src_8_bootstrap", f"""WITH s AS (SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS i, s_suppkey FROM supplier), d AS (SELECT d AS draw, CAST(floor({_U('d', 1)} * (SELECT count(*) FROM supplier)) AS BIGINT) AS at_ FROM unnest(range(0, 5000)) AS t(d))
 SELECT draw, s_suppkey AS id FROM d JOIN s ON i = at_""")
 def src_8(spark, sf):
-    from pyspark.sql import Window
-
-    s = table(spark, sf, "supplier").select("s_suppkey").withColumn("i", F.row_number().over(Window.orderBy("s_suppkey")) - 1)
+    s = table(spark, sf, "supplier").select("s_suppkey", (F.col("s_suppkey") - 1).alias("i"))  # keys are dense
     return gen.bootstrap(s, 5000, "i").select("draw", F.col("s_suppkey").alias("id"))
 
 
@@ -115,8 +114,6 @@ def met_registry(spark, sf):
 @query("ml_1_client_models")
 def ml_1(spark, sf):
     """A model for each client from its latest 200 samples: store-driven training."""
-    from ..operators.windows import latest
-
     s = stream(table(spark, sf, "events")).select("client", "pos", "concept")
     samples = gen.samples(s.withColumn("id", F.col("pos") * 10 + F.col("client")), "sine2")
     store = latest(samples, ["client"], "pos", 200).withColumnRenamed("pos", "order")

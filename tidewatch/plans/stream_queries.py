@@ -85,7 +85,7 @@ def win_3b(spark, sf):
 round(coalesce(avg(correct) FILTER (WHERE pos < ld + 50), 0), 6) AS recovery, count(*) FILTER (WHERE ld IS NULL OR pos >= ld + 50) AS n_stable FROM stream GROUP BY client""")
 def win_4(spark, sf):
     """JN-2, WIN-4, AGG-13: accuracy outside and inside the windows after changes."""
-    s = _s(spark, sf).withColumn("since", windows.since_last(_s(spark, sf), "client", "pos", F.col("drift")))
+    s = _s(spark, sf).withColumn("since", windows.since_last("client", "pos", F.col("drift")))
     stable = matching.stable_mask(F.col("pos"), F.col("since"), 50)
     return s.groupBy("client").agg(
         F.round(F.avg("correct"), 6).alias("accuracy"), F.round(F.avg(F.when(stable, F.col("correct"))), 6).alias("stable"),
