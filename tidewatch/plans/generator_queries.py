@@ -61,7 +61,7 @@ def src_7(spark, sf):
 @query("src_8_bootstrap", f"""WITH s AS (SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS i, s_suppkey FROM supplier), d AS (SELECT d AS draw, CAST(floor({_U('d', 1)} * (SELECT count(*) FROM supplier)) AS BIGINT) AS at_ FROM unnest(range(0, 5000)) AS t(d))
 SELECT draw, s_suppkey AS id FROM d JOIN s ON i = at_""")
 def src_8(spark, sf):
-    s = table(spark, sf, "supplier").select("s_suppkey", (F.col("s_suppkey") - 1).alias("i"))  # keys are dense
+    s = table(spark, sf, "supplier").select("s_suppkey", F.col("s_suppkey").alias("i"))  # keys are dense, from 0
     return gen.bootstrap(s, 5000, "i").select("draw", F.col("s_suppkey").alias("id"))
 
 

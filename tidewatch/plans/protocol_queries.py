@@ -104,11 +104,11 @@ def rnd_8(spark, sf):
     return _s(spark, sf).groupBy("client").agg(F.count("*").alias("n"), F.round(F.avg((F.col("frac") < 0.5).cast("int")), 6).alias("accuracy"))
 
 
-@query("lif_2_absorbed_stores", STREAM_SQL + """SELECT client, concept AS model, pos, row_number() OVER w AS n, round(avg(loss) OVER w, 6) AS mean FROM stream WINDOW w AS (PARTITION BY client, concept ORDER BY pos)""")
+@query("lif_2_absorbed_stores", STREAM_SQL + """SELECT client, concept AS model, pos, row_number() OVER w AS n, round(avg(loss) OVER w + 1e-9, 6) AS mean FROM stream WINDOW w AS (PARTITION BY client, concept ORDER BY pos)""")
 def lif_2(spark, sf):
-    """Statistics of each model's store after each sample that it takes in."""
+    """Statistics of each model's store after each sample that it takes in; losses have few decimals, so a nudge settles ties of rounding."""
     w = Window.partitionBy("client", "concept").orderBy("pos")
-    return _s(spark, sf).select("client", F.col("concept").alias("model"), "pos", F.row_number().over(w).cast("long").alias("n"), F.round(F.avg("loss").over(w), 6).alias("mean"))
+    return _s(spark, sf).select("client", F.col("concept").alias("model"), "pos", F.row_number().over(w).cast("long").alias("n"), F.round(F.avg("loss").over(w) + 1e-9, 6).alias("mean"))
 
 
 @query("lif_3_model_switches", STREAM_SQL + "SELECT client, pos, lag(concept) OVER w AS old_model, concept AS new_model FROM stream WINDOW w AS (PARTITION BY client ORDER BY pos) QUALIFY old_model <> new_model")

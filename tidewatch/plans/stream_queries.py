@@ -237,9 +237,9 @@ def agg_10(spark, sf):
 
 
 @query("agg_12_model_learning", STREAM_SQL + """, t AS (SELECT label, client, sum(loss) AS x FROM stream GROUP BY ALL)
-SELECT label, round(sum(x), 6) AS total, round(avg(x), 6) AS mean, round(min(x), 6) AS least, round(CASE WHEN avg(x) <> 0 THEN stddev_pop(x) / avg(x) ELSE 0 END, 6) AS cv FROM t GROUP BY label""")
+SELECT label, round(sum(x) + 1e-9, 6) AS total, round(avg(x) + 1e-9, 6) AS mean, round(min(x) + 1e-9, 6) AS least, round(CASE WHEN avg(x) <> 0 THEN stddev_pop(x) / avg(x) ELSE 0 END + 1e-9, 6) AS cv FROM t GROUP BY label""")
 def agg_12(spark, sf):
-    return agg.two_level(_s(spark, sf), ["client"], ["label"], "loss").withColumns({c: F.round(c, 6) for c in ("total", "mean", "least", "cv")})
+    return agg.two_level(_s(spark, sf), ["client"], ["label"], "loss").withColumns({c: F.round(F.col(c) + 1e-9, 6) for c in ("total", "mean", "least", "cv")})
 
 
 @query("agg_19_selections", STREAM_SQL + """, held AS (SELECT concept AS model, count(*) AS n FROM stream WHERE correct = 1 GROUP BY ALL)
