@@ -120,3 +120,15 @@ def test_memo_clears_without_changing_results(vocab):
     words = [" the", " a", " of", " the", " thing", " is"]
     ids, _ = memo.joined(words)
     assert ids.tolist() == np.concatenate([pieces.viterbi(vocab, w) for w in words]).tolist()
+
+
+def test_fine_stretches_join_to_the_whole(vocab):
+    assert vocab.stretch is pieces._FINE_STRETCH
+    alphabet = "abzäßłéЖ你²½_1٣ .,'\"-(\n▁\t\u0301"
+    rng = random.Random(5)
+    for _ in range(400):
+        text = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40)))
+        assert "".join(vocab.stretch.findall(text)) == text
+        assert pieces.encode([text], PATH)[0].tolist() == pieces.viterbi(vocab, f" {text}")
+    joining = Tiny({"a": -1.0, "a.": -1.0})
+    assert joining.stretch is pieces._STRETCH

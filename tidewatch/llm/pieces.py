@@ -4,11 +4,12 @@ A text is cut into vocabulary pieces so that the sum of the pieces' scores is gr
 longest, then the one before, and so on). Spaces are the pieces' word marks, one is put before the text, and characters that no
 piece covers become byte pieces, so decoding returns every text exactly.
 
-The search reads a stretch character by character. It keeps scores for the last ``longest piece`` positions only, and whenever the
+The search reads a stretch character by character. It keeps scores of the starts of open pieces only, which are no further back than the
+longest piece, and whenever the
 backpointer paths of all of these run through one boundary, the pieces before it are final and are committed (in a text on
 which two ways of cutting stay abreast, backpointers wait until one wins). No piece of the vocabulary
-holds a line feed or a space after another character, so paths always converge there; recurring stretches between such boundaries are
-computed once while a bounded memo holds them.
+holds a line feed or a space after another character, so paths always converge there, as they do between letters, digits and marks where
+no piece joins these; recurring stretches between such boundaries are computed once while a bounded memo holds them.
 
 The vocabulary file scores pieces by rank (minus the rank in merge order); the search takes its scores as they are.
 
@@ -35,6 +36,15 @@ MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 
 
+_LETTER, _MARK_CHAR, _DIGIT = re.compile(r"[^\W\d_²³¹¼½¾]"), re.compile(r"[!-/:-@\[-`{-~]"), re.compile("[0-9]")
+#: Stretches between boundaries that no piece runs over: words with the spaces before them, line feeds.
+_STRETCH = re.compile("\n| *[^ \n]+| +")
+#: The same for a vocabulary in which no piece joins a letter and an ASCII mark, or a digit and anything else.
+_FINE_STRETCH = re.compile(
+    r"\n| *[0-9]{1,3}| *[^\W\d_²³¹¼½¾]++(?=[!-@\[-`{-~ \n]|$)| *[!-/:-@\[-`{-~]++(?=[^\W\d_²³¹¼½¾]|[0-9 \n]|$)| *[^ \n]+| +"
+)
+
+
 class Vocabulary:
     """Pieces, scores and byte pieces of a model file; a piece's word mark is a space here."""
 
@@ -46,6 +56,7 @@ class Vocabulary:
         self.byte_ids = [0] * 256
         self.trie: dict = {}
         self.longest = 1
+        self.stretch = _FINE_STRETCH
         scores = []
         for i in range(model.get_piece_size()):
             piece = model.id_to_piece(i)
@@ -70,6 +81,9 @@ class Vocabulary:
         self.longest = max(self.longest, len(piece))
         if " " in piece.lstrip(" ") or "\n" in piece:
             raise ValueError(f"a piece runs over a word boundary: {piece!r}")
+        joins = [(x.match(a), y.match(b)) for a, b in zip(piece, piece[1:]) for x, y in ((_LETTER, _MARK_CHAR), (_MARK_CHAR, _LETTER))]
+        if any(x and y for x, y in joins) or (len(piece) > 1 and _DIGIT.search(piece)):
+            self.stretch = _STRETCH
 
 
 class StreamingViterbi:
@@ -77,41 +91,47 @@ class StreamingViterbi:
 
     def __init__(self, vocab: Vocabulary):
         self.vocab, self.out = vocab, []
-        self.nodes: list[tuple[int, dict]] = []  # open starts with their place in the trie
-        self.at = 0
-        self.score = {0: 0.0}  # of the last ``longest`` boundaries
+        self.nodes: list[tuple[int, float, dict]] = []  # open starts (none older than the longest piece), their scores and places in the trie
+        self.at, self.now = 0, 0.0  # the last boundary and its score
         self.back: dict[int, tuple[int, int]] = {}  # boundary: the one before and the piece between, since the last commit
         self.base = 0  # the last committed boundary
         self.check_at = 2 * vocab.longest
 
-    def feed(self, c: str) -> None:
-        """One character: extends every open start by it, opens one, and scores the boundary behind it."""
-        at, end, score = self.at, self.at + 1, self.score
-        best, back, still = -np.inf, None, []
-        self.nodes.append((at, self.vocab.trie))
-        single = False
-        for start, node in self.nodes:
-            node = node.get(c)
-            if node is None:
-                continue
-            still.append((start, node))
-            if (hit := node.get("")) is not None:
-                single |= start == at
-                if (s := score[start] + hit[0]) > best:
-                    best, back = s, (start, hit[1])
-        if not single and (s := score[at] + self.vocab.unknown) > best:
-            best, back = s, (at, -1 - ord(c))
-        self.nodes, self.at = still, end
-        score[end], self.back[end] = best, back
-        score.pop(end - self.vocab.longest - 1, None)
-        if end >= self.check_at:
-            self.commit(self.meeting())
-            self.check_at = end + max(2 * self.vocab.longest, end - self.base)  # walks add up to the stretch's length
+    def feed(self, characters: str) -> None:
+        """Each character extends every open start, opens one, and scores the boundary behind it."""
+        trie, unknown = self.vocab.trie, self.vocab.unknown
+        nodes, at, score, back = self.nodes, self.at, self.now, self.back
+        for c in characters:
+            best, still = -np.inf, []
+            nodes.append((at, score, trie))
+            for start, before, node in nodes:
+                node = node.get(c)
+                if node is not None:
+                    still.append((start, before, node))
+                    hit = node.get("")
+                    if hit is not None and before + hit[0] > best:
+                        best, link = before + hit[0], (start, hit[1])
+            # the last of them is the character by itself
+            if (node is None or hit is None) and score + unknown > best:
+                best, link = score + unknown, (at, -1 - ord(c))
+            at, score, nodes = at + 1, best, still
+            back[at] = link
+            if at >= self.check_at:
+                self.nodes, self.at, self.now = nodes, at, score
+                self.commit(self.meeting())
+                back = self.back
+                self.check_at = at + max(2 * self.vocab.longest, at - self.base)  # walks add up to the stretch's length
+        self.nodes, self.at, self.now = nodes, at, score
+
+    @property
+    def score(self) -> dict[int, float]:
+        """The window: scores of the boundaries from which a piece may yet begin or go on."""
+        return {start: before for start, before, _ in self.nodes} | {self.at: self.now}
 
     def meeting(self) -> int:
         """The last boundary that the paths of all surviving boundaries run through."""
         # Whoever extends a path next starts at an open start or here.
-        alive = {self.at, *(s for s, _ in self.nodes)}
+        alive = {self.at, *(s for s, *_ in self.nodes)}
         while len(alive) > 1:
             last = max(alive)
             alive.discard(last)
@@ -137,18 +157,13 @@ class StreamingViterbi:
 def viterbi(vocab: Vocabulary, stretch: str) -> list[int]:
     """The ids of a stretch (spaces as word marks) by the streaming search."""
     search = StreamingViterbi(vocab)
-    feed = search.feed
-    for c in stretch:
-        feed(c)
+    search.feed(stretch)
     ids = search.finish()
     if min(ids, default=0) < 0:
         ids = [i for piece in ids for i in ([piece] if piece >= 0 else [vocab.byte_ids[b] for b in chr(-1 - piece).encode()])]
     return ids
 
 
-_STRETCH = re.compile("\n| *[^ \n]+| +")
-
-
 @lru_cache(maxsize=2)
 def _vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
@@ -161,10 +176,10 @@ def _memo(path: str) -> Memo:
 
 def encode(batch_texts: list[str | None], path: str) -> list[np.ndarray | None]:
     """The ids of each text."""
-    memo = _memo(path)
+    memo, stretch = _memo(path), _vocabulary(path).stretch
     found, counts = [], []
     for t in batch_texts:
-        parts = _STRETCH.findall(f" {t}") if t is not None else []
+        parts = stretch.findall(f" {t}") if t is not None else []
         found += parts
         counts.append(len(parts))
     ids, sizes = memo.joined(found)
