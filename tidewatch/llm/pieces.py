@@ -19,13 +19,13 @@ character (U+2581) in a text becomes byte pieces. Other columns are kept by :fun
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -192,7 +192,7 @@ def decode(ids, path: str) -> str | None:
     if ids is None:
         return None
     table = _vocabulary(path).bytes_of
-    return b"".join([table[i] for i in ids]).decode()[1:]
+    return b"".join([table[i] for i in np.asarray(ids).tolist()]).decode()[1:]
 
 
 def _lists(ids: list[np.ndarray | None]) -> pa.ListArray:
@@ -228,22 +228,30 @@ def decode_column(encoded: DataFrame, path: str, ids_col: str = "ids", out_col:
     return encoded.mapInArrow(run, schema)
 
 
+def encode_checked(docs: DataFrame, path: str, text_col: str = "text", digest_only: bool = False) -> DataFrame:
+    """``docs`` with ``ids``, ``n_pieces``, ``ids_crc32`` (of the ids as little-endian unsigned 32-bit integers), ``decoded_sha256`` and
+    ``lossless`` (the ids decode to the text): encoding and decoding in one pass, so that a task keeps one worker and one memo. With ``digest_only``, neither the ids nor the text are returned."""
+    names = ("ids", "n_pieces", "ids_crc32", "decoded_sha256", "lossless", *([text_col] if digest_only else []))
+    kept = [c for c in docs.columns if c not in names]
+
+    def run(batch):
+        values = texts(batch, text_col)
+        ids = encode(values, path)
+        decoded = [decode(x, path) for x in ids]
+        columns = {
+            "n_pieces": pa.array([None if x is None else len(x) for x in ids], type=pa.int64()),
+            "ids_crc32": pa.array([None if x is None else zlib.crc32(x.astype("<u4").tobytes()) for x in ids], type=pa.int64()),
+            "decoded_sha256": pa.array([None if d is None else hashlib.sha256(d.encode()).hexdigest() for d in decoded], type=pa.string()),
+            "lossless": pa.array([a == b for a, b in zip(values, decoded)], type=pa.bool_()),
+        } | ({} if digest_only else {"ids": _lists(ids)})
+        return pa.RecordBatch.from_arrays([*(batch[c] for c in kept), *columns.values()], names=[*kept, *columns])
+
+    long, text = F.lit(None).cast("long"), F.lit(None).cast("string")
+    added = {"n_pieces": long, "ids_crc32": long, "decoded_sha256": text, "lossless": F.lit(None).cast("boolean")} | ({} if digest_only else {"ids": F.lit(None).cast("array<int>")})
+    return map_slices(docs, run, docs.select(*kept, *(x.alias(c) for c, x in added.items())).schema, text_col)
+
+
 def digest(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``n_pieces``, ``ids_crc32`` (as little-endian unsigned 32-bit integers), ``decoded_sha256``, ``lossless``."""
+    """``doc_id``, ``n_pieces``, ``ids_crc32``, ``decoded_sha256``, ``lossless`` of each row."""
     chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    both = decode_column(encode_column(chosen, path), path)
-
-    def run(batches):
-        for batch in batches:
-            column = batch["ids"]
-            crc = [zlib.crc32(x.values.to_numpy().astype("<u4").tobytes()) if x.is_valid else None for x in column]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text"], batch["decoded"], pa.array(crc, type=pa.int64()), pc.cast(pc.list_value_length(column), pa.int64())], names=["doc_id", "text", "decoded", "crc", "n"])
-
-    counted = both.mapInArrow(run, chosen.select("doc_id", "text", F.col("text").alias("decoded"), F.lit(None).cast("long").alias("crc"), F.lit(None).cast("long").alias("n")).schema)
-    return counted.select(
-        "doc_id",
-        F.col("n").alias("n_pieces"),
-        F.col("crc").alias("ids_crc32"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-        F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"),
-    )
+    return encode_checked(chosen, path, digest_only=True)
