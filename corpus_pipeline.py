@@ -38,8 +38,8 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The kept documents as piece ids; ``lossless``: they decode to the text."""
     path = f"{TOKENIZERS}/piece_bpe_32k.model"
-    both = pieces.decode_column(pieces.encode_column(docs.select("doc_id", "lang", "source", "text"), path), path)
-    return both.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_pieces"), "ids", F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
+    done = pieces.encode_checked(docs.select("doc_id", "lang", "source", "text"), path)
+    return done.select("doc_id", "lang", "source", "n_pieces", "ids", "lossless")
 
 
 STAGES = [
