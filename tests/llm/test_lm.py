@@ -96,3 +96,25 @@ def test_repeats(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     one, two = ({r.doc_id: r.pll for r in lm.score_corpus(docs).collect()} for _ in range(2))
     assert all(abs(one[d] - two[d]) <= 1e-6 * abs(one[d]) for d in one)
+
+
+def test_every_word_has_its_own_probability(spark, monkeypatch):
+    """Words of one bucket differ by their counts, and the probabilities of all words sum to one."""
+    monkeypatch.setattr(lm.Vocabulary.__init__, "__defaults__", ("text", lm.RARE + 3))
+    said = {"the": 9, "of": 8, "and": 7, "station": 5, "nation": 3, "zzon": 1, "cat": 2, "hat": 1}
+    docs = spark.createDataFrame([(i, w) for i, (w, n) in enumerate(said.items()) for _ in range(n)], "doc_id long, text string")
+    vocab = lm.Vocabulary(docs)
+    assert set(vocab.ids) == {"the", "of", "and"}
+    vocab.counts = np.concatenate([vocab.counts, np.full(lm.VOCAB - len(vocab.counts), 1e-9)])
+    net = lm.Network(vocab.counts)
+    once = spark.createDataFrame([(i, w) for i, w in enumerate(said)] + [(99, "station cat station")], "doc_id long, text string")
+    got = {r.doc_id: r.pll for r in lm.score(once, vocab, net).collect()}
+    p = {w: np.exp(got[i]) for i, w in enumerate(said)}
+    assert abs(p["station"] / p["nation"] - 5 / 3) < 1e-4 and abs(p["nation"] / p["zzon"] - 3) < 1e-4 and abs(p["cat"] / p["hat"] - 2) < 1e-4
+    bucket = {w: zlib.crc32(w[-2:].encode()) % lm.RARE for w in said}
+    empty = np.setdiff1d(np.arange(lm.RARE), [bucket[w] for w in said if w not in vocab.ids])
+    rest = sum(np.exp(float(net.forward(np.array([lm.VOCAB, lm.VOCAB, b, lm.VOCAB, lm.VOCAB]), np.array([2]))[0][0])) for b in empty)
+    assert abs(sum(p.values()) + rest - 1) < 1e-3
+    ids, sizes = lm.Reader(vocab.ids).read(["station cat station"])
+    want = sum(float(net.forward(ids, np.array([lm.SIDE + i]))[0][0]) for i in range(3)) + 2 * np.log(5 / 9) + np.log(2 / 3)
+    assert abs(got[99] - want) < 1e-4

@@ -4,13 +4,15 @@ Each token is predicted from ``SIDE`` tokens on either side: their embeddings, o
 hidden layer to a softmax in two steps (a token's class, then its place in the class given the hidden layer and the class). A
 document's score is the sum over its tokens of the log-probability of each, given both sides: its pseudo-log-likelihood.
 
-Tokens are lower-cased words: the ``VOCAB - RARE`` most frequent of all documents (counted over all of them), and ``RARE`` ids for the
-others by their endings. Training reads every document once: each task runs mini-batch gradient steps over its partition from
+Tokens are lower-cased words. The network has ids for the ``VOCAB - RARE`` most frequent of all documents (counted over all of them), and
+``RARE`` ids, buckets by ending, for the others. A word in a bucket gets the bucket's probability times its own share of the bucket's
+occurrences, from the full counts, which are joined to the words of the texts: every counted word has a probability of its own, and all of
+them sum to one. As context, words of one bucket look alike. Training reads every document once: each task runs mini-batch gradient steps over its partition from
 the same start, and the tasks' parameters are averaged, weighted by tokens, in a pre-aggregated group-by. What reaches the driver
 has the size of the vocabulary and the network, whatever the corpus.
 
 Defined results: null and empty texts have no tokens and score 0; repeated rows train and score each time; ties in frequency go to the
-word that sorts first; an empty table gives no rows. Other columns are ignored. Scores depend on how the input is split
+word that sorts first; a word that wasn't counted is scored as one met once; an empty table gives no rows. Other columns are ignored. Scores depend on how the input is split
 into partitions, as local steps do; for the same files they repeat.
 """
 
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -63,10 +66,10 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 class Vocabulary:
-    """Ids of words, and each id's number of occurrences."""
+    """Ids of words, each id's number of occurrences (one more than counted), and the table of all words' counts."""
 
     def __init__(self, docs: DataFrame, text_col: str = "text", size: int = VOCAB):
-        counted = written(word_counts(docs, text_col), "word-counts")
+        self.words = counted = written(word_counts(docs, text_col), "word-counts")
         top = counted.orderBy(F.desc("n"), "word").limit(size - RARE).collect()
         self.ids = {r.word: RARE + i for i, r in enumerate(top)}
         rare = counted.groupBy(F.pmod(F.crc32(F.right("word", F.lit(2)).cast("binary")), F.lit(RARE)).alias("id")).agg(F.sum("n").alias("n"))
@@ -86,13 +89,18 @@ class Reader:
 
     def read(self, batch_texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents in a row, marks between them; and each one's number of tokens."""
-        get, out, sizes, gap = self.known.get, [VOCAB] * SIDE, [], [VOCAB] * SIDE
+        return self.read_words(batch_texts)[:2]
+
+    def read_words(self, batch_texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """What :meth:`read` gives, and the words of all documents in a row."""
+        get, out, sizes, gap, said = self.known.get, [VOCAB] * SIDE, [], [VOCAB] * SIDE, []
         for t in batch_texts:
             ws = words(t)
             sizes.append(len(ws))
+            said += ws
             out += [i if (i := get(w)) is not None else zlib.crc32(w[-2:].encode()) % RARE for w in ws]
             out += gap
-        return np.array(out, dtype=np.int32), np.array(sizes, dtype=np.int64)
+        return np.array(out, dtype=np.int32), np.array(sizes, dtype=np.int64), said
 
 
 class Network:
@@ -207,26 +215,51 @@ def train(docs: DataFrame, vocab: Vocabulary, text_col: str = "text") -> Network
     return start
 
 
+def _occurrences(said: list[str], at: np.ndarray, n: int) -> tuple[pa.Array, pa.ListArray, pa.ListArray]:
+    """Each distinct word of ``said`` with the rows ``at`` (below ``n``) that hold it and how often each does."""
+    coded = pa.array(said, type=pa.string()).dictionary_encode()
+    keys, times = np.unique(coded.indices.to_numpy().astype(np.int64) * n + at, return_counts=True)
+    word, row = np.divmod(keys, max(n, 1))
+    offsets = pa.array(np.searchsorted(word, np.arange(len(coded.dictionary) + 1)).astype(np.int32))
+    return coded.dictionary, *(pa.ListArray.from_arrays(offsets, pa.array(x, type=pa.int64())) for x in (row, times))
+
+
 def score(docs: DataFrame, vocab: Vocabulary, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``n_tokens``, ``pll`` (natural logarithm) and ``pll_per_token`` of each row."""
-    shared = docs.sparkSession.sparkContext.broadcast((vocab.ids, net))
+    totals = np.log(np.maximum(vocab.counts[:RARE] - 1, 1))
+    shared = docs.sparkSession.sparkContext.broadcast((vocab.ids, net, totals))
+    chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
+    kinds = {"row": "bigint", "n_tokens": "bigint", "pll": "double", "word": "string", "rows": "array<bigint>", "times": "array<bigint>"}
+    schema = chosen.select("doc_id", *(F.lit(None).cast(kind).alias(k) for k, kind in kinds.items())).schema
+    schema["doc_id"].nullable = True
     held: list = []
 
     def run(batch):
+        """A line for each row, then one for each word outside the ids, with the rows of this slice that hold it."""
         if not held:
             held.append(Reader(shared.value[0]))
-        ids, sizes = held[0].read(texts(batch))
+        ids, sizes, said = held[0].read_words(texts(batch))
         at = np.flatnonzero(ids != VOCAB)
         logp = [shared.value[1].forward(ids, part)[0] for part in np.array_split(at, max(1, -(-len(at) // BATCH))) if len(part)]
-        sums = np.concatenate([[0.0], np.cumsum(np.concatenate(logp), dtype=np.float64)]) if logp else np.zeros(1)
+        logp = np.concatenate(logp).astype(np.float64) if logp else np.zeros(0)
+        rare = ids[at] < RARE
+        logp[rare] -= shared.value[2][ids[at][rare]]
+        sums = np.concatenate([[0.0], np.cumsum(logp)])
         ends = np.concatenate([[0], np.cumsum(sizes)])
         pll = sums[ends[1:]] - sums[ends[:-1]]
-        columns = [pa.array(sizes), pa.array(pll), pa.array(pll / np.maximum(sizes, 1))]
-        return pa.RecordBatch.from_arrays([batch["doc_id"], *columns], names=["doc_id", "n_tokens", "pll", "pll_per_token"])
-
-    chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    schema = chosen.select("doc_id", F.lit(0).cast("long").alias("n_tokens"), F.lit(0.0).alias("pll"), F.lit(0.0).alias("pll_per_token")).schema
-    return map_slices(chosen, run, schema)
+        word, rows, times = _occurrences(list(compress(said, rare)), np.repeat(np.arange(len(sizes)), sizes)[rare], len(sizes))
+        rows = pa.ListArray.from_arrays(rows.offsets, batch["row"].take(rows.values))
+        n, m = len(sizes), len(word)
+        one = [batch["doc_id"], batch["row"], pa.array(sizes), pa.array(pll), *(pa.nulls(n, x.type) for x in (word, rows, times))]
+        two = [*(pa.nulls(m, x.type) for x in one[:4]), word, rows, times]
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in zip(one, two)], names=schema.names)
+
+    both = written(map_slices(chosen, run, schema), "lm-scores")
+    # A count of one adds nothing to the sum of logarithms.
+    met = both.where("word IS NOT NULL").join(vocab.words.where("n > 1"), "word").select(F.log("n").alias("log_n"), F.explode(F.arrays_zip("rows", "times")).alias("x"))
+    own = met.groupBy(F.col("x.rows").alias("row")).agg(F.sum(F.col("x.times") * F.col("log_n")).alias("own"))
+    done = both.where("word IS NULL").join(own, "row", "left").withColumn("pll", F.col("pll") + F.coalesce("own", F.lit(0.0)))
+    return done.select("doc_id", "n_tokens", "pll", (F.col("pll") / F.greatest("n_tokens", F.lit(1))).alias("pll_per_token"))
 
 
 def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
