@@ -20,8 +20,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes boilerplate lines of each source out of the texts; every document stays, ``n_chars`` follows."""
-    done = lines.drop_boilerplate(docs, "source").drop("__lines", "__dropped")
+    """Takes boilerplate lines of each source out of the texts; every document stays, ``n_chars`` follows. A text all of whose lines
+    would go stays whole, so that of a large group of copies the next stage can keep one."""
+    done = lines.drop_boilerplate(docs, "source", spare=True).drop("__lines", "__dropped")
     return done.withColumn("n_chars", F.char_length("text").cast("long"))
 
 

@@ -53,3 +53,18 @@ def test_run_and_empty_tables(spark, tmp_path):
     for name in ("documents", "benchmark"):
         spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_large_groups_of_copies_keep_one_whole_text(spark):
+    """Each line of a group's copies is on over 5 % of its source's pages; different groups don't become one empty text."""
+    words = [f"w{i}" for i in range(400)]
+    groups = {g: "\n".join(" ".join(words[100 * g + 10 * k : 100 * g + 10 * k + 10]) for k in range(3)) + "\n\n" for g in range(3)}
+    data = [(100 * g + i, text, "en", f"src{g % 2}", len(text)) for g, text in groups.items() for i in range(20)]
+    data += [(1000 + i, f"menu\nown line number {i} of page {i * i}\n", "en", "src0", 40) for i in range(20)] + [(2000, None, "en", "src0", None), (2001, "\n", "en", "src0", 1)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")
+    cleaned = corpus_pipeline.line_dedup(spark, docs, SF).cache()
+    texts = {r.doc_id: (r.text, r.n_chars) for r in cleaned.collect()}
+    assert all(texts[100 * g + i] == (text, len(text)) for g, text in groups.items() for i in range(20))
+    assert texts[1003][0] == "own line number 3 of page 9\n" and texts[2000] == (None, None) and texts[2001] == ("\n", 1)
+    kept = {r.doc_id: r.text for r in corpus_pipeline.near_dedup(spark, cleaned, SF).collect()}
+    assert {d: t for d, t in kept.items() if d < 1000} == {100 * g: text for g, text in groups.items()}

@@ -6,7 +6,7 @@ exceeds ``MAX_RATIO`` and at least ``MIN_PAGES`` pages contain it. A host has at
 line's digest, so a host with a third of all rows spreads over all tasks.
 
 Defined results: a null text stays null; blank lines are neither counted nor dropped; rows with a null host are a host of their
-own; a repeated row counts as a page each time; a page whose lines all go keeps its row with an empty text. Lines end at
+own; a repeated row counts as a page each time; a page whose lines all go keeps its row with an empty text or, with ``spare``, its whole text. Lines end at
 line feeds and are compared exactly (by 128-bit digest). An empty table gives an empty result.
 """
 
@@ -45,9 +45,10 @@ def boilerplate(pages: DataFrame, host_col: str, text_col: str = "text", max_rat
 
 
 def drop_boilerplate(
-    pages: DataFrame, host_col: str, text_col: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES
+    pages: DataFrame, host_col: str, text_col: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, spare: bool = False
 ) -> DataFrame:
-    """``pages`` with the boilerplate lines taken out of ``text_col``, and ``__lines`` and ``__dropped`` with their numbers."""
+    """``pages`` with the boilerplate lines taken out of ``text_col``, and ``__lines`` and ``__dropped`` with their numbers. With
+    ``spare``, a page of which only blank lines would be left stays as it is."""
     found = written(boilerplate(pages, host_col, text_col, max_ratio, min_pages), "boilerplate").select(
         F.col("host").alias("__host"), F.col("drop").alias("__drop")
     )
@@ -57,6 +58,8 @@ def drop_boilerplate(
     joined = pages.join(found, F.col(host_col).eqNullSafe(F.col("__host")), "left")
     kept = F.filter(_lines(text_col), lambda x: F.coalesce(~F.array_contains("__drop", F.md5(x)), F.lit(True)))
     joined = joined.withColumn("__kept", F.when(F.col(text_col).isNotNull(), kept))
+    if spare:
+        joined = joined.withColumn("__kept", F.when(F.exists("__kept", lambda x: F.trim(x) != ""), F.col("__kept")).otherwise(F.when(F.col(text_col).isNotNull(), _lines(text_col))))
     joined = joined.withColumn("__lines", F.coalesce(F.size(_lines(text_col)), F.lit(0))).withColumn(
         "__dropped", F.when(F.col(text_col).isNull(), 0).otherwise(F.col("__lines") - F.size("__kept"))
     )
