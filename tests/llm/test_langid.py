@@ -73,3 +73,13 @@ def test_edge_rows(spark):
     nothing = langid.predict_held_out(docs.withColumn("lang", docs.lang.substr(9, 1)).where("lang is null"))
     assert {(r.lang_pred, r.score) for r in nothing.collect()} == {("und", 0.0)}
     assert langid.predict_held_out(docs.limit(0)).count() == 0
+
+
+def test_features_of_a_long_run_cover_it_all():
+    """A run of letters without blanks is judged by all of its n-grams."""
+    run = "ab" * 20 + "xyz" * 400
+    w = f"<{run}>"
+    want = ["=" + run, "pa", "pab", "paba", "sz", "syz", "sxyz", *(w[i : i + n] for n in (2, 3) for i in range(len(w) - n + 1))]
+    assert sorted(langid.features(run)) == sorted(want)
+    model = langid.Model(["a", "b"], {"ab": 0, "xy": 1}, np.array([[1.0, 0.0], [0.0, 1.0], [0.0, 0.0]]), np.zeros((2, 2)))
+    assert model.emissions([run]).tolist() == [[20.0, 400.0]]

@@ -50,8 +50,9 @@ def words(text: str | None) -> list[str]:
 
 
 def features(word: str) -> list[str]:
-    """Affixes of up to three letters and character n-grams of two and three, ends marked; the lexicon entry is the word itself."""
-    w = f"<{word[:40]}>"
+    """Affixes of up to three letters and character n-grams of two and three of the whole word, ends marked; the lexicon entry is the
+    word itself."""
+    w = f"<{word}>"
     out = [f"={word}", f"p{word[:1]}", f"p{word[:2]}", f"p{word[:3]}", f"s{word[-1:]}", f"s{word[-2:]}", f"s{word[-3:]}"]
     out += [w[i : i + 2] for i in range(len(w) - 1)]
     out += [w[i : i + 3] for i in range(len(w) - 2)]
