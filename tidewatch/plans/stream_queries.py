@@ -76,9 +76,19 @@ def win_3(spark, sf):
 @query("win_3_moving_average_of_clients", STREAM_SQL + """, m AS (SELECT 0 AS k, pos, avg(correct) AS a FROM stream GROUP BY pos)
 SELECT pos, round(avg(a) OVER (ORDER BY pos ROWS 49 PRECEDING), 6) AS average FROM m QUALIFY pos >= 49""")
 def win_3b(spark, sf):
-    """Of the mean over clients at each position."""
-    mean = _s(spark, sf).groupBy("pos").agg(F.avg("correct").alias("a")).withColumn("k", F.lit(0))
-    return windows.moving_average(mean, "k", "pos", "a").select("pos", F.round("average", 6).alias("average"))
+    """Of the mean over clients at each position, in blocks of positions that begin with the 49 before them."""
+    return _blocked_average(_s(spark, sf).groupBy("pos").agg(F.avg("correct").alias("a")))
+
+
+def _blocked_average(mean: DataFrame, width: int = 50, block: int = 5000) -> DataFrame:
+    """``average`` of the last ``width`` values ``a``; ``pos`` counts up from 0 without gaps. The rows copied into a block are fewer than
+    ``width``, so they give no average there."""
+    own = F.floor(F.col("pos") / block)
+    last = F.col("pos") % block > block - width
+    dealt = mean.withColumn("k", F.explode(F.when(last, F.array(own, own + 1)).otherwise(F.array(own))))
+    w = Window.partitionBy("k").orderBy("pos").rowsBetween(-(width - 1), 0)
+    out = dealt.select("pos", F.count("*").over(w).alias("n"), F.avg("a").over(w).alias("average")).where(F.col("n") == width)
+    return out.select("pos", F.round("average", 6).alias("average"))
 
 
 @query("win_4_stable_accuracy", STREAM_SQL + """SELECT client, round(avg(correct), 6) AS accuracy, round(avg(correct) FILTER (WHERE ld IS NULL OR pos >= ld + 50), 6) AS stable,

@@ -482,9 +482,14 @@ def snk_10(spark, sf):
 
 @query("lif_5_registrations", "SELECT s_suppkey AS temporary, CAST(row_number() OVER (ORDER BY s_nationkey, s_suppkey) AS BIGINT) AS id FROM supplier WHERE s_acctbal > 0")
 def lif_5(spark, sf):
-    """Dense ids in client order; the pending models of one round are few."""
-    w = Window.orderBy("s_nationkey", "s_suppkey")
-    return table(spark, sf, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("temporary"), F.row_number().over(w).cast("long").alias("id"))
+    """Dense ids in client order: numbers within a nation, after those of the nations before it (a table of one row a nation)."""
+    some = table(spark, sf, "supplier").where("s_acctbal > 0").select("s_nationkey", "s_suppkey")
+    sizes = some.groupBy(F.col("s_nationkey").alias("nation")).agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.orderBy("nation").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = F.broadcast(sizes.select("nation", F.coalesce(before, F.lit(0)).alias("before")))
+    within = F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey"))
+    numbered = some.withColumn("i", within).join(offsets, F.col("s_nationkey").eqNullSafe(F.col("nation")))
+    return numbered.select(F.col("s_suppkey").alias("temporary"), (F.col("before") + F.col("i")).cast("long").alias("id"))
 
 
 @query("ext_rollup", "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 3) AS quantity FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
