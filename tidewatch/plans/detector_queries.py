@@ -135,8 +135,17 @@ FROM (SELECT *, least(1.0, sqrt(2 * ln(2) / greatest(v2, 1e-12))) AS eta FROM (S
   FROM walk k JOIN x ON x.client = k.client AND x.pos = k.pos + 1)))
 SELECT client, pos, round(wa, 6) AS w_a, round(mix, 6) AS mixture FROM walk WHERE pos >= 0""")
 def exp_3(spark, sf):
-    two = _losses(spark, sf).where("pos < 300")
-    out = experts.route(two, lambda: experts.FixedShare(30), ["a", "b"], ["client"], "pos")
+    return _fixed_share(_losses(spark, sf).where("pos < 300"))
+
+
+@query("exp_3_fixed_share_whole")
+def exp_3_whole(spark, sf):
+    """Over all positions; ``exp_3_fixed_share`` and its SQL stop at 300."""
+    return _fixed_share(_losses(spark, sf))
+
+
+def _fixed_share(losses):
+    out = experts.route(losses, lambda: experts.FixedShare(30), ["a", "b"], ["client"], "pos")
     return out.select("client", "pos", F.round("w_a", 6).alias("w_a"), F.round("mixture", 6).alias("mixture"))
 
 

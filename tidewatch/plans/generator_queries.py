@@ -127,7 +127,17 @@ c AS (SELECT g, i, CASE WHEN d < 0 AND q > 0 THEN list_transform(range(1, 9), la
 SELECT g, i, round(list_sum(list_transform(e, lambda x: x * x)), 5) AS square FROM c""")
 def ml_6(spark, sf):
     """Updates of two vectors each, freed of their conflicts."""
-    v = table(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 2).alias("g"), (F.col("vec_id") % 2).alias("i"), F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double")).alias("e"))
+    return _projected(table(spark, sf, "embeddings").withColumn("embedding", F.slice("embedding", 1, 8)))
+
+
+@query("ml_6_gradient_projection_whole")
+def ml_6_whole(spark, sf):
+    """Of whole vectors; ``ml_6_gradient_projection`` and its SQL take the first eight components."""
+    return _projected(table(spark, sf, "embeddings"))
+
+
+def _projected(embeddings):
+    v = embeddings.select(F.floor(F.col("vec_id") / 2).alias("g"), (F.col("vec_id") % 2).alias("i"), F.transform("embedding", lambda x: x.cast("double")).alias("e"))
     groups = v.groupBy("g").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "e"))), lambda s: s["e"]).alias("vectors")).where(F.size("vectors") == 2)
     out = learning.project_conflicts(groups).select("g", F.posexplode("projected").alias("i", "e"))
     return out.select("g", F.col("i").cast("long").alias("i"), F.round(F.aggregate("e", F.lit(0.0), lambda s, x: s + x * x), 5).alias("square"))

@@ -452,6 +452,12 @@ def fn_bounded(spark, sf):
     return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), tx.bounded_stem(t).alias("stem"))
 
 
+@query("fn_bounded_stems_whole")
+def fn_bounded_whole(spark, sf):
+    """File names from whole texts: texts that differ only after 200 characters get different ones."""
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), tx.bounded_stem(tx.sanitized(F.col("text"))).alias("stem"))
+
+
 @query("fn_json_properties", "SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS n, round(avg(value), 5) AS value FROM events GROUP BY 1")
 def fn_json(spark, sf):
     e = table(spark, sf, "events").select(F.from_json("props", "k bigint")["k"].alias("k"), "value")
