@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..sources.scratch import forget, written
@@ -14,8 +14,7 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating large-star and small-star steps; each round is a written table, so lineage stays short and a lost executor
     costs one round. Rounds grow with the logarithm of the longest chain.
     """
-    now = written(edges.select("a", "b"), "edges")
-    state = _state(now)
+    now, state = _round(edges.select("a", "b"))
     while state[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -23,14 +22,19 @@ def components(edges: DataFrame) -> DataFrame:
         large = large.unionByName(low.where("m < a").select("a", F.col("m").alias("b"))).where("a > b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(low, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        after = written(moved.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        before = state
+        after, state = _round(moved.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
         forget(now)
-        now, (before, state) = after, (state, _state(after))
+        now = after
         if before == state:
             break
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def _state(edges: DataFrame) -> tuple:
-    """Count and an order-free digest of the edges, to see that a round changed nothing."""
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def _round(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The written edges; their count and an order-free digest, taken while writing, to see that a round changed nothing."""
+    seen = Observation()
+    digest = F.xxhash64("a", "b")
+    metrics = (F.count("*").alias("n"), F.bit_xor(digest).alias("xor"), F.sum(digest.cast("decimal(38,0)")).alias("sum"))
+    table = written(edges.observe(seen, *metrics), "edges")
+    return table, tuple(seen.get[k] for k in ("n", "xor", "sum"))
