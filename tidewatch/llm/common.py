@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
 from itertools import chain
 
@@ -10,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from ..operators.skew import fresh, join_counted  # noqa: F401
 from ..sources.scratch import forget, scratch_dir, written  # noqa: F401
 
 #: Text that one step inside a task handles at a time.
@@ -51,6 +53,15 @@ def flat(lists: list[np.ndarray], dtype) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(dtype)))
 
 
+def located(path: str) -> str:
+    """A vocabulary file's place on this machine: a bare name is one of the installed public vocabularies."""
+    if os.sep in path:
+        return path
+    import public_tokenizers
+
+    return public_tokenizers.path(path)
+
+
 _live: dict = {}
 
 
@@ -101,7 +112,8 @@ class Memo:
         if (missing := np.flatnonzero(rows < 0)).size:
             if len(self.rows) + missing.size > self.limit or self.held > self.chars:
                 self._shrink()
-                missing = np.flatnonzero(self._known(words) < 0)
+                rows = self._known(words)
+                missing = np.flatnonzero(rows < 0)
             new = list(dict.fromkeys([words[i] for i in missing.tolist()]))
             found, base = self.compute(new), len(self.rows)
             self.held += sum(map(len, new))
@@ -110,7 +122,7 @@ class Memo:
             self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
             self.values = np.concatenate([self.values, np.fromiter(chain.from_iterable(found), dtype=self.dtype, count=int(sizes.sum()))])
             self.uses = np.concatenate([self.uses, np.zeros(len(new), dtype=np.int64)])
-            rows = self._known(words)
+            rows[missing] = self._known([words[i] for i in missing.tolist()])
         self.uses += np.bincount(rows, minlength=len(self.uses))
         return rows
 

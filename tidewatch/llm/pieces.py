@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, flat, map_slices, only, texts
+from .common import Memo, flat, located, map_slices, only, texts
 
 MARK = "▁"
 #: What a character without a piece scores below the least scored piece.
@@ -51,7 +51,7 @@ class Vocabulary:
     def __init__(self, path: str):
         import sentencepiece
 
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        model = sentencepiece.SentencePieceProcessor(model_file=located(path))
         self.bytes_of: list[bytes] = []
         self.byte_ids = [0] * 256
         self.trie: dict = {}
