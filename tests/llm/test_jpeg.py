@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidewatch.llm import jpeg
 
@@ -114,3 +115,14 @@ def test_edge_rows(spark):
 def test_other_files_are_refused():
     with pytest.raises(ValueError):
         jpeg.parse(b"GIF89a")
+
+
+def test_decoded_column_with_clashing_names_and_null_files(spark):
+    docs = spark.createDataFrame([(1, "some text", 5, "r"), (2, None, 6, "s")], "doc_id long, text string, height int, rgb string")
+    media = jpeg.encode_column(docs).join(docs.select("doc_id", "height", "rgb"), "doc_id").withColumn("media", F.when(F.col("doc_id") == 1, F.col("media")))
+    done = jpeg.decode_column(media)
+    assert sorted(done.columns) == ["doc_id", "height", "media", "n_bytes", "rgb", "width"]
+    got = {r.doc_id: r for r in done.collect()}
+    assert len(got[1].rgb) == 3 * got[1].height * got[1].width and got[2].rgb is got[2].height is got[2].width is None
+    with pytest.raises(ValueError):
+        jpeg.decode_column(media.withColumnRenamed("media", "rgb"), "rgb")

@@ -1,6 +1,6 @@
 import corpus_pipeline
 from tidewatch.llm import pieces
-from tidewatch.llm.queries import TOKENIZERS
+from tidewatch.llm.queries import PIECES
 
 from .test_decontaminate import brute_scan
 from .test_lines import brute_clean
@@ -44,8 +44,7 @@ def test_stages_against_brute_force(spark):
     ids = steps["pieces"](spark, clean, SF).collect()
     texts = {r.doc_id: r.text for r in clean.collect()}
     assert {r.doc_id for r in ids} == texts.keys() and all(r.lossless for r in ids)
-    path = f"{TOKENIZERS}/piece_bpe_32k.model"
-    assert all(pieces.decode(r.ids, path) == texts[r.doc_id] and len(r.ids) == r.n_pieces for r in ids)
+    assert all(pieces.decode(r.ids, PIECES) == texts[r.doc_id] and len(r.ids) == r.n_pieces for r in ids)
 
 
 def test_run_and_empty_tables(spark, tmp_path):

@@ -5,6 +5,7 @@ import pytest
 import xxhash
 
 from tidewatch.llm import simhash
+from tidewatch.operators import skew
 
 DATA = "/root/testdata/sf0.001"
 
@@ -82,5 +83,31 @@ def test_edge_rows(spark):
     assert got == [("1", 1), ("3", 1), ("5", 5), ("5", 5), ("7", 5), ("9", 9), ("None", 1)]
     kept = sorted(str(r.doc_id) for r in simhash.keep_one(docs).collect())
     assert kept == ["1", "5", "9", "None"]
-    assert simhash.keep_one(docs).columns == docs.columns
+    assert simhash.keep_one(docs).columns == docs.columns == ["doc_id", "text", "fingerprint"]
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_different_texts_under_one_id_stay_apart(spark):
+    one, two, far = "the quick brown fox jumps over it", "nothing here is like the other text at all", "seven wholly different words stand in here"
+    rows = [(5, one), (5, two), (9, one), (9, two), (9, two), (7, far), (5, one)]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, tie int")
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted([(5, one), (5, two), (7, far)])
+
+
+def test_text_ids(spark):
+    docs = spark.createDataFrame([("b", "x y z"), ("a", "X Y Z"), ("c", "other words here")], "doc_id string, text string")
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()} == {"a": "a", "b": "a", "c": "c"}
+
+
+def test_one_text_is_a_third_of_all_rows(spark, monkeypatch):
+    """The broadcast of heavy keys and the shuffled join of the others give one result."""
+    rows = [(i, "copy of one text") for i in range(100)] + [(100 + i, f"word{i} other{i * i} third{i * 7}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = []
+    for heavy in (1, 8, 4096):
+        monkeypatch.setattr(skew, "HEAVY", heavy)
+        got.append(sorted(map(tuple, simhash.near_duplicates(docs).collect())))
+    assert got[0] == got[1] == got[2] and len(got[0]) == 300
+    assert [r[2] for r in got[0][:100]] == [0] * 100

@@ -2,7 +2,7 @@
 
 The format's unit is the quantised coefficient: a payload of 64-byte blocks becomes 8x8 blocks of coefficients (byte less ``ZERO``, in
 zigzag order), six to a 16x16 macroblock of a colour image with halved chroma (four Y, one Cb, one Cr), so that every byte is kept. The
-file has nine scans: DC of all components with its last bit left out, Y in two spectral bands, Cb and Cr in full with their last bits
+file has eight scans: DC of all components with its last bit left out, Y in two spectral bands, Cb and Cr in full with their last bits
 left out, and the refinement scans that bring the last bits of Cb, Cr and DC.
 
 The decoder takes any 8-bit Huffman-coded progressive file of one or three components: it accumulates all scans (first and refining, DC and
@@ -11,8 +11,8 @@ full resolution, and converts to RGB. Entropy-coded data is decoded in lanes: th
 scans are alike advance together, one symbol a step, by numpy arrays. Lanes are taken in bounded numbers, so working memory beyond the
 coefficients stays bounded.
 
-Defined results: a null or empty text has a payload of 64 zero bytes; repeated rows are encoded each; an empty table gives no rows.
-Other columns are ignored.
+Defined results: a null or empty text has a payload of 64 zero bytes; a null file decodes to nulls; repeated rows are encoded each; an
+empty table gives no rows. Other columns are ignored by :func:`encode_column` and kept by :func:`decode_column`.
 """
 
 from __future__ import annotations
@@ -671,18 +671,25 @@ def encode_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def decode_column(media: DataFrame, media_col: str = "media") -> DataFrame:
-    """``media`` with ``height``, ``width`` and ``rgb``, the full-resolution tensor's bytes in row order."""
-    kept = media.columns
-    names = [*kept, "height", "width", "rgb"]
+    """``media`` with ``height``, ``width`` and ``rgb``, the full-resolution tensor's bytes in row order, all null where there is no file.
+    Columns that have one of these names are replaced."""
+    new = ("height", "width", "rgb")
+    kept = [c for c in media.columns if c.lower() not in new or c == media_col]
+    if media_col.lower() in new:
+        raise ValueError(f"the column of files can't be called {media_col}")
 
     def run(batch):
-        images, coefficients = read(batch[media_col].to_pylist())
-        size = [pa.array([getattr(i, k) for i in images], type=pa.int32()) for k in ("height", "width")]
-        rgb = pa.array([tensor(i, coefficients).tobytes() for i in images], type=pa.binary())
-        return pa.RecordBatch.from_arrays([*(batch[c] for c in kept), *size, rgb], names=names)
-
-    schema = media.select("*", F.lit(0).alias("height"), F.lit(0).alias("width"), F.lit(None).cast("binary").alias("rgb")).schema
-    return map_slices(media.where(F.col(media_col).isNotNull()), run, schema, media_col, limit=SLICE)
+        files = batch[media_col].to_pylist()
+        there = [f for f in files if f is not None]
+        images, coefficients = read(there) if there else ([], None)
+        found = iter([(i.height, i.width, tensor(i, coefficients).tobytes()) for i in images])
+        rows = [(None, None, None) if f is None else next(found) for f in files]
+        added = [pa.array([r[k] for r in rows], type=t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary()))]
+        return pa.RecordBatch.from_arrays([*(batch[c] for c in kept), *added], names=[*kept, *new])
+
+    types = ("int", "int", "binary")
+    schema = media.select(*kept, *(F.lit(None).cast(t).alias(c) for c, t in zip(new, types))).schema
+    return map_slices(media.select(*kept), run, schema, media_col, limit=SLICE)
 
 
 def feature(rgb: np.ndarray) -> str:

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import decontaminate, jpeg, langid, licenses, lines, lm, pieces, pii, simhash, tokens
+from .common import written
 
-#: Folder of the public tokenizers' vocabulary files; a parameter of the operators.
-TOKENIZERS = os.environ.get("TIDEWATCH_TOKENIZERS", "/opt/tokenizers")
+#: Vocabulary files, parameters of the operators: a bare name is looked up where each task runs, a path is taken as it is.
+PIECES = "piece_bpe_32k.model"
+WORD_PIECES = "word_bpe_49k.json"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,16 +23,17 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.digest(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+    return pieces.digest(table(spark, sf_dir, "documents"), PIECES)
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = lines.drop_boilerplate(table(spark, sf_dir, "documents"), "source")
-    return done.select("doc_id", "text", F.col("__lines").alias("n_lines"), F.col("__dropped").alias("n_dropped"))
+    return done.select("doc_id", "text", "n_lines", "n_dropped")
 
 
 def op4_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jpeg.digest(jpeg.encode_column(table(spark, sf_dir, "documents")))
+    """The files are stored as a media column of a table and read back from it."""
+    return jpeg.digest(written(jpeg.encode_column(table(spark, sf_dir, "documents")), "media", compression="zstd"))
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +53,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.write_and_lay_out(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
+    return tokens.write_and_lay_out(table(spark, sf_dir, "documents"), WORD_PIECES)
 
 
 def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
