@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm import decontaminate, langid, lines, pieces, simhash
 from tidewatch.llm.common import written
-from tidewatch.llm.queries import TOKENIZERS
+from tidewatch.llm.queries import PIECES
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +22,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes boilerplate lines of each source out of the texts; every document stays, ``n_chars`` follows. A text all of whose lines
     would go stays whole, so that of a large group of copies the next stage can keep one."""
-    done = lines.drop_boilerplate(docs, "source", spare=True).drop("__lines", "__dropped")
+    done = lines.drop_boilerplate(docs, "source", spare=True, counts=False)
     return done.withColumn("n_chars", F.char_length("text").cast("long"))
 
 
@@ -38,8 +38,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The kept documents as piece ids; ``lossless``: they decode to the text."""
-    path = f"{TOKENIZERS}/piece_bpe_32k.model"
-    done = pieces.encode_checked(docs.select("doc_id", "lang", "source", "text"), path)
+    done = pieces.encode_checked(docs.select("doc_id", "lang", "source", "text"), PIECES)
     return done.select("doc_id", "lang", "source", "n_pieces", "ids", "lossless")
 
 
