@@ -36,21 +36,16 @@ def test_regret_stays_small():
     assert total - sums.min() < 2 * np.sqrt(500 * np.log(3))
 
 
-def test_replay_conditions():
-    def ready():
-        router = experts.AdaHedge()
-        for _ in range(5):
-            router.update(np.array([0.2, 0.8]), router.weights((0, 1)))
-        return router
-
-    better = [np.array([0.9, 0.1])] * 6
-    assert not ready().replay_if_changed([np.array([0.1, 0.9])] * 6)
-    router = ready()
-    assert router.replay_if_changed(better) and router.leader() == 1
-    assert ready().replay_if_changed(better, both_halves=True)
-    mixed = [np.array([0.0, 0.1])] * 3 + [np.array([0.9, 0.1])] * 3
-    assert not ready().replay_if_changed(mixed, both_halves=True)
-    assert not ready().replay_if_changed([])
+@pytest.mark.parametrize("early, late, replay, halves", [((0.1, 0.9), (0.1, 0.9), False, False), ((0.9, 0.1), (0.9, 0.1), True, True), ((0.0, 0.1), (0.9, 0.1), True, False)])
+def test_recalibration(spark, early, late, replay, halves):
+    """The old leader is a, by six earlier losses; the stored losses come in two halves."""
+    old = [(1, 0, t, 0.0, 0.9) for t in range(9)]
+    now = [(1, 1, 10 + t, *(early if t < 3 else late)) for t in range(6)]
+    losses = spark.createDataFrame(old + now, "client int, round int, pos int, a double, b double")
+    stored = losses.where("round = 1").selectExpr("*", "cast(pos >= 13 as int) as half")
+    got = experts.recalibration(losses, stored, ["a", "b"], "client", "round").collect()
+    assert [(r.round, r.old, r.replay, r.both_halves) for r in got] == [(1, "a", replay, halves)]
+    assert experts.recalibration(losses, stored.limit(0), ["a", "b"], "client", "round").count() == 0
 
 
 def test_fixed_share_returns_after_a_switch():

@@ -18,7 +18,7 @@ def test_fixed_share_over_all_positions(spark):
     rows = defaultdict(dict)
     for r in stream(spark.read.parquet(f"{SF}/events.parquet")).select("client", "pos", "loss").collect():
         rows[r.client][r.pos] = r.loss
-    got = {(r.client, r.pos): (r.w_a, r.mixture) for r in QUERIES["exp_3_fixed_share_whole"](spark, SF).collect()}
+    got = {(r.client, r.pos): (r.w_a, r.mixture) for r in QUERIES["exp_3_fixed_share"](spark, SF).collect()}
     assert len(got) == sum(map(len, rows.values())) and max(p for _, p in got) >= 900
     for client, losses in rows.items():
         w, v = 0.5, 0.0
@@ -35,7 +35,7 @@ def test_fixed_share_over_all_positions(spark):
 def test_stems_of_whole_texts(spark, tmp_path):
     texts = ["a" * 300 + "b", "a" * 300 + "c", "short name", "x y " * 100]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r.id: r.stem for r in QUERIES["fn_bounded_stems_whole"](spark, str(tmp_path)).collect()}
+    got = {r.id: r.stem for r in QUERIES["fn_bounded_stems"](spark, str(tmp_path)).collect()}
     for i, text in enumerate(texts):
         t = re.sub("[^A-Za-z0-9._-]+", "_", text).strip("_")
         assert got[i] == (t if len(t) <= 72 else f"{t[:59]}_{hashlib.sha256(t.encode()).hexdigest()[:12]}")
@@ -44,7 +44,7 @@ def test_stems_of_whole_texts(spark, tmp_path):
 
 def test_projection_of_whole_vectors(spark):
     of = {r.vec_id: list(map(float, r.embedding)) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()}
-    got = {(r.g, r.i): r.square for r in QUERIES["ml_6_gradient_projection_whole"](spark, SF).collect()}
+    got = {(r.g, r.i): r.square for r in QUERIES["ml_6_gradient_projection"](spark, SF).collect()}
     assert got.keys() == {(k // 2, k % 2) for k in of if k ^ 1 in of}
     for (g, i), square in got.items():
         e, o = of[2 * g + i], of[2 * g + 1 - i]

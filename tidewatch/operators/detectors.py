@@ -32,6 +32,7 @@ class AdaptiveWindow:
 
     def reset(self) -> None:
         self.values = []
+        self.tests = 0
         self.alarm = self.warning = False
 
     @property
@@ -43,7 +44,8 @@ class AdaptiveWindow:
         if len(self.values) > self.longest:
             del self.values[0]
         n, self.alarm = len(self.values), False
-        if n < self.least:
+        self.tests = n - 1 if n >= self.least else 0
+        if not self.tests:
             return False
         x = np.array(self.values)
         sums, left = np.cumsum(x)[:-1], np.arange(1, n)
@@ -60,33 +62,50 @@ class AdaptiveWindow:
 
 
 class EProcess:
-    """Mixture e-process of the loss exceeding a baseline: a bet on each start and rate; alarms at 1 / ``alpha``.
+    """Mixture e-process of the loss exceeding a baseline: from each start and at each rate a bet; alarms where the mixed capital of all
+    starts reaches 1 / ``alpha``.
 
-    The best start's own sums are kept for the newest ``longest`` starts, which also bounds the mixture.
+    A bet's log capital is a difference of two running sums of log gains, now and before its start. So the state is one running sum for
+    each rate and, in a ring, its values before the newest ``longest`` starts, which bounds mixture and memory.
     """
 
     RATES = (0.05, 0.1, 0.2, 0.4, 0.8)
+    #: How near to 0 and 1 a baseline may come.
+    EDGE = 1e-6
 
     def __init__(self, baseline: float, alpha: float = 0.001, longest: int = 1000):
-        self.threshold, self.longest = math.log(1 / alpha), longest
-        self.rates = np.array(self.RATES)
+        self.threshold, self.longest, self.rates = -math.log(alpha), longest, np.array(self.RATES)
         self.reset(baseline)
 
     def reset(self, baseline: float | None = None) -> None:
         if baseline is not None:
-            self.baseline = min(1 - 1e-6, max(1e-6, float(baseline)))
-        self.capital = np.zeros((0, len(self.rates)))  # log capital of each start and rate
-        self.time, self.first, self.width, self.log_e = 0, 1, 0, -math.inf
+            self.baseline = float(np.clip(baseline, self.EDGE, 1 - self.EDGE))
+        self.sums = np.zeros(len(self.rates))
+        self.before = np.empty((self.longest, len(self.rates)))
+        self.seen, self.tests, self.log_e = 0, 0, -math.inf
         self.alarm = self.warning = False
 
+    def _starts(self) -> np.ndarray:
+        """Log capital of each start (a row of the ring), mixed over the rates."""
+        held = self.before[: min(self.seen, self.longest)]
+        return np.logaddexp.reduce(self.sums - held, axis=1) - math.log(len(self.rates))
+
+    @property
+    def width(self) -> int:
+        """Values since the best start, the oldest of equal ones."""
+        if not self.seen:
+            return 0
+        n = min(self.seen, self.longest)
+        ages = (self.seen - 1 - np.arange(n)) % self.longest if self.seen > self.longest else self.seen - 1 - np.arange(n)
+        capital = self._starts()
+        return int(ages[capital == capital.max()].max()) + 1
+
     def step(self, value: float) -> bool:
-        self.time += 1
-        gain = np.log(np.maximum(1 + self.rates * (_unit(value) / self.baseline - 1), np.finfo(float).tiny))
-        self.capital = np.vstack([self.capital, np.zeros(len(self.rates))])[-self.longest :] + gain
-        self.first = self.time - len(self.capital) + 1
-        mixed = np.logaddexp.reduce(self.capital, axis=1) - math.log(len(self.rates))
-        self.log_e = float(np.logaddexp.reduce(mixed))
-        self.width = self.time - (self.first + int(np.argmax(mixed))) + 1
+        self.before[self.seen % self.longest] = self.sums
+        self.sums = self.sums + np.log1p(self.rates * (_unit(value) / self.baseline - 1))
+        self.seen += 1
+        self.tests = min(self.seen, self.longest) * len(self.rates)
+        self.log_e = float(np.logaddexp.reduce(self._starts()))
         self.alarm = self.log_e >= self.threshold
         return self.alarm
 
@@ -101,7 +120,7 @@ class HoeffdingMean:
     def reset(self) -> None:
         self.n = self.low_n = 0
         self.sum = self.low_sum = 0.0
-        self.width = 0
+        self.width = self.tests = 0
         self.alarm = self.warning = False
 
     def _bound(self, n: int) -> float:
@@ -120,52 +139,58 @@ class HoeffdingMean:
             self.low_n, self.low_sum = self.n, self.sum
         self.alarm = self._risen(self.confidence)
         self.warning = not self.alarm and self._risen(self.warn_at)
+        self.tests = (2 - self.alarm) * (self.low_n != self.n)
         if self.alarm:
-            width = max(1, self.n - self.low_n)
+            width, tests = max(1, self.n - self.low_n), self.tests
             self.reset()
-            self.width, self.alarm = width, True
+            self.width, self.tests, self.alarm = width, tests, True
         return self.alarm
 
 
 class WeightedMean:
-    """McDiarmid test of an exponentially weighted mean after the cut with the lowest bound; starts anew at an alarm."""
+    """McDiarmid test of an exponentially weighted mean against the one at its lowest upper bound so far; starts anew at an alarm.
+
+    McDiarmid's bound takes the sum of squared weights, which depends on the number of values alone: of ``n`` values with rate ``r`` and
+    ``q = 1 - r`` the newest weighs ``r``, one ``k`` before it ``r q^k`` and the first ``q^(n - 1)``.
+    """
 
     def __init__(self, confidence: float = 0.001, warning: float = 0.005, rate: float = 0.05):
-        self.confidence, self.warn_at, self.rate = confidence, warning, rate
+        self.rate, self.alarm_log, self.warn_log = rate, -math.log(confidence) / 2, -math.log(warning) / 2
         self.reset()
 
     def reset(self) -> None:
-        self.total = self.before = self.after = None  # (mean, sum of squared weights)
-        self.cut, self.delay, self.width = math.inf, 0, 0
+        self.n = self.lowest_n = self.width = self.tests = 0
+        self.mean = self.lowest_mean = self.later = math.nan
+        self.lowest = math.inf
         self.alarm = self.warning = False
 
-    def _fed(self, sample, value: float):
-        if sample is None:
-            return value, 1.0
-        keep = 1 - self.rate
-        return self.rate * value + keep * sample[0], self.rate**2 + keep**2 * sample[1]
-
-    def _risen(self, confidence: float) -> bool:
-        if self.before is None or self.after is None:
-            return False
-        return self.after[0] - self.before[0] > math.sqrt((self.before[1] + self.after[1]) * math.log(1 / confidence) / 2)
+    def squares(self, n: int) -> float:
+        """The sum of squared weights of ``n`` values."""
+        q2 = (1 - self.rate) ** 2
+        first = q2 ** (n - 1)
+        return first + self.rate**2 * (1 - first) / (1 - q2)
 
     def step(self, value: float) -> bool:
-        value = _unit(value)
-        self.width += 1
-        self.total = self._fed(self.total, value)
-        reach = self.total[0] + math.sqrt(self.total[1] * math.log(1 / self.confidence) / 2)
-        if reach < self.cut:
-            self.cut, self.before, self.after, self.delay = reach, self.total, None, 0
-        else:
-            self.delay += 1
-            self.after = self._fed(self.after, value)
-        self.alarm = self._risen(self.confidence)
-        self.warning = not self.alarm and self._risen(self.warn_at)
+        x = _unit(value)
+        old, self.n = self.n, self.n + 1
+        self.mean = self.mean + self.rate * (x - self.mean) if old else x
+        bound = self.mean + math.sqrt(self.alarm_log * self.squares(self.n))
+        self.alarm = self.warning = False
+        if bound < self.lowest:
+            self.lowest, self.lowest_n, self.lowest_mean = bound, self.n, self.mean
+            self.width, self.tests = self.n, 0
+            return False
+        behind = self.n - self.lowest_n
+        self.later = self.later + self.rate * (x - self.later) if behind > 1 else x
+        rise = self.later - self.lowest_mean
+        spread = self.squares(self.lowest_n) + self.squares(behind)
+        self.alarm = rise > math.sqrt(self.alarm_log * spread)
+        self.warning = not self.alarm and rise > math.sqrt(self.warn_log * spread)
+        self.width, tests = self.n, 2 - self.alarm
         if self.alarm:
-            width = max(1, self.delay)
             self.reset()
-            self.width, self.alarm = width, True
+            self.alarm, self.width = True, behind
+        self.tests = tests
         return self.alarm
 
 
@@ -227,6 +252,48 @@ class EProcessByClass:
 KINDS: dict[str, Callable] = {"adaptive_window": AdaptiveWindow, "hoeffding": HoeffdingMean, "weighted": WeightedMean, "e_process": lambda: EProcess(0.15)}
 
 
+def hypotheses(df: DataFrame, make: Callable, key: str = "client", order: str = "pos", value: str = "loss", name: str = "tests") -> DataFrame:
+    """Comparisons that a detector, reset at its alarms, made over each key's rows, and its ``alarms``."""
+
+    def start():
+        detector, tests, alarms = make(), 0, 0
+
+        def step(pos, x=None):
+            nonlocal tests, alarms
+            if pos is None:
+                return tests, alarms
+            alarm = detector.step(x)
+            tests, alarms = tests + detector.tests, alarms + alarm
+            if alarm:
+                detector.reset()
+            return None
+
+        return step
+
+    return fold(df, [key], [order], start, [order, value], f"{name} long, alarms long", flush=True)
+
+
+def resets(df: DataFrame, make: Callable, key: str = "client", order: str = "pos", value: str = "loss") -> DataFrame:
+    """Of each alarm that was handled by resetting the detector: ``pos``, ``width`` and ``seen``, the values since the reset before."""
+
+    def start():
+        detector, seen = make(), 0
+
+        def step(pos, x):
+            nonlocal seen
+            seen += 1
+            if not detector.step(x):
+                return None
+            row = (int(pos), int(detector.width), seen)
+            detector.reset()
+            seen = 0
+            return row
+
+        return step
+
+    return fold(df, [key], [order], start, [order, value], f"{order} long, width long, seen long")
+
+
 def detect(df: DataFrame, make: Callable, key: str = "client", order: str = "pos", value: str = "loss", restart: bool = False, warnings: bool = False) -> DataFrame:
     """``key``, ``pos``, ``width``, ``warning`` of each alarm (and warning) of a bare detector; ``restart`` resets it at its alarms."""
 

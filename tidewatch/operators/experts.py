@@ -6,7 +6,8 @@ import math
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from .folds import fold
 
@@ -58,25 +59,6 @@ class AdaHedge:
         lead = [i for i, x in zip(self.ids, self.total) if x == self.total.min()]
         return preferred if preferred in lead else min(lead)
 
-    def replay_if_changed(self, rows: list[np.ndarray], both_halves: bool = False, preferred=None) -> bool:
-        """Replays only if the sequence has another leader, and with ``both_halves`` only if that one beats the old in either half."""
-        if not rows:
-            return False
-        x = np.array(rows)
-        old = self.ids.index(self.leader(preferred))
-        sums = x.sum(axis=0)
-        lead = [i for i, s in zip(self.ids, sums) if s == sums.min()]
-        new = self.ids.index(preferred if preferred in lead else min(lead))
-        if new == old:
-            return False
-        if both_halves:
-            half = len(rows) // 2
-            gap = x[:, new] - x[:, old]
-            if half == 0 or gap[:half].sum() >= 0 or gap[half:].sum() >= 0:
-                return False
-        self.replay(rows)
-        return True
-
 
 class FixedShare:
     """Exponential weights with a rate from the observed variance, and a share of 1 / ``horizon`` dealt to all at each step."""
@@ -135,3 +117,23 @@ def route(df: DataFrame, make: Callable, experts: list[str], key: list[str], ord
 
     columns = ", ".join(f"w_{e} double" for e in experts)
     return fold(df, key, [order], start, [order, *experts], f"{order} long, {columns}, mixture double, effective double, leader string")
+
+
+def recalibration(losses: DataFrame, stored: DataFrame, experts: list[str], key: str, round_col: str) -> DataFrame:
+    """Of each key and round: ``old``, the expert of least loss over this and all earlier rounds; ``lead``, that of the ``stored`` losses of the round
+    (in two parts, ``half`` 0 and 1); ``replay``, whether they differ, so that evidence is rebuilt from the stored losses; and ``both_halves``,
+    whether the new leader also beats the old one in either half. Ties go to the first expert; sums count to nine decimals.
+
+    Grouped sums and one running sum over rounds; no key's losses are held together.
+    """
+    total = lambda where=None: [F.round(F.sum(e if where is None else F.when(where, F.col(e))), 9).alias(e) for e in experts]
+    least = lambda of: F.array_min(F.array(*[F.struct(F.col(f"{of}.{e}").alias("x"), F.lit(i).alias("i")) for i, e in enumerate(experts)]))["i"]
+    past = Window.partitionBy(key).orderBy(round_col)
+    of_round = losses.groupBy(key, round_col).agg(*total())
+    old = of_round.select(key, round_col, F.struct(*[F.sum(e).over(past).alias(e) for e in experts]).alias("sums"))
+    parts = [F.struct(*total(w)).alias(n) for n, w in (("all", None), ("early", F.col("half") == 0), ("late", F.col("half") == 1))]
+    both = old.join(stored.groupBy(key, round_col).agg(*parts), [key, round_col]).withColumns({"i": least("sums"), "j": least("all")})
+    better = lambda of: F.get(F.array(*[F.col(f"{of}.{e}") for e in experts]), F.col("j")) < F.get(F.array(*[F.col(f"{of}.{e}") for e in experts]), F.col("i"))
+    named = lambda at: F.get(F.array(*map(F.lit, experts)), F.col(at))
+    changed = F.col("i") != F.col("j")
+    return both.select(key, round_col, named("i").alias("old"), named("j").alias("lead"), changed.alias("replay"), F.coalesce(changed & better("early") & better("late"), F.lit(False)).alias("both_halves"))

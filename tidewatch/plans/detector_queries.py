@@ -18,9 +18,9 @@ def _s(spark, sf):
 
 
 _HOEFFDING = STREAM_SQL + """, walk AS (
-SELECT client, -1 AS pos, CAST(0 AS BIGINT) AS n, 0.0::DOUBLE AS s, CAST(0 AS BIGINT) AS mn, 0.0::DOUBLE AS ms, CAST(0 AS BIGINT) AS width, false AS alarm, false AS warning FROM stream WHERE pos = 0
+SELECT client, -1 AS pos, CAST(0 AS BIGINT) AS n, 0.0::DOUBLE AS s, CAST(0 AS BIGINT) AS mn, 0.0::DOUBLE AS ms, CAST(0 AS BIGINT) AS width, false AS alarm, false AS warning, false AS tested FROM stream WHERE pos = 0
 UNION ALL
-SELECT client, pos, CASE WHEN alarm THEN 0 ELSE n END, CASE WHEN alarm THEN 0 ELSE s END, CASE WHEN alarm THEN 0 ELSE mn END, CASE WHEN alarm THEN 0 ELSE ms END, CASE WHEN alarm THEN greatest(1, n - mn) ELSE n END, alarm, NOT alarm AND warning
+SELECT client, pos, CASE WHEN alarm THEN 0 ELSE n END, CASE WHEN alarm THEN 0 ELSE s END, CASE WHEN alarm THEN 0 ELSE mn END, CASE WHEN alarm THEN 0 ELSE ms END, CASE WHEN alarm THEN greatest(1, n - mn) ELSE n END, alarm, NOT alarm AND warning, mn <> n
 FROM (SELECT *, mn <> n AND s / n - ms / mn >= sqrt((n - mn) / (mn * n) * ln(2 / 0.001) / 2) AS alarm, mn <> n AND s / n - ms / mn >= sqrt((n - mn) / (mn * n) * ln(2 / 0.005) / 2) AS warning
  FROM (SELECT client, pos, n, s, CASE WHEN low THEN n ELSE mn END AS mn, CASE WHEN low THEN s ELSE ms END AS ms
   FROM (SELECT *, mn = 0 OR ms / mn + sqrt(ln(1 / 0.001) / (2 * mn)) >= s / n + sqrt(ln(1 / 0.001) / (2 * n)) AS low
@@ -59,14 +59,16 @@ def det_4(spark, sf):
 _RATES = detectors.EProcess.RATES
 
 
-@query("det_2_e_process", STREAM_SQL + f""", walk AS (
-SELECT client, -1 AS pos, {', '.join(f'0.0::DOUBLE AS s{i}' for i in range(5))}, false AS alarm FROM stream WHERE pos = 0
+_E_WALK = f"""e_walk AS (
+SELECT client, -1 AS pos, {', '.join(f'0.0::DOUBLE AS s{i}' for i in range(5))}, CAST(0 AS BIGINT) AS starts, false AS alarm FROM stream WHERE pos = 0
 UNION ALL
-SELECT client, pos, {', '.join(f'CASE WHEN alarm THEN 0 ELSE s{i} END' for i in range(5))}, alarm
+SELECT client, pos, {', '.join(f'CASE WHEN alarm THEN 0 ELSE s{i} END' for i in range(5))}, starts, alarm
 FROM (SELECT *, ({' + '.join(f's{i}' for i in range(5))}) / 5 >= 1000 AS alarm
- FROM (SELECT x.client, x.pos, {', '.join(f'(1 + w.s{i}) * (1 + {r} * (x.loss / 0.15 - 1)) AS s{i}' for i, r in enumerate(_RATES))}
-  FROM walk w JOIN stream x ON x.client = w.client AND x.pos = w.pos + 1)))
-SELECT client, pos FROM walk WHERE alarm""")
+ FROM (SELECT x.client, x.pos, CASE WHEN w.alarm THEN 1 ELSE w.starts + 1 END AS starts, {', '.join(f'(1 + w.s{i}) * (1 + {r} * (x.loss / 0.15 - 1)) AS s{i}' for i, r in enumerate(_RATES))}
+  FROM e_walk w JOIN stream x ON x.client = w.client AND x.pos = w.pos + 1)))"""
+
+
+@query("det_2_e_process", STREAM_SQL + f", {_E_WALK} SELECT client, pos FROM e_walk WHERE alarm")
 def det_2(spark, sf):
     """Restarted at its alarms; SQL sums each rate's bets over all starts, which is the same while no start is let go."""
     return detectors.detect(_s(spark, sf), lambda: detectors.EProcess(0.15), restart=True).select("client", "pos")
@@ -93,18 +95,34 @@ def det_8(spark, sf):
     return out.withColumn("log_e", F.round("log_e", 6))
 
 
-@query("det_12_reset_after_alarm", STREAM_SQL + """, means AS (SELECT client, pos, loss, tid FROM stream)
-SELECT client, tid, count(*) AS n, round(max(loss), 6) AS peak FROM means GROUP BY ALL""")
+@query("det_12_reset_after_alarm", _HOEFFDING + "SELECT client, pos, width, pos - lag(pos, 1, -1) OVER (PARTITION BY client ORDER BY pos) AS seen FROM walk WHERE alarm")
 def det_12(spark, sf):
-    """State starts anew with each time block: the fold's key holds the block, so that nothing is carried over."""
-    return _s(spark, sf).groupBy("client", "tid").agg(F.count("*").alias("n"), F.round(F.max("loss"), 6).alias("peak"))
+    """Every alarm is handled by a reset: the values that each alarm's state had seen."""
+    return detectors.resets(_s(spark, sf), detectors.HoeffdingMean)
+
 
+@query("det_12_reset_e_process", STREAM_SQL + f", {_E_WALK} SELECT client, pos, starts AS seen FROM e_walk WHERE alarm")
+def det_12b(spark, sf):
+    return detectors.resets(_s(spark, sf), lambda: detectors.EProcess(0.15)).select("client", "pos", "seen")
 
-@query("det_13_hypotheses", STREAM_SQL + "SELECT client, CAST(sum(CASE WHEN pos >= 9 THEN least(pos + 1, 1000) - 1 ELSE 0 END) AS BIGINT) AS window_tests, CAST(sum(least(pos + 1, 1000) * 5) AS BIGINT) AS e_tests FROM stream GROUP BY client")
+
+@query("det_13_hypotheses", _HOEFFDING + f""", {_E_WALK},
+h AS (SELECT client, CAST(sum(CASE WHEN NOT tested THEN 0 WHEN alarm THEN 1 ELSE 2 END) AS BIGINT) AS mean_tests, count(*) FILTER (WHERE alarm) AS mean_alarms FROM walk WHERE pos >= 0 GROUP BY client),
+e AS (SELECT client, CAST(sum(least(starts, 1000) * 5) AS BIGINT) AS e_tests, count(*) FILTER (WHERE alarm) AS e_alarms FROM e_walk WHERE pos >= 0 GROUP BY client)
+SELECT client, mean_tests, mean_alarms, e_tests, e_alarms FROM h JOIN e USING (client)""")
 def det_13(spark, sf):
-    """Comparisons made by detectors that never alarm: cuts of the window, starts times rates of the e-process."""
-    width = F.least(F.col("pos") + 1, F.lit(1000))
-    return _s(spark, sf).groupBy("client").agg(F.sum(F.when(F.col("pos") >= 9, width - 1).otherwise(0)).alias("window_tests"), F.sum(width * 5).alias("e_tests"))
+    """Comparisons as the steps count them: two levels of the Hoeffding test (the looser one only without an alarm), starts times rates of
+    the e-process."""
+    s = _s(spark, sf)
+    means = detectors.hypotheses(s, detectors.HoeffdingMean, name="mean_tests").withColumnRenamed("alarms", "mean_alarms")
+    bets = detectors.hypotheses(s, lambda: detectors.EProcess(0.15), name="e_tests").withColumnRenamed("alarms", "e_alarms")
+    return means.join(bets, "client")
+
+
+@query("det_13_window_cuts")
+def det_13b(spark, sf):
+    """Cuts that the adaptive window tests, which depend on what it still holds."""
+    return detectors.hypotheses(_s(spark, sf), detectors.AdaptiveWindow)
 
 
 @query("det_9_baselines", STREAM_SQL + "SELECT client, least(greatest(round(avg(loss), 6), 0.01), 1 - 1e-6) AS baseline FROM stream WHERE concept = 0 GROUP BY client")
@@ -118,29 +136,47 @@ def _losses(spark, sf):
     return _s(spark, sf).select("client", "pos", F.col("loss").alias("a"), (1 - F.col("loss")).alias("b"), third.alias("c"))
 
 
-_THREE = STREAM_SQL + ", x AS (SELECT client, pos, loss AS a, 1 - loss AS b FROM stream WHERE pos < 300)"
+def _adahedge(experts: str, losses: str) -> str:
+    """A recursion over positions as SQL: evidence and mixability gap of each client's experts (columns of ``losses``) before its row;
+    experts whose loss is null aren't there, and all evidence is cleared where their set changes."""
+    e = list(experts)
+    here = lambda x, no: f"CASE WHEN {x} IS NULL THEN {no} "
+    total = lambda form, by=" + ": by.join(form.format(x=x) for x in e)
+    return f"""hedge AS (
+SELECT client, -1 AS pos, CAST(0 AS BIGINT) AS there, {total('0.0::DOUBLE AS l_{x}', ', ')}, 0.0::DOUBLE AS gap, {total('0.0::DOUBLE AS w_{x}', ', ')}, 0.0::DOUBLE AS mixture FROM ({losses}) WHERE pos = 0
+UNION ALL
+SELECT client, pos, there, {total('l_{x} + coalesce({x}, 0)', ', ')}, gap + greatest(0.0, mixture - mix), {total('w_{x}', ', ')}, mixture
+FROM (SELECT *, {total('w_{x} * coalesce({x}, 0)')} AS mixture,
+  CASE WHEN there = 1 OR gap <= 0 THEN least({total('CASE WHEN w_{x} > 0 THEN {x} END', ', ')}) ELSE -ln({total("CASE WHEN w_{x} > 0 THEN w_{x} * exp(-ln(there) / gap * {x}) ELSE 0 END")}) / (ln(there) / gap) END AS mix
+ FROM (SELECT *, {total('r_{x} / (' + total('r_{x}') + ') AS w_{x}', ', ')}
+  FROM (SELECT *, {', '.join(here(x, '0.0') + f"WHEN there = 1 OR gap <= 0 THEN CAST(l_{x} = low AS DOUBLE) ELSE exp(-ln(there) / gap * (l_{x} - low)) END AS r_{x}" for x in e)}
+   FROM (SELECT *, least({', '.join(here(x, 'NULL') + f'ELSE l_{x} END' for x in e)}) AS low
+    FROM (SELECT client, pos, there, {total('{x}', ', ')}, {total('CASE WHEN fresh THEN 0.0 ELSE l_{x} END AS l_{x}', ', ')}, CASE WHEN fresh THEN 0.0 ELSE gap END AS gap
+     FROM (SELECT x.client, x.pos, {total('CAST(x.{x} IS NOT NULL AS BIGINT)')} AS there, {total('x.{x}', ', ')}, {total('h.l_{x}', ', ')}, h.gap, h.there <> {total('CAST(x.{x} IS NOT NULL AS BIGINT)')} AS fresh
+      FROM hedge h JOIN ({losses}) x ON x.client = h.client AND x.pos = h.pos + 1)))))))"""
+
+
+_TWO = "SELECT client, pos, loss AS a, 1 - loss AS b FROM stream"
+_THREE = "SELECT client, pos, loss AS a, 1 - loss AS b, CASE WHEN pos >= 300 THEN abs(loss - 0.3) END AS c FROM stream"
 
 
-@query("exp_1_adahedge")
+@query("exp_1_adahedge", STREAM_SQL + f""", {_adahedge('abc', _THREE)}
+SELECT client, pos, round(w_a, 6) AS w_a, round(w_b, 6) AS w_b, round(w_c, 6) AS w_c, round(mixture, 6) AS mixture, round(1 / (w_a * w_a + w_b * w_b + w_c * w_c), 6) AS effective,
+CASE WHEN w_a >= w_b AND w_a >= w_c THEN 'a' WHEN w_b >= w_c THEN 'b' ELSE 'c' END AS leader FROM hedge WHERE pos >= 0""")
 def exp_1(spark, sf):
     """EXP-1, EXP-2, EXP-4: weights, mixture loss and effective number of experts before each update."""
     out = experts.route(_losses(spark, sf), experts.AdaHedge, ["a", "b", "c"], ["client"], "pos")
     return out.withColumns({c: F.round(c, 6) for c in ("w_a", "w_b", "w_c", "mixture", "effective")})
 
 
-@query("exp_3_fixed_share", _THREE + """, walk AS (SELECT client, -1 AS pos, 0.5::DOUBLE AS wa, 0.0::DOUBLE AS v, 0.0::DOUBLE AS mix, 0.5::DOUBLE AS nxt FROM x WHERE pos = 0
+@query("exp_3_fixed_share", STREAM_SQL + f""", x AS ({_TWO}), walk AS (SELECT client, -1 AS pos, 0.5::DOUBLE AS wa, 0.0::DOUBLE AS v, 0.0::DOUBLE AS mix, 0.5::DOUBLE AS nxt FROM x WHERE pos = 0
 UNION ALL SELECT client, pos, w, v2, m, (29.0 / 30) * (w * exp(-eta * a) / (w * exp(-eta * a) + (1 - w) * exp(-eta * b))) + (1.0 / 30) / 2
 FROM (SELECT *, least(1.0, sqrt(2 * ln(2) / greatest(v2, 1e-12))) AS eta FROM (SELECT x.client, x.pos, a, b, k.nxt AS w, k.nxt * a + (1 - k.nxt) * b AS m,
   k.v + k.nxt * (a - (k.nxt * a + (1 - k.nxt) * b)) ** 2 + (1 - k.nxt) * (b - (k.nxt * a + (1 - k.nxt) * b)) ** 2 AS v2
   FROM walk k JOIN x ON x.client = k.client AND x.pos = k.pos + 1)))
 SELECT client, pos, round(wa, 6) AS w_a, round(mix, 6) AS mixture FROM walk WHERE pos >= 0""")
 def exp_3(spark, sf):
-    return _fixed_share(_losses(spark, sf).where("pos < 300"))
-
-
-@query("exp_3_fixed_share_whole")
-def exp_3_whole(spark, sf):
-    """Over all positions; ``exp_3_fixed_share`` and its SQL stop at 300."""
+    """Two experts over all positions."""
     return _fixed_share(_losses(spark, sf))
 
 
@@ -149,7 +185,9 @@ def _fixed_share(losses):
     return out.select("client", "pos", F.round("w_a", 6).alias("w_a"), F.round("mixture", 6).alias("mixture"))
 
 
-@query("exp_6_routed_summary")
+@query("exp_6_routed_summary", STREAM_SQL + f""", {_adahedge('abc', _THREE)}, led AS (SELECT *, CASE WHEN w_a >= w_b AND w_a >= w_c THEN 'a' WHEN w_b >= w_c THEN 'b' ELSE 'c' END AS leader FROM hedge WHERE pos >= 0)
+SELECT client, round(avg(mixture), 6) AS mixture, round(least(avg(a), avg(b)), 6) AS best_single, round(avg(least(a, b, coalesce(c, 1.0))), 6) AS oracle, count(DISTINCT leader) AS leaders
+FROM led JOIN ({_THREE}) x USING (client, pos) GROUP BY client""")
 def exp_6(spark, sf):
     """Mixture against the best single expert and the oracle, for each client."""
     rows = _losses(spark, sf)
@@ -161,10 +199,31 @@ def exp_6(spark, sf):
     )
 
 
-@query("exp_7_protected_gate", STREAM_SQL + """, w AS (SELECT client, pos, sum(loss) OVER b AS la, sum(1 - loss) OVER b AS lb FROM stream WINDOW b AS (PARTITION BY client ORDER BY pos))
-SELECT client, count(*) AS n, count(*) FILTER (WHERE 0.5 * la + 0.5 * lb < la) AS mixed FROM w GROUP BY client""")
+@query("exp_7_protected_gate", STREAM_SQL + f""", {_adahedge('ab', _TWO)}, x AS ({_TWO}),
+past AS (SELECT client, pos, a, coalesce(sum(a) OVER w, 0) AS la, coalesce(sum(b) OVER w, 0) AS lb FROM x WINDOW w AS (PARTITION BY client ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+gated AS (SELECT client, a, h.mixture, w_a * la + w_b * lb < la - 1e-9 AS mixed FROM past JOIN hedge h USING (client, pos))
+SELECT client, count(*) AS n, count(*) FILTER (WHERE mixed) AS mixed, round(avg(CASE WHEN mixed THEN mixture ELSE a END), 6) AS loss FROM gated GROUP BY client""")
 def exp_7(spark, sf):
-    """How often the equal mixture's past loss is strictly below the current model's."""
-    w = Window.partitionBy("client").orderBy("pos")
-    past = _s(spark, sf).select("client", F.sum("loss").over(w).alias("la"), F.sum(1 - F.col("loss")).over(w).alias("lb"))
-    return past.groupBy("client").agg(F.count("*").alias("n"), F.count(F.when(0.5 * F.col("la") + 0.5 * F.col("lb") < F.col("la"), 1)).alias("mixed"))
+    """The router's mixture serves only where its weights' past loss is strictly below that of the current model (a); else that model alone."""
+    rows = _losses(spark, sf).select("client", "pos", "a", "b")
+    past = Window.partitionBy("client").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.select("client", "pos", "a", *[F.coalesce(F.sum(e).over(past), F.lit(0.0)).alias(f"l{e}") for e in "ab"])
+    routed = experts.route(rows, experts.AdaHedge, ["a", "b"], ["client"], "pos").select("client", "pos", "w_a", "w_b", "mixture")
+    mixed = F.col("w_a") * F.col("la") + F.col("w_b") * F.col("lb") < F.col("la") - 1e-9
+    gated = sums.join(routed, ["client", "pos"]).select("client", "a", "mixture", mixed.alias("mixed"))
+    return gated.groupBy("client").agg(F.count("*").alias("n"), F.count(F.when(F.col("mixed"), 1)).alias("mixed"), F.round(F.avg(F.when(F.col("mixed"), F.col("mixture")).otherwise(F.col("a"))), 6).alias("loss"))
+
+
+_EVIDENCE = STREAM_SQL + """, x AS (SELECT client, pos // 50 AS round, pos, loss AS a, 0.45 AS b FROM stream),
+r AS (SELECT client, round, round(sum(a), 9) AS a, round(sum(b), 9) AS b, round(sum(a) FILTER (WHERE pos % 50 >= 20), 9) AS fa, round(sum(b) FILTER (WHERE pos % 50 >= 20), 9) AS fb,
+  round(sum(a - b) FILTER (WHERE pos % 50 BETWEEN 20 AND 34), 9) AS early, round(sum(a - b) FILTER (WHERE pos % 50 >= 35), 9) AS late FROM x GROUP BY ALL),
+o AS (SELECT *, CASE WHEN sum(a) OVER w <= sum(b) OVER w THEN 'a' ELSE 'b' END AS old, CASE WHEN fa <= fb THEN 'a' ELSE 'b' END AS lead FROM r WINDOW w AS (PARTITION BY client ORDER BY round))"""
+
+
+@query("exp_8_recalibration", _EVIDENCE + """SELECT client, round, old, lead, old <> lead AS replay,
+coalesce(old <> lead AND CASE WHEN lead = 'a' THEN early < 0 AND late < 0 ELSE early > 0 AND late > 0 END, false) AS both_halves FROM o WHERE fa IS NOT NULL""")
+def exp_8(spark, sf):
+    """After each aggregation round: is the evidence rebuilt from the round's last thirty losses?"""
+    s = _s(spark, sf).select("client", F.floor(F.col("pos") / 50).alias("round"), "pos", F.col("loss").alias("a"), F.lit(0.45).alias("b"))
+    stored = s.where("pos % 50 >= 20").withColumn("half", F.when(F.col("pos") % 50 >= 35, 1).otherwise(0))
+    return experts.recalibration(s, stored, ["a", "b"], "client", "round")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import aggregates as agg
 from ..operators import matching, resolution, windows
-from ..sources.streams import STREAM_SQL, stream
+from ..sources.streams import STREAM_SQL, changes, stream
 from ..sources.tables import table
 from .catalog import query
 
@@ -19,8 +19,8 @@ def _s(spark: SparkSession, sf: str) -> DataFrame:
     return stream(table(spark, sf, "events"))
 
 
-def _truth(s: DataFrame) -> DataFrame:
-    return s.where("drift").select("client", "pos")
+def _truth(spark: SparkSession, sf: str) -> DataFrame:
+    return changes(table(spark, sf, "events"))
 
 
 def _alarms(s: DataFrame) -> DataFrame:
@@ -42,7 +42,7 @@ SELECT s.pos - t.pos AS delta, CAST(sum(correct) AS BIGINT) AS correct, count(*)
 FROM truth t JOIN stream s ON s.client = t.client AND s.pos BETWEEN t.pos AND t.pos + {LONGEST} GROUP BY 1""")
 def agg_14(spark, sf):
     s = _s(spark, sf)
-    return matching.recovery_curve(_truth(s), s.select("client", "pos", "correct"), LONGEST).withColumn("accuracy", F.round("accuracy", 6))
+    return matching.recovery_curve(_truth(spark, sf), s.select("client", "pos", "correct"), LONGEST).withColumn("accuracy", F.round("accuracy", 6))
 
 
 @query("agg_14_recovery_by_client", TRUTH + f""", curves AS (
@@ -52,7 +52,7 @@ SELECT delta, round(avg(a), 6) AS mean, round(stddev_pop(a), 6) AS std, CAST(sum
 def agg_14b(spark, sf):
     """Spread over clients of each one's curve (population deviation)."""
     s = _s(spark, sf)
-    curves = matching.aligned(_truth(s), s.select("client", "pos", "correct"), LONGEST).groupBy("client", "delta").agg(F.avg("correct").alias("a"), F.count("*").alias("n"))
+    curves = matching.aligned(_truth(spark, sf), s.select("client", "pos", "correct"), LONGEST).groupBy("client", "delta").agg(F.avg("correct").alias("a"), F.count("*").alias("n"))
     return curves.groupBy("delta").agg(F.round(F.avg("a"), 6).alias("mean"), F.round(F.stddev_pop("a"), 6).alias("std"), F.sum("n").alias("n"))
 
 
@@ -145,7 +145,7 @@ matched AS (SELECT client, true_pos, pos FROM greedy WHERE pos IS NOT NULL)"""
 @query("jn_1_match_events", _MATCHED + "SELECT client, true_pos, pos, pos - true_pos AS delay FROM matched")
 def jn_1(spark, sf):
     s = _s(spark, sf)
-    return matching.match_events(_truth(s), _alarms(s), TOLERANCE).where("true_pos IS NOT NULL").select("client", "true_pos", "pos", "delay")
+    return matching.match_events(_truth(spark, sf), _alarms(s), TOLERANCE).where("true_pos IS NOT NULL").select("client", "true_pos", "pos", "delay")
 
 
 @query("met_detection", _MATCHED + """, counts AS (SELECT client, (SELECT count(*) FROM matched m WHERE m.client = c.client) AS tp,
@@ -158,14 +158,14 @@ round(CASE WHEN total_true > 0 THEN (total_true - tp) / total_true ELSE 0 END, 6
 round(CASE WHEN total_detect > 0 THEN (total_detect - tp) / total_detect ELSE 0 END, 6) AS fdr FROM counts WHERE total_true + total_detect > 0""")
 def met_detection(spark, sf):
     s = _s(spark, sf)
-    out = matching.detection_counts(matching.match_events(_truth(s), _alarms(s), TOLERANCE), ["client"])
+    out = matching.detection_counts(matching.match_events(_truth(spark, sf), _alarms(s), TOLERANCE), ["client"])
     return out.withColumns({c: F.round(c, 6) for c in ("avg_delay", "recall", "precision", "f1", "miss_rate", "fdr")})
 
 
 @query("jn_2_as_of", ALARMS + "SELECT a.client, a.pos, max(t.pos) AS true_pos FROM alarms a LEFT JOIN truth t ON t.client = a.client AND t.pos <= a.pos GROUP BY a.client, a.pos")
 def jn_2(spark, sf):
     s = _s(spark, sf)
-    return matching.as_of(_alarms(s), _truth(s).withColumn("true_pos", F.col("pos")), "client", "pos", "true_pos")
+    return matching.as_of(_alarms(s), _truth(spark, sf).withColumn("true_pos", F.col("pos")), "client", "pos", "true_pos")
 
 
 @query("jn_3_change_points", _MATCHED + """, errors AS (SELECT client, (pos - pos % 13) - true_pos AS e FROM matched)
@@ -173,7 +173,7 @@ SELECT client, count(*) AS n, round(avg(abs(e)), 6) AS mae, round(avg(e), 6) AS
 def jn_3(spark, sf):
     """Estimates (here: the alarm's position less its remainder by 13) against the true positions that the alarms are matched to."""
     s = _s(spark, sf)
-    m = matching.match_events(_truth(s), _alarms(s), TOLERANCE).where("true_pos IS NOT NULL")
+    m = matching.match_events(_truth(spark, sf), _alarms(s), TOLERANCE).where("true_pos IS NOT NULL")
     e = F.col("pos") - F.col("pos") % 13 - F.col("true_pos")
     return m.groupBy("client").agg(F.count("*").alias("n"), F.round(F.avg(F.abs(e)), 6).alias("mae"), F.round(F.avg(e), 6).alias("bias"))
 
@@ -184,8 +184,8 @@ WHEN f.pos - t.pos BETWEEN {TOLERANCE} + 1 AND 2 * {TOLERANCE} THEN 3 ELSE 4 END
 SELECT client, pos, ['duplicate', 'early', 'late', 'isolated'][r] AS class FROM ranked""")
 def jn_4(spark, sf):
     s = _s(spark, sf)
-    free = matching.match_events(_truth(s), _alarms(s), TOLERANCE).where("kind = 'event' AND true_pos IS NULL").select("client", "pos")
-    return matching.classify_unmatched(free, _truth(s), TOLERANCE)
+    free = matching.match_events(_truth(spark, sf), _alarms(s), TOLERANCE).where("kind = 'event' AND true_pos IS NULL").select("client", "pos")
+    return matching.classify_unmatched(free, _truth(spark, sf), TOLERANCE)
 
 
 @query("jn_5_aligned_windows", ALARMS + """SELECT a.client, a.pos AS true_pos, count(*) AS n, round(sum(loss), 6) AS loss FROM alarms a JOIN stream s
@@ -241,7 +241,7 @@ def agg_10(spark, sf):
     """The main metrics of a run in one row."""
     s = _s(spark, sf)
     quality = s.agg(F.round(F.avg("correct"), 6).alias("accuracy"), F.round(F.avg(F.when(matching.stable_mask(F.col("pos"), F.col("ld"), 50), F.col("correct"))), 6).alias("stable_accuracy"))
-    m = matching.match_events(_truth(s), _alarms(s), TOLERANCE).withColumn("run", F.lit(1))
+    m = matching.match_events(_truth(spark, sf), _alarms(s), TOLERANCE).withColumn("run", F.lit(1))
     found = matching.detection_counts(m, ["run"]).select("run", "tp", "fp", "fn", F.round("f1", 6).alias("f1"), F.round("avg_delay", 6).alias("avg_delay"))
     return quality.withColumn("run", F.lit(1)).join(found, "run").drop("run")
 

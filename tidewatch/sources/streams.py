@@ -9,41 +9,77 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: The least number of clients, and the events that make another one: keys grow with the data.
 CLIENTS = 10
+EVENTS_A_CLIENT = 1000
 BLOCKS = 10
 
 
+def clients_of(events: DataFrame) -> int:
+    """The number of clients that events are dealt to; counted from the files' metadata."""
+    return max(CLIENTS, events.count() // EVENTS_A_CLIENT)
+
+
 def block_of(pos: Column, n: Column, blocks: int = BLOCKS) -> Column:
     """The time block of a position where ``n`` rows are dealt to ``blocks`` blocks, the first ones a row longer."""
     q, r = F.floor(n / blocks), n % blocks
     return F.when(pos < r * (q + 1), F.floor(pos / (q + 1))).otherwise(r + F.floor((pos - r * (q + 1)) / F.greatest(q, F.lit(1)))).cast("long")
 
 
-def positions(events: DataFrame, clients: int = CLIENTS) -> DataFrame:
-    """``client``, ``pos``, ``n``, ``label``, ``frac``."""
-    of = Window.partitionBy("client").orderBy("ts", "event_id")
-    dealt = events.select((F.col("user_id") % clients).alias("client"), "ts", "event_id", F.col("event_type").alias("label"), F.least(F.col("value") / 200, F.lit(1.0)).alias("frac"))
-    totals = dealt.groupBy("client").agg(F.count("*").alias("n"))  # a few rows: joined, so that no window holds a whole client
-    numbered = dealt.withColumn("pos", F.row_number().over(of).cast("long") - 1)
-    return numbered.join(totals, "client").select("client", "pos", "n", "label", "frac")
+def start_of(block: Column, n: Column, blocks: int = BLOCKS) -> Column:
+    """The first position of a time block; ``n`` or more where the block is empty."""
+    return (block * F.floor(n / blocks) + F.least(block, n % blocks)).cast("long")
+
+
+def _change_of(block: Column, client: Column) -> Column:
+    """The last block up to ``block`` at whose start the concept of :func:`stream` changes; below 1 if there is none."""
+    return block - (block + client) % 2
+
 
+def positions(events: DataFrame, clients: int | None = None) -> DataFrame:
+    """``client``, ``pos``, ``n``, ``label``, ``frac``.
 
-def stream(events: DataFrame, clients: int = CLIENTS) -> DataFrame:
-    """All columns of the canonical stream."""
-    w = Window.partitionBy("client").orderBy("pos")
+    A position is the number of the client's rows on the days before the row's, by a running sum over one row a client and day, and
+    the row's number within its day: a client with a large part of all rows is dealt to as many tasks as it has days.
+    """
+    day = F.coalesce(F.to_date("ts"), F.lit("0001-01-01").cast("date"))
+    dealt = events.select(
+        (F.col("user_id") % (clients or clients_of(events))).alias("client"), day.alias("day"), "ts", "event_id", F.col("event_type").alias("label"), F.least(F.col("value") / 200, F.lit(1.0)).alias("frac")
+    )
+    whole = Window.partitionBy("client")
+    past = whole.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy("client", "day").agg(F.count("*").alias("k"))
+    days = counts.select("client", "day", F.coalesce(F.sum("k").over(past), F.lit(0)).alias("before"), F.sum("k").over(whole).alias("n"))
+    within = Window.partitionBy("client", "day").orderBy("ts", "event_id")
+    numbered = dealt.withColumn("i", F.row_number().over(within)).join(days, ["client", "day"])
+    return numbered.select("client", (F.col("before") + F.col("i") - 1).alias("pos"), "n", "label", "frac")
+
+
+def stream(events: DataFrame, clients: int | None = None) -> DataFrame:
+    """All columns of the canonical stream. Concepts follow from time blocks, so changes are found by arithmetic, not by windows."""
     s = positions(events, clients).withColumn("tid", block_of(F.col("pos"), F.col("n")))
     s = s.withColumn("concept", F.floor((F.col("tid") + F.col("client")) / 2) % 2)
-    s = s.withColumn("drift", F.coalesce(F.col("concept") != F.lag("concept").over(w), F.lit(False)))
-    s = s.withColumn("ld", F.last(F.when(F.col("drift"), F.col("pos")), ignorenulls=True).over(w))
+    change = _change_of(F.col("tid"), F.col("client"))
+    s = s.withColumn("ld", F.when(change >= 1, start_of(change, F.col("n"))))
+    s = s.withColumn("drift", F.coalesce(F.col("pos") == F.col("ld"), F.lit(False)))
     since = F.coalesce(F.col("pos") - F.col("ld"), F.lit(999))
     s = s.withColumn("correct", (F.col("frac") < F.least(F.lit(0.9), 0.2 + 0.03 * since)).cast("int"))
-    return s.withColumn("loss", F.when(F.col("concept") == 1, 0.6 + 0.3 * F.col("frac")).otherwise(0.2 * F.col("frac")))
+    s = s.withColumn("loss", F.when(F.col("concept") == 1, 0.6 + 0.3 * F.col("frac")).otherwise(0.2 * F.col("frac")))
+    return s.select("client", "pos", "n", "label", "frac", "tid", "concept", "drift", "ld", "correct", "loss")
+
+
+def changes(events: DataFrame, clients: int | None = None) -> DataFrame:
+    """``client`` and ``pos`` of the stream's changes, from the clients' numbers of rows alone."""
+    totals = events.groupBy((F.col("user_id") % (clients or clients_of(events))).alias("client")).agg(F.count("*").alias("n"))
+    blocks = totals.select("client", "n", F.explode(F.array(*[F.lit(t).cast("long") for t in range(1, BLOCKS)])).alias("tid"))
+    starts = blocks.where(_change_of(F.col("tid"), F.col("client")) == F.col("tid")).select("client", "n", start_of(F.col("tid"), F.col("n")).alias("pos"))
+    return starts.where("pos < n").select("client", "pos")
 
 
 #: The same in DuckDB's SQL, as the head of a query.
 STREAM_SQL = f"""
 WITH RECURSIVE dealt AS (
-  SELECT user_id % {CLIENTS} AS client, ts, event_id, event_type AS label, least(value / 200, 1.0) AS frac FROM events),
+  SELECT user_id % (SELECT greatest({CLIENTS}, count(*) // {EVENTS_A_CLIENT}) FROM events) AS client, ts, event_id, event_type AS label, least(value / 200, 1.0) AS frac FROM events),
 numbered AS (
   SELECT client, row_number() OVER (PARTITION BY client ORDER BY ts, event_id) - 1 AS pos,
     count(*) OVER (PARTITION BY client) AS n, label, frac FROM dealt),
