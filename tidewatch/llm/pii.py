@@ -1,13 +1,15 @@
 """Personal data by fixed patterns and a semi-Markov conditional random field.
 
-The base patterns (email, ip, card, phone) always hold. The model adds spans of these kinds and of secrets: a candidate segment is a run of
-at most ``LONGEST`` tokens, ``LONGEST_CHARS`` characters and (several tokens) ``MOST_DIGITS`` digits, with a digit or ``@`` before its first blank, scored as a whole by its shape, digit groups, checks (Luhn, octets),
-neighbours and the word before it; dynamic programming over segments (outside tokens have length one) chooses boundaries and kinds
+The base patterns (email, ip, card, phone) always hold. The model adds spans of these kinds and of secrets. A candidate segment has a digit
+or ``@`` in each part between blanks or is assigned to a name like ``password``; it is a run of at most ``LONGEST`` tokens, of ``LONGEST_CHARS``
+characters if it has a blank, of ``MOST_DIGITS`` digits if it has a blank or no letter, or else a run without a blank of any length (from
+its start, or from behind its last ``=``, ``:`` or quote). It is scored as a whole by its shape, digit groups, checks (Luhn, octets),
+classes of characters, neighbours and the word before it; dynamic programming over segments (outside tokens have length one) chooses boundaries and kinds
 jointly, with learned scores for the change of kinds. Its spans that overlap no base span are added. Weights are fitted once, on sentences made
 from a fixed seed, by gradient ascent on the conditional log-likelihood (forward-backward over segments).
 
-Text without digits or ``@`` has no candidates, so only the neighbourhoods of these are read into tokens; between them every token is
-outside, which separates the programs exactly. Time is linear in the text, whatever it holds.
+Text without digits, ``@`` and assigned names has no candidates, so only the neighbourhoods of these are read into tokens; between them
+every token is outside, which separates the programs exactly. Time is linear in the text, whatever it holds.
 
 Defined results: a null text has no spans; positions are code points, ends exclusive; spans are sorted by kind as listed, then start.
 Repeated rows stand for themselves; an empty table gives no rows. Other columns are ignored.
@@ -30,7 +32,7 @@ BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "secret")
 LONGEST = 16
 LONGEST_CHARS = 96
-#: Digits of a segment of several tokens.
+#: Digits of a segment with a blank or without a letter.
 MOST_DIGITS = 19
 #: Characters of the gap within which two triggers share one program.
 NEAR = 40
@@ -40,7 +42,11 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_TRIGGER = re.compile("[0-9@]")
+_MARK = re.compile("[0-9@]")
+_ASSIGNS = re.compile("[=:]")
+_NAME = re.compile(r"""(?i:passphrase|password|passwd|pwd|secret|token|key|credential|bearer)["']?\x20?$""")
+_VALUE = re.compile(r"""\x20?["']?[^\W\d_]""")
+_ASSIGNED = re.compile(r"""["']?\x20?[=:]\x20?["']?""")
 _BLANK = re.compile("[ \n\t]")
 _TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_")
 
@@ -77,7 +83,7 @@ def _digits(span: str) -> str:
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     out = [("email", *s) for s in _emails(text)] if "@" in text else []
-    if _TRIGGER.search(text) is None:
+    if _MARK.search(text) is None:
         return out
     out += [("ip", *m.span()) for m in _IP.finditer(text) if _octets(m[0])]
     for m in _CARD.finditer(text):
@@ -91,68 +97,121 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 # --- segments ---
 
 _WORDS = {
-    "secret": ("token", "key", "secret", "password", "passwd", "pwd", "apikey", "bearer", "credential"),
-    "phone": ("tel", "phone", "telephone", "call", "fax", "mobile", "cell", "telefon"),
+    "secret": ("token", "key", "secret", "password", "passwd", "passphrase", "pwd", "apikey", "bearer", "credential"),
+    "phone": ("tel", "phone", "telephone", "call", "fax", "mobile", "cell", "telefon", "handy", "whatsapp"),
     "card": ("card", "visa", "mastercard", "credit", "karte", "carte", "tarjeta"),
     "ip": ("ip", "host", "server", "address"),
     "email": ("mail", "email", "contact"),
+    "id": ("commit", "sha", "sha1", "sha256", "md5", "md5sum", "checksum", "digest", "hash", "isbn", "issn", "uuid", "guid", "order", "invoice", "serial", "build", "revision", "doi", "ticket", "version", "page"),
 }
 _WORD_CLASS = {w: k for k, ws in _WORDS.items() for w in ws}
+#: Tokens between a naming word and what it names.
+_BETWEEN = frozenset(["=", ":", '"', "'", "(", ")", "+", ".", "#", "-", ">", "is", "no", "nr", "number", "at", "on"])
+#: How public services begin their keys.
+_PREFIXES = ("ghp_", "gho_", "ghs_", "github_pat_", "glpat-", "sk-", "sk_", "pk_", "rk_", "AKIA", "ASIA", "xoxb-", "xoxp-", "AIza", "eyJ", "hf_", "npm_", "SG.", "ya29.")
 
 
 def tokenize(text: str, at: int, to: int) -> list[tuple[int, int]]:
     return [m.span() for m in _TOKEN.finditer(text, at, to)]
 
 
+def _run_starts(text: str, tokens: list[tuple[int, int]]) -> dict[int, int]:
+    """Of runs of tokens without a blank: the first token, and the one behind the last ``=``, ``:`` or quote before the run's last letter or
+    digit, each with the end of the run's last token of letters or digits."""
+    out: dict[int, int] = {}
+    i, n = 0, len(tokens)
+    while i < n:
+        j = i + 1
+        while j < n and tokens[j][0] == tokens[j - 1][1]:
+            j += 1
+        last = j
+        while last > i and not text[tokens[last - 1][1] - 1].isalnum():
+            last -= 1
+        if last > i:
+            out[i] = last
+            k = last - 1
+            while k > i and text[tokens[k - 1][0]] not in "=:\"'":
+                k -= 1
+            out[k] = last
+        i = j
+    return out
+
+
 def candidates(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int, tuple]]:
     """(first token, end token, key) of segments that could be an entity; the key holds all that features see."""
-    out, word, n = [], "", len(tokens)
+    out, word, named, n = [], "", -1, len(tokens)
     digits = [len(_digits(text[a:b])) for a, b in tokens]
+    runs = _run_starts(text, tokens)
     for i, (a, b) in enumerate(tokens):
         first = text[a]
         glued = i > 0 and tokens[i - 1][1] == a
         before = text[a - 1] if glued else " "
+        after = lambda j: text[tokens[j - 1][1]] if j < n and tokens[j][0] == tokens[j - 1][1] else " "
+        assigned = named >= 0 and word == "secret" and _ASSIGNED.fullmatch(text, named, a) is not None
         if (first.isalnum() or first in "+(") and not (glued and before in "._%@"):
-            seen, many = False, 0
+            seen, many, blank, letters = False, 0, False, False
+            ends = []
             for j in range(i, min(n, i + LONGEST)):
                 c, d = tokens[j]
-                many += digits[j]
-                if j > i and (many > MOST_DIGITS or not (seen or c == tokens[j - 1][1])):
+                if j > i and (gap := c - tokens[j - 1][1]):
+                    if gap > 1 or text[c - 1] == "\n" or not seen:
+                        break
+                    blank, seen = True, False
+                last = text[c:d]
+                many, letters = many + digits[j], letters or (last[0].isalnum() and digits[j] < d - c)
+                if j > i and many > MOST_DIGITS and (blank or not letters):
                     break
-                if d - a > LONGEST_CHARS or (j > i and (c - tokens[j - 1][1] > 1 or "\n" in text[tokens[j - 1][1] : c])):
+                if d - a > LONGEST_CHARS and j > i:
                     break
-                last = text[c:d]
-                seen = seen or _TRIGGER.search(last) is not None
-                after = text[d] if j + 1 < n and tokens[j + 1][0] == d else " "
-                if seen and last[-1].isalnum():
-                    out.append((i, j + 1, _key(text[a:d], word, before, after, j + 1 - i)))
+                seen = seen or _MARK.search(last) is not None
+                if last[-1].isalnum() and (seen or (assigned and not blank)):
+                    ends.append(j + 1)
+            if (end := runs.get(i)) is not None and end not in ends and (assigned or _MARK.search(text, a, tokens[end - 1][1])):
+                ends.append(end)
+            out += [(i, j, _key(text[a : tokens[j - 1][1]], word + "=" * assigned, before, after(j), j - i)) for j in ends]
         token = text[a:b].lower()
-        word = _WORD_CLASS.get(token, word if token in "=:\"'()+" or token == "is" else "")
+        if found := _WORD_CLASS.get(token):
+            word, named = found, b
+        elif token not in _BETWEEN and not (word == "id" and len(token) <= 2):
+            word, named = "", -1
     return out
 
 
+def _runs_of(span: str) -> int:
+    """Changes between lower case, upper case and digits, by length."""
+    kinds = re.sub("[0-9]", "0", re.sub("[^\\W\\d_]", lambda m: "A" if m[0].isupper() else "a", span))
+    return min(10 * sum(x != y for x, y in zip(kinds, kinds[1:])) // max(len(span), 1), 6)
+
+
 def _key(span: str, word: str, before: str, after: str, n: int) -> tuple:
     shape = re.sub("[^\\W\\d_]+", "a", span)
     digits = _digits(span)
     check = "luhn" if 13 <= len(digits) <= 19 and luhn(digits) else "octets" if span.count(".") == 3 and re.fullmatch(r"[0-9.]+", span) and _octets(span) else ""
-    long_hex = ""
-    if span.isalnum() and len(span) >= 16:
-        shape, long_hex = "token", "hex" if re.fullmatch("[0-9a-fA-F]+", span) else "mixed"
-        long_hex += "digits" if len(digits) == len(span) else str(min(len(span) // 8, 5))
+    dense = ""
+    if len(span) >= 12 and "@" not in span and re.search("\\s", span) is None and "a" in shape:
+        shape = "dense"
+        hexed = re.fullmatch("[0-9a-f]+|[0-9A-F]+", span)
+        classes = "hex" if hexed else "".join(c for c, p in (("l", "[a-z]"), ("u", "[A-Z]"), ("d", "[0-9]"), ("x", "[^A-Za-z0-9]")) if re.search(p, span))
+        dense = (classes, min(len(span) // 8, 8), min(_runs_of(span), 6), any(span.startswith(x) for x in _PREFIXES), "/" in span or "." in span)
     side = lambda c: "a" if c.isalnum() else c if c in " .-@=\"'/:,()+" else "o"
-    return (re.sub("[0-9]+", lambda m: str(min(len(m[0]), 20)) + "#", shape), min(len(digits), 20), check, long_hex, word, side(before), side(after), min(n, 10))
+    return (re.sub("[0-9]+", lambda m: str(min(len(m[0]), 20)) + "#", shape), min(len(digits), 20), check, dense, word, side(before), side(after), min(n, 10), span[0] == "0" or span[:2] == "(0")
 
 
 def key_features(key: tuple) -> list[str]:
-    shape, digits, check, long_hex, word, before, after, n = key
+    shape, digits, check, dense, word, before, after, n, zero = key
     seps = "".join(sorted({c for c in shape if not c.isalnum() and c != "#"}))
     mail = bool(re.fullmatch(r"[a0-9#._%+-]+@[a0-9#-]+(\.[a0-9#-]+)*\.a", shape))
-    out = ["bias", f"d{digits}", f"seps{seps}", f"check{check}", f"hex{long_hex}", f"word{word}", f"b{before}", f"e{after}", f"n{n}"]
+    out = ["bias", f"d{digits}", f"seps{seps}", f"check{check}", f"word{word}", f"b{before}", f"e{after}", f"n{n}"]
     out += [f"mail{mail}", f"first{shape[:1] if not shape[:1].isdigit() else '0'}", f"letters{'a' in shape}", f"groups{shape.count('#')}"]
+    if dense:
+        classes, size, changes, prefixed, path = dense
+        out += [f"dense{classes}", f"size{size}", f"changes{changes}", f"prefix{prefixed}", f"path{path}", f"classes{classes}{size}", f"word{word}{classes}", f"word{word}prefix{prefixed}", f"changes{changes}{classes}", f"b{before}e{after}dense"]
+    else:
+        out.append(f"word{word}short")
+        if word.endswith("="):
+            out.append(f"assigned{before}{after}")
     if len(shape) <= 20 and "a" not in shape:
-        out.append(f"shape{shape}")
-    if word:
-        out.append(f"word{word}hex{long_hex[:3]}")
+        out += [f"shape{shape}", f"word{word}d{digits}", f"zero{zero}word{word}"]
     if digits >= 9 and "a" not in shape:
         out.append(f"plus{shape[:1] == '+'}phone{digits <= 15}")
     return out
@@ -207,20 +266,44 @@ class Model:
         return out[::-1]
 
 
+def _triggers(text: str):
+    """(start, place) of digits, of ``@`` and of values that are assigned to a secret's name, from a place on that is sent in."""
+    named = []
+    for m in _ASSIGNS.finditer(text):
+        p = m.start()
+        if (name := _NAME.search(text[max(0, p - 14) : p])) and (value := _VALUE.match(text, p + 1)):
+            named.append((p - min(p, 14) + name.start(), value.end() - 1))
+    i, at = 0, 0
+    while True:
+        mark = _MARK.search(text, at)
+        while i < len(named) and named[i][0] < at:
+            i += 1
+        found = named[i] if i < len(named) and (mark is None or named[i][0] < mark.start()) else mark and (mark.start(), mark.start())
+        if not found:
+            return
+        at = yield found
+
+
 def regions(text: str):
-    """Stretches around digits and ``@``: whole blank-parted pieces with the words before; what lies between has no candidate."""
+    """Stretches around digits, ``@`` and assigned names: whole blank-parted pieces with the words before; what lies between has no candidate."""
     begin = end = -1
     at = 0  # behind the last piece; all searches stop there or at the next blank, so their work adds up to the text's length
-    while (m := _TRIGGER.search(text, at)) is not None:
-        p = m.start()
+    triggers = _triggers(text)
+    found = next(triggers, None)
+    while found is not None:
+        p, place = found
         start = max(at, *(text.rfind(c, at, p) + 1 for c in " \n\t"))
-        blank = _BLANK.search(text, p)
+        blank = _BLANK.search(text, place)
         if end < 0:
             begin = start
         elif start - end > NEAR:
             yield _context(text, begin), end
             begin = start
         end = at = blank.start() if blank else len(text)
+        try:
+            found = triggers.send(at)
+        except StopIteration:
+            found = None
     if end >= 0:
         yield _context(text, begin), end
 
@@ -269,18 +352,63 @@ def _sentences(n: int, rng: np.random.Generator) -> list[tuple[str, list[tuple[s
         lead = num(15)
         return next(lead + str(d) for d in rng.permutation(10).tolist() if not luhn(lead + str(d)))
 
-    makers = {
-        "email": lambda: f"{word()}{pick('', '.', '_')}{pick('', num(2))}@{word()}{pick('', num(1))}.{pick('', 'example.')}{pick('com', 'org', 'de')}",
-        "ip": lambda: ".".join(str(int(x)) for x in rng.integers(1, 256, size=4)),
-        "card": card,
-        "phone": lambda: pick(f"+{num(1)} ({num(3)}) {num(3)}-{num(4)}", f"({num(3)}) {num(3)}-{num(4)}", f"+{num(2)} {num(3)} {num(7)}", f"{num(3)}-{num(3)}-{num(4)}"),
-        "secret": lambda: chars(int(pick(24, 32, 40, 40, 64)), "0123456789abcdef") if rng.random() < 0.7 else "9Q" + chars(int(pick(20, 30, 38)), "abcDEFghiJKLmno0123456789xyzPQR"),
-    }
-    lead = {"secret": ('token = "{}"', "key: {}", "password={}", 'secret "{}"', "{}"), "phone": ("{}", "tel {}", "call {}"), "card": ("{}", "card {}"), "ip": ("{}", "host {}"), "email": ("{}", "mail {}")}
+    lower, upper, digit = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    both = lower + upper + digit
+    hexed = lambda k: chars(k, "0123456789abcdef")
+
+    def ensured(value: str) -> str:
+        """With a digit in it."""
+        at = int(rng.integers(1, len(value) - 1))
+        return value if any(c.isdigit() for c in value) else value[:at] + num(1) + value[at + 1 :]
+
+    opaque = (
+        lambda: hexed(int(pick(24, 32, 40, 48, 64))), lambda: ensured(chars(int(rng.integers(20, 48)), both)), lambda: ensured(chars(39, both + "/+") + pick(*both)),
+        lambda: pick("ghp_", "gho_", "hf_", "npm_") + ensured(chars(36, both)), lambda: pick("sk-", "sk-proj-", "glpat-") + (hexed(32) if rng.random() < 0.3 else ensured(chars(int(rng.integers(20, 60)), both + "-_")) + pick(*both)),
+        lambda: pick("sk_live_", "pk_test_", "rk_live_") + ensured(chars(24, both)), lambda: pick("AKIA", "ASIA") + ensured(chars(16, upper + digit)), lambda: f"xoxb-{num(11)}-{num(12)}-{chars(24, both)}", lambda: "AIza" + ensured(chars(35, both)),
+        lambda: f"eyJ{ensured(chars(18, both))}.eyJ{chars(int(rng.integers(20, 90)), both)}.{chars(43, both + '-_')}" + pick(*both),
+    )
+    marked = opaque[3:]
+
+    def assigned():
+        """A name, an assignment and what is secret."""
+        name = pick("token", "key", "secret", "password", "passwd", "pwd", "api_key", "API-KEY", "apikey", "access_token", "aws_secret_access_key", "client_secret", "SECRET_KEY", "db.password", "passphrase", "auth token", "Password", "credential")
+        quote = pick("", "", '"', "'")
+        value = pick(*opaque)() if "pass" not in name.lower() and name != "pwd" or rng.random() < 0.2 else ensured(chars(int(rng.integers(8, 15)), both)) if rng.random() < 0.6 else word() + num(int(rng.integers(1, 5))) if rng.random() < 0.6 else chars(int(rng.integers(8, 15)), lower)
+        return f'{pick("", "", quote)}{name}{pick(" = ", "=", ": ", ":", " is ") if any(c.isdigit() for c in value) else pick("=", ": ", " = ")}{quote}', value, quote
+
+    national = (lambda: f"0{num(3)} {num(7)}", lambda: f"0{num(2)}/{num(7)}", lambda: f"(0{num(2)}) {num(6)}", lambda: f"0{num(4)}-{num(6)}", lambda: f"0{num(1)} {num(2)} {num(2)} {num(2)} {num(2)}", lambda: f"0{num(10)}")
+
+    def phone():
+        return pick(f"+{num(1)} ({num(3)}) {num(3)}-{num(4)}", f"({num(3)}) {num(3)}-{num(4)}", f"+{num(2)} {num(3)} {num(7)}", f"{num(3)}-{num(3)}-{num(4)}", f"{num(3)}.{num(3)}.{num(4)}")
+
+    def entity():
+        """(kind, what stands before, value, what stands after)."""
+        kind = pick(*KINDS, "secret", "phone")
+        if kind == "secret":
+            draw = rng.random()
+            if draw < 0.7:
+                head, value, tail = assigned()
+                return kind, head, value, tail
+            return (kind, pick("Authorization: Bearer ", "bearer ", "Bearer "), pick(*opaque)(), "") if draw < 0.8 else (kind, pick("", "", "use ", "("), pick(*marked)(), "")
+        if kind == "phone":
+            return (kind, pick("tel ", "Tel. ", "tel: ", "phone ", "call ", "Telefon ", "fax ", "mobile: ", "phone number "), pick(*national)() if rng.random() < 0.6 else phone(), "") if rng.random() < 0.6 else (kind, "", phone(), "")
+        if kind == "email":
+            return kind, pick("", "", "mail ", "contact: "), f"{word()}{pick('', '.', '_')}{pick('', num(2))}@{word()}{pick('', num(1))}.{pick('', 'example.')}{pick('com', 'org', 'de')}", ""
+        if kind == "ip":
+            return kind, pick("", "", "host ", "ip "), ".".join(str(int(x)) for x in rng.integers(1, 256, size=4)), ""
+        return kind, pick("", "", "card ", "visa: "), card(), ""
+
+    uuid = lambda: "-".join(hexed(k) for k in (8, 4, 4, 4, 12))
     noise = (
         lambda: num(int(rng.integers(1, 9))), lambda: f"{num(4)}-{num(2)}-{num(2)}", lambda: f"{num(2)}.{num(2)}.{num(4)}", lambda: f"{num(3)},{num(3)}.{num(2)}", lambda: f"v{num(1)}.{num(1)}.{num(2)}",
         lambda: f"{num(2)}:{num(2)}", lambda: f"{word()}{num(2)}", lambda: f"version {num(1)}.{num(1)}", lambda: f"@{word()}", lambda: num(int(rng.integers(20, 30))), lambda: f"{num(3)} {num(2)}", lambda: f"{num(3)}.{num(3)}.{num(3)}",
         fails, fails, lambda: word() * 6, lambda: f"{num(5)}-{num(4)}", lambda: f"{word()} = {num(3)}", lambda: f"({num(2)})", lambda: f"{int(rng.integers(300, 999))}.{num(2)}.{num(2)}.{num(2)}",
+        lambda: f"{pick('commit', 'revision', 'sha', 'commit:')} {hexed(int(pick(7, 12, 40)))}", lambda: f"{pick('md5sum', 'md5:', 'checksum', 'MD5 =')} {hexed(32)}", lambda: f"{pick('sha256', 'digest:', 'hash =', 'checksum:')} {hexed(64)}",
+        lambda: f"{pick('ISBN', 'ISBN:', 'isbn', 'ISBN-13:')} {pick('978', '979')}-{num(1)}-{num(2)}-{num(6)}-{num(1)}", lambda: f"{pick('isbn', 'ISBN')} {num(13)}", lambda: f"{pick('order', 'invoice', 'ticket', 'order number', 'serial no')} {num(int(rng.integers(5, 13)))}",
+        lambda: f"{pick('', '', 'uuid ', 'id ')}{uuid()}", lambda: f"https://{word()}.example.org/{word()}/{num(4)}/{word()}?id={num(6)}", lambda: f"{word()}_{num(4)}_{word()}_v{num(1)}.{pick('pdf', 'csv', 'txt')}", lambda: f"{word()}-{word()}-{num(2)}.{num(1)}",
+        lambda: f"{pick('page', 'doi')} 10.{num(4)}/{word()}.{num(4)}.{num(5)}", lambda: f"#{hexed(6)}", lambda: f"{pick('the', 'a')} {pick('key', 'token', 'secret', 'password', 'phone', 'card')} {word()} {pick('', num(2))}", lambda: f"{pick('tokens', 'keys', 'max_tokens', 'key')}{pick(' = ', ': ', '=')}{num(int(rng.integers(1, 5)))}",
+        lambda: f"{pick('call', 'tel', 'fax')} {pick('', 'me ')}{num(int(rng.integers(1, 3)))}", lambda: f"{num(4)} {num(4)}", lambda: f"{num(2)} {num(2)} {num(2)}", lambda: f"{word()}{num(1)}{word()}{num(2)}{word()}", lambda: f"{num(4)}/{num(2)}/{num(2)} {num(2)}:{num(2)}:{num(2)}",
+        lambda: hexed(int(pick(8, 16))), lambda: f"{pick('Secret', 'Key', 'token')}: {word()} {word()}",
     )
     out = []
     for _ in range(n):
@@ -288,9 +416,7 @@ def _sentences(n: int, rng: np.random.Generator) -> list[tuple[str, list[tuple[s
         for _ in range(int(rng.integers(3, 8))):
             draw = rng.random()
             if draw < 0.35:
-                kind = pick(*KINDS)
-                value = makers[kind]()
-                head, _, tail = pick(*lead[kind]).partition("{}")
+                kind, head, value, tail = entity()
                 spans.append((kind, len(text) + len(head), len(text) + len(head) + len(value)))
                 text += head + value + tail
             elif draw < 0.65:
@@ -330,7 +456,7 @@ def log_forward(n: int, segments, move: np.ndarray):
 
 
 @lru_cache(maxsize=1)
-def trained(n: int = 320, steps: int = 30, seed: int = 11) -> Model:
+def trained(n: int = 500, steps: int = 40, seed: int = 11) -> Model:
     rng = np.random.default_rng(seed)
     k = len(KINDS)
     data, index, flat, owner, gold = [], {}, [], [], []
@@ -411,11 +537,14 @@ def find(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", te
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """Numbers of base spans, a digest of these, and all spans as text."""
+    """Numbers of base spans, a digest of these, all spans as text, and the numbers of secrets and of all spans."""
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     base = F.filter("found", lambda s: s["base"])
     count = lambda kind: F.size(F.filter("found", lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", *[count(k) for k in BASE_KINDS], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"))
+    secrets = F.size(F.filter("found", lambda s: s["kind"] == "secret")).cast("long").alias("n_secret")
+    return found.select(
+        "doc_id", *[count(k) for k in BASE_KINDS], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"), secrets, F.size("found").cast("long").alias("n_spans")
+    )
 
 
 def redact(text: str | None, spans: list[tuple[str, int, int, bool]]) -> str | None:
