@@ -25,9 +25,11 @@ def cleaned(df):
     return {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in lines.drop_boilerplate(df, "source").collect()}
 
 
+@pytest.mark.parametrize("short", [lines.SHORT, 0])
 @pytest.mark.parametrize("bytes_", [lines.BROADCAST_BYTES, 0])
-def test_against_brute_force(spark, monkeypatch, bytes_):
+def test_against_brute_force(spark, monkeypatch, bytes_, short):
     monkeypatch.setattr(lines, "BROADCAST_BYTES", bytes_)
+    monkeypatch.setattr(lines, "SHORT", short)
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").repartition(4)
     want = brute_clean([(r.doc_id, r.source, r.text) for r in docs.collect()])
     assert cleaned(docs) == want

@@ -16,6 +16,8 @@ line feeds and are compared exactly (by 128-bit digest). An empty table gives an
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +27,8 @@ MAX_RATIO = 0.05
 MIN_PAGES = 3
 #: Digest bytes of boilerplate lists that are broadcast; larger ones are joined by shuffling on the host.
 BROADCAST_BYTES = 16 << 20
+#: Entries of a list that each line is compared with one by one.
+SHORT = 64
 #: A host with more than one in so many of all pages is split for the shuffled join.
 HEAVY = 4096
 
@@ -67,6 +71,23 @@ def _with_lists(pages: DataFrame, found: DataFrame, host_col: str, drop: str) ->
     return met.select(*pages.columns, drop)
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _kept(lines: Column, drop: Column) -> Column:
+    """The lines that are not in the list. In a long list, first the few of it that the page holds are found by hashing; then each line is
+    held against these."""
+
+    def without(of: Column, met: Column) -> Column:
+        return F.filter(of, lambda x: ~F.array_contains(met, F.md5(x)))
+
+    met = lambda of: F.array_intersect(F.transform(of, lambda x: F.md5(x)), drop)
+    few = lambda of: _bound(met(of), lambda m: F.when(F.size(m) > 0, without(of, m)).otherwise(of))
+    return F.when(drop.isNull(), lines).when(F.size(drop) <= SHORT, without(lines, drop)).otherwise(_bound(lines, few))
+
+
 def drop_boilerplate(
     pages: DataFrame, host_col: str, text_col: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, spare: bool = False, counts: bool = True
 ) -> DataFrame:
@@ -77,12 +98,8 @@ def drop_boilerplate(
         raise ValueError("the columns of hosts and texts can't be called like the numbers that are added")
     kept_columns = [c for c in pages.columns if c.lower() not in added]
     found = written(boilerplate(pages, host_col, text_col, max_ratio, min_pages), "boilerplate")
-    drop, kept, met = fresh(pages, "drop"), fresh(pages, "kept"), fresh(pages, "met")
-    joined = _with_lists(pages, found, host_col, drop)
-    # First the few of the list that the page holds, by hashing; then each line against these.
-    joined = joined.withColumn(met, F.array_intersect(F.transform(_lines(text_col), lambda x: F.md5(x)), drop))
-    stays = F.filter(_lines(text_col), lambda x: ~F.array_contains(met, F.md5(x)))
-    joined = joined.withColumn(kept, F.when(F.col(drop).isNull(), _lines(text_col)).otherwise(stays))
+    drop, kept = fresh(pages, "drop"), fresh(pages, "kept")
+    joined = _with_lists(pages, found, host_col, drop).withColumn(kept, _kept(_lines(text_col), F.col(drop)))
     if spare:
         joined = joined.withColumn(kept, F.when(F.exists(kept, lambda x: F.trim(x) != ""), F.col(kept)).otherwise(_lines(text_col)))
     lines = F.coalesce(F.size(_lines(text_col)), F.lit(0))
