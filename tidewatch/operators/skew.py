@@ -27,3 +27,16 @@ def join_counted(rows: DataFrame, keyed: DataFrame, on: list[str], total: int, n
     light = keyed.where(F.col(n) * HEAVY <= total)
     rest = rows.join(heavy.select(*on), on, "left_anti").join(light, on)
     return rows.join(heavy, on).unionByName(rest)
+
+
+def left_join_spread(rows: DataFrame, keyed: DataFrame, on: str) -> DataFrame:
+    """``rows`` left-joined with ``keyed``, which holds each value of ``on`` once. Rows of a heavy key, whether it is in ``keyed`` or not, are
+    dealt by their contents to as many shares as it holds ``HEAVY``-ths of all rows, and its row of ``keyed`` is copied to each."""
+    total = rows.count()
+    key, shares, share = (fresh(rows.join(keyed.limit(0), on, "left"), c) for c in ("key", "shares", "share"))
+    counts = rows.groupBy(F.col(on).alias(key)).agg(F.count("*").alias(shares)).where(F.col(shares) * HEAVY > total)
+    heavy = F.broadcast(counts.withColumn(shares, F.ceil(F.col(shares) * HEAVY / F.lit(max(total, 1))).cast("int")))
+    n = F.coalesce(F.col(shares), F.lit(1))
+    left = rows.join(heavy, F.col(on) == F.col(key), "left").withColumn(share, F.pmod(F.xxhash64(*rows.columns), n).cast("int")).drop(key, shares)
+    right = keyed.join(heavy, F.col(on) == F.col(key), "left").withColumn(share, F.explode(F.sequence(F.lit(0), n - 1))).drop(key, shares)
+    return left.join(right, [on, share], "left").drop(share)
