@@ -4,6 +4,7 @@ import re
 import pytest
 
 from tidewatch.llm import decontaminate
+from tidewatch.operators import skew
 
 SF = "/root/testdata/sf0.001"
 
@@ -81,3 +82,32 @@ def test_empty_tables_and_repeated_rows(spark, way):
     assert decontaminate.drop_contaminated(d, b.limit(0)).count() == 3
     r = decontaminate.digest(decontaminate.scan(d, b)).where("doc_id = 1").first()
     assert (r.n_items, r.items_sha256, r.contaminated) == (1, decontaminate.sha256_of(["7"]), True)
+
+
+def test_clashing_names_text_ids_and_a_long_text(spark, way):
+    long = " ".join(f"w{i % 900} x{i}" for i in range(60_000)) + " Alpha beta, gamma"
+    rows = [("k", long, 1, 2, 3, 4, 5), ("l", "nothing", 1, 2, 3, 4, 5)]
+    d = spark.createDataFrame(rows, "doc_id string, text string, row int, `__row` int, bad int, share int, found int")
+    b = spark.createDataFrame([("i", "alpha beta gamma")], "item_id string, text string")
+    assert scanned(d, b) == brute_scan([r[:2] for r in rows], [("i", "alpha beta gamma")])
+    dropped = decontaminate.drop_contaminated(d, b)
+    assert dropped.columns == d.columns and [tuple(r) for r in dropped.collect()] == rows[1:]
+
+
+def test_copies_and_a_frequent_word_are_a_third_of_all(spark, way, monkeypatch):
+    monkeypatch.setattr(skew, "HEAVY", 8)
+    docs = [(i, "the same text the") for i in range(60)] + [(100 + i, f"the number {i} of the day") for i in range(60)] + [(300 + i, f"clean {i}") for i in range(60)]
+    items = [(1, "the"), (2, "number 7 of the day"), (3, "same text")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    want = brute_scan(docs, items)
+    assert scanned(d, b) == want
+    assert {r.doc_id for r in decontaminate.drop_contaminated(d, b).collect()} == {k for k, v in want.items() if not v[1]}
+
+
+def test_bytes_bound_the_broadcast(spark, monkeypatch):
+    b = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
+    d = spark.createDataFrame([(1, "x")], "doc_id long, text string")
+    assert decontaminate._prepared(d, b)[0] is not None
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 3)
+    assert decontaminate._prepared(d, b)[0] is None

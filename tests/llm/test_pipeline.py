@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tidewatch.llm import pieces
 from tidewatch.llm.queries import PIECES
@@ -67,3 +69,20 @@ def test_large_groups_of_copies_keep_one_whole_text(spark):
     assert texts[1003][0] == "own line number 3 of page 9\n" and texts[2000] == (None, None) and texts[2001] == ("\n", 1)
     kept = {r.doc_id: r.text for r in corpus_pipeline.near_dedup(spark, cleaned, SF).collect()}
     assert {d: t for d, t in kept.items() if d < 1000} == {100 * g: text for g, text in groups.items()}
+
+
+def test_repeated_rows_a_long_text_and_extra_columns(spark):
+    """Through all stages: clashing columns stay up to the last stage, a repeated row counts once after near-dedup, nothing crashes."""
+    base = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 40")
+    long = base.where("doc_id = 1").selectExpr("5000L as doc_id", "repeat(concat(text, ' again\n'), 300) as text", "lang", "source", "n_chars")
+    docs = base.unionByName(base.where("doc_id IN (2, 3)")).unionByName(long)
+    for name in ("row", "tie", "id", "drop", "kept", "fp", "n_lines"):
+        docs = docs.withColumn(name, F.lit(name))
+    now = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, SF).cache()
+        assert now.columns == docs.columns, name
+        assert {r.fp for r in now.collect()} <= {"fp"}
+    ids = [r.doc_id for r in now.collect()]
+    assert len(ids) == len(set(ids))
+    assert dict(corpus_pipeline.STAGES)["pieces"](spark, now, SF).where("lossless").count() == len(ids)

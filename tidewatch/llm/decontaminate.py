@@ -6,10 +6,11 @@ contains all its shingles, so for exact containment the necessary prefix is the
 with that one are candidates. The shingle's place in the window and in the document gives the only possible start (positional
 bound), the window must end within the document (length bound), and its words are compared one by one.
 
-Benchmarks of up to ``BROADCAST_WINDOWS`` windows are broadcast and documents are scanned where they lie. Larger ones are joined
-by shuffle on the shingle's hash: :func:`scan_by_shuffle`, with the same results.
+Benchmarks of up to ``BROADCAST_WINDOWS`` windows and ``BROADCAST_BYTES`` are broadcast and documents are scanned where they lie. Larger ones are joined
+by shuffle on the shingle's hash: :func:`scan_by_shuffle`, with the same results; a frequent shingle is dealt to ``SALTS`` keys or, once its
+places are counted, met by a broadcast of the few such, and the rows of a text with many copies are spread.
 
-Defined results: null and empty texts have no words; an item without words has no window; repeated items and documents count as
+Ids keep their type. Defined results: null and empty texts have no words; an item without words has no window; repeated items and documents count as
 rows of their own (an item id once for each document); empty tables give no hits. Other columns are ignored by :func:`scan`
 and kept by :func:`drop_contaminated`.
 """
@@ -25,11 +26,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_slices, slices, texts, written
+from ..operators.skew import left_join_spread
+from .common import fresh, join_counted, map_slices, slices, texts, written
 
 WINDOW = 10
 SHINGLE = 5
 BROADCAST_WINDOWS = 200_000
+BROADCAST_BYTES = 32 << 20
+#: Keys that the places of one shingle are dealt to before they are counted.
+SALTS = 64
 
 _WORD_BYTES = {*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)}
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b in _WORD_BYTES else 0x20 for b in range(256))
@@ -185,7 +190,9 @@ def _hits(index: Index, tables, batch_texts) -> list[tuple[int, int, list[str]]]
     return [(int(n), int(h), sorted(i)) for n, h, i in zip(sizes, n_hit, items)]
 
 
-SCHEMA = "doc_id long, n_words long, n_hit long, items array<string>"
+def _schema(docs: DataFrame):
+    long = F.lit(None).cast("long")
+    return docs.select("doc_id", long.alias("n_words"), long.alias("n_hit"), F.lit(None).cast("array<string>").alias("items")).schema
 
 
 def _scan_batch(rows, ids) -> pa.RecordBatch:
@@ -198,7 +205,8 @@ def _scan_batch(rows, ids) -> pa.RecordBatch:
 def _prepared(docs: DataFrame, benchmark: DataFrame):
     """The broadcast index and its prefix tables; None where the benchmark is too large, with its windows."""
     windows = written(item_windows(benchmark), "windows")
-    if windows.count() > BROADCAST_WINDOWS:
+    n, size = windows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("window") + F.octet_length("item")), F.lit(0))).first()
+    if n > BROADCAST_WINDOWS or size > BROADCAST_BYTES:
         return None, windows
     sc = docs.sparkSession.sparkContext
     index = sc.broadcast(Index([tuple(r) for r in windows.collect()]))
@@ -208,7 +216,7 @@ def _prepared(docs: DataFrame, benchmark: DataFrame):
 
 def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``n_words``, ``n_hit`` (words inside an occurrence of a window) and ``items`` (sorted ids) of each document."""
-    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     ready, windows = _prepared(chosen, benchmark)
     if ready is None:
         return scan_by_shuffle(chosen, windows)
@@ -218,7 +226,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
         rows = _hits(index.value, tables.value, texts(batch)) if tables else [(len(words(t)), 0, []) for t in texts(batch)]
         return _scan_batch(rows, batch["doc_id"])
 
-    return map_slices(chosen, run, SCHEMA)
+    return map_slices(chosen, run, _schema(chosen))
 
 
 def _hash(ws: list[bytes]) -> int:
@@ -254,19 +262,22 @@ def scan_by_shuffle(docs: DataFrame, windows: DataFrame) -> DataFrame:
         )
 
     keyed = docs.withColumn("row", F.xxhash64("text"))  # equal texts share their hits
-    places = map_slices(keyed.select("row", "text"), of_docs, "row long, at int, size int, key long")
-    known = places.join(shingles.select("size", "key").distinct(), ["size", "key"])
-    met = written(known, "shingle-places")
+    places = map_slices(keyed.select("row", "text").dropDuplicates(["row"]), of_docs, "row long, at int, size int, key long")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    wanted = shingles.select("size", "key").distinct().select("size", "key", salts)
+    salted = places.withColumn("salt", F.pmod(F.xxhash64("row", "at"), F.lit(SALTS)).cast("int"))
+    met = written(salted.join(wanted, ["size", "key", "salt"], "left_semi").drop("salt"), "shingle-places")
     rarity = met.groupBy("size", "key").agg(F.count("*").alias("n"))
     prefix = (
         shingles.join(rarity, ["size", "key"], "left")
         .groupBy("window")
         .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "offset", "size", "key")).alias("p"))
-        .select("window", "p.offset", "p.size", "p.key")
+        .select("window", "p.*")
     )
-    candidates = met.join(prefix, ["size", "key"]).select("row", "window", (F.col("at") - F.col("offset")).alias("start")).where("start >= 0")
-    candidates = candidates.join(windows, "window").groupBy("row", "window", "start").agg(F.collect_set("item").alias("items"))
-    by_row = candidates.groupBy("row").agg(F.collect_list(F.struct("window", "start", "items")).alias("found"))
+    candidates = join_counted(met, written(prefix, "shingle-prefix"), ["size", "key"], met.count())
+    candidates = candidates.select("row", "window", (F.col("at") - F.col("offset")).alias("start")).where("start >= 0")
+    items = windows.groupBy("window").agg(F.collect_set("item").alias("items"))
+    by_row = candidates.join(items, "window").groupBy("row").agg(F.collect_list(F.struct("window", "start", "items")).alias("found"))
 
     def verify(batch):
         rows = []
@@ -280,7 +291,7 @@ def scan_by_shuffle(docs: DataFrame, windows: DataFrame) -> DataFrame:
             rows.append((len(ws), len(hit), sorted(items)))
         return _scan_batch(rows, batch["doc_id"])
 
-    return map_slices(keyed.join(by_row, "row", "left").select("doc_id", "text", "found"), verify, SCHEMA)
+    return map_slices(left_join_spread(keyed, by_row, "row").select("doc_id", "text", "found"), verify, _schema(docs))
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -299,10 +310,11 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
     """``docs`` without the rows that contain a window of an item."""
     ready, windows = _prepared(docs.select(F.col(text_col).alias("text")), benchmark)
     if ready is None:
-        keyed = docs.withColumn("__row", F.xxhash64(text_col))
-        found = scan_by_shuffle(keyed.select(F.col("__row").alias("doc_id"), F.col(text_col).alias("text")), windows)
-        bad = found.where("n_hit > 0").select(F.col("doc_id").alias("__row")).distinct()
-        return keyed.join(bad, "__row", "left_anti").drop("__row")
+        row = fresh(docs, "row")
+        keyed = docs.withColumn(row, F.xxhash64(text_col))
+        single = keyed.select(F.col(row).alias("doc_id"), F.col(text_col).alias("text")).dropDuplicates(["doc_id"])
+        bad = scan_by_shuffle(single, windows).where("n_hit > 0").select(F.col("doc_id").alias(row), F.lit(True).alias(fresh(keyed, "bad")))
+        return left_join_spread(keyed, bad, row).where(F.col(bad.columns[1]).isNull()).select(*docs.columns)
     index, tables = ready
     if tables is None:
         return docs
