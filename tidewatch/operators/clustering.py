@@ -85,6 +85,16 @@ def complete_linkage(edges: DataFrame, nodes: DataFrame, scope: list[str], cut:
     return rows.groupBy(*scope).applyInPandas(link, schema)
 
 
+def cluster(edges: DataFrame, nodes: DataFrame, scope: list[str], cut: float, linkage: str) -> DataFrame:
+    """``scope``, ``id``, ``cluster`` (smallest member) by ``single`` or ``complete`` linkage; edges join nodes of one scope only."""
+    if linkage == "complete":
+        return complete_linkage(edges, nodes, scope, cut)
+    if linkage != "single":
+        raise ValueError(f"unknown linkage {linkage!r}")
+    found = connected(edges, nodes.select("id"), cut).withColumnRenamed("component", "cluster")
+    return nodes.select(*scope, "id").join(found, "id").select(*scope, "id", "cluster")
+
+
 def nearest(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Of each model the nearest other (distance, then id): ``nearest`` -1 and a null distance where none was evaluated, and ``evaluated``."""
     both = edges.select(F.col("i").alias("id"), F.col("j").alias("other"), "distance").unionByName(edges.select(F.col("j").alias("id"), F.col("i").alias("other"), "distance"))

@@ -121,18 +121,12 @@ def ml_1(spark, sf):
     return out.select("client", "n", F.round("loss", 4).alias("loss"), F.size("parameters").alias("parameters"))
 
 
-@query("ml_6_gradient_projection", """WITH v AS (SELECT vec_id // 2 AS g, vec_id % 2 AS i, list_transform(list_slice(embedding, 1, 8), lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+@query("ml_6_gradient_projection", """WITH v AS (SELECT vec_id // 2 AS g, vec_id % 2 AS i, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
 p AS (SELECT a.g, a.i, a.e, b.e AS o, list_inner_product(a.e, b.e) AS d, list_inner_product(b.e, b.e) AS q FROM v a JOIN v b ON a.g = b.g AND a.i <> b.i),
-c AS (SELECT g, i, CASE WHEN d < 0 AND q > 0 THEN list_transform(range(1, 9), lambda k: e[k] - d / q * o[k]) ELSE e END AS e FROM p)
+c AS (SELECT g, i, CASE WHEN d < 0 AND q > 0 THEN list_transform(range(1, len(e) + 1), lambda k: e[k] - d / q * o[k]) ELSE e END AS e FROM p)
 SELECT g, i, round(list_sum(list_transform(e, lambda x: x * x)), 5) AS square FROM c""")
 def ml_6(spark, sf):
-    """Updates of two vectors each, freed of their conflicts."""
-    return _projected(table(spark, sf, "embeddings").withColumn("embedding", F.slice("embedding", 1, 8)))
-
-
-@query("ml_6_gradient_projection_whole")
-def ml_6_whole(spark, sf):
-    """Of whole vectors; ``ml_6_gradient_projection`` and its SQL take the first eight components."""
+    """Updates of two whole vectors each, freed of their conflicts."""
     return _projected(table(spark, sf, "embeddings"))
 
 

@@ -293,9 +293,17 @@ def epi_1(spark, sf):
     return resolution.episodes(_alarms(_s(spark, sf)), 150)
 
 
-@query("lif_1_prediction_log", STREAM_SQL + "SELECT client, pos, concept, correct, concept AS model FROM stream")
+@query("lif_1_prediction_log", STREAM_SQL + """, past AS (SELECT client, pos, concept, loss, coalesce(sum(loss) OVER w, 0) AS a, coalesce(sum(0.8 - loss) OVER w, 0) AS b FROM stream
+WINDOW w AS (PARTITION BY client ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), routed AS (SELECT *, CASE WHEN a > b + 1e-9 THEN 1 ELSE 0 END AS model FROM past)
+SELECT client, pos, concept, model, CAST(CASE WHEN model = 0 THEN loss ELSE 0.8 - loss END < 0.4 AS INT) AS correct FROM routed""")
 def lif_1(spark, sf):
-    return _s(spark, sf).select("client", "pos", "concept", "correct", F.col("concept").alias("model"))
+    """Hard routing, each row before anything is learned from it: the model (0: the losses, 1: their mirror) of least past loss predicts."""
+    past = Window.partitionBy("client").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    sums = [F.coalesce(F.sum(x).over(past), F.lit(0.0)) for x in (F.col("loss"), 0.8 - F.col("loss"))]
+    model = F.when(sums[0] > sums[1] + 1e-9, 1).otherwise(0)
+    routed = _s(spark, sf).select("client", "pos", "concept", "loss", model.alias("model"))
+    own = F.when(F.col("model") == 0, F.col("loss")).otherwise(0.8 - F.col("loss"))
+    return routed.select("client", "pos", "concept", "model", (own < 0.4).cast("int").alias("correct"))
 
 
 @query("rnd_1_interleaved_rounds", STREAM_SQL + """, r AS (SELECT *, pos // 50 AS round, row_number() OVER (ORDER BY pos, client) AS turn FROM stream)

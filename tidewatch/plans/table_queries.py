@@ -138,14 +138,16 @@ def clu_10(spark, sf):
     return clustering.gate(d, d.select("id", (F.col("id") % 4).alias("cluster")), 0.0115)
 
 
-@query("clu_12_policy_and_maturity", """SELECT s_suppkey AS id, s_suppkey % 2 = 0 AS on_new_model, true AS every_round, s_suppkey % 10 >= s_suppkey % 7 + 3 AS mature FROM supplier""")
+@query("clu_12_policy_and_maturity", """WITH c AS (SELECT s_suppkey % 10 AS round, count(*) FILTER (WHERE s_acctbal > 9000) AS new, count(*) AS n FROM supplier GROUP BY 1)
+SELECT round, new AS new_models, new > 0 AS on_new_model, true AS every_round, false AS disabled, CAST(coalesce(sum(n) OVER (ORDER BY round RANGE BETWEEN UNBOUNDED PRECEDING AND 3 PRECEDING), 0) AS BIGINT) AS mature FROM c""")
 def clu_12(spark, sf):
-    """CLU-12 and RND-6."""
-    new = F.col("s_suppkey") % 2 == 0
-    return table(spark, sf, "supplier").select(
-        F.col("s_suppkey").alias("id"), clustering.due("on_new_model", new).alias("on_new_model"), clustering.due("every_round", new).alias("every_round"),
-        clustering.mature(F.col("s_suppkey") % 10, F.col("s_suppkey") % 7, 3).alias("mature"),
-    )
+    """CLU-12 and RND-6: of each of ten rounds, whether clustering is due by each policy, and the models that have been isolated for three rounds."""
+    new = F.count(F.when(F.col("s_acctbal") > 9000, 1))
+    rounds = table(spark, sf, "supplier").groupBy((F.col("s_suppkey") % 10).alias("round")).agg(new.alias("new_models"), F.count("*").alias("n"))
+    created = rounds.select(F.col("round").alias("created"), F.col("n").alias("models"))
+    old = rounds.join(F.broadcast(created), clustering.mature(F.col("round"), F.col("created"), 3), "left").groupBy("round").agg(F.coalesce(F.sum("models"), F.lit(0)).alias("mature"))
+    due = {p: clustering.due(p, F.col("new_models") > 0) for p in ("on_new_model", "every_round", "disabled")}
+    return rounds.select("round", "new_models", *(c.alias(p) for p, c in due.items())).join(old, "round")
 
 
 @query("srt_8_nearest_neighbour", _EDGES + """, u AS (SELECT i AS id, j AS other, distance FROM e WHERE i IS NOT NULL AND distance <= 60 UNION ALL SELECT j, i, distance FROM e WHERE i IS NOT NULL AND distance <= 60)
@@ -430,12 +432,12 @@ def prj_12(spark, sf):
     return table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.concat_ws(" ", "c_mktsegment", F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("[A="), "c_nationkey", F.lit("]"))), F.when(F.col("c_acctbal") < 0, "[debt]")).alias("series"))
 
 
-@query("prj_13_predictions", """WITH x AS (SELECT vec_id, label % 4 AS y, list_transform(list_slice(embedding, 1, 4), lambda v: CAST(v AS DOUBLE)) AS z FROM embeddings), s AS (SELECT vec_id, y, z, list_sum(list_transform(z, lambda v: exp(v))) AS t FROM x)
+@query("prj_13_predictions", """WITH x AS (SELECT vec_id, label % len(embedding) AS y, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS z FROM embeddings), s AS (SELECT vec_id, y, z, list_sum(list_transform(z, lambda v: exp(v))) AS t FROM x)
 SELECT vec_id AS id, CAST(list_position(z, list_max(z)) - 1 AS BIGINT) AS predicted, round(1 - exp(z[y + 1]) / t, 5) AS loss FROM s""")
 def prj_13(spark, sf):
-    """Arg-max class, and one less the softmax of the true one, over four scores."""
-    z = F.transform(F.slice("embedding", 1, 4), lambda v: v.cast("double"))
-    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), (F.col("label") % 4).cast("int").alias("y"), z.alias("z"))
+    """Arg-max class, and one less the softmax of the true one, over all scores of a vector."""
+    z = F.transform("embedding", lambda v: v.cast("double"))
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), (F.col("label") % F.size("embedding")).cast("int").alias("y"), z.alias("z"))
     return e.select("id", (F.array_position("z", F.array_max("z")) - 1).alias("predicted"), F.round(1 - F.get(st.softmax(F.col("z")), F.col("y")), 5).alias("loss"))
 
 
@@ -445,16 +447,9 @@ def fn_names(spark, sf):
     return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), tx.sanitized(name).alias("stem"), F.substring(F.sha2("p_type", 256), 1, 12).alias("digest"))
 
 
-@query("fn_bounded_stems", "SELECT doc_id AS id, CASE WHEN length(t) <= 72 THEN t ELSE substr(t, 1, 59) || '_' || substr(sha256(t), 1, 12) END AS stem FROM (SELECT doc_id, trim(regexp_replace(left(text, 200), '[^A-Za-z0-9._-]+', '_', 'g'), '_') AS t FROM documents)")
+@query("fn_bounded_stems", "SELECT doc_id AS id, CASE WHEN length(t) <= 72 THEN t ELSE substr(t, 1, 59) || '_' || substr(sha256(t), 1, 12) END AS stem FROM (SELECT doc_id, trim(regexp_replace(text, '[^A-Za-z0-9._-]+', '_', 'g'), '_') AS t FROM documents)")
 def fn_bounded(spark, sf):
-    """File names from the first 200 characters, which is what a name takes."""
-    t = tx.sanitized(F.substring("text", 1, 200))
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), tx.bounded_stem(t).alias("stem"))
-
-
-@query("fn_bounded_stems_whole")
-def fn_bounded_whole(spark, sf):
-    """File names from whole texts: texts that differ only after 200 characters get different ones."""
+    """File names from whole texts."""
     return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), tx.bounded_stem(tx.sanitized(F.col("text"))).alias("stem"))
 
 

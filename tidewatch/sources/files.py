@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Columns and version of result rows.
@@ -37,6 +37,14 @@ def read_logs(spark: SparkSession, path: str, pattern: str, names: list[str]) ->
     return found.select(*[F.regexp_extract("value", pattern, i).alias(n) for i, n in enumerate(names, 1)], F.col("_metadata.file_path").alias("file"))
 
 
+def read_sources(spark: SparkSession, path: str) -> DataFrame:
+    """``root`` and ``dataset`` of each source of JSON lists; one without datasets fails the read."""
+    found = spark.read.schema("root string, datasets array<string>").json(path)
+    bad = F.col("root").isNull() | (F.coalesce(F.size("datasets"), F.lit(0)) < 1)
+    checked = found.where(F.when(bad, F.raise_error(F.concat(F.lit("source not accepted: "), F.coalesce("root", F.lit("?"))))).otherwise(F.lit(True)).cast("boolean"))
+    return checked.select("root", F.explode("datasets").alias("dataset"))
+
+
 def latest_records(records: DataFrame, key: list[str], order: str) -> DataFrame:
     """Of each key the last record."""
     rest = [c for c in records.columns if c not in key]
@@ -93,6 +101,14 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "content").mapInPandas(read, "path string, at long, values array<float>")
 
 
+def canonical(rows: DataFrame, added: dict[str, Column], order: list[str]) -> DataFrame:
+    """``rows`` with the columns of ``order``, those that are missing from ``added``; all others go."""
+    missing = [c for c in order if c not in rows.columns and c not in added]
+    if missing:
+        raise ValueError(f"no column or value for {missing}")
+    return rows.select(*(F.col(c) if c in rows.columns else added[c].alias(c) for c in order))
+
+
 # --- writers ---
 
 
@@ -106,6 +122,17 @@ def write_runs(samples: DataFrame, path: str, by: list[str]) -> None:
     samples.repartition(*by, F.pmod(F.xxhash64(*samples.columns), F.lit(8))).write.partitionBy(*by).mode("errorifexists").parquet(path)
 
 
+def write_baseline(rows: DataFrame, path: str, by: str, order: list[str]) -> DataFrame:
+    """CSV in a folder for each value of ``by``, sorted within each file, refused where there is something already; what is read back, if it
+    has as many rows."""
+    rows.repartitionByRange(by, *order).sortWithinPartitions(by, *order).write.partitionBy(by).mode("errorifexists").csv(path, header=True)
+    back = rows.sparkSession.read.schema(rows.schema).csv(path, header=True)
+    written, read = rows.count(), back.count()
+    if written != read:
+        raise ValueError(f"{written} rows were written, {read} are there")
+    return back
+
+
 def markdown(rows: DataFrame, limit: int = 1000) -> str:
     """A small ordered result as a Markdown table; nulls as a dash. Larger results are refused, not cut."""
     found = rows.limit(limit + 1).collect()
