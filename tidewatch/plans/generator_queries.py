@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..operators import learning, matching
@@ -47,7 +49,15 @@ def src_4(spark, sf):
     return _rounded(gen.samples(_ids(spark, sf, 2), "sine2"))
 
 
-@query("src_1_blob_samples")
+def _normal_sql(i: str, salt: int) -> str:
+    return f"(sqrt(-2 * ln(1 - {_U(i, salt)})) * cos({2 * math.pi!r} * ({_U(i, salt + 1)})))"
+
+
+@query("src_1_blob_samples", f"""WITH r AS (SELECT o_orderkey AS id, o_orderkey % 4 AS concept, CASE WHEN {_U('o_orderkey', 1)} < 0.5 THEN 0.0 ELSE 1.0 END AS y, {_normal_sql('o_orderkey', 2)} AS n, {2 * math.pi!r} * ({_U('o_orderkey', 4)}) AS theta,
+  {_normal_sql('o_orderkey', 5)} AS u, {_normal_sql('o_orderkey', 7)} AS v FROM orders),
+q AS (SELECT *, CASE WHEN (y = 0) = (concept = 0) THEN -2.0 ELSE 2.0 END AS side, CASE WHEN (y = 0) = (concept = 1) THEN 1.5 + 0.4 * n ELSE 4.5 + 0.5 * n END AS r FROM r),
+p AS (SELECT *, CASE WHEN concept % 2 = 0 THEN side + 0.6 * u ELSE r * cos(theta) END AS a, CASE WHEN concept % 2 = 0 THEN side + 0.6 * v ELSE r * sin(theta) END AS b FROM q)
+SELECT id, concept, {_x('a', 'b')} AS x, CAST(y AS DOUBLE) AS y FROM p""")
 def src_1(spark, sf):
     return _rounded(gen.samples(_ids(spark, sf, 4), "blobs"))
 
@@ -66,10 +76,10 @@ def src_8(spark, sf):
 
 
 def _pattern_sql(concepts: int, n: int) -> str:
-    rows = ", ".join(f"'{r}'" for r in schedules.PATTERNS[concepts])
+    rows = ", ".join(str(list(r)) for r in schedules.PATTERNS[concepts])
     q, r = divmod(n, 10)
     block = f"CASE WHEN p < {r * (q + 1)} THEN p // {q + 1} ELSE {r} + (p - {r * (q + 1)}) // {q} END"
-    return f"SELECT c AS client, p AS pos, CAST(substr([{rows}][CAST({block} AS INT) + 1], CAST(c AS INT) + 1, 1) AS BIGINT) AS concept FROM unnest(range(0, 10)) AS a(c), unnest(range(0, {n})) AS b(p)"
+    return f"SELECT c AS client, p AS pos, CAST([{rows}][CAST({block} AS INT) + 1][CAST(c AS INT) + 1] AS BIGINT) AS concept FROM unnest(range(0, 10)) AS a(c), unnest(range(0, {n})) AS b(p)"
 
 
 @query("src_12_fixed_schedule_two", _pattern_sql(2, 1503))
@@ -82,7 +92,11 @@ def src_12b(spark, sf):
     return schedules.schedule(spark, "fixed", 4, 10, 997)
 
 
-@query("src_11_random_schedule")
+@query("src_11_random_schedule", f"""WITH RECURSIVE drawn AS (SELECT c AS client, p AS pos, {_U('c * 2000 + p', 1)} AS chance, {_U('c * 2000 + p', 2)} AS choice FROM unnest(range(0, 10)) AS a(c), unnest(range(0, 2000)) AS b(p)),
+walk AS (SELECT c AS client, CAST(-1 AS BIGINT) AS pos, CAST(0 AS BIGINT) AS concept, CAST(0 AS BIGINT) AS last FROM unnest(range(0, 10)) AS a(c)
+UNION ALL SELECT client, pos, CASE WHEN moves THEN (concept + 1 + CAST(floor(choice * 3) AS BIGINT)) % 4 ELSE concept END, CASE WHEN moves THEN pos ELSE last END
+FROM (SELECT d.client, d.pos, w.concept, w.last, choice, d.pos - w.last > 100 AND chance < 0.02 AS moves FROM walk w JOIN drawn d ON d.client = w.client AND d.pos = w.pos + 1))
+SELECT client, pos, concept FROM walk WHERE pos >= 0""")
 def src_11(spark, sf):
     return schedules.random(spark, 4, 10, 2000, 100, 0.02)
 

@@ -13,30 +13,30 @@ from .streams import block_of
 
 # Concepts of ten clients (columns) over ten time blocks (rows), for two and for four concepts.
 PATTERNS = {
-    2: """
-        0000000000
-        0100000000
-        0100000100
-        0111010100
-        0111010110
-        1011011010
-        1001001010
-        1000101011
-        1000101001
-        1000101001
-    """.split(),
-    4: """
-        0000000000
-        1110000000
-        1112220000
-        2212222100
-        2221222130
-        2321233130
-        3321133210
-        3033133213
-        0033313223
-        0003311322
-    """.split(),
+    2: (
+        (0, 0, 0, 0, 0, 0, 0, 0, 0, 0),
+        (0, 1, 0, 0, 0, 0, 0, 0, 0, 0),
+        (0, 1, 0, 0, 0, 0, 0, 1, 0, 0),
+        (0, 1, 1, 1, 0, 1, 0, 1, 0, 0),
+        (0, 1, 1, 1, 0, 1, 0, 1, 1, 0),
+        (1, 0, 1, 1, 0, 1, 1, 0, 1, 0),
+        (1, 0, 0, 1, 0, 0, 1, 0, 1, 0),
+        (1, 0, 0, 0, 1, 0, 1, 0, 1, 1),
+        (1, 0, 0, 0, 1, 0, 1, 0, 0, 1),
+        (1, 0, 0, 0, 1, 0, 1, 0, 0, 1),
+    ),
+    4: (
+        (0, 0, 0, 0, 0, 0, 0, 0, 0, 0),
+        (1, 1, 1, 0, 0, 0, 0, 0, 0, 0),
+        (1, 1, 1, 2, 2, 2, 0, 0, 0, 0),
+        (2, 2, 1, 2, 2, 2, 2, 1, 0, 0),
+        (2, 2, 2, 1, 2, 2, 2, 1, 3, 0),
+        (2, 3, 2, 1, 2, 3, 3, 1, 3, 0),
+        (3, 3, 2, 1, 1, 3, 3, 2, 1, 0),
+        (3, 0, 3, 3, 1, 3, 3, 2, 1, 3),
+        (0, 0, 3, 3, 3, 1, 3, 2, 2, 3),
+        (0, 0, 0, 3, 3, 1, 1, 3, 2, 2),
+    ),
 }
 
 
@@ -44,10 +44,10 @@ def fixed(spark: SparkSession, concepts: int, clients: int, n: int) -> DataFrame
     """``client``, ``pos``, ``concept``: each block of the pattern over its share of ``n`` positions, the first blocks a position longer."""
     if concepts not in PATTERNS or not 1 <= clients <= 10 or n < 1:
         raise ValueError("fixed schedules have 2 or 4 concepts, 1 to 10 clients and at least one position")
-    pattern = F.array(*map(F.lit, PATTERNS[concepts]))
+    pattern = F.array(*[F.array(*map(F.lit, row)) for row in PATTERNS[concepts]])
     every = spark.range(clients * n).select((F.col("id") % clients).alias("client"), F.floor(F.col("id") / clients).alias("pos"))
     block = block_of(F.col("pos"), F.lit(n))
-    return every.select("client", "pos", F.substring(F.element_at(pattern, block.cast("int") + 1), F.col("client").cast("int") + 1, F.lit(1)).cast("long").alias("concept"))
+    return every.select("client", "pos", F.get(F.get(pattern, block.cast("int")), F.col("client").cast("int")).cast("long").alias("concept"))
 
 
 def random(spark: SparkSession, concepts: int, clients: int, n: int, stable: int, probability: float, salt: int = 1) -> DataFrame:
