@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import aggregates as agg
 from ..operators import detectors, experts, matching, resolution, windows
+from ..sources.scratch import written
 from ..sources.streams import STREAM_SQL, stream
 from ..sources.tables import table
 from . import metrics
@@ -31,7 +32,7 @@ SELECT client, pos, width, start, n_new, CASE WHEN n_new < 5 THEN 'insufficient_
 def fifo_1(spark, sf):
     """A client's whole path: losses, detector, estimated start within the delay buffer, samples of the new concept, stored models' fit on
     them (model 0 is current, with history 0.15; model 1 mirrors the losses, with history 0.05), decision."""
-    s = _s(spark, sf).select("client", "pos", "loss").cache()
+    s = written(_s(spark, sf).select("client", "pos", "loss"), "losses")
     alarms = detectors.detect(s, detectors.HoeffdingMean).withColumn("start", resolution.estimated_start(F.col("pos"), BUFFER, F.col("width")))
     recent = matching.near(s.withColumn("p", F.col("pos")), alarms, before=0, after=BUFFER, how="inner").withColumnRenamed("true_pos", "alarm")
     new = recent.join(alarms.select("client", F.col("pos").alias("alarm"), "width", "start"), ["client", "alarm"]).where("p >= start")

@@ -8,11 +8,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as agg
-from ..operators import clustering, windows
+from ..operators import clustering, matching, windows
 from ..sources import files
 from ..sources.scratch import scratch_dir
 from ..sources.streams import STREAM_SQL, stream
 from ..sources.tables import table
+from . import metrics
 from .catalog import query
 from .stream_queries import _MATCHED, TOLERANCE, _alarms, _truth
 from .table_queries import _MATRIX, _WELCH, _matrix
@@ -112,9 +113,7 @@ def clu_14(spark, sf):
 @query("win_10_durations", _MATCHED + """SELECT client, true_pos, pos, pos - true_pos AS delay, (pos // 50 + 1) * 50 - pos AS resolution_delay FROM matched""")
 def win_10(spark, sf):
     """From change to alarm, and from alarm to the round's end that resolves it."""
-    from ..operators.matching import match_events
-
-    m = match_events(_truth(spark, sf), _alarms(_s(spark, sf)), TOLERANCE).where("true_pos IS NOT NULL")
+    m = matching.match_events(_truth(spark, sf), _alarms(_s(spark, sf)), TOLERANCE).where("true_pos IS NOT NULL")
     return m.select("client", "true_pos", "pos", "delay", ((F.floor(F.col("pos") / 50) + 1) * 50 - F.col("pos")).alias("resolution_delay"))
 
 
@@ -170,3 +169,44 @@ def src_19(spark, sf):
     docs.groupBy("root").agg(F.sort_array(F.collect_set("dataset")).alias("datasets")).write.json(path)
     listed = files.read_sources(spark, path)
     return docs.groupBy("root", "dataset").agg(F.count("*").alias("n")).join(listed, ["root", "dataset"]).select("root", "dataset", "n")
+
+
+@query("met_detection_profile", _MATCHED + f""", free AS (SELECT * FROM alarms ANTI JOIN matched USING (client, pos)),
+ranked AS (SELECT f.client, f.pos, min(CASE WHEN f.pos - t.pos BETWEEN 0 AND {TOLERANCE} THEN 1 WHEN f.pos - t.pos BETWEEN -{TOLERANCE} AND -1 THEN 2
+WHEN f.pos - t.pos BETWEEN {TOLERANCE} + 1 AND 2 * {TOLERANCE} THEN 3 ELSE 4 END) AS r FROM free f LEFT JOIN truth t USING (client) GROUP BY ALL),
+s AS (SELECT client, avg(correct) AS accuracy, avg(correct) FILTER (WHERE ld IS NULL OR pos >= ld + 50) AS stable_accuracy, coalesce(avg(correct) FILTER (WHERE pos < ld + 50), 0) AS recovery_accuracy FROM stream GROUP BY client),
+a AS (SELECT client, count(*) AS n, count(true_pos) AS k, avg(a.pos - a.pos % 13 - true_pos) AS bias, avg(abs(a.pos - a.pos % 13 - true_pos)) AS mae FROM alarms a LEFT JOIN matched m USING (client, pos) GROUP BY client),
+u AS (SELECT client, {', '.join(f"CAST(sum(CAST(r = {i} AS INT)) AS BIGINT) AS {k}_fp_count" for i, k in enumerate(('duplicate', 'early', 'late', 'isolated'), 1))} FROM ranked GROUP BY client)
+SELECT client, round(accuracy, 6) AS accuracy, round(stable_accuracy, 6) AS stable_accuracy, round(recovery_accuracy, 6) AS recovery_accuracy, n AS alarm_count, k AS alarm_matched, round(k / n, 6) AS alarm_matched_share,
+k AS change_point_count, round(CASE WHEN n IS NOT NULL THEN coalesce(mae, 0) END, 6) AS change_point_mae, round(CASE WHEN n IS NOT NULL THEN coalesce(bias, 0) END, 6) AS change_point_bias, duplicate_fp_count, early_fp_count, late_fp_count, isolated_fp_count
+FROM s LEFT JOIN a USING (client) LEFT JOIN u USING (client)""")
+def met_detection_profile(spark, sf):
+    """The registry's detection profile: quality, alarms, change points and false alarms by class, a row for each client."""
+    s, truth = _s(spark, sf), _truth(spark, sf)
+    events = matching.match_events(truth, _alarms(s), TOLERANCE).where("kind = 'event'")
+    tables = {
+        "sample": s.withColumn("stable", matching.stable_mask(F.col("pos"), F.col("ld"), 50)),
+        "alarm": events.withColumn("estimate", F.col("pos") - F.col("pos") % 13),
+        "unmatched": matching.classify_unmatched(events.where("true_pos IS NULL").select("client", "pos"), truth, TOLERANCE),
+    }
+    return _six(metrics.compute(tables, ["client"], "detection"))
+
+
+def _six(found):
+    """Ratios and means to six decimals."""
+    kinds = dict(found.dtypes)
+    return found.select(*[F.round(c, 6).alias(c) if kinds[c] == "double" else F.col(c) for c in found.columns])
+
+
+@query("met_resource_profile", STREAM_SQL + """, r AS (SELECT client, pos // 50 AS round, count(*) AS n, count(DISTINCT concept) AS models, sum(frac) AS seconds FROM stream GROUP BY ALL)
+SELECT client, 2 * count(*) AS comm_messages, count(*) AS comm_up, count(*) AS comm_down, CAST(sum(4 * 3 * n) AS BIGINT) AS comm_bytes, CAST(sum((n + 19) // 20) AS BIGINT) AS compute_calls, CAST(sum(n) AS BIGINT) AS compute_examples,
+round(sum(seconds), 6) AS seconds_total, round(max(seconds), 6) AS seconds_max, round(avg(models), 6) AS model_count_mean, max(models) AS model_count_max, CAST(sum(models) AS BIGINT) AS model_count_auc FROM r GROUP BY client""")
+def met_resource_profile(spark, sf):
+    """The registry's resource profile over rounds (updates every twenty samples, seconds from the samples) and transfers (values up, twice
+    as many down)."""
+    n = F.count("*")
+    rounds = _s(spark, sf).groupBy("client", F.floor(F.col("pos") / 50).alias("round")).agg(
+        n.alias("examples"), F.ceil(n / 20).alias("calls"), F.sum("frac").alias("seconds"), F.countDistinct("concept").alias("models")
+    )
+    ways = F.explode(F.array(F.struct(F.lit("up").alias("direction"), F.col("examples").alias("values")), F.struct(F.lit("down").alias("direction"), (2 * F.col("examples")).alias("values"))))
+    return _six(metrics.compute({"round": rounds, "transfer": rounds.select("client", ways.alias("t")).select("client", "t.*")}, ["client"], "resource"))
