@@ -1,5 +1,6 @@
 import gzip
 import json
+import os
 import struct
 
 import numpy as np
@@ -133,3 +134,14 @@ def test_metric_registry(spark):
     assert (row.alarm_count, row.change_point_count, row.change_point_mae, row.change_point_bias, row.provisional_acceptance_rate) == (2, 1, 2.0, 2.0, 0.5)
     with pytest.raises(ValueError):
         metrics.compute({}, ["run"])
+
+
+def test_tables_are_forgotten(spark):
+    from tidewatch.sources import scratch
+
+    tables = [scratch.written(spark.range(3), "some") for _ in range(2)]
+    paths = [t.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0] for t in tables]
+    scratch.forget(tables[0])
+    assert [os.path.exists(p) for p in paths] == [False, True]
+    scratch.forget_all(spark)
+    assert not os.path.exists(paths[1])

@@ -22,17 +22,31 @@ def scratch_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+#: Tables that this driver has written and not deleted.
+_made: list[str] = []
+
+
 def written(df: DataFrame, name: str, **options) -> DataFrame:
     """``df`` as a table in the shared folder: computed once, outlives executors, and cuts the lineage. ``options`` go to the writer."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/tidewatch/{name}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
+    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def forget(df: DataFrame) -> None:
     """Deletes a table made by :func:`written` that nothing will read again."""
-    spark = df.sparkSession
     for name in df.inputFiles()[:1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(name).getParent()
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, name.rsplit("/", 1)[0])
+
+
+def forget_all(spark: SparkSession) -> None:
+    """Deletes every table that this driver has written: for the end of a job, when no result of it will be read any more."""
+    while _made:
+        _delete(spark, _made.pop())
