@@ -37,7 +37,10 @@ def fold(df: DataFrame, key: list[str], order: list[str], make: Callable[[], Cal
         if step is not None and flush and (row := step(None)) is not None:
             yield pd.DataFrame([(*now, *row)], columns=names)
 
-    ordered = chosen.repartition(*[F.col(c) for c in key]).sortWithinPartitions(*key, *order)
+    # A stated number of partitions isn't coalesced by size: a step costs far more time than its row has bytes. The keys' hash is dealt by,
+    # not the keys, as rows that lie by key already may do so in a single partition.
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = chosen.repartition(n, F.xxhash64(*key)).sortWithinPartitions(*key, *order)
     return ordered.mapInPandas(run, wanted)
 
 
