@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jpeg, langid, licenses, lines, lm, pieces, pii, simhash, tokens
+from . import align, bpe, decontaminate, jpeg, langid, licenses, lines, lm, pieces, pii, repair, simhash, tokens
 from .common import written
 
 #: Vocabulary files, parameters of the operators: a bare name is looked up where each task runs, a path is taken as it is.
 PIECES = "piece_bpe_32k.model"
 WORD_PIECES = "word_bpe_49k.json"
+BYTE_PIECES = "byte_bpe_50k.json"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +61,18 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_corpus(table(spark, sf_dir, "documents"))
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest(table(spark, sf_dir, "documents"), WORD_PIECES)
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.digest(table(spark, sf_dir, "documents"), BYTE_PIECES, PIECES)
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.digest(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op2_pieces": op2_pieces,
@@ -71,6 +84,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_token_orc": op9_token_orc,
     "op10_lm_scores": op10_lm_scores,
+    "op11_bpe": op11_bpe,
+    "op12_alignment": op12_alignment,
+    "op13_repair": op13_repair,
 }
 
 _OP3 = f"""
