@@ -6,8 +6,9 @@ The same steps run in batch folds (:func:`detect`), in the class-conditional for
 from __future__ import annotations
 
 import math
-from collections import OrderedDict
+from collections import OrderedDict, deque
 from collections.abc import Callable
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -23,41 +24,57 @@ def _unit(value: float) -> float:
 
 
 class AdaptiveWindow:
-    """Tests all cuts of a window of at most ``longest`` values with a Bernstein-type bound; drops the older side at the best cut."""
+    """Tests all cuts of a window of at most ``longest`` values with a Bernstein-type bound; drops the older side at the best cut.
+
+    The window is a stretch of an array of running sums, which moves to the front when it meets the end: a step appends one sum and
+    compares all cuts by differences of sums.
+    """
 
     def __init__(self, delta: float = 0.05, longest: int = 1000, least: int = 10):
         self.delta, self.longest, self.least = delta, longest, least
-        self.values: list[float] = []
+        self.left = np.arange(1, longest)
         self.reset()
 
     def reset(self) -> None:
-        self.values = []
+        self.sums, self.squares = np.zeros(2 * self.longest + 2), np.zeros(2 * self.longest + 2)
+        self.start = self.end = 0  # the window's sums lie behind ``start``, up to ``end``
         self.tests = 0
         self.alarm = self.warning = False
 
     @property
     def width(self) -> int:
-        return len(self.values)
+        return self.end - self.start
+
+    @property
+    def values(self) -> list[float]:
+        return np.diff(self.sums[self.start : self.end + 1]).tolist()
 
     def step(self, value: float) -> bool:
-        self.values.append(float(value))
-        if len(self.values) > self.longest:
-            del self.values[0]
-        n, self.alarm = len(self.values), False
+        if self.end + 1 == len(self.sums):
+            n = self.width
+            for kept in (self.sums, self.squares):
+                kept[: n + 1] = kept[self.start : self.end + 1] - kept[self.start]
+            self.start, self.end = 0, n
+        x = float(value)
+        self.sums[self.end + 1], self.squares[self.end + 1] = self.sums[self.end] + x, self.squares[self.end] + x * x
+        self.end += 1
+        self.start += self.width > self.longest
+        n, self.alarm = self.width, False
         self.tests = n - 1 if n >= self.least else 0
         if not self.tests:
             return False
-        x = np.array(self.values)
-        sums, left = np.cumsum(x)[:-1], np.arange(1, n)
-        total, right = float(x.sum()), n - left
-        variance = max(float((x * x).sum()) / n - (total / n) ** 2, 1e-12)
+        base = self.sums[self.start]
+        sums, left = self.sums[self.start + 1 : self.end] - base, self.left[: n - 1]
+        total, right = float(self.sums[self.end] - base), n - left
+        variance = max(float(self.squares[self.end] - self.squares[self.start]) / n - (total / n) ** 2, 1e-12)
         log_term = math.log(2 * n / self.delta)
-        inverse = 1 / left + 1 / right
-        bound = np.sqrt(2 * inverse * variance * log_term) + 2 / 3 * inverse * log_term
+        inverse = n / (left * right)
+        bound = np.sqrt(2 * variance * log_term * inverse) + 2 / 3 * log_term * inverse
         excess = np.abs(sums / left - (total - sums) / right) - bound
         best = int(np.argmax(excess))
         if excess[best] > 0:
-            self.alarm, self.values = True, self.values[best + 1 :]
+            self.alarm = True
+            self.start += best + 1
         return self.alarm
 
 
@@ -66,7 +83,8 @@ class EProcess:
     starts reaches 1 / ``alpha``.
 
     A bet's log capital is a difference of two running sums of log gains, now and before its start. So the state is one running sum for
-    each rate and, in a ring, its values before the newest ``longest`` starts, which bounds mixture and memory.
+    each rate and, in a ring, its values before the newest ``longest`` starts, which bounds mixture and memory. While no start has been let
+    go, a rate's capital over all starts follows from the last one: the gain times one more than it.
     """
 
     RATES = (0.05, 0.1, 0.2, 0.4, 0.8)
@@ -80,70 +98,90 @@ class EProcess:
     def reset(self, baseline: float | None = None) -> None:
         if baseline is not None:
             self.baseline = float(np.clip(baseline, self.EDGE, 1 - self.EDGE))
-        self.sums = np.zeros(len(self.rates))
-        self.before = np.empty((self.longest, len(self.rates)))
+        self.sums = [0.0] * len(self.RATES)
+        self.capitals = [-math.inf] * len(self.RATES)
+        self.before: list[list[float]] = []
         self.seen, self.tests, self.log_e = 0, 0, -math.inf
         self.alarm = self.warning = False
 
     def _starts(self) -> np.ndarray:
         """Log capital of each start (a row of the ring), mixed over the rates."""
-        held = self.before[: min(self.seen, self.longest)]
-        return np.logaddexp.reduce(self.sums - held, axis=1) - math.log(len(self.rates))
+        return np.logaddexp.reduce(np.array(self.sums) - np.array(self.before), axis=1) - math.log(len(self.RATES))
 
     @property
     def width(self) -> int:
         """Values since the best start, the oldest of equal ones."""
         if not self.seen:
             return 0
-        n = min(self.seen, self.longest)
+        n = len(self.before)
         ages = (self.seen - 1 - np.arange(n)) % self.longest if self.seen > self.longest else self.seen - 1 - np.arange(n)
         capital = self._starts()
         return int(ages[capital == capital.max()].max()) + 1
 
     def step(self, value: float) -> bool:
-        self.before[self.seen % self.longest] = self.sums
-        self.sums = self.sums + np.log1p(self.rates * (_unit(value) / self.baseline - 1))
+        if self.seen < self.longest:
+            self.before.append(self.sums)
+        else:
+            self.before[self.seen % self.longest] = self.sums
+        excess = _unit(value) / self.baseline - 1
+        gains = [math.log1p(r * excess) for r in self.RATES]
+        self.sums = [s + g for s, g in zip(self.sums, gains)]
         self.seen += 1
-        self.tests = min(self.seen, self.longest) * len(self.rates)
-        self.log_e = float(np.logaddexp.reduce(self._starts()))
+        self.tests = min(self.seen, self.longest) * len(self.RATES)
+        if self.seen <= self.longest:
+            self.capitals = [_log_of_sum(0.0, c) + g for c, g in zip(self.capitals, gains)]
+            top = max(self.capitals)
+            self.log_e = top + math.log(sum(math.exp(c - top) for c in self.capitals) / len(self.RATES))
+        else:
+            self.log_e = float(np.logaddexp.reduce(self._starts()))
         self.alarm = self.log_e >= self.threshold
         return self.alarm
 
 
+def _log_of_sum(a: float, b: float) -> float:
+    """The logarithm of exp(a) + exp(b)."""
+    low, high = (a, b) if a < b else (b, a)
+    return high + math.log1p(math.exp(low - high)) if low > -math.inf else high
+
+
 class HoeffdingMean:
-    """One-sided Hoeffding test of the mean since the prefix with the lowest bound; clears itself at an alarm."""
+    """One-sided Hoeffding test of all values against the prefix whose upper bound is lowest; starts anew at an alarm.
+
+    Of ``n`` values with mean ``m`` the bound at level ``c`` is ``m + sqrt(ln(1 / c) / 2n)``. A prefix of ``k`` is passed at level ``c`` if
+    the means differ by at least ``sqrt((1 / k - 1 / n) ln(2 / c) / 2)``, as the rest's mean differs from the prefix's by that much more.
+    """
 
     def __init__(self, confidence: float = 0.001, warning: float = 0.005):
-        self.confidence, self.warn_at = confidence, warning
+        self.half_log = -math.log(confidence) / 2
+        self.levels = tuple(math.log(2 / c) / 2 for c in (confidence, warning))
         self.reset()
 
     def reset(self) -> None:
-        self.n = self.low_n = 0
-        self.sum = self.low_sum = 0.0
+        self.total, self.n = 0.0, 0
+        self.lowest: tuple[float, int] | None = None  # mean and length of the prefix of the lowest bound
         self.width = self.tests = 0
         self.alarm = self.warning = False
 
-    def _bound(self, n: int) -> float:
-        return math.sqrt(math.log(1 / self.confidence) / (2 * n))
-
-    def _risen(self, confidence: float) -> bool:
-        if self.low_n == self.n:
-            return False
-        scale = (self.n - self.low_n) / (self.low_n * self.n)
-        return self.sum / self.n - self.low_sum / self.low_n >= math.sqrt(scale * math.log(2 / confidence) / 2)
+    def _upper(self, mean: float, n: int) -> float:
+        return mean + math.sqrt(self.half_log / n)
 
     def step(self, value: float) -> bool:
-        self.n, self.sum = self.n + 1, self.sum + _unit(value)
-        self.width = self.n
-        if self.low_n == 0 or self.low_sum / self.low_n + self._bound(self.low_n) >= self.sum / self.n + self._bound(self.n):
-            self.low_n, self.low_sum = self.n, self.sum
-        self.alarm = self._risen(self.confidence)
-        self.warning = not self.alarm and self._risen(self.warn_at)
-        self.tests = (2 - self.alarm) * (self.low_n != self.n)
-        if self.alarm:
-            width, tests = max(1, self.n - self.low_n), self.tests
+        self.n += 1
+        self.total += _unit(value)
+        mean = self.total / self.n
+        self.alarm = self.warning = False
+        self.width, self.tests = self.n, 0
+        if self.lowest is None or self._upper(mean, self.n) <= self._upper(*self.lowest):
+            self.lowest = mean, self.n
+            return False
+        low, k = self.lowest
+        passed = [mean - low >= math.sqrt((1 / k - 1 / self.n) * level) for level in self.levels]
+        width = self.n - k
+        if passed[0]:
             self.reset()
-            self.width, self.tests, self.alarm = width, tests, True
+            self.alarm, self.width, self.tests = True, width, 1
+        else:
+            self.warning, self.tests = passed[1], 2
         return self.alarm
 
 
@@ -294,6 +332,94 @@ def resets(df: DataFrame, make: Callable, key: str = "client", order: str = "pos
     return fold(df, [key], [order], start, [order, value], f"{order} long, width long, seen long")
 
 
+#: What a baseline may be: the running mean, kept away from 0 and 1.
+LEAST_BASELINE = 0.01
+
+
+def reset_baselines(df: DataFrame, delay: int = 30, alpha: float = 0.001, key: str = "client", order: str = "pos", value: str = "loss") -> DataFrame:
+    """An e-process whose baseline is read anew at each reset: the mean of all values that have left the ``delay`` newest ones by then,
+    ``LEAST_BASELINE`` at least and while none has. Of each alarm ``seen``, the values since the reset before, the ``baseline`` that it was
+    tested against, and the one read ``then``."""
+
+    def start():
+        held: deque[float] = deque()
+        detector, n, total, seen = EProcess(LEAST_BASELINE, alpha), 0, 0.0, 0
+
+        def step(pos, x):
+            nonlocal n, total, seen
+            held.append(x)
+            if len(held) > delay:
+                n, total = n + 1, total + held.popleft()
+            seen += 1
+            if not detector.step(x):
+                return None
+            row = int(pos), seen, detector.baseline
+            detector.reset(max(LEAST_BASELINE, total / n) if n else LEAST_BASELINE)
+            seen = 0
+            return *row, detector.baseline
+
+        return step
+
+    return fold(df, [key], [order], start, [order, value], f"{order} long, seen long, baseline double, then double")
+
+
+class Insured:
+    """A detector with an insurance: where it doesn't alarm, its window's losses, still in the delay buffer, are held against the history of the
+    model in use.
+
+    A value leaves the buffer of ``delay`` for the history ``delay`` values later. The insurance asks for three things: a window of at least
+    ``delay - SLACK`` values and at most ``max(100, 2 (delay - SLACK))``; a buffer that holds as many; and a history whose mean, above 0, is passed by
+    the window's mean in the buffer by ``limit`` or more. At an alarm, the detector's or the insurance's, the newest values (as many as the window,
+    at most all of the buffer) begin the history of a new model, the others end the old one's; detector and buffer start anew.
+    """
+
+    SLACK = 5
+
+    def __init__(self, detector, delay: int = 30, limit: float = 0.1):
+        self.detector, self.delay, self.limit = detector, delay, limit
+        self.buffer: deque[float] = deque()
+        self.n, self.total = 0, 0.0
+
+    def insured(self) -> bool:
+        width, base = self.detector.width, self.delay - self.SLACK
+        if not max(base, 1) <= width <= max(100, 2 * base) or len(self.buffer) < width or self.total <= 0:
+            return False
+        return math.fsum(islice(self.buffer, len(self.buffer) - width, None)) / width >= self.total / self.n + self.limit
+
+    def step(self, value: float) -> tuple[int, int, float | None] | None:
+        """1 (the detector) or 2 (the insurance), the width, and the history's mean before; None without an alarm."""
+        self.buffer.append(value)
+        width = self.detector.width + 1
+        found = 1 if self.detector.step(value) else 0
+        width = self.detector.width or width
+        if not found and self.insured():
+            found = 2
+        if found:
+            told = found, width, self.total / self.n if self.n else None
+            new = list(self.buffer)[-width:]
+            self.n, self.total = len(new), math.fsum(new)
+            self.buffer.clear()
+            self.detector.reset()
+            return told
+        if len(self.buffer) > self.delay:
+            self.n, self.total = self.n + 1, self.total + self.buffer.popleft()
+        return None
+
+
+def insure(df: DataFrame, make: Callable, delay: int = 30, limit: float = 0.1, key: str = "client", order: str = "pos", value: str = "loss") -> DataFrame:
+    """Alarms of an insured detector: ``source`` (1 the detector, 2 the insurance), ``width``, ``history`` (null without one)."""
+
+    def start():
+        insured = Insured(make(), delay, limit)
+
+        def step(pos, x):
+            return (int(pos), *told) if (told := insured.step(float(x))) else None
+
+        return step
+
+    return fold(df, [key], [order], start, [order, value], f"{order} long, source int, width long, history double")
+
+
 def detect(df: DataFrame, make: Callable, key: str = "client", order: str = "pos", value: str = "loss", restart: bool = False, warnings: bool = False) -> DataFrame:
     """``key``, ``pos``, ``width``, ``warning`` of each alarm (and warning) of a bare detector; ``restart`` resets it at its alarms."""
 

@@ -89,6 +89,67 @@ class FixedShare:
         self.last = lead
 
 
+def says_yes(score: float) -> bool:
+    """The class that a score in [0, 1] predicts; half is no. Scores count to nine decimals."""
+    return round(score, 9) > 0.5
+
+
+class Layers:
+    """Routers over experts, and routers over these routers, for a label in {0, 1} and experts' scores in [0, 1].
+
+    The first layer mixes all experts, once with evidence since the beginning (``whole``) and once with a share that lets the best one
+    change (``shifting``); what ``whole`` predicts is the context, and each context has a router of its own, whose heaviest expert leads there.
+    The second layer weighs, in each context, the whole mixture against that leader by whether they were right (``meta``). The top
+    follows ``meta`` or ``shifting``, whichever weighs more (``meta`` if they weigh the same).
+    All predict before any learns from the label.
+    """
+
+    def __init__(self, experts: int, horizon: int = 30):
+        self.ids = tuple(range(experts))
+        self.whole, self.shifting, self.top = AdaHedge(), FixedShare(horizon), FixedShare(horizon)
+        self.contexts: dict[bool, tuple[AdaHedge, AdaHedge]] = {}
+
+    def step(self, label: int, scores: np.ndarray) -> dict:
+        p_whole, p_shifting = self.whole.weights(self.ids), self.shifting.weights(self.ids)
+        mixed, shifted = float(p_whole @ scores), float(p_shifting @ scores)
+        context = says_yes(mixed)
+        own, meta = self.contexts.setdefault(context, (AdaHedge(), AdaHedge()))
+        p_own, p_meta, p_top = own.weights(self.ids), meta.weights((0, 1)), self.top.weights((0, 1))
+        leader = int(np.argmax(np.round(p_own, 9)))
+        layered = float(p_meta @ (mixed, scores[leader]))
+        follows_meta = round(p_top[0] - p_top[1], 9) >= 0
+        said = {"global": mixed, "leader": float(scores[leader]), "shifting": shifted, "meta": layered, "top": layered if follows_meta else shifted}
+        right = {name: says_yes(score) == bool(label) for name, score in said.items()}
+        losses = np.abs(scores - label)
+        self.whole.update(losses, p_whole)
+        self.shifting.update(losses, p_shifting)
+        own.update(losses, p_own)
+        meta.update(np.array([not right["global"], not right["leader"]], dtype=float), p_meta)
+        self.top.update(np.array([not right["meta"], not right["shifting"]], dtype=float), p_top)
+        return {"context": int(context), "expert": leader, "leader_weight": float(p_meta[1]), "meta": layered, "shifting": shifted, "follows_meta": bool(follows_meta), "right": right}
+
+
+#: The predictors of :class:`Layers` whose hits are told.
+PREDICTORS = ("global", "leader", "shifting", "meta", "top")
+
+
+def route_layers(df: DataFrame, experts: list[str], key: list[str], order: str, label: str, horizon: int = 30) -> DataFrame:
+    """Of each row, before it is learned from: ``context``, ``expert`` (the context's leader), ``leader_weight``, scores ``meta`` and ``shifting``, ``follows_meta``, and
+    for each predictor whether it was ``right_``. Columns ``experts`` hold scores in [0, 1]."""
+
+    def start():
+        layers = Layers(len(experts), horizon)
+
+        def step(at, y, *scores):
+            out = layers.step(int(y), np.array(scores, dtype=float))
+            return int(at), out["context"], experts[out["expert"]], out["leader_weight"], out["meta"], out["shifting"], out["follows_meta"], *(out["right"][p] for p in PREDICTORS)
+
+        return step
+
+    rights = ", ".join(f"right_{p} boolean" for p in PREDICTORS)
+    return fold(df, key, [order], start, [order, label, *experts], f"{order} long, context int, expert string, leader_weight double, meta double, shifting double, follows_meta boolean, {rights}")
+
+
 def effective_count(weights: np.ndarray) -> float:
     return float(1 / (weights**2).sum())
 
@@ -119,6 +180,39 @@ def route(df: DataFrame, make: Callable, experts: list[str], key: list[str], ord
     return fold(df, key, [order], start, [order, *experts], f"{order} long, {columns}, mixture double, effective double, leader string")
 
 
+def route_with_replay(df: DataFrame, experts: list[str], key: list[str], order: str, every: int, stored: int) -> DataFrame:
+    """AdaHedge whose evidence is looked at after every ``every`` rows: if the expert of least loss over the last ``stored`` rows isn't the one
+    of least evidence so far (which stays where they are even), the evidence is rebuilt from these rows, and the router carries on with it. One row for
+    each look: ``round``, ``replayed``, ``lead``, the weights ``w_<expert>`` after it, and the mixture's ``loss`` over the rows since the last."""
+
+    def start():
+        router, ids, held, seen, loss = AdaHedge(), tuple(range(len(experts))), [], 0, 0.0
+
+        def step(at, *losses):
+            nonlocal seen, loss
+            x, p = np.array(losses, dtype=float), router.weights(ids)
+            loss += float(p @ x)
+            router.update(x, p)
+            held.append(x)
+            del held[:-stored]
+            seen += 1
+            if seen % every:
+                return None
+            recent = np.round(np.sum(held, axis=0), 9)
+            old = int(np.argmin(np.round(router.total, 9)))
+            new = old if recent[old] == recent.min() else int(np.argmin(recent))
+            if new != old:
+                router.replay(held)
+            row = (seen // every - 1, new != old, experts[new], *map(float, router.weights(ids)), loss)
+            loss = 0.0
+            return row
+
+        return step
+
+    weights = ", ".join(f"w_{e} double" for e in experts)
+    return fold(df, key, [order], start, [order, *experts], f"round long, replayed boolean, lead string, {weights}, loss double")
+
+
 def recalibration(losses: DataFrame, stored: DataFrame, experts: list[str], key: str, round_col: str) -> DataFrame:
     """Of each key and round: ``old``, the expert of least loss over this and all earlier rounds; ``lead``, that of the ``stored`` losses of the round
     (in two parts, ``half`` 0 and 1); ``replay``, whether they differ, so that evidence is rebuilt from the stored losses; and ``both_halves``,

@@ -74,7 +74,23 @@ def det_2(spark, sf):
     return detectors.detect(_s(spark, sf), lambda: detectors.EProcess(0.15), restart=True).select("client", "pos")
 
 
-@query("det_1_adaptive_window")
+_WINDOW = """
+summed AS (SELECT client, pos, sum(loss) OVER w AS s, sum(loss * loss) OVER w AS q FROM stream WINDOW w AS (PARTITION BY client ORDER BY pos)),
+pre AS MATERIALIZED (SELECT client, list_prepend(0.0, list(s ORDER BY pos)) AS s, list_prepend(0.0, list(q ORDER BY pos)) AS q FROM summed GROUP BY client),
+walk AS (
+SELECT client, -1 AS pos, CAST(0 AS BIGINT) AS start, false AS alarm FROM pre
+UNION ALL
+SELECT client, pos, CASE WHEN best > 0 THEN start + list_position(cuts, best) ELSE start END, coalesce(best > 0, false)
+FROM (SELECT *, list_max(cuts) AS best
+ FROM (SELECT client, pos, start, CASE WHEN n >= 10 THEN list_transform(range(1, n), lambda c: abs((s[start + c + 1] - s[start + 1]) / c - (s[pos + 2] - s[start + c + 1]) / (n - c))
+   - sqrt(2 * variance * ln(2 * n / 0.05) * n / (c * (n - c))) - 2 / 3 * ln(2 * n / 0.05) * n / (c * (n - c))) END AS cuts
+  FROM (SELECT *, greatest((q[pos + 2] - q[start + 1]) / n - ((s[pos + 2] - s[start + 1]) / n) ** 2, 1e-12) AS variance
+   FROM (SELECT *, pos + 1 - start AS n
+    FROM (SELECT client, w.pos + 1 AS pos, greatest(start, w.pos + 1 - 999) AS start, s, q FROM walk w JOIN pre USING (client) WHERE w.pos + 2 < len(s))))))
+)"""
+
+
+@query("det_1_adaptive_window", STREAM_SQL + f", {_WINDOW} SELECT client, pos, pos + 1 - start AS width FROM walk WHERE alarm")
 def det_1(spark, sf):
     return detectors.detect(_s(spark, sf), detectors.AdaptiveWindow).select("client", "pos", "width")
 
@@ -84,7 +100,25 @@ def det_6(spark, sf):
     return detectors.detect_by_class(_s(spark, sf), detectors.AdaptiveWindow)
 
 
-@query("det_7_hoeffding_by_class")
+def _hoeffding_state(p: str, n: str, s: str) -> str:
+    """Columns of one test after its value was added: lowest prefix and verdict."""
+    return f"""{p}mn = 0 OR {p}ms / {p}mn + sqrt(ln(1 / 0.001) / (2 * {p}mn)) >= {s} / {n} + sqrt(ln(1 / 0.001) / (2 * {n}))"""
+
+
+@query("det_7_hoeffding_by_class", STREAM_SQL + """, kinds AS (SELECT DISTINCT label FROM stream),
+x AS MATERIALIZED (SELECT client, pos, label, loss, row_number() OVER (PARTITION BY client, label ORDER BY pos) AS i FROM stream),
+walk AS (
+SELECT client, -1 AS pos, CAST(0 AS BIGINT) AS n, 0.0::DOUBLE AS s, CAST(0 AS BIGINT) AS mn, 0.0::DOUBLE AS ms, MAP {}::MAP(VARCHAR, STRUCT(n BIGINT, s DOUBLE, mn BIGINT, ms DOUBLE)) AS parts, 0 AS source, CAST(NULL AS BIGINT) AS split FROM x WHERE pos = 0
+UNION ALL
+SELECT client, pos, CASE WHEN source > 0 THEN 0 ELSE n END, CASE WHEN source > 0 THEN 0 ELSE s END, CASE WHEN source > 0 THEN 0 ELSE mn END, CASE WHEN source > 0 THEN 0 ELSE ms END,
+ CASE WHEN source > 0 THEN MAP {}::MAP(VARCHAR, STRUCT(n BIGINT, s DOUBLE, mn BIGINT, ms DOUBLE)) ELSE map_from_entries(list_concat(list_filter(map_entries(parts), lambda e: e.key <> label), [{'key': label, 'value': {'n': cn, 's': cs, 'mn': cmn, 'ms': cms}}])) END,
+ source, CASE source WHEN 1 THEN pos - greatest(1, n - mn) + 1 WHEN 2 THEN -i + greatest(1, cn - cmn) - 1 END
+FROM (SELECT *, CASE WHEN mn <> n AND s / n - ms / mn >= sqrt((n - mn) / (mn * n) * ln(2 / 0.001) / 2) THEN 1 WHEN cmn <> cn AND cs / cn - cms / cmn >= sqrt((cn - cmn) / (cmn * cn) * ln(2 / 0.001) / 2) THEN 2 ELSE 0 END AS source
+ FROM (SELECT client, pos, label, i, parts, n, s, CASE WHEN low THEN n ELSE mn END AS mn, CASE WHEN low THEN s ELSE ms END AS ms, cn, cs, CASE WHEN clow THEN cn ELSE cmn END AS cmn, CASE WHEN clow THEN cs ELSE cms END AS cms
+  FROM (SELECT *, """ + _hoeffding_state("", "n", "s") + " AS low, " + _hoeffding_state("c", "cn", "cs") + """ AS clow
+   FROM (SELECT x.client, x.pos, x.label, x.i, w.parts, w.n + 1 AS n, w.s + x.loss AS s, w.mn, w.ms, coalesce(w.parts[x.label].n, 0) + 1 AS cn, coalesce(w.parts[x.label].s, 0) + x.loss AS cs, coalesce(w.parts[x.label].mn, 0) AS cmn, coalesce(w.parts[x.label].ms, 0) AS cms
+    FROM walk w JOIN x ON x.client = w.client AND x.pos = w.pos + 1)))))
+SELECT w.client, w.pos, source, CASE source WHEN 1 THEN split ELSE (SELECT o.pos FROM x o WHERE o.client = w.client AND o.label = (SELECT label FROM x p WHERE p.client = w.client AND p.pos = w.pos) AND o.i = -w.split) END AS split FROM walk w WHERE source > 0""")
 def det_7(spark, sf):
     return detectors.detect_by_class(_s(spark, sf), detectors.HoeffdingMean)
 
@@ -130,22 +164,47 @@ def det_9(spark, sf):
     return _s(spark, sf).where("concept = 0").groupBy("client").agg(F.least(F.greatest(F.round(F.avg("loss"), 6), F.lit(0.01)), F.lit(1 - 1e-6)).alias("baseline"))
 
 
+_DELAY = 30
+
+
+@query("det_9_reset_baselines", STREAM_SQL + f""", past AS MATERIALIZED (SELECT client, pos, loss, sum(loss) OVER w / count(*) OVER w AS mean FROM stream WINDOW w AS (PARTITION BY client ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND {_DELAY} PRECEDING)),
+walk AS (
+SELECT client, -1 AS pos, {', '.join(f'0.0::DOUBLE AS s{i}' for i in range(5))}, CAST(0 AS BIGINT) AS seen, false AS alarm, 0.01::DOUBLE AS base, 0.01::DOUBLE AS was FROM past WHERE pos = 0
+UNION ALL
+SELECT client, pos, {', '.join(f'CASE WHEN alarm THEN 0 ELSE s{i} END' for i in range(5))}, seen, alarm, CASE WHEN alarm THEN least(1 - 1e-6, greatest(0.01, coalesce(mean, 0.01))) ELSE base END, base
+FROM (SELECT *, ({' + '.join(f's{i}' for i in range(5))}) / 5 >= 1000 AS alarm
+ FROM (SELECT x.client, x.pos, x.mean, w.base, CASE WHEN w.alarm THEN 1 ELSE w.seen + 1 END AS seen, {', '.join(f'(1 + w.s{i}) * (1 + {r} * (x.loss / w.base - 1)) AS s{i}' for i, r in enumerate(_RATES))}
+  FROM walk w JOIN past x ON x.client = w.client AND x.pos = w.pos + 1)))
+SELECT client, pos, seen, round(was, 6) AS baseline, round(base, 6) AS "then" FROM walk WHERE alarm""")
+def det_9_resets(spark, sf):
+    """The baseline is read at each reset, from the values that have left the delay buffer by then."""
+    out = detectors.reset_baselines(_s(spark, sf), _DELAY)
+    return out.withColumns({c: F.round(c, 6) for c in ("baseline", "then")})
+
+
+@query("det_10_insurance_check")
+def det_10_check(spark, sf):
+    """The adaptive window with its insurance: its width chooses the frame of delayed losses that is held against the model's history."""
+    return detectors.insure(_s(spark, sf), detectors.AdaptiveWindow, _DELAY).withColumn("history", F.round("history", 6))
+
+
 def _losses(spark, sf):
     """Losses of three experts; the third comes in at position 300."""
     third = F.when(F.col("pos") >= 300, F.abs(F.col("loss") - 0.3))
     return _s(spark, sf).select("client", "pos", F.col("loss").alias("a"), (1 - F.col("loss")).alias("b"), third.alias("c"))
 
 
-def _adahedge(experts: str, losses: str) -> str:
-    """A recursion over positions as SQL: evidence and mixability gap of each client's experts (columns of ``losses``) before its row;
-    experts whose loss is null aren't there, and all evidence is cleared where their set changes."""
+def _adahedge(experts: str, losses: str, name: str = "hedge", redone: str = "") -> str:
+    """A recursion over positions as SQL: evidence and mixability gap of each client's experts (columns of ``losses``) after its row, weights before it;
+    experts whose loss is null aren't there, and all evidence is cleared where their set changes. Table ``redone`` holds evidence, gap and recent sums
+    ``r_`` of some positions: evidence becomes that where the expert of least evidence isn't one of least recent sum."""
     e = list(experts)
     here = lambda x, no: f"CASE WHEN {x} IS NULL THEN {no} "
     total = lambda form, by=" + ": by.join(form.format(x=x) for x in e)
-    return f"""hedge AS (
+    return f"""{name} AS (
 SELECT client, -1 AS pos, CAST(0 AS BIGINT) AS there, {total('0.0::DOUBLE AS l_{x}', ', ')}, 0.0::DOUBLE AS gap, {total('0.0::DOUBLE AS w_{x}', ', ')}, 0.0::DOUBLE AS mixture FROM ({losses}) WHERE pos = 0
 UNION ALL
-SELECT client, pos, there, {total('l_{x} + coalesce({x}, 0)', ', ')}, gap + greatest(0.0, mixture - mix), {total('w_{x}', ', ')}, mixture
+SELECT {_redone(e, redone) if redone else '*'} FROM (SELECT client, pos, there, {total('l_{x} + coalesce({x}, 0) AS l_{x}', ', ')}, gap + greatest(0.0, mixture - mix) AS gap, {total('w_{x}', ', ')}, mixture
 FROM (SELECT *, {total('w_{x} * coalesce({x}, 0)')} AS mixture,
   CASE WHEN there = 1 OR gap <= 0 THEN least({total('CASE WHEN w_{x} > 0 THEN {x} END', ', ')}) ELSE -ln({total("CASE WHEN w_{x} > 0 THEN w_{x} * exp(-ln(there) / gap * {x}) ELSE 0 END")}) / (ln(there) / gap) END AS mix
  FROM (SELECT *, {total('r_{x} / (' + total('r_{x}') + ') AS w_{x}', ', ')}
@@ -153,7 +212,14 @@ FROM (SELECT *, {total('w_{x} * coalesce({x}, 0)')} AS mixture,
    FROM (SELECT *, least({', '.join(here(x, 'NULL') + f'ELSE l_{x} END' for x in e)}) AS low
     FROM (SELECT client, pos, there, {total('{x}', ', ')}, {total('CASE WHEN fresh THEN 0.0 ELSE l_{x} END AS l_{x}', ', ')}, CASE WHEN fresh THEN 0.0 ELSE gap END AS gap
      FROM (SELECT x.client, x.pos, {total('CAST(x.{x} IS NOT NULL AS BIGINT)')} AS there, {total('x.{x}', ', ')}, {total('h.l_{x}', ', ')}, h.gap, h.there <> {total('CAST(x.{x} IS NOT NULL AS BIGINT)')} AS fresh
-      FROM hedge h JOIN ({losses}) x ON x.client = h.client AND x.pos = h.pos + 1)))))))"""
+       FROM {name} h JOIN ({losses}) x ON x.client = h.client AND x.pos = h.pos + 1))))))) q {f'LEFT JOIN {redone} r ON r.client = q.client AND r.pos = q.pos' if redone else ''})"""
+
+
+def _redone(experts: list[str], table: str) -> str:
+    least = f"least({', '.join(f'r.r_{x}' for x in experts)})"
+    old = "CASE " + " ".join(f"WHEN round(q.l_{x}, 9) <= least({', '.join(f'round(q.l_{y}, 9)' for y in experts)}) THEN r.r_{x}" for x in experts) + " END"
+    pick = lambda c: f"CASE WHEN {old} > {least} THEN r.{c} ELSE q.{c} END AS {c}"
+    return ", ".join(["q.client", "q.pos", "q.there", *[pick(f"l_{x}") for x in experts], pick("gap"), *[f"q.w_{x}" for x in experts], "q.mixture"])
 
 
 _TWO = "SELECT client, pos, loss AS a, 1 - loss AS b FROM stream"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import aggregates as agg
 from ..operators import matching, resolution, windows
-from ..sources.streams import STREAM_SQL, changes, stream
+from ..sources.streams import STREAM_SQL, changes, exact_mean, exact_mean_sql, stream
 from ..sources.tables import table
 from .catalog import query
 
@@ -103,14 +103,14 @@ def win_4(spark, sf):
     )
 
 
-@query("win_5_rounds", STREAM_SQL + "SELECT client, pos // 50 AS round, count(*) AS n, round(avg(loss), 6) AS loss FROM stream WHERE pos // 50 < n // 50 GROUP BY ALL")
+@query("win_5_rounds", STREAM_SQL + f"SELECT client, pos // 50 AS round, count(*) AS n, {exact_mean_sql('loss')} AS loss FROM stream WHERE pos // 50 < n // 50 GROUP BY ALL")
 def win_5(spark, sf):
-    return windows.rounds(_s(spark, sf), "pos", "n", 50).groupBy("client", "round").agg(F.count("*").alias("n"), F.round(F.avg("loss"), 6).alias("loss"))
+    return windows.rounds(_s(spark, sf), "pos", "n", 50).groupBy("client", "round").agg(F.count("*").alias("n"), exact_mean(F.col("loss")).alias("loss"))
 
 
-@query("win_6_halves", STREAM_SQL + "SELECT client, CAST(pos >= n // 2 AS INT) AS half, count(*) AS n, round(avg(loss), 6) AS loss FROM stream GROUP BY ALL")
+@query("win_6_halves", STREAM_SQL + f"SELECT client, CAST(pos >= n // 2 AS INT) AS half, count(*) AS n, {exact_mean_sql('loss')} AS loss FROM stream GROUP BY ALL")
 def win_6(spark, sf):
-    return _s(spark, sf).withColumn("half", windows.halves(F.col("n"), F.col("pos"))).groupBy("client", "half").agg(F.count("*").alias("n"), F.round(F.avg("loss"), 6).alias("loss"))
+    return _s(spark, sf).withColumn("half", windows.halves(F.col("n"), F.col("pos"))).groupBy("client", "half").agg(F.count("*").alias("n"), exact_mean(F.col("loss")).alias("loss"))
 
 
 @query("win_7_temporal_holdout", STREAM_SQL + """, sized AS (SELECT client, tid, count(*) AS n FROM stream GROUP BY ALL),
@@ -273,14 +273,15 @@ def det_11(spark, sf):
     return _alarms(_s(spark, sf)).select("client", "pos", resolution.estimated_start(F.col("pos"), 30, span).alias("start"), (F.col("pos") - span + 1).alias("whole"))
 
 
-@query("det_14_batch_shift", STREAM_SQL + """, means AS (SELECT client, pos // 100 AS batch, min(pos) AS first, max(pos) AS last, avg(loss) AS a, avg(abs(loss - 0.7)) AS b FROM stream GROUP BY ALL),
+@query("det_14_batch_shift", STREAM_SQL + f""", means AS (SELECT client, pos // 100 AS batch, min(pos) AS first, max(pos) AS last, {exact_mean_sql('loss')} AS a, {exact_mean_sql('abs(loss - 0.7)')} AS b FROM stream GROUP BY ALL),
 best AS (SELECT *, least(a, b) AS m, CASE WHEN b < a THEN 1 ELSE 0 END AS model FROM means), told AS (SELECT *, lag(m) OVER (PARTITION BY client ORDER BY batch) AS before FROM best)
-SELECT client, batch, first, last, model, round(m, 6) AS least, coalesce(m > before + 0.05, false) AS shift FROM told""")
+SELECT client, batch, first, last, model, m AS least, coalesce(m > before + 0.05, false) AS shift FROM told""")
 def det_14(spark, sf):
     """Batches of 100: the least of two models' mean losses against the batch before; the arg-min model, first on ties."""
-    means = _s(spark, sf).groupBy("client", F.floor(F.col("pos") / 100).alias("batch")).agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.avg("loss").alias("a"), F.avg(F.abs(F.col("loss") - 0.7)).alias("b"))
+    batches = _s(spark, sf).groupBy("client", F.floor(F.col("pos") / 100).alias("batch"))
+    means = batches.agg(F.min("pos").alias("first"), F.max("pos").alias("last"), exact_mean(F.col("loss")).alias("a"), exact_mean(F.abs(F.col("loss") - 0.7)).alias("b"))
     best = means.withColumns({"least": F.least("a", "b"), "model": F.when(F.col("b") < F.col("a"), 1).otherwise(0)})
-    return resolution.batch_shift(best, "client", "batch", "least", 0.05).select("client", "batch", "first", "last", "model", F.round("least", 6).alias("least"), "shift")
+    return resolution.batch_shift(best, "client", "batch", "least", 0.05).select("client", "batch", "first", "last", "model", "least", "shift")
 
 
 @query("epi_1_episodes", ALARMS + """, ordered AS (SELECT client, pos, row_number() OVER (PARTITION BY client ORDER BY pos) AS i FROM alarms),

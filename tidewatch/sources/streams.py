@@ -76,6 +76,24 @@ def changes(events: DataFrame, clients: int | None = None) -> DataFrame:
     return starts.where("pos < n").select("client", "pos")
 
 
+def exact_mean(value: Column) -> Column:
+    """The mean of an aggregate's values, at least 0, to six decimals, half up. Losses of the stream have six decimals at most, so whole numbers of
+    millionths are summed and divided: the mean doesn't depend on the order of the rows, and a tie is a tie."""
+    n = F.count(value)
+    return _div(2 * F.sum(F.round(value * 1_000_000).cast("long")) + n, 2 * n) / 1_000_000
+
+
+def _div(a: Column, b: Column) -> Column:
+    """Division of whole numbers, at least 0."""
+    return F.round((a - a % b) / b).cast("long")
+
+
+def exact_mean_sql(value: str, over: str = "") -> str:
+    """:func:`exact_mean` in DuckDB's SQL."""
+    n = f"count({value}) {over}"
+    return f"((2 * sum(CAST(round(({value}) * 1000000) AS BIGINT)) {over} + {n}) // (2 * {n})) / 1000000"
+
+
 #: The same in DuckDB's SQL, as the head of a query.
 STREAM_SQL = f"""
 WITH RECURSIVE dealt AS (
