@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import statistics as st
+from ..sources.scratch import forget, written
 from .components import components
 
 
@@ -53,9 +54,61 @@ def connected(edges: DataFrame, nodes: DataFrame, cut: float, score: str = "dist
     return nodes.join(found, nodes["id"] == found["node"], "left").select("id", F.coalesce("root", "id").alias("component"))
 
 
+#: Models of a scope that one task may link.
+GROUPED_UP_TO = 500
+
+
 def complete_linkage(edges: DataFrame, nodes: DataFrame, scope: list[str], cut: float) -> DataFrame:
-    """``scope``, ``id``, ``cluster`` (smallest member): clusters merge, nearest pair first, while all their members' distances are known and
-    at most ``cut``. A scope holds the models of one round, which a server can hold; scopes are worked on in parallel."""
+    """``scope``, ``id``, ``cluster`` (smallest member): clusters merge, nearest pair first (of equal distances the pair of smallest members), while all
+    their members' distances are known and at most ``cut``.
+
+    Scopes of at most ``GROUPED_UP_TO`` models are linked by a task each, larger ones by :func:`reciprocal_linkage`; both give the same.
+    """
+    sizes = written(nodes.groupBy(*scope).agg((F.count("*") > GROUPED_UP_TO).alias("large")), "scopes")
+    if sizes.where("large").isEmpty():
+        return _grouped_linkage(edges, nodes, scope, cut)
+    of = lambda df, large: df.join(sizes.where(F.col("large") == large), scope, "left_semi")
+    return _grouped_linkage(of(edges, False), of(nodes, False), scope, cut).unionByName(reciprocal_linkage(of(edges, True), of(nodes, True), scope, cut))
+
+
+def reciprocal_linkage(edges: DataFrame, nodes: DataFrame, scope: list[str], cut: float) -> DataFrame:
+    """Complete linkage by rounds of joins: in a round all pairs of clusters merge that are each other's nearest.
+
+    Such a pair comes before any other pair of either, and the distance of a merged cluster to a third is the greater of two that don't come
+    before it, so merging it at once is what nearest-first does sooner or later. A merged cluster keeps a distance where all pairs of its parts have one; pairs beyond ``cut`` can never
+    be within a cluster and are dropped at the outset. Each round is a written table; its rows are the pairs that are left.
+    """
+    key = F.struct("distance", "i", "j")
+    pairs = edges.where(F.col("distance") <= cut).select(*scope, F.least("i", "j").cast("long").alias("i"), F.greatest("i", "j").cast("long").alias("j"), F.col("distance").cast("double").alias("distance"))
+    pairs, left = _counted(pairs, "linkage")
+    members = written(nodes.select(*scope, F.col("id").cast("long").alias("id"), F.col("id").cast("long").alias("cluster")), "linked")
+    while left:
+        ends = pairs.select(*scope, F.explode(F.array("i", "j")).alias("cluster"), key.alias("pair"))
+        nearest = ends.groupBy(*scope, "cluster").agg(F.min("pair").alias("pair"))
+        # Both ends of a pair name it.
+        merges = nearest.groupBy(*scope, "pair").agg(F.count("*").alias("n")).where("n = 2").select(*scope, F.col("pair.i").alias("into"), F.col("pair.j").alias("gone"))
+        merges = written(merges, "merges")
+        parts = merges.select(*scope, F.explode(F.array("into", "gone")).alias("cluster"), "into")
+        before, was = pairs, members
+        members = written(was.join(parts, [*scope, "cluster"], "left").select(*scope, "id", F.coalesce("into", "cluster").alias("cluster")), "linked")
+        at = lambda c: parts.select(*scope, F.col("cluster").alias(c), F.col("into").alias(f"{c}_into"))
+        moved = pairs.join(at("i"), [*scope, "i"], "left").join(at("j"), [*scope, "j"], "left")
+        a, b = F.coalesce("i_into", "i"), F.coalesce("j_into", "j")
+        wanted = F.when(F.col("i_into").isNull(), 1).otherwise(2) * F.when(F.col("j_into").isNull(), 1).otherwise(2)
+        moved = moved.where(a != b).groupBy(*scope, F.least(a, b).alias("i"), F.greatest(a, b).alias("j")).agg(F.max("distance").alias("distance"), F.count("*").alias("n"), F.max(wanted).alias("wanted"))
+        pairs, left = _counted(moved.where("n = wanted").drop("n", "wanted"), "linkage")
+        for table in (before, merges, was):
+            forget(table)
+    return members.select(*scope, "id", "cluster")
+
+
+def _counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    seen = Observation()
+    return written(df.observe(seen, F.count("*").alias("n")), name), seen.get["n"]
+
+
+def _grouped_linkage(edges: DataFrame, nodes: DataFrame, scope: list[str], cut: float) -> DataFrame:
+    """Complete linkage of bounded scopes, each by one task."""
     known = edges.select(*scope, F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col("distance").cast("double").alias("distance"))
     rows = nodes.select(*scope, F.col("id").cast("long").alias("i"), F.col("id").cast("long").alias("j"), F.lit(0.0).alias("distance")).unionByName(known)
     schema = nodes.select(*scope, F.col("id").cast("long").alias("id"), F.lit(0).cast("long").alias("cluster")).schema

@@ -8,9 +8,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as agg
-from ..operators import clustering, matching, windows
+from ..operators import clustering, lineage, matching, windows
 from ..sources import files
-from ..sources.scratch import scratch_dir
+from ..sources.scratch import scratch_dir, written
 from ..sources.streams import STREAM_SQL, stream
 from ..sources.tables import table
 from . import metrics
@@ -81,6 +81,50 @@ def clu_15(spark, sf):
     return models.select("id", "round", "client").join(near, "id").join(of, "id").withColumn("absorbed", F.col("representative") != F.col("id"))
 
 
+# Models (customers with orders) of a month, in groups of fifty by id; some pairs of a group are never evaluated.
+_ROUNDS = """WITH RECURSIVE m AS MATERIALIZED (SELECT 12 * year(o_orderdate) + month(o_orderdate) AS round, o_custkey AS model, o_custkey // 50 AS part, sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS x FROM orders GROUP BY ALL),
+p AS MATERIALIZED (SELECT a.round, a.model AS i, b.model AS j, CAST(abs(a.x - b.x) AS BIGINT) AS distance FROM m a JOIN m b ON a.round = b.round AND a.part = b.part AND a.model < b.model WHERE (a.model + b.model) % 3 <> 0),
+e AS MATERIALIZED (SELECT round, i, j FROM p WHERE distance <= 3000000 UNION ALL SELECT round, j, i FROM p WHERE distance <= 3000000),
+reach AS (SELECT round, model, model AS other FROM m UNION SELECT r.round, r.model, e.j FROM reach r JOIN e ON e.round = r.round AND e.i = r.other),
+c AS MATERIALIZED (SELECT round, model, min(other) AS representative FROM reach GROUP BY ALL)"""
+
+
+def _rounds(spark, sf):
+    """Models, evaluated pairs and clusters of each month."""
+    month = 12 * F.year("o_orderdate") + F.month("o_orderdate")
+    m = table(spark, sf, "orders").groupBy(month.alias("round"), F.col("o_custkey").alias("model")).agg(F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("x"))
+    m = written(m.withColumn("part", F.floor(F.col("model") / 50)), "models")
+    a, b = (m.select("round", "part", F.col("model").alias(c), F.col("x").alias(f"x{c}")) for c in "ij")
+    pairs = a.join(b, ["round", "part"]).where("i < j AND (i + j) % 3 <> 0").select("round", "i", "j", F.abs(F.col("xi") - F.col("xj")).alias("distance"))
+    pairs = written(pairs, "model-pairs")
+    node = lambda c: F.col("round").cast("long") * (1 << 40) + F.col(c)
+    nodes = m.select(node("model").alias("id"), "round", "model")
+    found = clustering.connected(pairs.select(node("i").alias("i"), node("j").alias("j"), "distance"), nodes.select("id"), 3_000_000)
+    clusters = nodes.join(found, "id").select("round", "model", (F.col("component") % (1 << 40)).alias("representative"))
+    return m, pairs, written(clusters, "model-clusters")
+
+
+@query("clu_15_observations", _ROUNDS + """, sides AS (SELECT round, i AS model, j AS other, distance FROM p UNION ALL SELECT round, j, i, distance FROM p),
+near AS (SELECT round, model, arg_min(other, (distance, other)) AS nearest, min(distance) AS distance FROM sides GROUP BY ALL),
+inside AS (SELECT p.round, a.representative, max(distance) AS widest, count(*) AS evaluated FROM p JOIN c a ON a.round = p.round AND a.model = p.i JOIN c b ON b.round = p.round AND b.model = p.j WHERE a.representative = b.representative GROUP BY ALL),
+sized AS (SELECT round, representative, count(*) AS size FROM c GROUP BY ALL)
+SELECT c.round, c.model, coalesce(nearest, -1) AS nearest, near.distance, c.representative, size, widest, coalesce(evaluated, 0) AS evaluated, size * (size - 1) // 2 AS possible, c.model <> c.representative AS absorbed
+FROM c JOIN sized s ON s.round = c.round AND s.representative = c.representative LEFT JOIN inside i ON i.round = c.round AND i.representative = c.representative LEFT JOIN near ON near.round = c.round AND near.model = c.model""")
+def clu_15_observations(spark, sf):
+    """What every month's clustering records of each model."""
+    return lineage.observations(*_rounds(spark, sf))
+
+
+@query("clu_15_ancestry", _ROUNDS + """, absorbed AS MATERIALIZED (SELECT * FROM c WHERE model <> representative),
+line AS (SELECT round, model, representative AS ancestor, round AS last, 1 AS steps FROM absorbed
+UNION ALL SELECT l.round, l.model, a.representative, a.round, l.steps + 1 FROM line l JOIN absorbed a ON a.model = l.ancestor AND a.round > l.last
+  WHERE a.round = (SELECT min(b.round) FROM absorbed b WHERE b.model = l.ancestor AND b.round > l.last))
+SELECT round, model, arg_max(ancestor, steps) AS ancestor, max(last) AS last, max(steps) AS steps FROM line GROUP BY round, model""")
+def clu_15_ancestry(spark, sf):
+    """Who stands in the end for each model that a month's clustering absorbed: its representative, whoever absorbed that in a later month, and so on."""
+    return lineage.ancestry(_rounds(spark, sf)[2].where("model <> representative"))
+
+
 @query("lif_16_registrations", "SELECT o_custkey AS model, arg_min(o_orderpriority, (o_orderdate, o_orderkey)) AS client, min(o_orderdate) AS registered, count(*) AS seen FROM orders GROUP BY o_custkey")
 def lif_16(spark, sf):
     """Of repeated registrations of a model the first stands."""

@@ -102,7 +102,20 @@ def clu_5(spark, sf):
     return clustering.connected(_edges(spark, sf), nodes, 150.0)
 
 
-@query("clu_6_complete_linkage")
+_LINKAGE = """WITH RECURSIVE s AS (SELECT s_suppkey // 12 AS round, s_suppkey AS id, s_acctbal AS x FROM supplier),
+dist AS MATERIALIZED (SELECT a.round, a.id AS i, b.id AS j, abs(a.x - b.x) AS d FROM s a JOIN s b ON a.round = b.round AND a.id <> b.id),
+walk AS (
+SELECT round, list(DISTINCT [id]) AS clusters, true AS going FROM s GROUP BY round
+UNION ALL
+SELECT round, CASE WHEN best IS NULL THEN clusters ELSE list_append(list_filter(clusters, lambda c: c[1] <> best.a AND c[1] <> best.b), list_sort(list_concat(list_filter(clusters, lambda c: c[1] = best.a)[1], list_filter(clusters, lambda c: c[1] = best.b)[1]))) END, best IS NOT NULL
+FROM (SELECT round, any_value(clusters) AS clusters, min({'d': d, 'a': a, 'b': b}) FILTER (WHERE d <= 800 AND n = size) AS best
+ FROM (SELECT w.round, any_value(w.clusters) AS clusters, p.a[1] AS a, q.b[1] AS b, len(any_value(p.a)) * len(any_value(q.b)) AS size, max(dist.d) AS d, count(dist.d) AS n
+  FROM walk w, unnest(w.clusters) AS p(a), unnest(w.clusters) AS q(b) LEFT JOIN dist ON dist.round = w.round AND list_contains(p.a, dist.i) AND list_contains(q.b, dist.j) WHERE w.going AND (p.a[1] < q.b[1] OR len(w.clusters) = 1) GROUP BY w.round, p.a[1], q.b[1])
+ GROUP BY round))
+SELECT round, id, c[1] AS cluster FROM (SELECT round, unnest(clusters) AS c FROM walk WHERE NOT going), unnest(c) AS t(id)"""
+
+
+@query("clu_6_complete_linkage", _LINKAGE)
 def clu_6(spark, sf):
     """Models of each round (here: twelve suppliers) by complete linkage of account balance gaps."""
     s = table(spark, sf, "supplier").select(F.floor(F.col("s_suppkey") / 12).alias("round"), F.col("s_suppkey").alias("id"), "s_acctbal")
@@ -112,6 +125,16 @@ def clu_6(spark, sf):
     return clustering.complete_linkage(edges, s, ["round"], 800.0)
 
 
+@query("clu_6_reciprocal_merges", _LINKAGE)
+def clu_6_merges(spark, sf):
+    """The same by rounds of joins over all models, however many a round has."""
+    s = table(spark, sf, "supplier").select(F.floor(F.col("s_suppkey") / 12).alias("round"), F.col("s_suppkey").alias("id"), "s_acctbal")
+    a = s.select("round", F.col("id").alias("i"), F.col("s_acctbal").alias("x"))
+    b = s.select("round", F.col("id").alias("j"), F.col("s_acctbal").alias("y"))
+    edges = a.join(b, "round").where("i < j").select("round", "i", "j", F.abs(F.col("x") - F.col("y")).alias("distance"))
+    return clustering.reciprocal_linkage(edges, s, ["round"], 800.0)
+
+
 @query("clu_8_merge_representatives", """WITH m AS (SELECT l_suppkey % 9 AS id, (l_suppkey % 9) % 4 AS cluster, count(*) AS n, avg(l_discount) AS mean FROM lineitem GROUP BY ALL)
 SELECT min(id) AS representative, count(*) AS members, CAST(sum(n) AS BIGINT) AS n, round(sum(mean * n) / sum(n), 6) AS mean FROM m GROUP BY cluster""")
 def clu_8(spark, sf):
