@@ -33,7 +33,7 @@ from .bpe import byte_alphabet
 from .common import Memo, located, only, slices, written
 
 #: Text of a block: the larger, the fewer distinct pairs in all.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 #: A pair's key: A's id times this, and B's id.
 WIDTH = 1 << 20
 #: Stretches that A's encoder gets in one string.
@@ -159,7 +159,7 @@ class _Worker:
 
     def __init__(self, path_a: str, path_b: str):
         self.two = Tokenizers(path_a, path_b)
-        self.memo = Memo(self.two.encode_both, limit=500_000)
+        self.memo = Memo(self.two.encode_both, limit=250_000, chars=8 << 20)
         n = max(len(self.two.bytes_a), len(self.two.bytes_b))
         self.written = pa.array([b"%d%s" % (i, end) for i in range(n) for end in (b",", b"|", b";")], type=pa.binary())
 
