@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as agg
-from ..operators import detectors, experts, matching, resolution, windows
+from ..operators import detectors, experts, matching, path, resolution, windows
 from ..sources.scratch import written
 from ..sources.streams import STREAM_SQL, stream
 from ..sources.tables import table
@@ -43,6 +43,14 @@ def fifo_1(spark, sf):
     return decided.select("client", F.col("alarm").alias("pos"), "width", "start", "n_new", F.when(enough, F.col("action")).otherwise("insufficient_data").alias("action"), F.when(enough, F.col("model")).alias("model"))
 
 
+@query("fifo_1_client_path")
+def fifo_1_path(spark, sf):
+    """The client's path as one processor over all rows: detector, delay buffer, histories, proposals, and their validation on the samples that
+    follow; ``streaming.client`` gives the same rows of a stream. Model 1 mirrors the losses of model 0."""
+    rows = _s(spark, sf).select("client", "pos", F.col("loss").alias("a"), F.greatest(F.lit(0.0), 0.8 - F.col("loss")).alias("b"))
+    return path.follow(rows, ["a", "b"]).withColumn("value", F.round("value", 6))
+
+
 @query("res_2_suppressed_alarms", ALARMS + """, ordered AS (SELECT client, pos, row_number() OVER (PARTITION BY client ORDER BY pos) AS i FROM alarms),
 walk AS (SELECT client, pos, i, pos AS start, true AS allowed FROM ordered WHERE i = 1
   UNION ALL SELECT o.client, o.pos, o.i, CASE WHEN o.pos >= w.start + 60 THEN o.pos ELSE w.start END, o.pos >= w.start + 60 FROM walk w JOIN ordered o ON o.client = w.client AND o.i = w.i + 1)
