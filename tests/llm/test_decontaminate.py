@@ -111,3 +111,23 @@ def test_bytes_bound_the_broadcast(spark, monkeypatch):
     assert decontaminate._prepared(d, b)[0] is not None
     monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 3)
     assert decontaminate._prepared(d, b)[0] is None
+
+
+def test_clashing_hashes_lose_nothing(spark, monkeypatch):
+    """By shuffle, where many shingles share a hash and most hashes pass the bitmap."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 0)
+    monkeypatch.setattr(decontaminate, "FILTER_BITS", 16)
+    docs, items = made(random.Random(7))
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    windows = decontaminate.item_windows(b)
+    assert "sha2(" in decontaminate.scan_by_shuffle(d, windows)._jdf.queryExecution().optimizedPlan().toString()
+    assert scanned(d, b) == brute_scan(docs, items)
+
+
+def test_the_bitmap_holds_every_hash(spark):
+    keys = [0, 1, -1, 65_535, 65_536, 1 << 40, -(1 << 63), (1 << 63) - 1]
+    bitmap = decontaminate._bitmap(spark.createDataFrame([(k,) for k in keys], "key long"))
+    assert decontaminate._maybe(bitmap, decontaminate.np.array(keys)).all()
+    others = decontaminate.np.arange(100_000, 101_000)
+    assert not decontaminate._maybe(bitmap, others).any()
+    assert not decontaminate._maybe(decontaminate._bitmap(spark.createDataFrame([], "key long")), others).any()

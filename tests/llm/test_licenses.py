@@ -16,9 +16,10 @@ def brute_grams(text):
 
 
 def brute(text, templates, least):
-    if not re.search("licens|software", (text or "").lower()):
-        return []
+    """Every unit against every template, without any test beforehand."""
     units = (text or "").split("\n")
+    counts = [len(licenses.normal_words(u)) for u in units]
+    span = {i: (sum(counts[: i - 1]), sum(counts[:i])) for i in range(1, len(units) + 1)} | {0: (0, sum(counts))}
     found = []
     for i, unit in [(0, text or "")] * (len(units) > 1) + list(enumerate(units, 1)):
         a = brute_grams(unit)
@@ -26,18 +27,21 @@ def brute(text, templates, least):
             b = brute_grams(t)
             if a and b and 2 * len(a & b) / (len(a) + len(b)) >= least:
                 found.append((i, -1, k, round(2 * len(a & b) / (len(a) + len(b)), 9)))
-    ws = licenses.normal_words(text or "")
+    ws, plain = licenses.normal_words(text or ""), list(found)
     for k, t in sorted(templates.items()):
         b, m = brute_grams(t), len(licenses.normal_words(t))
         of = licenses.anchors(t, least)
-        votes = Counter(i - of[x] for i, x in enumerate(map(" ".join, zip(ws, ws[1:]))) if x in of)
-        if not votes:
-            continue
-        i = max(0, max(votes, key=lambda s: (votes[s], -s)))
-        a = set(zip(ws[i : i + m], ws[i + 1 : i + m]))
-        value = 2 * len(a & b) / (len(a) + len(b))
-        if value >= least and all(f[2] != k or f[3] < round(value, 9) for f in found):
-            found.append((-1, i, k, round(value, 9)))
+        votes = Counter(max(0, i - of[x]) for i, x in enumerate(map(" ".join, zip(ws, ws[1:]))) if x in of)
+        begins = []
+        for i in sorted(votes, key=lambda s: (-votes[s], s)):
+            if all(abs(i - j) >= m for j in begins):
+                begins.append(i)
+        for i in begins:
+            a = set(zip(ws[i : i + m], ws[i + 1 : i + m]))
+            value = round(2 * len(a & b) / (len(a) + len(b)), 9)
+            beaten = any(f[2] == k and f[3] >= value and span[f[0]][0] < i + m and i < span[f[0]][1] for f in plain)
+            if value >= least and not beaten:
+                found.append((-1, i, k, value))
     return sorted(found)
 
 
@@ -84,8 +88,33 @@ def test_clashing_columns_stay(spark):
     assert licenses.scan(df).columns == [*df.columns, "found"]
 
 
-def test_every_template_holds_a_sign():
-    assert all(any(sign in t.lower() for sign in licenses.SIGNS) for t in licenses.TEMPLATES.values())
+def test_matches_without_the_word_license(spark):
+    """Truncated notices match at 0.8 although they don't name themselves."""
+    rows = ["Released under the MIT", "This is free and unencumbered program released into the public domain.", "released under the", "so licensed", "soft"]
+    found = scanned(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))
+    assert found[0] == [(1, -1, "mit-notice", round(6 / 7, 9))] and [f[2:] for f in found[1]] == [("unlicense-notice", 0.8)]
+    assert found == {i: brute(x, licenses.TEMPLATES, 0.8) for i, x in enumerate(rows)}
+
+
+def test_every_match_holds_a_sign():
+    """Any part of a template's bigrams that is large enough for a match has one of its signs."""
+    for t in licenses.TEMPLATES.values():
+        g, signs = licenses.grams(t), licenses.signs(t, 0.8)
+        without = [x for x in g if not signs & set(x.split(" "))]
+        assert len(without) < licenses.needed(len(g), 0.8)
+
+
+def test_every_copy_in_a_text_is_told(spark):
+    t = licenses.TEMPLATES
+    code = "\n".join(f"x{i} = {i}" for i in range(40))
+    rows = [
+        f"{wrapped(t['mit'])}\n{code}\n{wrapped(t['mit'], ' * ')}\n{code}\n{wrapped(t['isc'])}\n{t['mit']}",
+        f"{t['mit-notice']} {code} {t['mit-notice']} and {t['mit-notice']}",
+        f"{t['mit']}\n{code}\n{wrapped(t['mit'])}",
+    ]
+    found = scanned(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))
+    assert [len([f for f in found[i] if f[2] in ("mit", "mit-notice")]) for i in range(3)] == [3, 3, 2]
+    assert found == {i: brute(x, t, 0.8) for i, x in enumerate(rows)}
 
 
 def test_digest_and_empty_table(spark):

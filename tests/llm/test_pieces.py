@@ -132,3 +132,11 @@ def test_fine_stretches_join_to_the_whole(vocab):
         assert pieces.encode([text], PATH)[0].tolist() == pieces.viterbi(vocab, f" {text}")
     joining = Tiny({"a": -1.0, "a.": -1.0})
     assert joining.stretch is pieces._STRETCH
+
+
+def test_names_clash_in_any_case(spark):
+    docs = spark.createDataFrame([(1, "ab", 5, 6)], "doc_id long, text string, IDS int, Decoded int")
+    done = pieces.decode_column(pieces.encode_column(docs, PATH), PATH)
+    assert done.columns == ["doc_id", "text", "ids", "decoded"] and done.select("decoded").first()[0] == "ab"
+    checked = pieces.encode_checked(docs, PATH)
+    assert len({c.lower() for c in checked.columns}) == len(checked.columns) and checked.select("ids").first()[0]

@@ -34,6 +34,8 @@ from .common import Memo, located, only, slices, written
 
 #: Text of a block: the larger, the fewer distinct pairs in all.
 BLOCK_BYTES = 2 << 20
+#: Blocks that a task takes at the end, and the most tasks there; beyond these, tasks take more blocks, batch by batch.
+BLOCKS_A_TASK, MOST_TASKS = 2, 20_000
 #: A pair's key: A's id times this, and B's id.
 WIDTH = 1 << 20
 #: Stretches that A's encoder gets in one string.
@@ -284,14 +286,14 @@ def digest(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", te
     """``doc_id``, ``n_a``, ``n_b``, ``n_groups``, ``n_links``, ``n_best``, ``count_sum``, ``groups_sha256`` of each row."""
     made = written(blocks(docs, path_a, path_b, id_col, text_col), "align-blocks", compression="zstd")
     asked = made.select("block", F.posexplode("pairs").alias("at", "pair"))
-    told = asked.join(pair_counts(made), "pair").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("at", "total", "best"))).alias("told"))
+    # A task takes few blocks, as one block's lists are as large as its text; the hint keeps them from being sorted.
+    n = max(1, min(made.count() // BLOCKS_A_TASK, MOST_TASKS))
+    told = asked.join(pair_counts(made), "pair").repartition(n, "block").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("at", "total", "best"))).alias("told"))
     told = told.select("block", F.col("told.total").alias("total"), F.col("told.best").alias("best"))
-    both = made.select("block", "doc_id", *_COUNTS, "groups_sha256", "links").join(told, "block", "left")
-    id_type = docs.select(F.col(id_col).alias("doc_id")).schema["doc_id"]
+    both = made.select("block", "doc_id", *_COUNTS, "groups_sha256", "links").repartition(n, "block").join(told.hint("shuffle_hash"), "block", "left")
     names = ["doc_id", *_COUNTS, "n_best", "count_sum", "groups_sha256"]
     zero = F.lit(0).cast("long")
     schema = docs.select(F.col(id_col).alias("doc_id")).select("doc_id", *(zero.alias(c) for c in names[1:-1]), F.lit("").alias("groups_sha256")).schema
-    assert schema["doc_id"].dataType == id_type.dataType
 
     def run(batches):
         for batch in batches:

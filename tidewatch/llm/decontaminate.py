@@ -7,7 +7,8 @@ with that one are candidates. The shingle's place in the window and in the docum
 bound), the window must end within the document (length bound), and its words are compared one by one.
 
 Benchmarks of up to ``BROADCAST_WINDOWS`` windows and ``BROADCAST_BYTES`` are broadcast and documents are scanned where they lie. Larger ones are joined
-by shuffle on the shingle's hash: :func:`scan_by_shuffle`, with the same results; a frequent shingle is dealt to ``SALTS`` keys or, once its
+by shuffle on the shingle's hash: :func:`scan_by_shuffle`, with the same results; only documents' shingles that a bitmap of fixed size lets pass cross
+the network; a frequent shingle is dealt to ``SALTS`` keys or, once its
 places are counted, met by a broadcast of the few such, and the rows of a text with many copies are spread.
 
 Ids keep their type. Defined results: null and empty texts have no words; an item without words has no window; repeated items and documents count as
@@ -23,7 +24,7 @@ from functools import cached_property
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.skew import left_join_spread
@@ -33,6 +34,8 @@ WINDOW = 10
 SHINGLE = 5
 BROADCAST_WINDOWS = 200_000
 BROADCAST_BYTES = 32 << 20
+#: Bits of a shingle's hash by which documents' shingles are told apart before they cross the network: a bitmap of 32 MB.
+FILTER_BITS = 28
 #: Keys that the places of one shingle are dealt to before they are counted.
 SALTS = 64
 
@@ -233,6 +236,33 @@ def _hash(ws: list[bytes]) -> int:
     return xxhash.xxh64_intdigest(b" ".join(ws)) - (1 << 63)
 
 
+def _bitmap(shingles: DataFrame) -> np.ndarray:
+    """One bit for each value of the last ``FILTER_BITS`` bits of the shingles' hashes: a filter of fixed size whatever the benchmark's. Its blocks
+    are put together by tasks."""
+    low = F.col("key").bitwiseAND((1 << FILTER_BITS) - 1)
+    blocks = shingles.select(F.shiftright(low, 16).alias("block"), low.bitwiseAND(0xFFFF).cast("int").alias("bit")).groupBy("block").agg(F.collect_set("bit").alias("set"))
+
+    def packed(batches):
+        for batch in batches:
+            found = []
+            for x in batch["set"]:
+                marks = np.zeros(1 << 16, dtype=bool)
+                marks[x.values.to_numpy()] = True
+                found.append(np.packbits(marks, bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([batch["block"], pa.array(found, type=pa.binary())], names=["block", "bytes"])
+
+    out = np.zeros(1 << FILTER_BITS >> 3, dtype=np.uint8)
+    for block, data in blocks.mapInArrow(packed, "block long, bytes binary").toLocalIterator():
+        out[block << 13 : block + 1 << 13] = np.frombuffer(data, dtype=np.uint8)
+    return out
+
+
+def _maybe(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether a hash may be one of the bitmap's."""
+    low = hashes & ((1 << FILTER_BITS) - 1)
+    return (bitmap[low >> 3] >> (low & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def scan_by_shuffle(docs: DataFrame, windows: DataFrame) -> DataFrame:
     """:func:`scan` for a benchmark of any size: shingle hashes of both sides meet in a shuffled join."""
 
@@ -251,18 +281,22 @@ def scan_by_shuffle(docs: DataFrame, windows: DataFrame) -> DataFrame:
     shingles = written(map_slices(distinct, of_windows, "window string, offset int, size int, key long", "window"), "shingles")
     sizes = [r[0] for r in shingles.select("size").distinct().collect()]  # 1 to SHINGLE
 
+    bits = docs.sparkSession.sparkContext.broadcast(_bitmap(shingles))
+
     def of_docs(batch):
         out: list[tuple] = []
         for key, t in zip(batch["row"].to_pylist(), texts(batch)):
             ws = words(t)
-            out += [(key, i, size, _hash(ws[i : i + size])) for size in sizes for i in range(len(ws) - size + 1)]
+            for size in sizes:
+                hashes = [_hash(ws[i : i + size]) for i in range(len(ws) - size + 1)]
+                out += [(key, i, size, hashes[i]) for i in np.flatnonzero(_maybe(bits.value, np.array(hashes, dtype=np.int64))).tolist()]
         return pa.RecordBatch.from_arrays(
-            [pa.array([r[k] for r in out], type=t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int64()))],
+            [pa.array([r[k] for r in out], type=t) for k, t in enumerate((pa.string(), pa.int32(), pa.int32(), pa.int64()))],
             names=["row", "at", "size", "key"],
         )
 
-    keyed = docs.withColumn("row", F.xxhash64("text"))  # equal texts share their hits
-    places = map_slices(keyed.select("row", "text").dropDuplicates(["row"]), of_docs, "row long, at int, size int, key long")
+    keyed = docs.withColumn("row", identity("text"))  # equal texts share their hits
+    places = map_slices(keyed.select("row", "text").dropDuplicates(["row"]), of_docs, "row string, at int, size int, key long")
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     wanted = shingles.select("size", "key").distinct().select("size", "key", salts)
     salted = places.withColumn("salt", F.pmod(F.xxhash64("row", "at"), F.lit(SALTS)).cast("int"))
@@ -294,6 +328,11 @@ def scan_by_shuffle(docs: DataFrame, windows: DataFrame) -> DataFrame:
     return map_slices(left_join_spread(keyed, by_row, "row").select("doc_id", "text", "found"), verify, _schema(docs))
 
 
+def identity(text_col: str) -> Column:
+    """What stands for a text where equal ones are merged: its SHA-256, so that different texts are never taken for one. Null is as empty."""
+    return F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
+
+
 def digest(found: DataFrame) -> DataFrame:
     """The result of :func:`scan` with the items as number and digest."""
     return found.select(
@@ -311,7 +350,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
     ready, windows = _prepared(docs.select(F.col(text_col).alias("text")), benchmark)
     if ready is None:
         row = fresh(docs, "row")
-        keyed = docs.withColumn(row, F.xxhash64(text_col))
+        keyed = docs.withColumn(row, identity(text_col))
         single = keyed.select(F.col(row).alias("doc_id"), F.col(text_col).alias("text")).dropDuplicates(["doc_id"])
         bad = scan_by_shuffle(single, windows).where("n_hit > 0").select(F.col("doc_id").alias(row), F.lit(True).alias(fresh(keyed, "bad")))
         return left_join_spread(keyed, bad, row).where(F.col(bad.columns[1]).isNull()).select(*docs.columns)

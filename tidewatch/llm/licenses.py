@@ -1,14 +1,15 @@
 """License scans: parts of texts compared to license templates by the Dice coefficient of their word bigrams.
 
-Units are a text's lines, where it has several the whole text, and of each template a run of words: it has as many words as the template, wherever
-lines end, and begins where most of the template's anchors (below) have it begin, each by its place in the template; first of equal places. A unit is normalised (A-Z lower-cased; all but digits, letters and
+Units are a text's lines, where it has several the whole text, and of each template runs of words: a run has as many words as the template, wherever
+lines end, and begins where anchors of the template (below) have it begin, each by its place in the template. Of the beginnings that anchors vote for, those of
+most votes come first, then the earlier ones, and each that lies no nearer to one before it than the template is long is compared, so every copy in a text is. A unit is
+normalised (A-Z lower-cased; all but digits, letters and
 characters beyond ASCII separates words) and stands for its set of word bigrams. It matches a template where
-``2 |A and B| / (|A| + |B|)`` is at least ``LEAST_DICE``. A run is told where it beats the template's matching lines and the whole text.
+``2 |A and B| / (|A| + |B|)`` is at least ``LEAST_DICE``. A run is told where it beats the template's matching lines that it overlaps, and the whole text.
 
-Bounds prune before any comparison. Sizes must satisfy ``t / (2 - t) |B| <= |A| <= (2 - t) / t |B|``. At least ``t / (2 - t) |B|`` bigrams must be
-shared, so any ``|B|`` less that number plus one of them hold one of every match's: the template's anchors, its longest ones, are so many. A text that
-shares too few bigrams with a template as a whole holds no match of it in any unit. And a license names itself: a text without any of ``SIGNS``,
-one of which is in every template, matches nothing.
+Bounds prune before any comparison, and lose nothing. Sizes must satisfy ``t / (2 - t) |B| <= |A| <= (2 - t) / t |B|``. At least ``t / (2 - t) |B|`` bigrams must be
+shared, so any ``|B|`` less that number plus one of them hold one of every match's: the template's anchors, its longest ones, are so many. So a text without the longer word
+of any anchor of any template matches nothing and is not looked at further, and one that shares too few bigrams with a template as a whole holds no match of it in any unit.
 
 All of it is DataFrame functions within a row: nothing is exploded or shuffled, and a lost executor costs its rows alone.
 
@@ -23,14 +24,11 @@ import math
 import pkgutil
 import re
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LEAST_DICE = 0.8
-#: What a text has to hold, in any case of letters, to be looked at.
-SIGNS = ("licens", "software")
 
 # License notices and texts as their owners publish them.
 _MIT_BODY = (
@@ -130,14 +128,24 @@ def anchors(text: str, least: float) -> dict[str, int]:
     return {x: place[x] for x in sorted(chosen)}
 
 
+def signs(text: str, least: float) -> set[str]:
+    """Words of which every match of a template holds one: each anchor's longer word."""
+    return {max(x.split(" "), key=len) for x in anchors(text, least)}
+
+
 def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use`` of a value that is computed once, however often it is used."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _pairs(text: Column) -> Column:
-    """Word bigrams of a lower-cased text in order, repeats included."""
-    found = F.filter(F.split(F.regexp_replace(text, _BETWEEN, " "), " "), lambda w: w != "")
+def _words(text: Column) -> Column:
+    """Words of a lower-cased text, maybe with empty ones at its ends."""
+    return F.split(text, _BETWEEN)
+
+
+def _pairs(words: Column) -> Column:
+    """Word bigrams in order, repeats included."""
+    found = F.filter(words, lambda w: w != "")
     pair = lambda ws: F.transform(F.slice(ws, 1, F.greatest(F.size(ws) - 1, F.lit(0))), lambda w, i: F.concat(w, F.lit(" "), F.get(ws, i + 1)))
     return _bound(found, pair)
 
@@ -171,31 +179,35 @@ def scan(docs: DataFrame, text_col: str = "text", out_col: str = "found", templa
         compared = F.transform(F.filter(near, fits), lambda t: row(unit, F.lit(-1), t, dice(g, t)))
         return F.filter(compared, lambda x: x["dice"] >= least)
 
-    def run_of(pairs: Column, distinct: Column, t: Column) -> Column:
-        """The run of a template's length that begins where most of its anchors have it begin."""
-        begin = lambda x, i: i - F.element_at(t["places"], F.array_position(t["anchors"], x).cast("int"))
+    def runs_of(pairs: Column, distinct: Column, t: Column) -> Column:
+        """The runs of a template's length that begin where its anchors have them begin."""
+        begin = lambda x, i: F.greatest(i - F.element_at(t["places"], F.array_position(t["anchors"], x).cast("int")), F.lit(0))
         votes = lambda held: F.filter(F.transform(pairs, lambda x, i: F.when(F.array_contains(held, x), begin(x, i))), lambda i: i.isNotNull())
-        none = F.struct(F.lit(None).cast("int").alias("now"), F.lit(0).alias("n"), F.lit(None).cast("int").alias("best"), F.lit(0).alias("most"))
-
-        def counted(acc: Column, i: Column) -> Column:
-            n = F.when(acc["now"] == i, acc["n"] + 1).otherwise(1)
-            more = n > acc["most"]
-            return F.struct(i.alias("now"), n.alias("n"), F.when(more, i).otherwise(acc["best"]).alias("best"), F.greatest(n, acc["most"]).alias("most"))
-
-        start = F.aggregate(F.array_sort(_bound(F.array_intersect(distinct, t["anchors"]), votes)), none, counted, lambda acc: F.greatest(acc["best"], F.when(acc["best"].isNotNull(), 0)))
+        counted = lambda vs: F.transform(F.array_distinct(vs), lambda s: F.struct((-F.size(F.filter(vs, lambda v: v == s))).alias("n"), s.alias("s")))
+        ranked = lambda vs: F.transform(F.array_sort(counted(vs)), lambda x: x["s"])
+        apart = lambda acc, s: F.when(F.exists(acc, lambda c: F.abs(c - s) < t["words"]), acc).otherwise(F.concat(acc, F.array(s)))
+        begins = F.aggregate(_bound(_bound(F.array_intersect(distinct, t["anchors"]), votes), ranked), F.array().cast("array<int>"), apart)
         run = lambda i: F.array_distinct(F.slice(pairs, i + 1, F.greatest(t["words"] - 1, F.lit(0))))
-        return _bound(start, lambda i: F.when(i.isNotNull(), _bound(run(i), lambda g: row(F.lit(-1), i, t, dice(g, t)))))
+        compared = F.transform(begins, lambda i: _bound(run(i), lambda g: F.struct(row(F.lit(-1), i, t, dice(g, t)).alias("told"), (i + t["words"]).alias("end"))))
+        return F.filter(compared, lambda x: x["told"]["dice"] >= least)
 
     def with_near(near: Column, pairs: Column, distinct: Column) -> Column:
         lines = F.split(lower, "\n", -1)
-        of_line = lambda line, i: _bound(F.array_distinct(_pairs(line)), lambda g: F.when(F.size(g) > 0, of_unit(g, i + 1, near)).otherwise(F.array().cast(_FOUND)))
+        of_line = lambda line, i: _bound(F.array_distinct(_pairs(_words(line))), lambda g: F.when(F.size(g) > 0, of_unit(g, i + 1, near)).otherwise(F.array().cast(_FOUND)))
         whole = F.when(F.size(lines) > 1, of_unit(distinct, F.lit(0), near)).otherwise(F.array().cast(_FOUND))
         plain = F.concat(whole, F.flatten(F.transform(lines, of_line)))
+        # Where the words of the first so many lines end.
+        counts = F.transform(lines, lambda line: F.size(F.filter(_words(line), lambda w: w != "")))
+        ends = F.aggregate(counts, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
 
         def and_runs(told: Column) -> Column:
-            beaten = lambda x: F.exists(told, lambda y: (y["license"] == x["license"]) & (y["dice"] >= x["dice"]))
-            runs = F.transform(near, lambda t: run_of(pairs, distinct, t))
-            return F.concat(told, F.filter(runs, lambda x: (x["dice"] >= least) & ~beaten(x)))
+            def unbeaten(ends: Column) -> Column:
+                covers = lambda y, x: (y["unit"] == 0) | ((F.get(ends, y["unit"] - 1) < x["end"]) & (x["told"]["at"] < F.get(ends, y["unit"])))
+                beaten = lambda x: F.exists(told, lambda y: (y["license"] == x["told"]["license"]) & (y["dice"] >= x["told"]["dice"]) & covers(y, x))
+                runs = F.flatten(F.transform(near, lambda t: runs_of(pairs, distinct, t)))
+                return F.concat(told, F.transform(F.filter(runs, lambda x: ~beaten(x)), lambda x: x["told"]))
+
+            return _bound(ends, unbeaten)
 
         return _bound(plain, and_runs)
 
@@ -204,8 +216,9 @@ def scan(docs: DataFrame, text_col: str = "text", out_col: str = "found", templa
         inner = lambda distinct: _bound(near(distinct), lambda ts: F.when(F.size(ts) > 0, with_near(ts, pairs, distinct)))
         return _bound(F.array_distinct(pairs), inner)
 
-    named = reduce(Column.__or__, [lower.contains(sign) for sign in SIGNS])
-    found = F.when(named, _bound(_pairs(lower), with_pairs)).otherwise(empty)
+    held = sorted(set().union(*(signs(t, least) for t in templates.values() if grams(t))))
+    sign = F.from_json(F.lit(json.dumps(held)), "array<string>")
+    found = _bound(_words(lower), lambda ws: F.when(F.arrays_overlap(ws, sign), _bound(_pairs(ws), with_pairs)).otherwise(empty))
     return docs.withColumn(out_col, F.coalesce(found, F.array().cast(_FOUND)))
 
 
@@ -228,24 +241,28 @@ def oracle_sql(least: float = LEAST_DICE) -> str:
     placed = ", ".join(f"('{k}', {quoted(x)}, {i})" for k, t in TEMPLATES.items() for x, i in anchors(t, least).items())
     words = f"list_filter(string_split(regexp_replace(translate(unit, '{_UPPER}', '{_LOWER}'), '{_BETWEEN}', ' ', 'g'), ' '), lambda w: w <> '')"
     pairs = "list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])"
-    named = " OR ".join(f"contains(translate(text, '{_UPPER}', '{_LOWER}'), '{sign}')" for sign in SIGNS)
     return f"""
-WITH texts AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines, coalesce(text, '') AS text FROM documents WHERE {named}),
+WITH RECURSIVE texts AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines, coalesce(text, '') AS text FROM documents),
 units AS (SELECT doc_id, i, lines[i] AS unit FROM texts, unnest(range(1, len(lines) + 1)) AS t(i)
   UNION ALL SELECT doc_id, 0, text FROM texts WHERE len(lines) > 1),
-grams AS MATERIALIZED (SELECT doc_id, i, list_distinct({pairs}) AS g FROM (SELECT doc_id, i, {words} AS ws FROM units)),
+grams AS MATERIALIZED (SELECT doc_id, i, len(ws) AS n, list_distinct({pairs}) AS g FROM (SELECT doc_id, i, {words} AS ws FROM units)),
+spans AS (SELECT doc_id, i, CASE WHEN i = 0 THEN 0 ELSE sum(CASE WHEN i > 0 THEN n ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) - n END AS off, n FROM grams),
 templates AS MATERIALIZED (SELECT license, list_distinct({pairs}) AS t, len(ws) AS m FROM (SELECT license, {words} AS ws FROM (VALUES {rows}) AS v(license, unit))),
-plain AS (SELECT doc_id, license, 2 * len(list_intersect(g, t)) / (len(g) + len(t)) AS dice
+plain AS (SELECT doc_id, i, license, 2 * len(list_intersect(g, t)) / (len(g) + len(t)) AS dice
   FROM grams, templates WHERE len(g) > 0 AND len(g) BETWEEN 0.5 * len(t) AND 2 * len(t) AND list_has_any(g, t)),
-told AS (SELECT doc_id, license, dice FROM plain WHERE dice >= {least}),
+told AS (SELECT doc_id, license, dice, off, n FROM plain JOIN spans USING (doc_id, i) WHERE dice >= {least}),
 anchors(license, gram, place) AS (VALUES {placed}),
 whole AS MATERIALIZED (SELECT doc_id, {pairs} AS g FROM (SELECT doc_id, {words} AS ws FROM (SELECT doc_id, text AS unit FROM texts))),
-votes AS (SELECT doc_id, license, i - 1 - place AS s, count(*) AS n FROM (SELECT doc_id, g[i] AS gram, i FROM whole, unnest(range(1, len(g) + 1)) AS t(i)) JOIN anchors USING (gram) GROUP BY ALL),
-starts AS (SELECT doc_id, license, greatest(arg_max(s, (n, -s)), 0) AS s FROM votes GROUP BY doc_id, license),
-runs AS (SELECT doc_id, license, s, list_distinct(list_slice(g, s + 1, s + m - 1)) AS r, t FROM starts JOIN whole USING (doc_id) JOIN templates USING (license)),
-compared AS (SELECT doc_id, license, 2 * len(list_intersect(r, t)) / (len(r) + len(t)) AS dice FROM runs),
-met AS (SELECT * FROM told UNION ALL SELECT doc_id, license, dice FROM compared c WHERE dice >= {least}
-  AND NOT EXISTS (FROM told WHERE told.doc_id = c.doc_id AND told.license = c.license AND told.dice >= c.dice)),
+votes AS MATERIALIZED (SELECT doc_id, license, greatest(i - 1 - place, 0) AS s, count(*) AS n FROM (SELECT doc_id, g[i] AS gram, i FROM whole, unnest(range(1, len(g) + 1)) AS t(i)) JOIN anchors USING (gram) GROUP BY ALL),
+picked AS (
+  SELECT doc_id, license, []::BIGINT[] AS chosen, CAST(NULL AS BIGINT) AS s FROM (SELECT DISTINCT doc_id, license FROM votes)
+  UNION ALL SELECT doc_id, license, list_append(any_value(chosen), arg_min(s, (-n, s))), arg_min(s, (-n, s))
+  FROM (SELECT p.doc_id, p.license, p.chosen, v.s, v.n FROM picked p JOIN votes v USING (doc_id, license) JOIN templates t USING (license) WHERE len(list_filter(p.chosen, lambda c: abs(c - v.s) < t.m)) = 0)
+  GROUP BY doc_id, license),
+runs AS (SELECT doc_id, license, s, m, list_distinct(list_slice(g, s + 1, s + m - 1)) AS r, t FROM picked JOIN whole USING (doc_id) JOIN templates USING (license) WHERE s IS NOT NULL),
+compared AS (SELECT doc_id, license, s, m, 2 * len(list_intersect(r, t)) / (len(r) + len(t)) AS dice FROM runs),
+met AS (SELECT doc_id, license, dice FROM told UNION ALL SELECT doc_id, license, dice FROM compared c WHERE dice >= {least}
+  AND NOT EXISTS (FROM told WHERE told.doc_id = c.doc_id AND told.license = c.license AND told.dice >= c.dice AND told.off < c.s + c.m AND c.s < told.off + told.n)),
 best AS (SELECT doc_id, count(*) AS n, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses,
   arg_min(license, (-dice, license)) AS best_license, max(dice) AS dice FROM met GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n, 0) AS n_matches, coalesce(licenses, '') AS licenses, best_license, round(dice, 6) AS best_dice

@@ -202,7 +202,7 @@ def _lists(ids: list[np.ndarray | None]) -> pa.ListArray:
 
 def encode_column(docs: DataFrame, path: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
     """``docs`` with the ids of ``text_col`` in ``out_col`` (which replaces a column of that name)."""
-    kept = [c for c in docs.columns if c != out_col]
+    kept = [c for c in docs.columns if c.lower() != out_col.lower()]
 
     def run(batch):
         arrays = [batch[c] for c in kept] + [_lists(encode(texts(batch, text_col), path))]
@@ -214,7 +214,7 @@ def encode_column(docs: DataFrame, path: str, text_col: str = "text", out_col: s
 
 def decode_column(encoded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """``encoded`` with the text of ``ids_col`` in ``out_col`` (which replaces a column of that name)."""
-    kept = [c for c in encoded.columns if c != out_col]
+    kept = [c for c in encoded.columns if c.lower() != out_col.lower()]
 
     def run(batches):
         for batch in batches:
@@ -232,7 +232,7 @@ def encode_checked(docs: DataFrame, path: str, text_col: str = "text", digest_on
     """``docs`` with ``ids``, ``n_pieces``, ``ids_crc32`` (of the ids as little-endian unsigned 32-bit integers), ``decoded_sha256`` and
     ``lossless`` (the ids decode to the text): encoding and decoding in one pass, so that a task keeps one worker and one memo. With ``digest_only``, neither the ids nor the text are returned."""
     names = ("ids", "n_pieces", "ids_crc32", "decoded_sha256", "lossless", *([text_col] if digest_only else []))
-    kept = [c for c in docs.columns if c not in names]
+    kept = [c for c in docs.columns if c.lower() not in {n.lower() for n in names}]
 
     def run(batch):
         values = texts(batch, text_col)
