@@ -113,7 +113,7 @@ def test_every_copy_in_a_text_is_told(spark):
         f"{t['mit']}\n{code}\n{wrapped(t['mit'])}",
     ]
     found = scanned(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))
-    assert [len([f for f in found[i] if f[2] in ("mit", "mit-notice")]) for i in range(3)] == [3, 3, 2]
+    assert [len([f for f in found[i] if f[2] in ("mit", "mit-notice")]) for i in range(3)] == [3, 4, 2]  # the first notice of the second also makes its line match, less well
     assert found == {i: brute(x, t, 0.8) for i, x in enumerate(rows)}
 
 
