@@ -38,6 +38,42 @@ def match_events(truth: DataFrame, events: DataFrame, tolerance: int, key: str =
     return fold(both, [key], [order, "__kind"], start, [order, "__kind"], f"kind string, {order} long, true_pos long, delay long")
 
 
+def match_recorded(truth: DataFrame, events: DataFrame, tolerance: int, key: str = "client", order: str = "pos", recorded: str = "seq") -> DataFrame:
+    """Greedy one-to-one matching where events were not recorded in the order of their positions: each true position, in order, takes the unused
+    event within ``[true, true + tolerance]`` that was recorded first.
+
+    One row for each truth and event: ``kind``, ``pos``, ``seq`` (of events) and, on matched events, ``true_pos`` and ``delay``. A truth is decided
+    when the walk has passed its tolerance, when all events that it may take are known; so the state is the events of one tolerance.
+    """
+    marks = truth.select(key, (F.col(order) + tolerance).alias("__at"), F.lit(1).alias("__kind"), F.lit(0).cast("long").alias(recorded))
+    both = marks.unionByName(events.select(key, F.col(order).alias("__at"), F.lit(0).alias("__kind"), F.col(recorded).cast("long").alias(recorded)))
+    schema = f"kind:string,{order}:bigint,{recorded}:bigint,true_pos:bigint,delay:bigint"
+
+    def start():
+        held: list[tuple[int, int]] = []  # (seq, pos) of unused events
+
+        def step(at, kind=None, seq=None):
+            if at is None:
+                return ([("event", pos, s, None, None) for s, pos in held],) if held else None
+            at, true = int(at), int(at) - tolerance
+            rows = [("event", pos, s, None, None) for s, pos in held if pos < true]
+            held[:] = [e for e in held if e[1] >= true]
+            if kind == 0:
+                held.append((int(seq), at))
+            else:
+                rows.append(("truth", true, None, None, None))
+                if held:
+                    taken = min(held)
+                    held.remove(taken)
+                    rows.append(("event", taken[1], taken[0], true, taken[1] - true))
+            return (rows,) if rows else None
+
+        return step
+
+    found = fold(both, [key], ["__at", "__kind", recorded], start, ["__at", "__kind", recorded], f"rows array<struct<{schema}>>", flush=True)
+    return found.selectExpr(key, "inline(rows)")
+
+
 def detection_counts(matched: DataFrame, key: list[str]) -> DataFrame:
     """``tp``, ``fp``, ``fn``, ``total_true``, ``total_detect`` and their ratios (0 where undefined) and mean delay."""
     tp = F.sum(F.when(F.col("true_pos").isNotNull(), 1).otherwise(0))

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as agg
 from ..operators import clustering, lineage, matching, windows
-from ..sources import files
-from ..sources.scratch import scratch_dir, written
+from ..sources import files, published
+from ..sources.scratch import fresh_place, written
 from ..sources.streams import STREAM_SQL, stream
 from ..sources.tables import table
 from . import metrics
@@ -23,11 +21,6 @@ def _s(spark, sf):
     return stream(table(spark, sf, "events"))
 
 
-def _place(spark, name: str) -> str:
-    """A new folder in the shared one."""
-    return f"{scratch_dir(spark)}/tidewatch/{name}-{uuid.uuid4().hex}"
-
-
 _CELLS = """c4 AS (SELECT greatest(a.total / a.n - d.total / d.n, b.total / b.n - c.total / c.n) AS distance, greatest({0}, {1}) AS score
 FROM m a JOIN m b ON b.candidate = a.target AND b.target = a.candidate JOIN m c ON c.candidate = a.candidate AND c.target = a.candidate JOIN m d ON d.candidate = a.target AND d.target = a.target
 WHERE a.candidate < a.target AND least(a.n, b.n, c.n, d.n) >= 5)""".format(_WELCH.format("a", "d"), _WELCH.format("b", "c"))
@@ -125,6 +118,34 @@ def clu_15_ancestry(spark, sf):
     return lineage.ancestry(_rounds(spark, sf)[2].where("model <> representative"))
 
 
+# Stored orders by year; two deliveries fill blanks and add orders, a third contradicts one.
+_PARTS = {
+    "stored": "o_orderkey % 5 < 3", "first": "o_orderkey % 5 IN (2, 3)", "second": "o_orderkey % 5 IN (0, 4)",
+}
+_VALUES = {
+    "stored": ("CASE WHEN o_orderkey % 3 > 0 THEN o_totalprice END", "CASE WHEN o_orderkey % 4 > 0 THEN o_orderpriority END"),
+    "first": ("CASE WHEN o_orderkey % 2 > 0 THEN o_totalprice END", "o_orderpriority"),
+    "second": ("o_totalprice", "CASE WHEN o_orderkey % 7 > 0 THEN o_orderpriority END"),
+}
+
+
+@query("snk_8_published_upserts", "WITH " + ", ".join(f"{n} AS (SELECT year(o_orderdate) AS y, o_orderkey AS k, {v} AS price, {w} AS priority FROM orders WHERE {_PARTS[n]})" for n, (v, w) in _VALUES.items()) + """
+SELECT y, k, coalesce(s.price, f.price, t.price) AS price, coalesce(s.priority, f.priority, t.priority) AS priority FROM stored s FULL JOIN first f USING (y, k) FULL JOIN second t USING (y, k)""")
+def snk_8_published(spark, sf):
+    """SNK-8, SNK-9: a stored table is extended twice in place and read back; a delivery that contradicts it leaves it as it was."""
+    o, path = table(spark, sf, "orders"), fresh_place(spark, "published")
+    parts = {n: o.where(_PARTS[n]).select(F.year("o_orderdate").alias("y"), F.col("o_orderkey").alias("k"), F.expr(v).alias("price"), F.expr(w).alias("priority")) for n, (v, w) in _VALUES.items()}
+    schema = parts["stored"].schema
+    published.store(parts["stored"], path, "y")
+    for name in ("first", "second"):
+        published.extend(spark, path, parts[name], ["y", "k"], "y", schema)
+    try:
+        published.extend(spark, path, parts["second"].withColumn("price", F.col("price") + 1), ["y", "k"], "y", schema)
+    except published.NotPublished:
+        return published.read(spark, path, schema)
+    raise AssertionError("a contradiction was published")
+
+
 @query("lif_16_registrations", "SELECT o_custkey AS model, arg_min(o_orderpriority, (o_orderdate, o_orderkey)) AS client, min(o_orderdate) AS registered, count(*) AS seen FROM orders GROUP BY o_custkey")
 def lif_16(spark, sf):
     """Of repeated registrations of a model the first stands."""
@@ -181,7 +202,7 @@ _RESULT = "o_orderstatus AS mode, 'd' || o_custkey % 3 AS dataset, o_custkey % 2
 @query("snk_1_results_and_back", f"SELECT dataset, mode, count(*) AS n, round(sum(accuracy), 3) AS accuracy, CAST(sum(seed) AS BIGINT) AS seeds FROM (SELECT {_RESULT} FROM orders) GROUP BY ALL")
 def snk_1(spark, sf):
     """SNK-1, SRC-15, SRC-16: result rows as CSV with the fixed header, read back and checked."""
-    path = _place(spark, "results")
+    path = fresh_place(spark, "results")
     rows = table(spark, sf, "orders").selectExpr("1 AS version", "o_orderstatus AS mode", "concat('d', o_custkey % 3) AS dataset", "'fixed' AS schedule", "cast(o_custkey % 2 AS int) AS seed", "'s' AS series", "'p' AS sweep_parameter", "0.5D AS sweep_value", "1D AS batch", "2D AS distance", "round(o_totalprice / 1000, 3) AS accuracy")
     files.write_results(rows, path)
     back = files.read_results(spark, [path], modes=["F", "O", "P"])
@@ -191,7 +212,7 @@ def snk_1(spark, sf):
 @query("snk_2_runs_and_back", "SELECT l_returnflag AS run, l_linenumber AS line, count(*) AS n, round(sum(l_quantity), 3) AS quantity FROM lineitem GROUP BY ALL")
 def snk_2(spark, sf):
     """SNK-2, SRC-17, SRC-20: raw rows in folders by run, read back with the folders' values as columns."""
-    path = _place(spark, "runs")
+    path = fresh_place(spark, "runs")
     rows = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("run"), F.col("l_linenumber").alias("line"), "l_orderkey", "l_quantity")
     files.write_runs(rows, path, ["run"])
     return spark.read.parquet(path).groupBy("run", "line").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 3).alias("quantity"))
@@ -201,14 +222,14 @@ def snk_2(spark, sf):
 def snk_7(spark, sf):
     """A baseline's rows, sorted within each dataset's folder, counted again after writing."""
     rows = table(spark, sf, "orders").where("o_totalprice > 1000").select(F.col("o_orderstatus").alias("dataset"), F.col("o_orderkey").alias("run"), F.col("o_totalprice").alias("value"))
-    back = files.write_baseline(rows, _place(spark, "baseline"), "dataset", ["run"])
+    back = files.write_baseline(rows, fresh_place(spark, "baseline"), "dataset", ["run"])
     return back.groupBy("dataset").agg(F.count("*").alias("n"), F.min("run").alias("first"), F.max("run").alias("last"))
 
 
 @query("src_19_source_list", "SELECT source AS root, lang AS dataset, count(*) AS n FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL GROUP BY ALL")
 def src_19(spark, sf):
     """A list of sources with their datasets as JSON, read back and joined with the rows that it names."""
-    path = _place(spark, "sources")
+    path = fresh_place(spark, "sources")
     docs = table(spark, sf, "documents").select(F.col("source").alias("root"), F.col("lang").alias("dataset")).dropna()
     docs.groupBy("root").agg(F.sort_array(F.collect_set("dataset")).alias("datasets")).write.json(path)
     listed = files.read_sources(spark, path)

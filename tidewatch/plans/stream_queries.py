@@ -148,6 +148,44 @@ def jn_1(spark, sf):
     return matching.match_events(_truth(spark, sf), _alarms(s), TOLERANCE).where("true_pos IS NOT NULL").select("client", "true_pos", "pos", "delay")
 
 
+# Adaptation events at alarms: a third each of reuses, creations and rejected creations, recorded up to sixty positions late.
+_ACTIONS = "CASE pos % 3 WHEN 0 THEN 'reuse' WHEN 1 THEN 'create' ELSE 'create_rejected' END"
+_RECORDED = "(pos + pos * 37 % 60) * 1048576 + pos"
+_ADAPTED = ALARMS + f""", e AS MATERIALIZED (SELECT client, pos, {_RECORDED} AS seq, {_ACTIONS} AS action FROM alarms), acts AS MATERIALIZED (SELECT * FROM e WHERE action <> 'create_rejected'),
+ordered AS (SELECT client, pos, row_number() OVER (PARTITION BY client ORDER BY pos) AS i FROM truth),
+greedy AS (SELECT client, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS true_pos, CAST(NULL AS BIGINT) AS seq, []::BIGINT[] AS used FROM (SELECT DISTINCT client FROM truth)
+  UNION ALL SELECT client, i, true_pos, seq, CASE WHEN seq IS NULL THEN used ELSE list_append(used, seq) END
+  FROM (SELECT g.client, o.i, o.pos AS true_pos, min(a.seq) AS seq, any_value(g.used) AS used FROM greedy g JOIN ordered o ON o.client = g.client AND o.i = g.i + 1
+  LEFT JOIN acts a ON a.client = o.client AND a.pos BETWEEN o.pos AND o.pos + {TOLERANCE} AND NOT list_contains(g.used, a.seq) GROUP BY g.client, o.i, o.pos)),
+taken AS MATERIALIZED (SELECT client, true_pos, seq FROM greedy WHERE seq IS NOT NULL)"""
+
+
+def _adaptations(spark, sf):
+    alarms = _alarms(_s(spark, sf))
+    return alarms.select("client", "pos", F.expr(_RECORDED).alias("seq"), F.expr(_ACTIONS).alias("action"))
+
+
+@query("jn_1_match_recorded", _ADAPTED + "SELECT t.client, true_pos, a.pos, a.seq, a.pos - true_pos AS delay FROM taken t JOIN acts a USING (client, seq)")
+def jn_1_recorded(spark, sf):
+    """Adaptation events against true changes, in the order in which they were recorded."""
+    acts = _adaptations(spark, sf).where("action <> 'create_rejected'")
+    return matching.match_recorded(_truth(spark, sf), acts, TOLERANCE).where("true_pos IS NOT NULL").select("client", "true_pos", "pos", "seq", "delay")
+
+
+@query("met_adaptation", _ADAPTED + """, hit AS (SELECT a.*, t.true_pos IS NOT NULL AS hit FROM e a LEFT JOIN taken t USING (client, seq))
+SELECT client, count(*) FILTER (WHERE action = 'reuse') AS adaptation_reuse_count, coalesce(round(avg(CAST(hit AS INT)) FILTER (WHERE action = 'reuse'), 6), 0) AS adaptation_reuse_precision,
+count(*) FILTER (WHERE action = 'create') AS adaptation_create_count, coalesce(round(avg(CAST(hit AS INT)) FILTER (WHERE action = 'create'), 6), 0) AS adaptation_create_precision,
+count(*) FILTER (WHERE action = 'create_rejected') AS adaptation_create_rejected_count FROM hit GROUP BY client""")
+def met_adaptation(spark, sf):
+    """The adaptation profile: how often each action was taken, and what share of it answered a true change (0 without any)."""
+    told = _adaptations(spark, sf)
+    taken = matching.match_recorded(_truth(spark, sf), told.where("action <> 'create_rejected'"), TOLERANCE).where("true_pos IS NOT NULL").select("client", "seq", F.lit(1).alias("hit"))
+    hit = told.join(taken, ["client", "seq"], "left").na.fill(0, ["hit"])
+    of = lambda a: F.when(F.col("action") == a, F.col("hit"))
+    shares = [c for a in ("reuse", "create") for c in (F.count(of(a)).alias(f"adaptation_{a}_count"), F.coalesce(F.round(F.avg(of(a)), 6), F.lit(0.0)).alias(f"adaptation_{a}_precision"))]
+    return hit.groupBy("client").agg(*shares, F.count(of("create_rejected")).alias("adaptation_create_rejected_count"))
+
+
 @query("met_detection", _MATCHED + """, counts AS (SELECT client, (SELECT count(*) FROM matched m WHERE m.client = c.client) AS tp,
 (SELECT count(*) FROM truth t WHERE t.client = c.client) AS total_true, (SELECT count(*) FROM alarms a WHERE a.client = c.client) AS total_detect,
 (SELECT coalesce(avg(pos - true_pos), 0) FROM matched m WHERE m.client = c.client) AS delay FROM (SELECT DISTINCT client FROM stream) c)

@@ -22,20 +22,26 @@ def scratch_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-#: Tables that this driver has written and not deleted.
+#: Folders that this driver has made and not deleted.
 _made: list[str] = []
 
 
+def fresh_place(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared one; :func:`forget_all` deletes it."""
+    path = f"{scratch_dir(spark)}/tidewatch/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
 def written(df: DataFrame, name: str, **options) -> DataFrame:
     """``df`` as a table in the shared folder: computed once, outlives executors, and cuts the lineage. ``options`` go to the writer."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/tidewatch/{name}-{uuid.uuid4().hex}"
+    path = fresh_place(df.sparkSession, name)
     df.write.options(**options).parquet(path)
-    _made.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, if it is there."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
@@ -43,10 +49,10 @@ def _delete(spark: SparkSession, path: str) -> None:
 def forget(df: DataFrame) -> None:
     """Deletes a table made by :func:`written` that nothing will read again."""
     for name in df.inputFiles()[:1]:
-        _delete(df.sparkSession, name.rsplit("/", 1)[0])
+        delete(df.sparkSession, name.rsplit("/", 1)[0])
 
 
 def forget_all(spark: SparkSession) -> None:
-    """Deletes every table that this driver has written: for the end of a job, when no result of it will be read any more."""
+    """Deletes every folder that this driver has made here: for the end of a job, when no result of it will be read any more."""
     while _made:
-        _delete(spark, _made.pop())
+        delete(spark, _made.pop())
