@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from ..operators.skew import fresh, join_counted  # noqa: F401
-from ..sources.scratch import forget, scratch_dir, written  # noqa: F401
+from ..sources.scratch import forget, fresh_place, written  # noqa: F401
 
 #: Text that one step inside a task handles at a time.
 SLICE_BYTES = 2 << 20

@@ -259,7 +259,7 @@ def _bitmap(shingles: DataFrame) -> np.ndarray:
 
 def _maybe(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Whether a hash may be one of the bitmap's."""
-    low = hashes & ((1 << FILTER_BITS) - 1)
+    low = hashes & (8 * len(bitmap) - 1)
     return (bitmap[low >> 3] >> (low & 7).astype(np.uint8) & 1).astype(bool)
 
 

@@ -17,7 +17,6 @@ gives empty files and no rows. Ids keep their type (any that ORC can order). Oth
 from __future__ import annotations
 
 import os
-import uuid
 import zlib
 
 import numpy as np
@@ -27,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from .common import Memo, located, only, scratch_dir, slices, written
+from .common import Memo, fresh_place, located, only, slices, written
 
 END_ID = 1
 STRIPE_BYTES = 16 << 20
@@ -177,6 +176,6 @@ def layout(tokens: DataFrame) -> DataFrame:
 def write_and_lay_out(docs: DataFrame, tokenizer_path: str, path: str | None = None) -> DataFrame:
     """Encodes, writes ORC below ``path`` (a fresh shared folder if None), and lays out what it reads back."""
     spark = docs.sparkSession
-    path = path or f"{scratch_dir(spark)}/tidewatch/orc-{uuid.uuid4().hex}"
+    path = path or fresh_place(spark, "orc")
     write_orc(encoded(docs, tokenizer_path), path)
     return layout(read_orc(spark, path, docs.schema["doc_id"].dataType))
