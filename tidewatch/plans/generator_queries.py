@@ -75,45 +75,54 @@ def src_8(spark, sf):
     return gen.bootstrap(s, 5000, "i").select("draw", F.col("s_suppkey").alias("id"))
 
 
-def _pattern_sql(concepts: int, n: int) -> str:
+def _pattern_sql(concepts: int) -> str:
     rows = ", ".join(str(list(r)) for r in schedules.PATTERNS[concepts])
-    q, r = divmod(n, 10)
-    block = f"CASE WHEN p < {r * (q + 1)} THEN p // {q + 1} ELSE {r} + (p - {r * (q + 1)}) // {q} END"
-    return f"SELECT c AS client, p AS pos, CAST([{rows}][CAST({block} AS INT) + 1][CAST(c AS INT) + 1] AS BIGINT) AS concept FROM unnest(range(0, 10)) AS a(c), unnest(range(0, {n})) AS b(p)"
+    return STREAM_SQL + f"SELECT client, pos, CAST([{rows}][CAST(tid AS INT) + 1][CAST(client % 10 AS INT) + 1] AS BIGINT) AS concept FROM stream"
 
 
-@query("src_12_fixed_schedule_two", _pattern_sql(2, 1503))
+@query("src_12_fixed_schedule_two", _pattern_sql(2))
 def src_12(spark, sf):
-    return schedules.schedule(spark, "fixed", 2, 10, 1503)
+    """The pattern over the positions of the stream's clients."""
+    return schedules.fixed_over(stream(table(spark, sf, "events")), 2)
 
 
-@query("src_12_fixed_schedule_four", _pattern_sql(4, 997))
+@query("src_12_fixed_schedule_four", _pattern_sql(4))
 def src_12b(spark, sf):
-    return schedules.schedule(spark, "fixed", 4, 10, 997)
+    return schedules.fixed_over(stream(table(spark, sf, "events")), 4)
 
 
-@query("src_11_random_schedule", f"""WITH RECURSIVE drawn AS (SELECT c AS client, p AS pos, {_U('c * 2000 + p', 1)} AS chance, {_U('c * 2000 + p', 2)} AS choice FROM unnest(range(0, 10)) AS a(c), unnest(range(0, 2000)) AS b(p)),
-walk AS (SELECT c AS client, CAST(-1 AS BIGINT) AS pos, CAST(0 AS BIGINT) AS concept, CAST(0 AS BIGINT) AS last FROM unnest(range(0, 10)) AS a(c)
+@query("src_11_random_schedule", STREAM_SQL + f""", drawn AS MATERIALIZED (SELECT client, pos, {_U('client * 1000003 + pos', 1)} AS chance, {_U('client * 1000003 + pos', 2)} AS choice FROM stream),
+walk AS (SELECT client, CAST(-1 AS BIGINT) AS pos, CAST(0 AS BIGINT) AS concept, CAST(0 AS BIGINT) AS last FROM drawn WHERE pos = 0
 UNION ALL SELECT client, pos, CASE WHEN moves THEN (concept + 1 + CAST(floor(choice * 3) AS BIGINT)) % 4 ELSE concept END, CASE WHEN moves THEN pos ELSE last END
 FROM (SELECT d.client, d.pos, w.concept, w.last, choice, d.pos - w.last > 100 AND chance < 0.02 AS moves FROM walk w JOIN drawn d ON d.client = w.client AND d.pos = w.pos + 1))
 SELECT client, pos, concept FROM walk WHERE pos >= 0""")
 def src_11(spark, sf):
-    return schedules.random(spark, 4, 10, 2000, 100, 0.02)
+    """Random changes over the positions of the stream's clients."""
+    rows = stream(table(spark, sf, "events")).select("client", "pos", (F.col("client") * 1000003 + F.col("pos")).alias("id"))
+    return schedules.random_over(rows, 4, 100, 0.02)
 
 
-@query("src_9_dispatch", f"""WITH r AS (SELECT i AS id, {_U('i', 1)} AS a, {_U('i', 2)} AS b FROM unnest(range(0, 1000)) AS t(i))
-SELECT 'circle2' AS dataset, CAST(count(*) FILTER (WHERE (a - 0.2) ** 2 + (b - 0.5) ** 2 > 0.15 ** 2) AS BIGINT) AS positive FROM r UNION ALL SELECT 'sine2', CAST(count(*) FILTER (WHERE b <= sin(a)) AS BIGINT) FROM r""")
+@query("src_9_dispatch", f"""WITH r AS (SELECT event_type, event_id AS id, {_U('event_id', 1)} AS a, {_U('event_id', 2)} AS b, 10 * {_U('event_id', 1)} AS c, 10 * {_U('event_id', 2)} AS d, {_U('event_id', 4)} AS f FROM events)
+SELECT event_type, 'circle2' AS dataset, CAST(count(*) FILTER (WHERE (a - 0.2) ** 2 + (b - 0.5) ** 2 > 0.15 ** 2) AS BIGINT) AS positive FROM r GROUP BY 1
+UNION ALL SELECT event_type, 'sine2', CAST(count(*) FILTER (WHERE b <= sin(a)) AS BIGINT) FROM r GROUP BY 1
+UNION ALL SELECT event_type, 'sea4', CAST(count(*) FILTER (WHERE (c + d <= 9) <> (f < 0.1)) AS BIGINT) FROM r GROUP BY 1""")
 def src_9(spark, sf):
-    part = lambda d: gen.generate(spark, d, 0, 1000).agg(F.sum("y").cast("long").alias("positive")).select(F.lit(d).alias("dataset"), "positive")
-    return part("circle2").unionByName(part("sine2"))
+    """Generators by name over the events' ids: positive labels of each event type."""
+    rows = table(spark, sf, "events").select("event_type", F.col("event_id").alias("id"), F.lit(0).alias("concept"))
+    part = lambda d: gen.samples(rows, d).groupBy("event_type").agg(F.sum("y").cast("long").alias("positive")).select("event_type", F.lit(d).alias("dataset"), "positive")
+    return part("circle2").unionByName(part("sine2")).unionByName(part("sea4"))
 
 
 @query("udf_5_sweep_plan", """WITH axes(family, parameter, v) AS (VALUES ('window', 'delta', [0.005, 0.01, 0.05, 0.1, 0.2]), ('window', 'interval', [20, 50, 100, 200]), ('stream', 'interval', [20, 50, 100, 200]), ('batch', 'batch', [25, 50, 100, 200]), ('batch', 'distance', [0.05, 0.1, 0.2, 0.3])),
 modes(mode, family) AS (VALUES ('aw', 'window'), ('ha', 'stream'), ('fd', 'batch'), ('local', 'baseline')),
-runs AS (SELECT mode, m.family, parameter, CAST(x AS DOUBLE) AS value FROM modes m JOIN (SELECT family, parameter, unnest(v) AS x FROM axes) a ON a.family = m.family UNION ALL SELECT mode, family, NULL, NULL FROM modes WHERE family = 'baseline')
-SELECT dataset, seed, mode, family, parameter, value, CAST(CASE WHEN family = 'batch' THEN 2 ELSE 1 END * CASE WHEN dataset LIKE 'mnist%' THEN 10 ELSE 1 END AS INT) AS cost FROM runs, (VALUES ('sine2'), ('mnist2')) AS d(dataset), (VALUES (0), (1), (2)) AS s(seed)""")
+runs AS (SELECT mode, m.family, parameter, CAST(x AS DOUBLE) AS value FROM modes m JOIN (SELECT family, parameter, unnest(v) AS x FROM axes) a ON a.family = m.family UNION ALL SELECT mode, family, NULL, NULL FROM modes WHERE family = 'baseline'),
+wanted AS (SELECT DISTINCT concat(CASE WHEN c_custkey % 4 = 0 THEN 'mnist' ELSE 'sine' END, c_nationkey) AS dataset, c_custkey AS seed FROM customer)
+SELECT dataset, seed, mode, family, parameter, value, CAST(CASE WHEN family = 'batch' THEN 2 ELSE 1 END * CASE WHEN dataset LIKE 'mnist%' THEN 10 ELSE 1 END AS INT) AS cost FROM runs, wanted""")
 def udf_5(spark, sf):
-    return sweep.plan(spark, ["sine2", "mnist2"], [0, 1, 2], {"aw": "window", "ha": "stream", "fd": "batch", "local": "baseline"}).drop("fingerprint")
+    """The runs of every dataset and seed of a table: here one of each customer's nation."""
+    name = F.concat(F.when(F.col("c_custkey") % 4 == 0, "mnist").otherwise("sine"), F.col("c_nationkey").cast("string"))
+    wanted = table(spark, sf, "customer").select(name.alias("dataset"), F.col("c_custkey").alias("seed")).distinct()
+    return sweep.plan_of(wanted, {"aw": "window", "ha": "stream", "fd": "batch", "local": "baseline"}).drop("fingerprint")
 
 
 @query("met_registry", STREAM_SQL + """SELECT client, round(avg(correct), 6) AS accuracy, round(avg(correct) FILTER (WHERE ld IS NULL OR pos >= ld + 50), 6) AS stable_accuracy,

@@ -180,14 +180,39 @@ def prj_6(spark, sf):
     return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), number.alias("number"), (F.col("n_chars") > 1000).alias("long"))
 
 
-@query("prj_14_metric_profiles")
+def _profiles(m: metrics.Metric) -> str:
+    return ",".join(sorted(p for p, groups in metrics.PROFILES.items() if m.group in groups))
+
+
+_CORE = {m.id: m for m in metrics.registry("core").values() if m.table == "sample"}
+_CORE_SQL = {"accuracy": "avg(correct)", "stable_accuracy": "avg(correct) FILTER (WHERE ld IS NULL OR pos >= ld + 50)", "recovery_accuracy": "coalesce(avg(correct) FILTER (WHERE pos < ld + 50), 0)"}
+
+
+@query("prj_14_metric_profiles", STREAM_SQL + ", told AS (" + " UNION ALL ".join(f"SELECT client, '{i}' AS id, '{_CORE[i].group}' AS metric_group, '{_profiles(_CORE[i])}' AS profiles, round({v}, 6) AS value FROM stream GROUP BY client" for i, v in _CORE_SQL.items()) + ") SELECT * FROM told")
 def prj_14(spark, sf):
-    """The registry: ids with group and the profiles that hold them."""
-    rows = [(m.id, m.group, ",".join(sorted(p for p, groups in metrics.PROFILES.items() if m.group in groups))) for m in metrics.registry().values()]
-    return spark.createDataFrame(rows, "id string, metric_group string, profiles string")
+    """The registry's core metrics of the stream's runs, a row each with the metric's group and the profiles that hold it."""
+    s = _s(spark, sf).withColumn("stable", matching.stable_mask(F.col("pos"), F.col("ld"), 50))
+    out = metrics.compute({"sample": s}, ["client"], "core")
+    told = F.create_map(*[x for i, m in _CORE.items() for x in (F.lit(i), F.struct(F.lit(m.group).alias("metric_group"), F.lit(_profiles(m)).alias("profiles")))])
+    return out.unpivot(["client"], list(_CORE), "id", "value").select("client", "id", told[F.col("id")].metric_group.alias("metric_group"), told[F.col("id")].profiles.alias("profiles"), F.round("value", 6).alias("value"))
 
 
 @query("udf_1_modes")
 def udf_1(spark, sf):
-    rows = [(m.name, m.family, m.by_class, m.rounds, m.clustering, m.router is not None, m.backbone) for m in MODES.values()]
-    return spark.createDataFrame(rows, "name string, family string, by_class boolean, rounds string, clustering string, routed boolean, backbone boolean")
+    """Every named mode run over the stream as far as its detector goes: the mode's parts, and the alarms that its detector gives."""
+    s = written(_s(spark, sf).select("client", "pos", "loss", "label"), "mode-losses")
+    runs = None
+    for kind, by_class in sorted({(k, m.by_class) for m in MODES.values() for k, make in detectors.KINDS.items() if m.detector is make}):
+        make = detectors.KINDS[kind]
+        if not by_class:
+            found = detectors.detect(s, make, restart=True)
+        elif kind == "e_process":
+            found = detectors.detect_e_by_class(s, 0.15, s.select("label").distinct().count())
+        else:
+            found = detectors.detect_by_class(s, make)
+        told = found.agg(F.count("*").alias("alarms")).select(F.lit(kind).alias("kind"), F.lit(by_class).alias("by_class"), "alarms")
+        runs = told if runs is None else runs.unionByName(told)
+    of = {id(make): k for k, make in detectors.KINDS.items()}
+    rows = [(m.name, m.family, of.get(id(m.detector)), m.by_class, m.rounds, m.clustering, m.router is not None, m.backbone) for m in MODES.values()]
+    modes = spark.createDataFrame(rows, "name string, family string, kind string, by_class boolean, rounds string, clustering string, routed boolean, backbone boolean")
+    return modes.join(runs, ["kind", "by_class"], "left").select("name", "family", "kind", "by_class", "rounds", "clustering", "routed", "backbone", F.coalesce("alarms", F.lit(0)).alias("alarms"))

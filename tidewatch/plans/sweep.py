@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import fingerprint
 
+# The sweep's axes and settings.
 #: Axes of a sweep: parameter, its values, and what it is where another axis moves.
 AXES = {"delta": ((0.005, 0.01, 0.05, 0.1, 0.2), 0.05), "interval": ((20, 50, 100, 200), 50), "batch": ((25, 50, 100, 200), 50), "distance": ((0.05, 0.1, 0.2, 0.3), 0.1)}
 #: Which axes a family of modes has.
@@ -70,14 +71,20 @@ def digest(value) -> str:
 
 
 def plan(spark: SparkSession, datasets: list[str], seeds: list[int], modes: dict[str, str]) -> DataFrame:
-    """One row for each run: ``dataset``, ``seed``, ``mode``, ``family``, ``parameter``, ``value``, ``fingerprint``, ``cost``.
+    """:func:`plan_of` every dataset with every seed."""
+    wanted = spark.createDataFrame([(d,) for d in datasets], "dataset string").withColumn("seed", F.explode(F.array(*map(F.lit, seeds))))
+    return plan_of(wanted, modes)
+
+
+def plan_of(wanted: DataFrame, modes: dict[str, str]) -> DataFrame:
+    """One row for each run of ``wanted`` (``dataset``, ``seed``): ``dataset``, ``seed``, ``mode``, ``family``, ``parameter``, ``value``, ``fingerprint``, ``cost``.
 
     One axis of a mode's family moves at a time, the others stay at their fixed values; modes without axes run once. ``modes``: name to family.
     """
     moves = [(m, f, a, float(v)) for m, f in modes.items() for a in FAMILIES[f] for v in AXES[a][0]]
     moves += [(m, f, None, None) for m, f in modes.items() if not FAMILIES[f]]
-    axis = spark.createDataFrame(moves, "mode string, family string, parameter string, value double")
-    runs = axis.withColumn("seed", F.explode(F.array(*map(F.lit, seeds)))).withColumn("dataset", F.explode(F.array(*map(F.lit, datasets))))
+    move = [F.struct(F.lit(m).alias("mode"), F.lit(f).alias("family"), F.lit(a).cast("string").alias("parameter"), F.lit(v).cast("double").alias("value")) for m, f, a, v in moves]
+    runs = wanted.select("dataset", "seed", F.inline(F.array(*move)))
     cost = F.when(F.col("family") == "batch", 2).otherwise(1) * F.when(F.col("dataset").startswith("mnist"), 10).otherwise(1)
     return runs.select("dataset", "seed", "mode", "family", "parameter", "value", fingerprint("dataset", "seed", "mode", "parameter", "value").alias("fingerprint"), cost.alias("cost"))
 

@@ -44,14 +44,25 @@ def fixed(spark: SparkSession, concepts: int, clients: int, n: int) -> DataFrame
     """``client``, ``pos``, ``concept``: each block of the pattern over its share of ``n`` positions, the first blocks a position longer."""
     if concepts not in PATTERNS or not 1 <= clients <= 10 or n < 1:
         raise ValueError("fixed schedules have 2 or 4 concepts, 1 to 10 clients and at least one position")
+    every = spark.range(clients * n).select((F.col("id") % clients).alias("client"), F.floor(F.col("id") / clients).alias("pos"), F.lit(n).alias("n"))
+    return fixed_over(every, concepts)
+
+
+def fixed_over(rows: DataFrame, concepts: int) -> DataFrame:
+    """``client``, ``pos``, ``concept`` of given rows (``n``: the client's number of rows); clients beyond ten take the pattern's columns in turn."""
     pattern = F.array(*[F.array(*map(F.lit, row)) for row in PATTERNS[concepts]])
-    every = spark.range(clients * n).select((F.col("id") % clients).alias("client"), F.floor(F.col("id") / clients).alias("pos"))
-    block = block_of(F.col("pos"), F.lit(n))
-    return every.select("client", "pos", F.get(F.get(pattern, block.cast("int")), F.col("client").cast("int")).cast("long").alias("concept"))
+    row = F.get(pattern, block_of(F.col("pos"), F.col("n")).cast("int"))
+    return rows.select("client", "pos", F.get(row, (F.col("client") % 10).cast("int")).cast("long").alias("concept"))
 
 
 def random(spark: SparkSession, concepts: int, clients: int, n: int, stable: int, probability: float, salt: int = 1) -> DataFrame:
-    """``client``, ``pos``, ``concept``: a change to one of the other concepts may come with ``probability`` at each position more than
+    """:func:`random_over` of ``clients`` with ``n`` positions each."""
+    i = F.col("id")
+    return random_over(spark.range(clients * n).select(F.floor(i / n).alias("client"), (i % n).alias("pos"), "id"), concepts, stable, probability, salt)
+
+
+def random_over(rows: DataFrame, concepts: int, stable: int, probability: float, salt: int = 1) -> DataFrame:
+    """``client``, ``pos``, ``concept`` of given rows, drawn by their ``id``: a change to one of the other concepts may come with ``probability`` at each position more than
     ``stable`` behind the last one. A client is walked in order, with one concept and one position as its state."""
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -66,8 +77,7 @@ def random(spark: SparkSession, concepts: int, clients: int, n: int, stable: int
                 out.append((client, pos, concept))
             yield pd.DataFrame(out, columns=["client", "pos", "concept"])
 
-    i = F.col("id")
-    drawn = spark.range(clients * n).select(F.floor(i / n).alias("client"), (i % n).alias("pos"), uniform(i, salt).alias("chance"), uniform(i, salt + 1).alias("choice"))
+    drawn = rows.select("client", "pos", uniform(F.col("id"), salt).alias("chance"), uniform(F.col("id"), salt + 1).alias("choice"))
     return drawn.repartition("client").sortWithinPartitions("client", "pos").mapInPandas(walk, "client long, pos long, concept long")
 
 
