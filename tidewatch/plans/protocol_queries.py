@@ -6,13 +6,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as agg
-from ..operators import detectors, experts, matching, path, resolution, windows
+from ..operators import detectors, experts, matching, numbering, path, resolution, windows
 from ..sources.scratch import written
 from ..sources.streams import STREAM_SQL, stream
 from ..sources.tables import table
 from . import metrics
 from .catalog import query
-from .detector_queries import _HOEFFDING
+from .detector_queries import _HOEFFDING, _adahedge
 from .modes import MODES
 from .stream_queries import ALARMS, _alarms
 
@@ -130,12 +130,9 @@ def lif_3(spark, sf):
 @query("lif_4_handshakes", ALARMS + """, t AS (SELECT client, pos, -100 - client AS temporary, row_number() OVER (ORDER BY pos // 50, client, pos) AS id FROM alarms)
 SELECT client, pos, temporary, id AS global_id FROM t""")
 def lif_4(spark, sf):
-    """Temporary ids become dense global ones at round ends, in client order: a round's offset is the number of pending models before it."""
+    """Temporary ids become dense global ones at round ends, in client order."""
     pending = _alarms(_s(spark, sf)).withColumn("round", F.floor(F.col("pos") / 50))
-    counts = pending.groupBy("round").agg(F.count("*").alias("k"))
-    before = counts.withColumn("before", F.coalesce(F.sum("k").over(Window.orderBy("round").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    w = Window.partitionBy("round").orderBy("client", "pos")
-    return pending.withColumn("r", F.row_number().over(w)).join(before, "round").select("client", "pos", (-100 - F.col("client")).alias("temporary"), (F.col("before") + F.col("r")).alias("global_id"))
+    return numbering.numbered(pending, ["round", "client", "pos"], "global_id").select("client", "pos", (-100 - F.col("client")).alias("temporary"), "global_id")
 
 
 @query("clu_11_cached_merge", """WITH g AS (SELECT l_suppkey % 9 AS id, count(*) AS n, avg(l_discount) AS v FROM lineitem GROUP BY 1), e AS (SELECT id % 3 AS cluster, CASE WHEN id % 3 = 2 THEN 0 ELSE n END AS w, v FROM g)
@@ -157,7 +154,11 @@ def clu_13(spark, sf):
     return c.select("client", "label", F.when(e, "evaluation").when(t, "training").alias("source"), F.when(e, F.least("e", fifty)).when(t, F.least("t", fifty)).alias("n"))
 
 
-@query("exp_5_replayed_evidence")
+_KEY = 1_000_000
+
+
+@query("exp_5_replayed_evidence", STREAM_SQL + f""", tail AS MATERIALIZED (SELECT client * {_KEY} + pos // 50 AS client, pos % 50 - 20 AS pos, loss AS a, 0.4 AS b FROM stream WHERE pos % 50 >= 20), {_adahedge('ab', 'SELECT * FROM tail')}
+SELECT client // {_KEY} AS client, client % {_KEY} AS round, CASE WHEN w_a >= w_b THEN 'a' ELSE 'b' END AS leader, round(w_a, 6) AS w_a FROM hedge WHERE pos >= 0 QUALIFY pos = max(pos) OVER (PARTITION BY client)""")
 def exp_5(spark, sf):
     """Evidence rebuilt from each round's last thirty losses: the leader that the next round starts with."""
     s = _s(spark, sf).select("client", F.floor(F.col("pos") / 50).alias("round"), "pos", F.col("loss").alias("a"), F.lit(0.4).alias("b")).where("pos % 50 >= 20")
@@ -180,21 +181,20 @@ def prj_6(spark, sf):
     return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), number.alias("number"), (F.col("n_chars") > 1000).alias("long"))
 
 
-def _profiles(m: metrics.Metric) -> str:
-    return ",".join(sorted(p for p, groups in metrics.PROFILES.items() if m.group in groups))
-
-
-_CORE = {m.id: m for m in metrics.registry("core").values() if m.table == "sample"}
+_GROUP = "predictive_performance"
+_PROFILES = ",".join(sorted(p for p, groups in metrics.PROFILES.items() if _GROUP in groups))
 _CORE_SQL = {"accuracy": "avg(correct)", "stable_accuracy": "avg(correct) FILTER (WHERE ld IS NULL OR pos >= ld + 50)", "recovery_accuracy": "coalesce(avg(correct) FILTER (WHERE pos < ld + 50), 0)"}
 
 
-@query("prj_14_metric_profiles", STREAM_SQL + ", told AS (" + " UNION ALL ".join(f"SELECT client, '{i}' AS id, '{_CORE[i].group}' AS metric_group, '{_profiles(_CORE[i])}' AS profiles, round({v}, 6) AS value FROM stream GROUP BY client" for i, v in _CORE_SQL.items()) + ") SELECT * FROM told")
+@query("prj_14_metric_profiles", STREAM_SQL + ", told AS (" + " UNION ALL ".join(f"SELECT client, '{i}' AS id, '{_GROUP}' AS metric_group, '{_PROFILES}' AS profiles, round({v}, 6) AS value FROM stream GROUP BY client" for i, v in _CORE_SQL.items()) + ") SELECT * FROM told")
 def prj_14(spark, sf):
     """The registry's core metrics of the stream's runs, a row each with the metric's group and the profiles that hold it."""
     s = _s(spark, sf).withColumn("stable", matching.stable_mask(F.col("pos"), F.col("ld"), 50))
-    out = metrics.compute({"sample": s}, ["client"], "core")
-    told = F.create_map(*[x for i, m in _CORE.items() for x in (F.lit(i), F.struct(F.lit(m.group).alias("metric_group"), F.lit(_profiles(m)).alias("profiles")))])
-    return out.unpivot(["client"], list(_CORE), "id", "value").select("client", "id", told[F.col("id")].metric_group.alias("metric_group"), told[F.col("id")].profiles.alias("profiles"), F.round("value", 6).alias("value"))
+    core = {m.id: m for m in metrics.registry("core").values() if m.table == "sample"}
+    out = metrics.compute({"sample": s}, ["client"], "core").unpivot(["client"], list(core), "id", "value")
+    profiles = lambda m: ",".join(sorted(p for p, groups in metrics.PROFILES.items() if m.group in groups))
+    told = F.create_map(*[x for i, m in core.items() for x in (F.lit(i), F.struct(F.lit(m.group).alias("metric_group"), F.lit(profiles(m)).alias("profiles")))])
+    return out.select("client", "id", told[F.col("id")].metric_group.alias("metric_group"), told[F.col("id")].profiles.alias("profiles"), F.round("value", 6).alias("value"))
 
 
 @query("udf_1_modes")

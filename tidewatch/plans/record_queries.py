@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as agg
-from ..operators import clustering, lineage, matching, windows
+from ..operators import clustering, lineage, matching, numbering, windows
 from ..sources import files, published
 from ..sources.scratch import fresh_place, written
 from ..sources.streams import STREAM_SQL, stream
@@ -185,8 +185,9 @@ def win_10(spark, sf):
 @query("srt_3_baseline_order", "SELECT o_orderstatus AS schedule, o_orderkey AS run, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_custkey % 5, o_orderpriority, o_totalprice, o_orderkey) AS place FROM orders")
 def srt_3(spark, sf):
     """Within a schedule by seed, parameter and value."""
-    w = Window.partitionBy("o_orderstatus").orderBy(F.col("o_custkey") % 5, "o_orderpriority", "o_totalprice", "o_orderkey")
-    return table(spark, sf, "orders").select(F.col("o_orderstatus").alias("schedule"), F.col("o_orderkey").alias("run"), F.row_number().over(w).cast("long").alias("place"))
+    o = table(spark, sf, "orders").select("o_orderstatus", (F.col("o_custkey") % 5).alias("seed"), "o_orderpriority", "o_totalprice", "o_orderkey")
+    o = numbering.numbered(o, ["seed", "o_orderpriority", "o_totalprice", "o_orderkey"], "place", ["o_orderstatus"])
+    return o.select(F.col("o_orderstatus").alias("schedule"), F.col("o_orderkey").alias("run"), "place")
 
 
 @query("prj_1_canonical_header", "SELECT 1 AS version, o_orderstatus AS mode, 'fixed' AS schedule, o_custkey AS seed, 'price' AS sweep_parameter, o_totalprice AS sweep_value FROM orders")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import statistics as st
 from ..functions import text as tx
 from ..operators import aggregates as agg
-from ..operators import clustering, matching
+from ..operators import clustering, matching, numbering
 from ..sources.tables import table
 from .catalog import query
 
@@ -85,8 +85,8 @@ def clu_3(spark, sf):
 
 def _edges(spark, sf):
     """Customers linked to others of near account balance in their nation: a graph with chains."""
-    w = Window.partitionBy("c_nationkey").orderBy("c_acctbal", "c_custkey")
-    c = table(spark, sf, "customer").withColumns({"i": F.lag("c_custkey").over(w), "b": F.lag("c_acctbal").over(w)})
+    c = table(spark, sf, "customer").select("c_nationkey", "c_acctbal", "c_custkey")
+    c = numbering.with_previous(c, ["c_acctbal", "c_custkey"], {"c_custkey": "i", "c_acctbal": "b"}, ["c_nationkey"])
     return c.where("i IS NOT NULL").select("i", F.col("c_custkey").alias("j"), (F.col("c_acctbal") - F.col("b")).alias("distance"))
 
 
@@ -506,14 +506,9 @@ def snk_10(spark, sf):
 
 @query("lif_5_registrations", "SELECT s_suppkey AS temporary, CAST(row_number() OVER (ORDER BY s_nationkey, s_suppkey) AS BIGINT) AS id FROM supplier WHERE s_acctbal > 0")
 def lif_5(spark, sf):
-    """Dense ids in client order: numbers within a nation, after those of the nations before it (a table of one row a nation)."""
+    """Dense ids in client order."""
     some = table(spark, sf, "supplier").where("s_acctbal > 0").select("s_nationkey", "s_suppkey")
-    sizes = some.groupBy(F.col("s_nationkey").alias("nation")).agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.orderBy("nation").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = F.broadcast(sizes.select("nation", F.coalesce(before, F.lit(0)).alias("before")))
-    within = F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey"))
-    numbered = some.withColumn("i", within).join(offsets, F.col("s_nationkey").eqNullSafe(F.col("nation")))
-    return numbered.select(F.col("s_suppkey").alias("temporary"), (F.col("before") + F.col("i")).cast("long").alias("id"))
+    return numbering.numbered(some, ["s_nationkey", "s_suppkey"], "id").select(F.col("s_suppkey").alias("temporary"), "id")
 
 
 @query("ext_rollup", "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 3) AS quantity FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")

@@ -118,8 +118,8 @@ def write_results(rows: DataFrame, path: str) -> None:
 
 
 def write_runs(samples: DataFrame, path: str, by: list[str]) -> None:
-    """Raw rows as Parquet, partitioned by run columns; rows of one run lie together, split where a run is large."""
-    samples.repartition(*by, F.pmod(F.xxhash64(*samples.columns), F.lit(8))).write.partitionBy(*by).mode("errorifexists").parquet(path)
+    """Raw rows as Parquet, partitioned by run columns; rows of one run lie together, and Spark splits a run by its size."""
+    samples.hint("rebalance", *by).write.partitionBy(*by).mode("errorifexists").parquet(path)
 
 
 def write_baseline(rows: DataFrame, path: str, by: str, order: list[str]) -> DataFrame:

@@ -20,17 +20,8 @@ class NotPublished(ValueError):
 
 
 def store(rows: DataFrame, path: str, by: str) -> None:
-    """A new stored table, partitioned by ``by``; refused where there is something already."""
-    rows.repartition(by, F.pmod(F.xxhash64(*rows.columns), F.lit(_shares(rows)))).write.partitionBy(by).mode("errorifexists").parquet(path)
-
-
-#: Rows of a partition's file.
-ROWS_A_FILE = 1_000_000
-
-
-def _shares(rows: DataFrame) -> int:
-    """Shares of a partition value's rows, so that a value with most of the rows isn't one task's."""
-    return max(1, rows.count() // ROWS_A_FILE)
+    """A new stored table, partitioned by ``by`` and rebalanced by size; refused where there is something already."""
+    rows.hint("rebalance", by).write.partitionBy(by).mode("errorifexists").parquet(path)
 
 
 def read(spark: SparkSession, path: str, schema) -> DataFrame:
