@@ -33,7 +33,7 @@ from .bpe import byte_alphabet
 from .common import Memo, located, only, slices, written
 
 #: Text of a block: the larger, the fewer distinct pairs in all.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 #: Blocks that a task takes at the end, and the most tasks there; beyond these, tasks take more blocks, batch by batch.
 BLOCKS_A_TASK, MOST_TASKS = 2, 20_000
 #: A pair's key: A's id times this, and B's id.
@@ -238,25 +238,30 @@ def _block(part: pa.RecordBatch, path_a: str, path_b: str) -> dict:
     pairs = np.unique(keys[np.repeat(used, n_links)])
     place = np.searchsorted(pairs, keys)  # of stretches in use only
     rows = _ranges(x.links[:-1][index], n_links[index])
-    per_document = place[rows].astype(np.int32)
+    per_document = place[rows]
     return {
         "doc_id": part["doc_id"],
         "n_a": total(n_a), "n_b": total(n_b), "n_groups": total(np.diff(x.groups)), "n_links": total(n_links), "groups_sha256": shas,
-        "pairs": pairs, "times": np.bincount(per_document, minlength=len(pairs)), "links": per_document,
+        "pairs": pairs, "times": np.bincount(per_document, minlength=len(pairs)), "links": per_document.astype(_place_type(len(pairs))).tobytes(),
     }
 
 
+def _place_type(pairs: int) -> str:
+    """What a place among so many pairs is written as."""
+    return "<u2" if pairs <= 1 << 16 else "<u4"
+
+
 _COUNTS = ("n_a", "n_b", "n_groups", "n_links")
 
 
 def blocks(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each block of documents: ``block``, lists over its documents, its distinct ``pairs``, how many ``times`` each is linked, and
-    ``links``, the documents' links one after the other as places in ``pairs``."""
+    ``links``, the documents' links one after the other as places in ``pairs`` (two bytes each, four where a block has more pairs than that)."""
     chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     longs = F.array(F.lit(0).cast("long"))
     schema = chosen.select(
         F.lit(0).cast("long").alias("block"), F.array("doc_id").alias("doc_id"), *(longs.alias(c) for c in _COUNTS), F.array(F.lit("")).alias("groups_sha256"),
-        longs.alias("pairs"), longs.alias("times"), F.array(F.lit(0)).alias("links"),
+        longs.alias("pairs"), longs.alias("times"), F.lit("").cast("binary").alias("links"),
     ).schema
 
     def run(batches):
@@ -264,10 +269,11 @@ def blocks(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", te
         for batch in batches:
             for part in slices(batch, limit=BLOCK_BYTES):
                 made, arrays = _block(part, path_a, path_b), [pa.array([block])]
-                for field in schema.names[1:]:
+                for field in schema.names[1:-1]:
                     values = made[field]
-                    values = values if isinstance(values, pa.Array) else pa.array(values, type=pa.string() if field == "groups_sha256" else pa.int32() if field == "links" else pa.int64())
+                    values = values if isinstance(values, pa.Array) else pa.array(values, type=pa.string() if field == "groups_sha256" else pa.int64())
                     arrays.append(pa.ListArray.from_arrays(pa.array([0, len(values)], type=pa.int32()), values))
+                arrays.append(pa.array([made["links"]], type=pa.binary()))
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
                 block += 1
 
@@ -298,13 +304,13 @@ def digest(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", te
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {c: batch[c][i].values for c in ("doc_id", *_COUNTS, "groups_sha256", "links")}
+                row = {c: batch[c][i].values for c in ("doc_id", *_COUNTS, "groups_sha256")}
                 n = row["n_links"].to_numpy(zero_copy_only=False)
                 bounds = np.concatenate([[0], np.cumsum(n)])
-                links = row["links"].to_numpy(zero_copy_only=False)
                 for name in ("best", "total"):
                     told = batch[name][i].values
                     value = told.to_numpy(zero_copy_only=False).astype(np.int64) if told is not None else np.zeros(0, dtype=np.int64)
+                    links = np.frombuffer(batch["links"][i].as_buffer(), dtype=_place_type(len(value)))
                     row[name] = np.diff(np.concatenate([[0], np.cumsum(value[links])])[bounds])
                 columns = [row["doc_id"], *(row[c] for c in _COUNTS), pa.array(row["best"]), pa.array(row["total"]), row["groups_sha256"]]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
