@@ -92,3 +92,28 @@ def test_resolution_and_validation(spark):
     losses = spark.createDataFrame(rows, "a int, i int, candidate double, reference double")
     assert {r.a: r.reason for r in resolution.validation(losses, ["a"], "i").collect()} == {1: "accepted", 2: "recent_interval", 3: "insufficient_data", 4: "full_and_recent"}
     assert {r.a: r.reason for r in resolution.validation(losses, ["a"], "i", disjoint=True).collect()} == {1: "accepted", 2: "second_interval", 3: "insufficient_data", 4: "first_and_second"}
+
+
+@pytest.mark.parametrize("at_once", [3, 1000])
+def test_contracted_edges_connect_the_same(spark, monkeypatch, at_once):
+    import random
+
+    from tidewatch.operators import components
+
+    rng = random.Random(at_once)
+    rows = [(i, i + 1) for i in range(0, 60) if i % 7] + [(rng.randrange(100, 160), rng.randrange(100, 160)) for _ in range(40)] + [(5, 5)]
+    df = spark.createDataFrame(rows, "a long, b long").repartition(3)
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in rows:
+        a, b = sorted((root(a), root(b)))
+        parent[b] = a
+    fewer = components.contracted(df)
+    assert fewer.where("a <= b").isEmpty() and fewer.count() <= len(rows)
+    got = {r.node: r.root for r in components.components(fewer).collect() if r.node != r.root}
+    assert got == {x: root(x) for x in parent if root(x) != x}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import statistics as st
 from ..sources.scratch import forget, written
-from .components import components
+from .components import components, contracted
 
 
 def _cells(matrix: DataFrame, scope: list[str]) -> DataFrame:
@@ -50,7 +50,7 @@ def cutoff(kind: str, distance: float = 0.1, confidence: float = 0.95) -> float:
 def connected(edges: DataFrame, nodes: DataFrame, cut: float, score: str = "distance") -> DataFrame:
     """``id`` and ``component`` (smallest id) over edges with a score of at most ``cut``; missing edges link nothing."""
     linked = edges.where(F.col(score) <= cut).select(F.greatest("i", "j").alias("a"), F.least("i", "j").alias("b"))
-    found = components(linked.where("a > b").distinct())
+    found = components(contracted(linked.where("a > b")))
     return nodes.join(found, nodes["id"] == found["node"], "left").select("id", F.coalesce("root", "id").alias("component"))
 
 

@@ -2,12 +2,51 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..sources.scratch import forget, written
 
 
+#: Edges that a task contracts at a time.
+AT_ONCE = 1_000_000
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """Edges that connect what ``edges`` (a, b) connect: each task's are replaced, slice by slice, by links to the smallest node that they reach
+    there. Where edges of a chain lie together, that is most of the work, done without a shuffle."""
+
+    def forest(parent: dict[int, int]) -> pa.RecordBatch:
+        for node in sorted(parent):
+            parent[node] = parent[parent[node]]  # roots are smaller, so theirs are known
+        nodes = [n for n, root in parent.items() if n != root]
+        return pa.RecordBatch.from_arrays([pa.array(nodes, type=pa.int64()), pa.array([parent[n] for n in nodes], type=pa.int64())], names=["a", "b"])
+
+    def run(batches):
+        parent: dict[int, int] = {}
+        seen = 0
+        for batch in batches:
+            for a, b in zip(batch["a"].to_pylist(), batch["b"].to_pylist()):
+                ends = []
+                for x in (a, b):
+                    parent.setdefault(x, x)
+                    while parent[x] != x:
+                        parent[x] = parent[parent[x]]
+                        x = parent[x]
+                    ends.append(x)
+                if ends[0] != ends[1]:
+                    parent[max(ends)] = min(ends)
+            seen += batch.num_rows
+            if seen >= AT_ONCE:
+                yield forest(parent)
+                parent, seen = {}, 0
+        if parent:
+            yield forest(parent)
+
+    return edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).mapInArrow(run, "a long, b long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``(node, root)`` for each node of ``edges`` (a, b): the smallest node that it reaches.
 
