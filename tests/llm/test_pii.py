@@ -214,3 +214,13 @@ def test_redact():
     text = "mail a@b.cc or +1 (826) 555-4081 190.137.223.204."
     assert pii.redact(text, pii.spans_of(text, pii.trained())) == "mail [email] or [phone] [ip]."
     assert pii.redact(None, []) is None
+
+
+def test_no_card_is_added_without_its_check_digit():
+    model = pii.trained()
+    texts = ["order 4567890-1234567 was sent", "the number is 4111 1111 1111 1112 or so", "card: 4111-1111-1111-1111.", "pay with 5500.0000.0000.0004 please", "ref 123456 7890123 456"]
+    for t in texts:
+        for kind, a, b, _ in pii.spans_of(t, model):
+            digits = "".join(c for c in t[a:b] if c.isdigit())
+            assert kind != "card" or (13 <= len(digits) <= 19 and pii.luhn(digits))
+    assert ("card", 6, 25, True) in pii.spans_of(texts[2], model)
