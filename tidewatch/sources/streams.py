@@ -63,7 +63,8 @@ def stream(events: DataFrame, clients: int | None = None) -> DataFrame:
     s = s.withColumn("ld", F.when(change >= 1, start_of(change, F.col("n"))))
     s = s.withColumn("drift", F.coalesce(F.col("pos") == F.col("ld"), F.lit(False)))
     since = F.coalesce(F.col("pos") - F.col("ld"), F.lit(999))
-    s = s.withColumn("correct", (F.col("frac") < F.least(F.lit(0.9), 0.2 + 0.03 * since)).cast("int"))
+    ramp = F.least(F.lit(90), 20 + 3 * since) / 100  # whole hundredths, divided once: as doubles 0.2 + 0.03 * 3 would be above 0.29
+    s = s.withColumn("correct", (F.col("frac") < ramp).cast("int"))
     s = s.withColumn("loss", F.when(F.col("concept") == 1, 0.6 + 0.3 * F.col("frac")).otherwise(0.2 * F.col("frac")))
     return s.select("client", "pos", "n", "label", "frac", "tid", "concept", "drift", "ld", "correct", "loss")
 
