@@ -37,6 +37,6 @@ def on_ramp(tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["src_10_stream", "agg_14_recovery_curve", "agg_19_selections", "exp_6_meta_gains", "exp_6_meta_router", "jn_12_agreement", "jn_14_previous_difference", "lif_15_snapshots"])
+@pytest.mark.parametrize("name", ["src_10_stream", "agg_14_recovery_curve", "agg_19_selections", "exp_6_meta_gains", "exp_6_meta_router", "jn_12_agreement", "jn_14_previous_difference", "lif_15_snapshots", "win_3_moving_average"])
 def test_on_the_ramp(spark, on_ramp, name):
     assert differences(spark, on_ramp, "events", name) == (set(), set())
