@@ -40,3 +40,10 @@ def on_ramp(tmp_path_factory):
 @pytest.mark.parametrize("name", ["src_10_stream", "agg_14_recovery_curve", "agg_19_selections", "exp_6_meta_gains", "exp_6_meta_router", "jn_12_agreement", "jn_14_previous_difference", "lif_15_snapshots", "win_3_moving_average"])
 def test_on_the_ramp(spark, on_ramp, name):
     assert differences(spark, on_ramp, "events", name) == (set(), set())
+
+
+def test_features_just_below_zero(spark, tmp_path):
+    """Orders whose ring samples round to zero from below (-0.0000), and some from above."""
+    keys = pd.DataFrame({"o_orderkey": [147791, 271131, 1009987, 1380659, *range(1000)]})
+    duckdb.from_df(keys).write_parquet(f"{tmp_path}/orders.parquet")
+    assert differences(spark, tmp_path, "orders", "src_1_blob_samples") == (set(), set())

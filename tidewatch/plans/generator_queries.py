@@ -24,7 +24,8 @@ def _ids(spark, sf, n):
 
 
 def _rounded(df):
-    return df.select("id", "concept", F.array_join(F.transform("x", lambda v: F.format_string("%.4f", F.round(v, 4))), ",").alias("x"), "y")
+    """The format rounds half up, and keeps the sign of what it rounds to zero."""
+    return df.select("id", "concept", F.array_join(F.transform("x", lambda v: F.format_string("%.4f", v)), ",").alias("x"), "y")
 
 
 def _x(*parts: str) -> str:
