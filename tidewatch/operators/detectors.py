@@ -27,9 +27,12 @@ class AdaptiveWindow:
     """Tests all cuts of a window of at most ``longest`` values with a Bernstein-type bound; drops the older side at the best cut.
 
     The window is a stretch of an array of running sums, which moves to the front when it meets the end: a step appends one sum and
-    compares all cuts by differences of sums.
+    compares all cuts by differences of sums, unless :meth:`_settled` shows that none can alarm.
     """
 
+    #: What a bound leaves to rounding.
+    MARGIN = 1e-6
+
     def __init__(self, delta: float = 0.05, longest: int = 1000, least: int = 10):
         self.delta, self.longest, self.least = delta, longest, least
         self.left = np.arange(1, longest)
@@ -38,13 +41,39 @@ class AdaptiveWindow:
     def reset(self) -> None:
         self.sums, self.squares = np.zeros(2 * self.longest + 2), np.zeros(2 * self.longest + 2)
         self.start = self.end = 0  # the window's sums lie behind ``start``, up to ``end``
-        self.tests = 0
+        self.tests, self.slack, self.low, self.high = 0, -math.inf, math.inf, -math.inf
         self.alarm = self.warning = False
 
     @property
     def width(self) -> int:
         return self.end - self.start
 
+    def _compared(self, slack: float, n: int, mean: float, variance: float, log_term: float) -> None:
+        """Keeps what :meth:`_settled` needs of a comparison of all cuts."""
+        self.slack, self.then_start, self.then_n, self.then_mean, self.then_variance = slack, self.start, n, mean, variance
+        self.reach = math.sqrt(variance * log_term * n / 2)
+        self.low, self.high = math.inf, -math.inf
+
+    def _settled(self, n: int, mean: float, variance: float, log_term: float) -> bool:
+        """Whether no cut can alarm, by what has changed since all were compared.
+
+        With ``k`` of ``n`` values on its left, whose sum is ``s``, a cut alarms if ``d = |s - k mean|`` is above ``a + 2/3 log_term``, where
+        ``a = sqrt(2 variance log_term k (n - k) / n)``, ``reach`` at most. ``slack`` is the least distance to that. Since then ``d`` has grown by
+        the mean's change times ``k`` and by what the ``gone`` values differ from the mean; ``a`` has shrunk with the deviation, and by
+        ``sqrt(2 variance log_term gone)`` at most; the logarithm hasn't. A cut among the ``new`` values has a ``d`` of at most their
+        number times their largest distance to the mean.
+        """
+        if not self.slack > 0 or n < self.then_n:
+            return False
+        gone = self.start - self.then_start
+        inside = (n - self.then_n + gone) * max(self.high - mean, mean - self.low)
+        grown = self.then_n * abs(mean - self.then_mean)
+        shrunk = max(0.0, 1 - math.sqrt(variance / self.then_variance)) * self.reach
+        if gone:
+            grown += abs(float(self.sums[self.start] - self.sums[self.then_start]) - gone * mean)
+            shrunk += math.sqrt(2 * variance * log_term * gone)
+        return self.slack - grown - shrunk > self.MARGIN and 2 / 3 * log_term - inside > self.MARGIN
+
     @property
     def values(self) -> list[float]:
         return np.diff(self.sums[self.start : self.end + 1]).tolist()
@@ -54,27 +83,33 @@ class AdaptiveWindow:
             n = self.width
             for kept in (self.sums, self.squares):
                 kept[: n + 1] = kept[self.start : self.end + 1] - kept[self.start]
-            self.start, self.end = 0, n
+            self.start, self.end, self.slack = 0, n, -math.inf
         x = float(value)
         self.sums[self.end + 1], self.squares[self.end + 1] = self.sums[self.end] + x, self.squares[self.end] + x * x
         self.end += 1
         self.start += self.width > self.longest
+        self.low, self.high = min(self.low, x), max(self.high, x)
         n, self.alarm = self.width, False
         self.tests = n - 1 if n >= self.least else 0
         if not self.tests:
             return False
         base = self.sums[self.start]
-        sums, left = self.sums[self.start + 1 : self.end] - base, self.left[: n - 1]
-        total, right = float(self.sums[self.end] - base), n - left
+        total = float(self.sums[self.end] - base)
         variance = max(float(self.squares[self.end] - self.squares[self.start]) / n - (total / n) ** 2, 1e-12)
         log_term = math.log(2 * n / self.delta)
+        if self._settled(n, total / n, variance, log_term):
+            return False
+        sums, left = self.sums[self.start + 1 : self.end] - base, self.left[: n - 1]
+        right = n - left
         inverse = n / (left * right)
         bound = np.sqrt(2 * variance * log_term * inverse) + 2 / 3 * log_term * inverse
         excess = np.abs(sums / left - (total - sums) / right) - bound
         best = int(np.argmax(excess))
         if excess[best] > 0:
-            self.alarm = True
+            self.alarm, self.slack = True, -math.inf
             self.start += best + 1
+        else:
+            self._compared(float((-excess / inverse).min()), n, total / n, variance, log_term)
         return self.alarm
 
 
@@ -97,7 +132,7 @@ class EProcess:
 
     def reset(self, baseline: float | None = None) -> None:
         if baseline is not None:
-            self.baseline = float(np.clip(baseline, self.EDGE, 1 - self.EDGE))
+            self.baseline = min(max(float(baseline), self.EDGE), 1 - self.EDGE)
         self.sums = [0.0] * len(self.RATES)
         self.capitals = [-math.inf] * len(self.RATES)
         self.before: list[list[float]] = []
@@ -247,7 +282,9 @@ class ByClass:
         self.overall, self.classes, self.places = self.make(), {}, {}
 
     def step(self, pos: int, value: float, label) -> tuple[bool, int, int]:
-        one = self.classes.setdefault(label, self.make())
+        one = self.classes.get(label)
+        if one is None:
+            one = self.classes[label] = self.make()
         places = self.places.setdefault(label, [])
         places.append(pos)
         del places[: -self.kept]
@@ -275,12 +312,14 @@ class EProcessByClass:
         self.all, self.parts = self.make(), OrderedDict()
 
     def step(self, value: float, label) -> tuple[bool, float]:
-        part = self.parts.setdefault(label, self.make())
+        part = self.parts.get(label)
+        if part is None:
+            part = self.parts[label] = self.make()
         self.all.step(value)
         part.step(value)
-        terms = [math.log(self.weight) + self.all.log_e]
-        terms += [math.log((1 - self.weight) / self.n) + p.log_e for p in self.parts.values()]
-        total = float(np.logaddexp.reduce(terms))
+        total, shared = math.log(self.weight) + self.all.log_e, math.log((1 - self.weight) / self.n)
+        for p in self.parts.values():
+            total = _log_of_sum(total, shared + p.log_e)
         alarm = total >= self.threshold
         if alarm:
             self.reset()
@@ -428,10 +467,12 @@ def detect(df: DataFrame, make: Callable, key: str = "client", order: str = "pos
 
         def step(pos, x):
             alarm, warned = detector.step(x), detector.warning
-            width = detector.width
+            if not alarm and not (warnings and warned):
+                return None
+            row = int(pos), int(detector.width), bool(warned)  # only here: an e-process looks through all its starts for a width
             if alarm and restart:
                 detector.reset()
-            return (int(pos), int(width), bool(warned)) if alarm or (warnings and warned) else None
+            return row
 
         return step
 
