@@ -32,33 +32,38 @@ def start_of(block: Column, n: Column, blocks: int = BLOCKS) -> Column:
 
 
 def _change_of(block: Column, client: Column) -> Column:
-    """The last block up to ``block`` at whose start the concept of :func:`stream` changes; below 1 if there is none."""
-    return block - (block + client) % 2
+    """The last block up to ``block`` at whose start the concept of :func:`stream` changes; below 1 if there is none. Division cuts towards zero, so
+    the sum of block and client changes it at 2, 4, … and at -1, -3, …"""
+    at = block + client
+    below = F.least(at, F.lit(0))
+    return F.when(at >= 2, at - at % 2).otherwise(below - F.pmod(below + 1, F.lit(2))) - client
 
 
 def positions(events: DataFrame, clients: int | None = None) -> DataFrame:
     """``client``, ``pos``, ``n``, ``label``, ``frac``.
 
     A position is the number of the client's rows on the days before the row's, by a running sum over one row a client and day, and
-    the row's number within its day: a client with a large part of all rows is dealt to as many tasks as it has days.
+    the row's number within its day: a client with a large part of all rows is dealt to as many tasks as it has days. Rows without a time come
+    last, as in the SQL.
     """
-    day = F.coalesce(F.to_date("ts"), F.lit("0001-01-01").cast("date"))
     dealt = events.select(
-        (F.col("user_id") % (clients or clients_of(events))).alias("client"), day.alias("day"), "ts", "event_id", F.col("event_type").alias("label"), F.least(F.col("value") / 200, F.lit(1.0)).alias("frac")
+        (F.col("user_id") % (clients or clients_of(events))).alias("client"), F.to_date("ts").alias("day"), "ts", "event_id", F.col("event_type").alias("label"), F.least(F.col("value") / 200, F.lit(1.0)).alias("frac")
     )
     whole = Window.partitionBy("client")
-    past = whole.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    past = whole.orderBy(F.asc_nulls_last("day")).rowsBetween(Window.unboundedPreceding, -1)
     counts = dealt.groupBy("client", "day").agg(F.count("*").alias("k"))
-    days = counts.select("client", "day", F.coalesce(F.sum("k").over(past), F.lit(0)).alias("before"), F.sum("k").over(whole).alias("n"))
-    within = Window.partitionBy("client", "day").orderBy("ts", "event_id")
-    numbered = dealt.withColumn("i", F.row_number().over(within)).join(days, ["client", "day"])
+    days = counts.select(F.col("client").alias("__client"), F.col("day").alias("__day"), F.coalesce(F.sum("k").over(past), F.lit(0)).alias("before"), F.sum("k").over(whole).alias("n"))
+    within = Window.partitionBy("client", "day").orderBy(F.asc_nulls_last("ts"), F.asc_nulls_last("event_id"))
+    same = (F.col("client") == F.col("__client")) & F.col("day").eqNullSafe(F.col("__day"))
+    numbered = dealt.withColumn("i", F.row_number().over(within)).join(days, same)
     return numbered.select("client", (F.col("before") + F.col("i") - 1).alias("pos"), "n", "label", "frac")
 
 
 def stream(events: DataFrame, clients: int | None = None) -> DataFrame:
     """All columns of the canonical stream. Concepts follow from time blocks, so changes are found by arithmetic, not by windows."""
     s = positions(events, clients).withColumn("tid", block_of(F.col("pos"), F.col("n")))
-    s = s.withColumn("concept", F.floor((F.col("tid") + F.col("client")) / 2) % 2)
+    at = F.col("tid") + F.col("client")
+    s = s.withColumn("concept", ((at - at % 2) / 2).cast("long") % 2)
     change = _change_of(F.col("tid"), F.col("client"))
     s = s.withColumn("ld", F.when(change >= 1, start_of(change, F.col("n"))))
     s = s.withColumn("drift", F.coalesce(F.col("pos") == F.col("ld"), F.lit(False)))
@@ -84,6 +89,12 @@ def exact_mean(value: Column) -> Column:
     return _div(2 * F.sum(F.round(value * 1_000_000).cast("long")) + n, 2 * n) / 1_000_000
 
 
+def rounded(value: Column) -> Column:
+    """A double to six decimals as DuckDB rounds it, by its millionfold: of 369 / 5760 = 0.0640625 that lies below the tie, while Spark's ``round`` rounds the
+    shortest decimal."""
+    return F.round(value * 1_000_000) / 1_000_000
+
+
 def _div(a: Column, b: Column) -> Column:
     """Division of whole numbers, at least 0."""
     return F.round((a - a % b) / b).cast("long")
