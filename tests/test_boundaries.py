@@ -60,7 +60,7 @@ def odd(tmp_path_factory):
     return write_events(tmp_path_factory.mktemp("odd"), event_id=ids.astype("Int64").where(ids != 9), ts=ts, user_id=5 - ids * 31 % 20, value=(ids * 617 % 2000) / 10)
 
 
-@pytest.mark.parametrize("name", ["agg_14_recovery_curve", "agg_19_selections", "exp_6_meta_gains", "exp_6_meta_router", "jn_12_agreement", "jn_14_previous_difference"])
+@pytest.mark.parametrize("name", ["agg_14_recovery_curve", "agg_19_selections", "exp_6_meta_gains", "exp_6_meta_router", "jn_12_agreement", "jn_14_previous_difference", "lif_15_snapshots"])
 def test_odd_keys(spark, odd, name):
     assert differences(spark, odd, "events", name) == (set(), set())
 
