@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from tidewatch.operators.folds import fold
 from tidewatch.sources.streams import rounded
 
 from .test_queries import plain
@@ -65,6 +66,31 @@ def test_odd_keys(spark, odd, name):
     assert differences(spark, odd, "events", name) == (set(), set())
 
 
+@pytest.fixture(scope="module")
+def keyless(tmp_path_factory):
+    """Every eleventh event has no user."""
+    ids = pd.Series(range(2000))
+    kinds = pd.Series(["view", "error", "click"])[ids * 7919 % 3].reset_index(drop=True)
+    return write_events(tmp_path_factory.mktemp("keyless"), user_id=(ids * 31 % 20).astype("Int64").where(ids % 11 > 0), event_type=kinds, value=(ids * 617 % 2000) / 10)
+
+
+@pytest.mark.parametrize("name", ["epi_1_episodes", "exp_1_adahedge", "exp_8_recalibration", "jn_12_agreement", "lif_4_handshakes", "lif_15_snapshots", "met_detection", "met_detection_profile", "met_resource_profile", "res_2_suppressed_alarms", "src_10_stream", "src_11_random_schedule", "win_2_runs", "win_3_moving_average"])
+def test_events_without_a_user(spark, keyless, name):
+    assert differences(spark, keyless, "events", name) == (set(), set())
+
+
+def test_one_state_for_rows_without_a_key(spark):
+    """Numbers that were counted so far, of keys 1 and null."""
+
+    def start():
+        seen = []
+        return lambda at: seen.append(at) or (int(at), len(seen))
+
+    rows = spark.createDataFrame([(k, t) for k in (1, None) for t in range(3)], "k long, t long")
+    got = fold(rows, ["k"], ["t"], start, ["t"], "t long, n long").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(k, t, t + 1) for k in (1, None) for t in range(3)], key=str)
+
+
 def test_no_average_of_short_clients(spark, tmp_path):
     """Client 3 has 30 rows, fewer than a window."""
     ids = pd.Series(range(1000))

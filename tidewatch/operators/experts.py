@@ -226,7 +226,8 @@ def recalibration(losses: DataFrame, stored: DataFrame, experts: list[str], key:
     of_round = losses.groupBy(key, round_col).agg(*total())
     old = of_round.select(key, round_col, F.struct(*[F.sum(e).over(past).alias(e) for e in experts]).alias("sums"))
     parts = [F.struct(*total(w)).alias(n) for n, w in (("all", None), ("early", F.col("half") == 0), ("late", F.col("half") == 1))]
-    both = old.join(stored.groupBy(key, round_col).agg(*parts), [key, round_col]).withColumns({"i": least("sums"), "j": least("all")})
+    kept = stored.groupBy(F.col(key).alias("__key"), F.col(round_col).alias("__round")).agg(*parts)
+    both = old.join(kept, F.col(key).eqNullSafe(F.col("__key")) & (F.col(round_col) == F.col("__round"))).withColumns({"i": least("sums"), "j": least("all")})
     better = lambda of: F.get(F.array(*[F.col(f"{of}.{e}") for e in experts]), F.col("j")) < F.get(F.array(*[F.col(f"{of}.{e}") for e in experts]), F.col("i"))
     named = lambda at: F.get(F.array(*map(F.lit, experts)), F.col(at))
     changed = F.col("i") != F.col("j")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 def fold(df: DataFrame, key: list[str], order: list[str], make: Callable[[], Callable], columns: list[str], schema: str, flush: bool = False) -> DataFrame:
     """``make()`` gives a step for each key; ``step(*values)`` of ``columns`` gives a tuple for ``schema``'s columns after the key, or None.
 
-    With ``flush``, ``step(None)`` is called after a key's last row.
+    With ``flush``, ``step(None)`` is called after a key's last row. Rows whose key is null have one state too.
     """
     chosen = df.select(*key, *order, *[c for c in columns if c not in key + order])
     wanted = f"{', '.join(f'{c} {dict(chosen.dtypes)[c]}' for c in key)}, {schema}"
@@ -27,7 +27,7 @@ def fold(df: DataFrame, key: list[str], order: list[str], make: Callable[[], Cal
         for batch in batches:
             out = []
             for k, values in zip(batch[key].itertuples(index=False, name=None), batch[columns].itertuples(index=False, name=None)):
-                if step is None or k != now:
+                if step is None or (k != now and not _same(k, now)):
                     if step is not None and flush and (row := step(None)) is not None:
                         out.append((*now, *row))
                     now, step = k, make()
@@ -44,6 +44,11 @@ def fold(df: DataFrame, key: list[str], order: list[str], make: Callable[[], Cal
     return ordered.mapInPandas(run, wanted)
 
 
+def _same(a: tuple, b: tuple) -> bool:
+    """Equal keys, where null (NaN in a column of numbers) is equal to itself."""
+    return all(x == y or (x != x and y != y) for x, y in zip(a, b))
+
+
 def _split(schema: str) -> list[str]:
     """A DDL string at its outer commas."""
     out, depth, part = [], 0, ""

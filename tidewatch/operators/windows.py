@@ -15,7 +15,7 @@ def change_edges(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
 def runs(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
     """Maximal runs of one value: ``key``, ``value``, ``start``, ``stop`` (inclusive), ``width``."""
     w = Window.partitionBy(key).orderBy(order)
-    change = F.coalesce((F.col(value) != F.lag(value).over(w)).cast("int"), F.lit(1))
+    change = (~F.col(value).eqNullSafe(F.lag(value).over(w))).cast("int")
     marked = df.withColumn("__run", change)
     marked = marked.withColumn("__run", F.sum("__run").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return (
@@ -30,8 +30,8 @@ def moving_average(df: DataFrame, key: str, order: str, value: str, width: int =
     w = Window.partitionBy(key).orderBy(order)
     last = w.rowsBetween(-(width - 1), 0)
     counted = df.withColumn("__seen", F.row_number().over(w)).withColumn("average", F.avg(value).over(last))
-    totals = df.groupBy(key).agg(F.count("*").alias("__n"))
-    joined = counted.join(totals, key)
+    totals = df.groupBy(F.col(key).alias("__key")).agg(F.count("*").alias("__n"))
+    joined = counted.join(totals, F.col(key).eqNullSafe(F.col("__key"))).drop("__key")
     short = F.col("__n") < width
     return joined.where(short | (F.col("__seen") >= width)).withColumn("average", F.when(short, F.col(value)).otherwise(F.col("average"))).drop("__seen", "__n")
 

@@ -13,10 +13,15 @@ from .catalog import query
 
 
 
-def _s(spark, sf):
+def _all(spark, sf):
     return stream(table(spark, sf, "events"))
 
 
+def _s(spark, sf):
+    """Of the clients' events; the SQL's recursions meet no row without a client."""
+    return _all(spark, sf).where("client IS NOT NULL")
+
+
 _HOEFFDING = STREAM_SQL + """, walk AS (
 SELECT client, -1 AS pos, CAST(0 AS BIGINT) AS n, 0.0::DOUBLE AS s, CAST(0 AS BIGINT) AS mn, 0.0::DOUBLE AS ms, CAST(0 AS BIGINT) AS width, false AS alarm, false AS warning, false AS tested FROM stream WHERE pos = 0
 UNION ALL
@@ -290,6 +295,6 @@ o AS (SELECT *, CASE WHEN sum(a) OVER w <= sum(b) OVER w THEN 'a' ELSE 'b' END A
 coalesce(old <> lead AND CASE WHEN lead = 'a' THEN early < 0 AND late < 0 ELSE early > 0 AND late > 0 END, false) AS both_halves FROM o WHERE fa IS NOT NULL""")
 def exp_8(spark, sf):
     """After each aggregation round: is the evidence rebuilt from the round's last thirty losses?"""
-    s = _s(spark, sf).select("client", F.floor(F.col("pos") / 50).alias("round"), "pos", F.col("loss").alias("a"), F.lit(0.45).alias("b"))
+    s = _all(spark, sf).select("client", F.floor(F.col("pos") / 50).alias("round"), "pos", F.col("loss").alias("a"), F.lit(0.45).alias("b"))
     stored = s.where("pos % 50 >= 20").withColumn("half", F.when(F.col("pos") % 50 >= 35, 1).otherwise(0))
     return experts.recalibration(s, stored, ["a", "b"], "client", "round")

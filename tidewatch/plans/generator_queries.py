@@ -99,7 +99,7 @@ FROM (SELECT d.client, d.pos, w.concept, w.last, choice, d.pos - w.last > 100 AN
 SELECT client, pos, concept FROM walk WHERE pos >= 0""")
 def src_11(spark, sf):
     """Random changes over the positions of the stream's clients."""
-    rows = stream(table(spark, sf, "events")).select("client", "pos", (F.col("client") * 1000003 + F.col("pos")).alias("id"))
+    rows = stream(table(spark, sf, "events")).where("client IS NOT NULL").select("client", "pos", (F.col("client") * 1000003 + F.col("pos")).alias("id"))
     return schedules.random_over(rows, 4, 100, 0.02)
 
 

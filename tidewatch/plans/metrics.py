@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -84,6 +86,13 @@ def registry(profile: str | None = None) -> dict[str, Metric]:
     return found if profile is None else {k: m for k, m in found.items() if m.group in PROFILES[profile]}
 
 
+def _side_by_side(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
+    """A full outer join by key, where null keys meet."""
+    other = right.select(*[F.col(k).alias(f"__{k}") for k in key], *[c for c in right.columns if c not in key])
+    both = left.join(other, reduce(and_, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in key]), "full_outer")
+    return both.withColumns({k: F.coalesce(k, f"__{k}") for k in key}).drop(*[f"__{k}" for k in key])
+
+
 def compute(tables: dict[str, DataFrame], key: list[str], profile: str | None = None) -> DataFrame:
     """One row for each run (``key``) with the metrics of the tables at hand; one grouped aggregate for each table."""
     out = None
@@ -91,7 +100,7 @@ def compute(tables: dict[str, DataFrame], key: list[str], profile: str | None =
         chosen = [m.value.alias(m.id) for m in registry(profile).values() if m.table == name]
         if chosen:
             found = rows.groupBy(*key).agg(*chosen)
-            out = found if out is None else out.join(found, key, "full_outer")
+            out = found if out is None else _side_by_side(out, found, key)
     if out is None:
         raise ValueError("no metric reads these tables")
     return out

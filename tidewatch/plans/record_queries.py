@@ -159,9 +159,8 @@ def lif_15(spark, sf):
     """Counters as they stand at each round's end, and what the round added."""
     r = _s(spark, sf).groupBy("client", F.floor(F.col("pos") / 50).alias("round")).agg(F.count("*").alias("n"), F.sum("correct").alias("c"))
     w = Window.partitionBy("client").orderBy("round")
-    held = r.select("client", "round", F.sum("n").over(w).alias("samples"), F.sum("c").over(w).alias("correct"))
-    added = windows.previous_difference(held.select("client", "round", F.col("samples").alias("new_samples")), "client", "round", ["new_samples"])
-    return held.join(added, ["client", "round"])
+    held = r.select("client", "round", F.sum("n").over(w).alias("samples"), F.sum("c").over(w).alias("correct"), F.sum("n").over(w).alias("new_samples"))
+    return windows.previous_difference(held, "client", "round", ["new_samples"])
 
 
 @query("clu_14_cached_evaluation", STREAM_SQL + """, r AS (SELECT client, pos // 50 AS round, loss FROM stream WHERE pos // 50 < n // 50),
@@ -249,7 +248,7 @@ FROM s LEFT JOIN a USING (client) LEFT JOIN u USING (client)""")
 def met_detection_profile(spark, sf):
     """The registry's detection profile: quality, alarms, change points and false alarms by class, a row for each client."""
     s, truth = _s(spark, sf), _truth(spark, sf)
-    events = matching.match_events(truth, _alarms(s), TOLERANCE).where("kind = 'event'")
+    events = matching.match_events(truth, _alarms(s), TOLERANCE).where("kind = 'event' AND client IS NOT NULL")
     tables = {
         "sample": s.withColumn("stable", matching.stable_mask(F.col("pos"), F.col("ld"), 50)),
         "alarm": events.withColumn("estimate", F.col("pos") - F.col("pos") % 13),
