@@ -74,7 +74,7 @@ def keyless(tmp_path_factory):
     return write_events(tmp_path_factory.mktemp("keyless"), user_id=(ids * 31 % 20).astype("Int64").where(ids % 11 > 0), event_type=kinds, value=(ids * 617 % 2000) / 10)
 
 
-@pytest.mark.parametrize("name", ["epi_1_episodes", "exp_1_adahedge", "exp_8_recalibration", "jn_12_agreement", "lif_4_handshakes", "lif_15_snapshots", "met_detection", "met_detection_profile", "met_resource_profile", "res_2_suppressed_alarms", "src_10_stream", "src_11_random_schedule", "win_2_runs", "win_3_moving_average"])
+@pytest.mark.parametrize("name", ["epi_1_episodes", "exp_1_adahedge", "exp_8_recalibration", "jn_12_agreement", "jn_14_previous_difference", "lif_4_handshakes", "lif_15_snapshots", "met_detection", "met_detection_profile", "met_resource_profile", "res_2_suppressed_alarms", "src_10_stream", "src_11_random_schedule", "win_2_runs", "win_3_moving_average"])
 def test_events_without_a_user(spark, keyless, name):
     assert differences(spark, keyless, "events", name) == (set(), set())
 
