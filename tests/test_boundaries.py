@@ -74,11 +74,19 @@ def keyless(tmp_path_factory):
     return write_events(tmp_path_factory.mktemp("keyless"), user_id=(ids * 31 % 20).astype("Int64").where(ids % 11 > 0), event_type=kinds, value=(ids * 617 % 2000) / 10)
 
 
-@pytest.mark.parametrize("name", ["epi_1_episodes", "exp_1_adahedge", "exp_8_recalibration", "jn_12_agreement", "jn_14_previous_difference", "lif_4_handshakes", "lif_15_snapshots", "met_detection", "met_detection_profile", "met_resource_profile", "res_2_suppressed_alarms", "src_10_stream", "src_11_random_schedule", "win_2_runs", "win_3_moving_average"])
+@pytest.mark.parametrize("name", ["epi_1_episodes", "exp_1_adahedge", "exp_6_meta_gains", "exp_8_recalibration", "jn_12_agreement", "jn_14_previous_difference", "lif_4_handshakes", "lif_15_snapshots", "met_detection", "met_detection_profile", "met_resource_profile", "res_2_suppressed_alarms", "src_10_stream", "src_11_random_schedule", "win_2_runs", "win_3_moving_average"])
 def test_events_without_a_user(spark, keyless, name):
     assert differences(spark, keyless, "events", name) == (set(), set())
 
 
+@pytest.mark.parametrize("name", ["exp_1_adahedge", "exp_3_fixed_share", "exp_6_meta_gains", "exp_6_meta_router", "exp_8_replay_in_stream"])
+def test_losses_below_zero(spark, tmp_path, name):
+    """Every seventh value is below 0."""
+    ids = pd.Series(range(2000))
+    value = (ids * 617 % 2000) / 10
+    assert differences(spark, write_events(tmp_path, value=value.where(ids % 7 > 0, -value)), "events", name) == (set(), set())
+
+
 def test_one_state_for_rows_without_a_key(spark):
     """Numbers that were counted so far, of keys 1 and null."""
 

@@ -13,9 +13,13 @@ from .folds import fold
 
 
 class AdaHedge:
-    """Exponential weights whose rate follows from the mixability gap; a change of the expert set clears all evidence."""
+    """Exponential weights whose rate follows from the mixability gap; a change of the expert set clears all evidence.
 
-    def __init__(self):
+    Losses are cut to [0, 1] unless not ``bounded``.
+    """
+
+    def __init__(self, bounded: bool = True):
+        self.bounded = bounded
         self.ids: tuple = ()
         self.resets = 0
         self.restart()
@@ -39,7 +43,7 @@ class AdaHedge:
         return raw / raw.sum()
 
     def update(self, losses: np.ndarray, p: np.ndarray) -> None:
-        losses = np.clip(losses, 0, 1)
+        losses = np.clip(losses, 0, 1) if self.bounded else losses
         active = p > 0
         if len(self.ids) <= 1 or self.gap <= 0:
             mix = losses[active].min()
@@ -61,9 +65,13 @@ class AdaHedge:
 
 
 class FixedShare:
-    """Exponential weights with a rate from the observed variance, and a share of 1 / ``horizon`` dealt to all at each step."""
+    """Exponential weights with a rate from the observed variance, and a share of 1 / ``horizon`` dealt to all at each step.
+
+    Losses are cut to [0, 1] unless not ``bounded``.
+    """
 
-    def __init__(self, horizon: int = 30):
+    def __init__(self, horizon: int = 30, bounded: bool = True):
+        self.bounded = bounded
         self.share = 1 / max(2, horizon)
         self.ids: tuple = ()
         self.restart()
@@ -78,7 +86,7 @@ class FixedShare:
         return self.w
 
     def update(self, losses: np.ndarray, p: np.ndarray) -> None:
-        losses = np.clip(losses, 0, 1)
+        losses = np.clip(losses, 0, 1) if self.bounded else losses
         k = len(self.ids)
         self.variance += float(p @ (losses - p @ losses) ** 2)
         eta = min(1.0, math.sqrt(2 * math.log(k) / max(self.variance, 1e-12))) if k > 1 else 1.0
@@ -101,26 +109,26 @@ class Layers:
     change (``shifting``); what ``whole`` predicts is the context, and each context has a router of its own, whose heaviest expert leads there.
     The second layer weighs, in each context, the whole mixture against that leader by whether they were right (``meta``). The top
     follows ``meta`` or ``shifting``, whichever weighs more (``meta`` if they weigh the same).
-    All predict before any learns from the label.
+    All predict before any learns from the label. Unless ``bounded``, scores may lie outside [0, 1], and losses are not cut.
     """
 
-    def __init__(self, experts: int, horizon: int = 30):
-        self.ids = tuple(range(experts))
-        self.whole, self.shifting, self.top = AdaHedge(), FixedShare(horizon), FixedShare(horizon)
+    def __init__(self, experts: int, horizon: int = 30, bounded: bool = True):
+        self.ids, self.bounded = tuple(range(experts)), bounded
+        self.whole, self.shifting, self.top = AdaHedge(bounded), FixedShare(horizon, bounded), FixedShare(horizon)
         self.contexts: dict[bool, tuple[AdaHedge, AdaHedge]] = {}
 
     def step(self, label: int, scores: np.ndarray) -> dict:
         p_whole, p_shifting = self.whole.weights(self.ids), self.shifting.weights(self.ids)
         mixed, shifted = float(p_whole @ scores), float(p_shifting @ scores)
         context = says_yes(mixed)
-        own, meta = self.contexts.setdefault(context, (AdaHedge(), AdaHedge()))
+        own, meta = self.contexts.setdefault(context, (AdaHedge(self.bounded), AdaHedge()))
         p_own, p_meta, p_top = own.weights(self.ids), meta.weights((0, 1)), self.top.weights((0, 1))
         leader = int(np.argmax(np.round(p_own, 9)))
         layered = float(p_meta @ (mixed, scores[leader]))
         follows_meta = round(p_top[0] - p_top[1], 9) >= 0
         said = {"global": mixed, "leader": float(scores[leader]), "shifting": shifted, "meta": layered, "top": layered if follows_meta else shifted}
         right = {name: says_yes(score) == bool(label) for name, score in said.items()}
-        losses = np.abs(scores - label)
+        losses = 1 - scores if label else scores
         self.whole.update(losses, p_whole)
         self.shifting.update(losses, p_shifting)
         own.update(losses, p_own)
@@ -133,12 +141,12 @@ class Layers:
 PREDICTORS = ("global", "leader", "shifting", "meta", "top")
 
 
-def route_layers(df: DataFrame, experts: list[str], key: list[str], order: str, label: str, horizon: int = 30) -> DataFrame:
+def route_layers(df: DataFrame, experts: list[str], key: list[str], order: str, label: str, horizon: int = 30, bounded: bool = True) -> DataFrame:
     """Of each row, before it is learned from: ``context``, ``expert`` (the context's leader), ``leader_weight``, scores ``meta`` and ``shifting``, ``follows_meta``, and
-    for each predictor whether it was ``right_``. Columns ``experts`` hold scores in [0, 1]."""
+    for each predictor whether it was ``right_``. Columns ``experts`` hold scores, in [0, 1] if ``bounded``."""
 
     def start():
-        layers = Layers(len(experts), horizon)
+        layers = Layers(len(experts), horizon, bounded)
 
         def step(at, y, *scores):
             out = layers.step(int(y), np.array(scores, dtype=float))
@@ -180,13 +188,13 @@ def route(df: DataFrame, make: Callable, experts: list[str], key: list[str], ord
     return fold(df, key, [order], start, [order, *experts], f"{order} long, {columns}, mixture double, effective double, leader string")
 
 
-def route_with_replay(df: DataFrame, experts: list[str], key: list[str], order: str, every: int, stored: int) -> DataFrame:
+def route_with_replay(df: DataFrame, experts: list[str], key: list[str], order: str, every: int, stored: int, bounded: bool = True) -> DataFrame:
     """AdaHedge whose evidence is looked at after every ``every`` rows: if the expert of least loss over the last ``stored`` rows isn't the one
     of least evidence so far (which stays where they are even), the evidence is rebuilt from these rows, and the router carries on with it. One row for
     each look: ``round``, ``replayed``, ``lead``, the weights ``w_<expert>`` after it, and the mixture's ``loss`` over the rows since the last."""
 
     def start():
-        router, ids, held, seen, loss = AdaHedge(), tuple(range(len(experts))), [], 0, 0.0
+        router, ids, held, seen, loss = AdaHedge(bounded), tuple(range(len(experts))), [], 0, 0.0
 
         def step(at, *losses):
             nonlocal seen, loss

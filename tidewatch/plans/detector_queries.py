@@ -236,7 +236,7 @@ SELECT client, pos, round(w_a, 6) AS w_a, round(w_b, 6) AS w_b, round(w_c, 6) AS
 CASE WHEN w_a >= w_b AND w_a >= w_c THEN 'a' WHEN w_b >= w_c THEN 'b' ELSE 'c' END AS leader FROM hedge WHERE pos >= 0""")
 def exp_1(spark, sf):
     """EXP-1, EXP-2, EXP-4: weights, mixture loss and effective number of experts before each update."""
-    out = experts.route(_losses(spark, sf), experts.AdaHedge, ["a", "b", "c"], ["client"], "pos")
+    out = experts.route(_losses(spark, sf), lambda: experts.AdaHedge(bounded=False), ["a", "b", "c"], ["client"], "pos")
     return out.withColumns({c: F.round(c, 6) for c in ("w_a", "w_b", "w_c", "mixture", "effective")})
 
 
@@ -252,7 +252,7 @@ def exp_3(spark, sf):
 
 
 def _fixed_share(losses):
-    out = experts.route(losses, lambda: experts.FixedShare(30), ["a", "b"], ["client"], "pos")
+    out = experts.route(losses, lambda: experts.FixedShare(30, bounded=False), ["a", "b"], ["client"], "pos")
     return out.select("client", "pos", F.round("w_a", 6).alias("w_a"), F.round("mixture", 6).alias("mixture"))
 
 
@@ -262,7 +262,7 @@ FROM led JOIN ({_THREE}) x USING (client, pos) GROUP BY client""")
 def exp_6(spark, sf):
     """Mixture against the best single expert and the oracle, for each client."""
     rows = _losses(spark, sf)
-    routed = experts.route(rows, experts.AdaHedge, ["a", "b", "c"], ["client"], "pos").select("client", "pos", "mixture", "leader")
+    routed = experts.route(rows, lambda: experts.AdaHedge(bounded=False), ["a", "b", "c"], ["client"], "pos").select("client", "pos", "mixture", "leader")
     both = rows.join(routed, ["client", "pos"])
     return both.groupBy("client").agg(
         F.round(F.avg("mixture"), 6).alias("mixture"), F.round(F.least(F.avg("a"), F.avg("b")), 6).alias("best_single"), F.round(F.avg(F.least("a", "b", F.coalesce("c", F.lit(1.0)))), 6).alias("oracle"),
@@ -279,7 +279,7 @@ def exp_7(spark, sf):
     rows = _losses(spark, sf).select("client", "pos", "a", "b")
     past = Window.partitionBy("client").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     sums = rows.select("client", "pos", "a", *[F.coalesce(F.sum(e).over(past), F.lit(0.0)).alias(f"l{e}") for e in "ab"])
-    routed = experts.route(rows, experts.AdaHedge, ["a", "b"], ["client"], "pos").select("client", "pos", "w_a", "w_b", "mixture")
+    routed = experts.route(rows, lambda: experts.AdaHedge(bounded=False), ["a", "b"], ["client"], "pos").select("client", "pos", "w_a", "w_b", "mixture")
     mixed = F.col("w_a") * F.col("la") + F.col("w_b") * F.col("lb") < F.col("la") - 1e-9
     gated = sums.join(routed, ["client", "pos"]).select("client", "a", "mixture", mixed.alias("mixed"))
     return gated.groupBy("client").agg(F.count("*").alias("n"), F.count(F.when(F.col("mixed"), 1)).alias("mixed"), F.round(F.avg(F.when(F.col("mixed"), F.col("mixture")).otherwise(F.col("a"))), 6).alias("loss"))
