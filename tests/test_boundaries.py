@@ -87,6 +87,10 @@ def test_losses_below_zero(spark, tmp_path, name):
     assert differences(spark, write_events(tmp_path, value=value.where(ids % 7 > 0, -value)), "events", name) == (set(), set())
 
 
+def test_models_of_clients_with_a_user(spark, keyless):
+    assert sorted(r.client for r in QUERIES["ml_1_client_models"](spark, str(keyless)).collect()) == list(range(10))
+
+
 def test_one_state_for_rows_without_a_key(spark):
     """Numbers that were counted so far, of keys 1 and null."""
 

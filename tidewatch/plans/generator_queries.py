@@ -137,8 +137,8 @@ def met_registry(spark, sf):
 
 @query("ml_1_client_models")
 def ml_1(spark, sf):
-    """A model for each client from its latest 200 samples: store-driven training."""
-    s = stream(table(spark, sf, "events")).select("client", "pos", "concept")
+    """A model for each client from its latest 200 samples: store-driven training. Samples are drawn by an id that holds the client's."""
+    s = stream(table(spark, sf, "events")).where("client IS NOT NULL").select("client", "pos", "concept")
     samples = gen.samples(s.withColumn("id", F.col("pos") * 10 + F.col("client")), "sine2")
     store = latest(samples, ["client"], "pos", 200).withColumnRenamed("pos", "order")
     out = learning.train(store, ["client"], 2)
