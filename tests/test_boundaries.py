@@ -87,6 +87,19 @@ def test_losses_below_zero(spark, tmp_path, name):
     assert differences(spark, write_events(tmp_path, value=value.where(ids % 7 > 0, -value)), "events", name) == (set(), set())
 
 
+@pytest.mark.parametrize("name", ["jn_14_previous_difference", "src_10_stream"])
+def test_one_order_of_ties(spark, tmp_path_factory, name):
+    """Events of one id at ten times, stored in two orders, and with ids in the order that the stream gives to ties."""
+    ids = pd.Series(range(2000))
+    kinds = pd.Series(["view", "error", "click"])[ids * 7919 % 3].reset_index(drop=True)
+    tied = pd.DataFrame({"event_id": ids * 0, "ts": pd.Timestamp("2024-01-01") + pd.to_timedelta(ids // 200 * 5, unit="h"), "user_id": ids * 31 % 20, "event_type": kinds, "value": (ids * 617 % 2000) / 10})
+    numbered = tied.sort_values(["ts", "event_type", "value"], ignore_index=True).assign(event_id=ids)
+    folders = [write_events(tmp_path_factory.mktemp("ties"), **t) for t in (numbered, tied, tied[::-1].reset_index(drop=True))]
+    assert differences(spark, folders[0], "events", name) == (set(), set())
+    want, *got = [sorted(map(tuple, QUERIES[name](spark, str(f)).collect()), key=str) for f in folders]
+    assert got == [want, want]
+
+
 def test_models_of_clients_with_a_user(spark, keyless):
     assert sorted(r.client for r in QUERIES["ml_1_client_models"](spark, str(keyless)).collect()) == list(range(10))
 

@@ -44,7 +44,8 @@ def positions(events: DataFrame, clients: int | None = None) -> DataFrame:
 
     A position is the number of the client's rows on the days before the row's, by a running sum over one row a client and day, and
     the row's number within its day: a client with a large part of all rows is dealt to as many tasks as it has days. Rows without a time come
-    last, and events without a user are a client of their own, without a key, as in the SQL.
+    last, and events without a user are a client of their own, without a key, as in the SQL. Events of one time and id, whose order the SQL leaves open,
+    go by label and value: the stream doesn't depend on how they are stored or dealt.
     """
     dealt = events.select(
         (F.col("user_id") % (clients or clients_of(events))).alias("client"), F.to_date("ts").alias("day"), "ts", "event_id", F.col("event_type").alias("label"), F.least(F.col("value") / 200, F.lit(1.0)).alias("frac")
@@ -53,7 +54,7 @@ def positions(events: DataFrame, clients: int | None = None) -> DataFrame:
     past = whole.orderBy(F.asc_nulls_last("day")).rowsBetween(Window.unboundedPreceding, -1)
     counts = dealt.groupBy("client", "day").agg(F.count("*").alias("k"))
     days = counts.select(F.col("client").alias("__client"), F.col("day").alias("__day"), F.coalesce(F.sum("k").over(past), F.lit(0)).alias("before"), F.sum("k").over(whole).alias("n"))
-    within = Window.partitionBy("client", "day").orderBy(F.asc_nulls_last("ts"), F.asc_nulls_last("event_id"))
+    within = Window.partitionBy("client", "day").orderBy(F.asc_nulls_last("ts"), F.asc_nulls_last("event_id"), "label", "frac")
     same = F.col("client").eqNullSafe(F.col("__client")) & F.col("day").eqNullSafe(F.col("__day"))
     numbered = dealt.withColumn("i", F.row_number().over(within)).join(days, same)
     return numbered.select("client", (F.col("before") + F.col("i") - 1).alias("pos"), "n", "label", "frac")
